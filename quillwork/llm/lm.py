@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import id_remainder, stash, words_of
 from .eliasfano import KEY_BITS, Trie
 
-CONCENTRATION = 100.0
+CONCENTRATION = 1000.0
 SHARD_TOKENS = 6_000_000
 CHUNK_BYTES = 4 << 20
 #: No word contains a space, so these never equal one.

@@ -78,7 +78,7 @@ def _sums(rows: list[np.ndarray], w: np.ndarray, v: np.ndarray) -> tuple[np.ndar
 
 
 class Machine:
-    """A factorisation machine fitted by AdaGrad on log loss, classes weighted evenly but for `prior` of the rare one."""
+    """A factorisation machine fitted by AdaGrad on log loss, both classes weighing the same in all."""
 
     def __init__(self, terms: np.ndarray, seed: int = 7):
         self.terms, rng = terms, np.random.default_rng(seed)
@@ -97,7 +97,7 @@ class Machine:
             return self
         rng = np.random.default_rng(seed)
         share = y.mean()
-        self.b = float(np.log(share / (1 - share)))
+        weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
         gb, gw, gv = 1e-8, np.full_like(self.w, 1e-8), np.full_like(self.v, 1e-8)
         for _ in range(epochs):
             order = rng.permutation(len(y))
@@ -105,7 +105,7 @@ class Machine:
                 own = order[at : at + batch]
                 flat, owner, linear, factors, squares = _sums([rows[i] for i in own], self.w, self.v)
                 m = self.b + linear + 0.5 * ((factors**2).sum(axis=1) - squares)
-                e = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[own]) / len(own)
+                e = weight[own] * (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[own]) / len(own)
                 dw = np.bincount(flat, weights=e[owner], minlength=len(self.w)) + l2 * self.w * (np.bincount(flat, minlength=len(self.w)) > 0) / len(own)
                 dv = np.zeros_like(self.v)
                 np.add.at(dv, flat, e[owner, None] * (factors[owner] - self.v[flat]))
