@@ -27,7 +27,7 @@ from .common import id_remainder, stash, words_of
 from .eliasfano import KEY_BITS, Trie
 
 CONCENTRATION = 1000.0
-SHARD_TOKENS = 6_000_000
+SHARD_TOKENS = 4_000_000
 CHUNK_BYTES = 4 << 20
 #: No word contains a space, so these never equal one.
 END, START = (xxhash.xxh64_intdigest(s, 0) for s in (b" end", b" start"))
