@@ -54,3 +54,44 @@ def docs_aug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paged(docs_aug(spark, sf_dir))
+
+
+def page_specs(docs: DataFrame) -> DataFrame:
+    """A page-range spec for each document, by its id."""
+    specs = F.array(*[F.lit(x) for x in ("", "1", "1-2", "1, 3", "99", "a-b")])
+    return docs.select("doc_id", F.element_at(specs, F.pmod(F.col("doc_id"), F.lit(6)).cast("int") + 1).alias("spec"))
+
+
+def page_settings(docs: DataFrame) -> DataFrame:
+    """Raw user settings of every third document: page 1 yes, page 2 NO, page 3 not valid; one page number is no number."""
+    rows = F.array(*[F.struct(F.lit(p).alias("page_no"), F.lit(v).alias("setting")) for p, v in (("1", " yes"), ("2", "NO"), ("3", "maybe"), ("x", "YES"))])
+    return docs.where("doc_id % 3 = 0").select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.page_no", "r.setting")
+
+
+def attempts(pages: DataFrame) -> DataFrame:
+    """Three extraction attempts of each page; success and content follow from ids."""
+    rows = pages.select("doc_id", "page_no", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("attempt"), "text")
+    rows = rows.withColumn("method", F.when(F.col("attempt") < 3, "vision").otherwise("tesseract"))
+    rows = rows.withColumn("success", (F.col("doc_id") + F.col("page_no") * 3 + F.col("attempt") * 2) % 7 < 2)
+    return rows.select("doc_id", "page_no", "attempt", "method", "success", F.when(F.col("success"), F.concat(F.lit("v"), F.col("attempt").cast("string"), F.lit(": "), F.substring("text", 1, 40))).alias("content"), F.when(F.col("success"), F.length("text")).otherwise(0).cast("long").alias("tokens"), F.when(~F.col("success"), F.element_at(F.array(F.lit("Request timeout"), F.lit("Rate limit hit"), F.lit("Bad gateway")), ((F.col("doc_id") + F.col("page_no")) % 3 + 1).cast("int"))).alias("error"))
+
+
+def visual_flags(pages: DataFrame) -> DataFrame:
+    """Visual analysis of two pages in five, by ids; others have none."""
+    k = (F.col("doc_id") * 3 + F.col("page_no")) % 5
+    m = (F.col("doc_id") + F.col("page_no")) % 4
+    has = k < 2
+    return pages.withColumn("v_tables", F.when(has, m == 0)).withColumn("v_charts", F.when(has, m == 1)).withColumn("v_forms", F.when(has, F.lit(False))).withColumn("v_layout", F.when(has, F.when(m == 2, "complex").otherwise("simple"))).withColumn("v_image", F.when(has, F.when(m == 3, "poor").otherwise("good")))
+
+
+def page_metrics(pages: DataFrame) -> DataFrame:
+    """Counts of a raw web page: text without tags, images (one page in five), drawings (lists) and text blocks."""
+    html = F.coalesce("html", F.lit(""))
+    count = lambda p: F.regexp_count(html, F.lit(p)).cast("long")
+    return pages.select("page_id", F.length(F.regexp_replace(html, "<[^>]*>", "")).cast("long").alias("text_len"), F.when(F.col("page_id") % 5 == 0, 1).otherwise(0).cast("long").alias("images"), count("<ul").alias("drawings"), (count("<p") + count("<li")).alias("blocks"))
+
+
+def task_config(spark: SparkSession) -> DataFrame:
+    """The task dimension: five rows."""
+    rows = [("main", "m-large", "a", 0.1, 4000), ("vision", "m-vision", "b", 0.0, 4096), ("formatting", "m-large", "a", 0.2, 16000), ("evaluation", "m-judge", "c", 0.0, 2000), ("summary", "m-small", None, 0.3, 1500)]
+    return spark.createDataFrame(rows, "task string, model string, provider string, temperature double, max_tokens long")
