@@ -31,8 +31,17 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{S}+|{S}+\z", "")
 
 
+def unix(pattern: str) -> str:
+    """A pattern whose lines end at \\n only: its multi-line flag gets Java's flag for that."""
+    return pattern.replace("(?m)", "(?md)").replace("(?im)", "(?imd)")
+
+
+def has(text: Column, pattern: str) -> Column:
+    return text.rlike(unix(pattern))
+
+
 def count_of(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("long")
+    return F.regexp_count(text, F.lit(unix(pattern))).cast("long")
 
 
 def chars_among(text: Column, chars: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import S, W, chars_among, count_of, flag, ladder, listed, points, strip, text_of, words
+from ..functions.text import S, W, chars_among, count_of, flag, has, ladder, listed, points, strip, text_of, words
 from .quality import ODD_CHARACTER, QUOTA
 
 #: Characters and patterns of the page analysis.
@@ -18,7 +18,7 @@ STRUCTURED = rf"(?m)^{S}*[A-Z][^:]*:{S}*\$?\p{{Nd}}"
 def _any(text: Column, patterns) -> Column:
     out: Column = F.lit(False)
     for p in patterns:
-        out = out | text.rlike(p)
+        out = out | has(text, p)
     return out
 
 
@@ -30,7 +30,7 @@ def analyse_pages(pages: DataFrame, text: str = "text") -> DataFrame:
     t = text_of(text)
     w = words(t)
     df = pages.withColumn("_blank", strip(t) == "").withColumn("_box", t.rlike(TABLE_CHARS)).withColumn("_aligned", count_of(t, ALIGNED) > 3)
-    df = df.withColumn("_check", _any(t, CHECKBOXES)).withColumn("_structured", t.rlike(STRUCTURED))
+    df = df.withColumn("_check", _any(t, CHECKBOXES)).withColumn("_structured", has(t, STRUCTURED))
     df = df.withColumn("_n", F.size(w)).withColumn("_single", F.size(F.filter(w, lambda x: x.rlike(r"^\p{L}\z")))).withColumn("_letters", F.length(F.array_join(w, "")))
     dense = F.length(F.translate(t, " \n", ""))
     df = df.withColumn("_fragmented", (F.col("_n") > 0) & (F.col("_single") * 10 > F.col("_n"))).withColumn("_short", (F.col("_n") > 0) & (F.col("_letters") * 2 < F.col("_n") * 5))

@@ -17,7 +17,7 @@ BLOCKS = [
     "[x] Medical\n[ ] Dental\n☑ Vision",
     "I apologize for the confusion. Here is the extracted text.\nIf you have any questions, feel free to ask.",
     "**Deductible**: [TBD]\n- [N/A]\n**Copay**: $25 [Pending] review",
-    "Coverage starts in May[1].\n[1] Subject to eligibility, see plan. Second sentence.",
+    "Coverage starts in May[1].\n1 Subject to eligibility, see plan. Second sentence.",
     "Total due $100,5 today\n✓ approved",
     "a b c d e f g h a b c d e f g h a b c d e f g h a b c d e f g h a b c d e f g h a b c d e f g h a b c d e f g h",
     "gnidliub noitacol ynapmoc ecnarusni gnidliub noitacol ynapmoc ecnarusni gnidliub noitacol ynapmoc ecnarusni",
