@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import text_of, words
 from ..operators import quality as Q
 from ..sources.derived import docs_aug
 from .sql import DOCS, among, case, count, lines, q, rlike, strip
@@ -55,4 +54,3 @@ _add("vision_decision", lambda s, d: Q.vision_decision(docs_aug(s, d)).select("d
 _add("fallback_gate", lambda s, d: Q.fallback_gate(docs_aug(s, d)).select("doc_id", "gate"), f"WITH {_facts} SELECT doc_id, CASE WHEN total_tenths <= 1 AND table_tenths = 0 THEN 'text' ELSE 'escalate' END AS gate FROM tot")
 _has = lambda *m: "(" + " OR ".join(f"contains(lower(text), {q(x)})" for x in m) + ")"
 _add("extraction_strategy", lambda s, d: Q.extraction_strategy(docs_aug(s, d)).select("doc_id", "strategy"), f"WITH {_facts} SELECT doc_id, {case(('table_tenths > 3', q('table_focused')), (_has('form', 'checkbox', '☐', '☑', 'x'), q('form_focused')), (_has('def ', 'class ', 'import ', '$'), q('technical_doc')), otherwise=q('standard'))} AS strategy FROM sc")
-__all__ = ["ORACLES", "QUERIES", "text_of", "words"]
