@@ -95,3 +95,31 @@ def task_config(spark: SparkSession) -> DataFrame:
     """The task dimension: five rows."""
     rows = [("main", "m-large", "a", 0.1, 4000), ("vision", "m-vision", "b", 0.0, 4096), ("formatting", "m-large", "a", 0.2, 16000), ("evaluation", "m-judge", "c", 0.0, 2000), ("summary", "m-small", None, 0.3, 1500)]
     return spark.createDataFrame(rows, "task string, model string, provider string, temperature double, max_tokens long")
+
+
+def _unpivoted(df: DataFrame, sheet: str, first_row: int, key: str, columns: list) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(i).cast("long").alias("col"), c.cast("string").alias("value")) for i, c in enumerate(columns, 1)])
+    return df.select(F.lit(sheet).alias("sheet"), (F.col(key) + first_row).cast("long").alias("row"), F.explode(rows).alias("x")).select("sheet", "row", "x.col", "x.value")
+
+
+#: Header cells of the derived worksheets: (sheet, row, values).
+HEADERS = [("nation", 1, ("Region", "Nation", "Figures", None, "Active")), ("nation", 2, (None, None, "Amount", "Share", None)), ("part", 1, ("Item", "Brand", "Kind", "Size", "Price", "Made")), ("supplier", 1, ("Supplier", "Nation", "Level"))]
+#: Merged rectangles: a header over two columns, and regions of five nations each.
+MERGED = [("nation", 1, 3, 1, 4), *[("nation", 3 + 5 * r, 1, 7 + 5 * r, 1) for r in range(5)]]
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three worksheets in long form: nations under their merged regions, parts and suppliers."""
+    nation = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    place = nation.withColumn("k", F.col("n_regionkey") * 5 + F.floor(F.col("n_nationkey") / 5))
+    n = F.col("n_nationkey")
+    sheets = _unpivoted(place, "nation", 3, "k", [F.when(F.floor(n / 5) == 0, F.col("r_name")), F.col("n_name"), F.concat(F.lit("$"), (n * 1000).cast("string"), F.lit(".5")), F.concat(n.cast("string"), F.lit("%")), F.when(n % 3 == 0, "yes").otherwise("no")])
+    p, key = read(spark, sf_dir, "part"), F.col("p_partkey")
+    part = _unpivoted(p, "part", 2, "p_partkey", [F.col("p_name"), F.col("p_brand"), F.when(key % 4 != 0, F.col("p_type")), F.col("p_size"), F.concat(F.lit("$"), (F.col("p_size") * 100).cast("string"), F.lit("/lot")), F.concat_ws("/", (key % 12 + 1).cast("string"), (key % 28 + 1).cast("string"), F.lit("24"))])
+    supplier = _unpivoted(read(spark, sf_dir, "supplier"), "supplier", 2, "s_suppkey", [F.col("s_name"), F.col("s_nationkey"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey") * 1250).otherwise(0)])
+    heads = spark.createDataFrame([(s, r, c, v) for s, r, vs in HEADERS for c, v in enumerate(vs, 1)], "sheet string, row long, col long, value string")
+    return heads.unionByName(sheets).unionByName(part).unionByName(supplier)
+
+
+def merged(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MERGED, "sheet string, min_row long, min_col long, max_row long, max_col long")
