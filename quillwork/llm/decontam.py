@@ -47,74 +47,119 @@ def prefix_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int,
     return (int(row[end]), end) if row[end] <= most else None
 
 
+class Vocabulary(dict):
+    """Symbols of raw words: 0 for words that no item has, -1 for words of punctuation alone. New words are looked up once."""
+
+    def __init__(self, normal: dict[bytes, int]):
+        super().__init__()
+        self.normal = normal
+
+    def __missing__(self, raw: bytes) -> int:
+        found = normal_words(raw)
+        symbol = self.normal.get(found[0], 0) if found else -1
+        if len(self) < 500_000:
+            self[raw] = symbol
+        return symbol
+
+
 class Index:
-    """LSH tables of a block of items, by classes of similar length."""
+    """LSH tables of a block of items, by classes of similar length.
+
+    Windows are embedded only where they can match at all. Of an item's k + 1 equal pieces, k edits leave one whole, so a window
+    within k edits starts at most k words from where a piece that the text contains says; and it must have enough words of
+    items. Both tests lose no match.
+    """
 
     def __init__(self, items: list[tuple[int, list[bytes]]], edits: float = EDITS, bits: int = BITS, recall: float = RECALL, seed: int = 11):
         items = sorted((i, w) for i, w in items if w)
         self.edits, self.bits, self.rng = edits, bits, np.random.default_rng(seed)
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, words in items for w in words}), 1)}
+        self.normal = {w: k for k, w in enumerate(sorted({w for _, words in items for w in words}), 1)}
         self.ids = [i for i, _ in items]
-        self.items = [np.array([self.vocabulary[w] for w in words], dtype=np.int32) for _, words in items]
-        # 0 stands for any word that no item has, the last symbol for the end
-        self.symbols = self.rng.integers(1, 2**63, len(self.vocabulary) + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        by_length = sorted(range(len(items)), key=lambda k: (len(self.items[k]), k))
+        self.items = [np.array([self.normal[w] for w in words], dtype=np.int32) for _, words in items]
+        # 0 stands for any word that no item has, the last symbol for the end of a text
+        self.end = len(self.normal) + 1
+        self.symbols = self.rng.integers(1, 2**63, self.end + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         groups: list[list[int]] = []
-        for k in by_length:
+        for k in sorted(range(len(items)), key=lambda k: (len(self.items[k]), k)):
             if not groups or len(self.items[k]) > 1.25 * len(self.items[groups[-1][0]]):
                 groups.append([])
             groups[-1].append(k)
         self.classes = []
-        for group in groups:
-            short, long = len(self.items[group[0]]), len(self.items[group[-1]])
+        pieces: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for number, group in enumerate(groups):
+            short = len(self.items[group[0]])
             needed = short - int(edits * short)
             # steps whose place in the text is before the end of every item of the class
-            c = {"items": group, "needed": needed, "window": long + int(edits * long), "steps": max(bits, 2 * needed - 2), "tables": []}
-            share = self._share(c, random.Random(seed))
+            c = {"items": group, "steps": max(bits, 2 * needed - 2), "tables": []}
+            share = self._share(c, random.Random(seed + number))
             for _ in range(max(1, math.ceil(math.log(1 - recall) / math.log(1 - share)) if share < 1 else 1)):
                 c["tables"].append(self._table(c))
             self.classes.append(c)
+            for k in group:
+                item = self.items[k]
+                cuts = np.linspace(0, len(item), self._most(k) + 2).astype(int)
+                for o, e in zip(cuts[:-1], cuts[1:], strict=True):
+                    pieces[int(e - o)][int(self._grams(item[o:e], int(e - o))[0])].append((k, int(o)))
+        #: By length: sorted hashes of pieces, and for each hash its (item, offset) rows from a start on.
+        self.pieces = []
+        for size, found in sorted(pieces.items()):
+            keys = np.array(sorted(found), dtype=np.uint64)
+            rows = [found[int(h)] for h in keys]
+            self.pieces.append((size, keys, np.cumsum([0] + [len(r) for r in rows]), np.array([x for r in rows for x in r], dtype=np.int64).reshape(-1, 2)))
+        self.class_of = np.zeros(len(items), dtype=np.int64)
+        for number, group in enumerate(groups):
+            self.class_of[group] = number
         self.rng = None
 
+    def _most(self, k: int) -> int:
+        return int(self.edits * len(self.items[k]))
+
+    def _grams(self, sequence: np.ndarray, size: int) -> np.ndarray:
+        """A hash of each run of `size` symbols."""
+        n = len(sequence) - size + 1
+        out = np.zeros(max(0, n), dtype=np.uint64)
+        for j in range(size if n > 0 else 0):
+            out = (out ^ self.symbols[sequence[j : j + n]]) * np.uint64(0x9E3779B97F4A7C15)
+        return out
+
     def _draw(self, c: dict) -> tuple[np.ndarray, np.ndarray]:
         """Multipliers of the random bits of each step, and the sampled steps."""
         steps = np.sort(self.rng.choice(c["steps"], min(self.bits, c["steps"]), replace=False))
         return self.rng.integers(1, 2**63, int(steps[-1]) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1), steps
 
-    def walk(self, sequence: np.ndarray, starts: np.ndarray, multipliers: np.ndarray, steps: np.ndarray, prefixes: list[np.ndarray] | None = None):
-        """The sampled symbols' key of each start, and the starts left. With prefixes, starts whose key so far is not among
-        those of the items are dropped on the way. sequence ends in end symbols."""
+    def walk(self, sequence: np.ndarray, starts: np.ndarray, multipliers: np.ndarray, steps: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Keys after each sampled step (rows) of the walk from each start. With wanted keys, of the same form, the numbers of
+        the starts whose keys are all as wanted; the others are dropped on the way. A walk stays at the end of its text."""
         at, key, sampled = starts.copy(), np.zeros(len(starts), dtype=np.uint64), 0
-        last = len(sequence) - 1
+        left, keys = np.arange(len(starts)), []
         for t, m in enumerate(multipliers):
-            symbol = self.symbols[sequence[at]]
+            here = sequence[at]
+            symbol = self.symbols[here]
             if t == steps[sampled]:
                 key = (key ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
-                if prefixes is not None:
-                    keep = np.isin(key, prefixes[sampled])
-                    starts, at, key, symbol = starts[keep], at[keep], key[keep], symbol[keep]
+                keys.append(key)
+                if wanted is not None:
+                    keep = key == wanted[sampled][left]
+                    left, at, key, symbol, here = left[keep], at[keep], key[keep], symbol[keep], here[keep]
+                    if not len(left):
+                        break
                 sampled += 1
-                if not len(starts):
-                    break
-            at = np.minimum(at + ((symbol * m) >> np.uint64(63)).astype(at.dtype), last)
-        return key, starts
+            at += ((symbol * m) >> np.uint64(63)).astype(at.dtype) * (here != self.end)
+        return np.array(keys) if wanted is None else left
 
     def _sequence(self, words: np.ndarray) -> np.ndarray:
-        return np.append(words, len(self.symbols) - 1).astype(np.int32)
+        return np.append(words, self.end).astype(np.int32)
 
     def _table(self, c: dict) -> dict:
         multipliers, steps = self._draw(c)
-        flat = [self._sequence(self.items[k]) for k in c["items"]]
-        prefixes, keys = [], None
-        for n in range(1, len(steps) + 1):
-            keys = np.array([self.walk(s, np.zeros(1, dtype=np.int64), multipliers[: steps[n - 1] + 1], steps[:n])[0][0] for s in flat])
-            prefixes.append(np.unique(keys))
-        order = np.argsort(keys, kind="stable")
-        return {"multipliers": multipliers, "steps": steps, "prefixes": prefixes, "keys": keys[order], "items": np.array(c["items"])[order]}
+        keys = np.zeros((len(steps), len(self.items)), dtype=np.uint64)
+        for k in c["items"]:
+            keys[:, k] = self.walk(self._sequence(self.items[k]), np.zeros(1, dtype=np.int64), multipliers, steps)[:, 0]
+        return {"multipliers": multipliers, "steps": steps, "keys": keys}
 
     def _share(self, c: dict, rng: random.Random, trials: int = 240) -> float:
         """The share of repetitions in which an item and a copy with the most edits allowed get the same key."""
-        same = 0
+        same, zero = 0, np.zeros(1, dtype=np.int64)
         for _ in range(trials):
             item = self.items[rng.choice(c["items"])]
             copy = list(item)
@@ -123,43 +168,89 @@ class Index:
                 copy[k : k + 1] = [[0], [], [0, copy[k]]][kind]
                 copy = copy or [0]
             multipliers, steps = self._draw(c)
-            zero = np.zeros(1, dtype=np.int64)
-            a = self.walk(self._sequence(item), zero, multipliers, steps)[0]
-            b = self.walk(self._sequence(np.array(copy)), zero, multipliers, steps)[0]
-            same += int(a[0] == b[0])
+            a, b = (self.walk(self._sequence(np.array(x)), zero, multipliers, steps)[-1, 0] for x in (item, copy))
+            same += int(a == b)
         return min(1.0, max(same, 8) / trials)
 
-    def matches(self, text: bytes | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, first word, end word, distance): the best window of each item that the whole text contains."""
-        known = self.vocabulary.get
-        words = np.array([known(w, 0) for w in normal_words(text)], dtype=np.int32)
-        if not len(words):
-            return []
-        total = np.concatenate([[0], np.cumsum(words > 0)])
-        sequence, best = self._sequence(words), {}
-        for c in self.classes:
-            if total[-1] < c["needed"]:
+    def _candidates(self, words: np.ndarray, first: np.ndarray, last: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and items of windows that can match; first, last: the bounds of each position's text."""
+        starts, items = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for size, keys, begins, rows in self.pieces:
+            # only runs of words that items have
+            at = np.flatnonzero(total[size:] - total[:-size] == size) if len(words) >= size else np.zeros(0, dtype=np.int64)
+            if not len(at):
                 continue
-            # a window without enough words of items at all is within the distance of none of them
-            ends = np.minimum(np.arange(len(words)) + c["window"], len(words))
-            starts = np.flatnonzero(total[ends] - total[:-1] >= c["needed"])
-            if not len(starts):
-                continue
-            tried = set()
+            h = self._grams(words, size)[at]
+            found = np.searchsorted(keys, h)
+            hit = keys[np.minimum(found, len(keys) - 1)] == h
+            at, found = at[hit], found[hit]
+            n = begins[found + 1] - begins[found]
+            at, row = np.repeat(at, n), np.repeat(begins[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            k, offset = rows[row, 0], rows[row, 1]
+            most = np.array([self._most(i) for i in range(len(self.items))])[k]
+            n = 2 * most + 1
+            shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) - np.repeat(most, n)
+            start, k, at = np.repeat(at - offset, n) + shift, np.repeat(k, n), np.repeat(at, n)
+            keep = (start >= first[at]) & (start < last[at])
+            starts.append(start[keep])
+            items.append(k[keep])
+        pair = np.unique(np.concatenate(starts) * len(self.items) + np.concatenate(items))
+        start, k = np.divmod(pair, len(self.items))
+        size = np.array([len(i) for i in self.items])[k]
+        most = np.array([self._most(i) for i in range(len(self.items))])[k]
+        to = np.minimum(start + size + most, last[start]) if len(start) else start
+        enough = total[to] - total[start] >= size - most
+        return start[enough], k[enough]
+
+    def match_many(self, texts: list[bytes | None]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text (item_id, first word, end word, distance): the best window of each item that the whole text contains."""
+        # kept by the worker from one batch to the next
+        known = self.__dict__.setdefault("known", Vocabulary(self.normal))
+        out: list[list[tuple[int, int, int, int]]] = []
+        held, size = [], 0
+        for text in texts:
+            words = np.fromiter(map(known.__getitem__, (text or b"").lower().split()), dtype=np.int32)
+            held.append(words[words >= 0])
+            size += len(words)
+            if size > 1_000_000:
+                out += self._match(held)
+                held, size = [], 0
+        return out + self._match(held)
+
+    def _match(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
+        if not texts or not self.items:
+            return [[] for _ in texts]
+        # texts one after another, each with an end symbol
+        sizes = np.array([len(t) + 1 for t in texts])
+        begins = np.cumsum(sizes) - sizes
+        sequence = np.concatenate([self._sequence(t) for t in texts])
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        first, last = begins[owner], (begins + sizes - 1)[owner]
+        total = np.concatenate([[0], np.cumsum((sequence > 0) & (sequence < self.end))])
+        starts, items = self._candidates(sequence, first, last, total)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for number, c in enumerate(self.classes):
+            own = np.flatnonzero(self.class_of[items] == number)
+            near = np.zeros(len(own), dtype=bool)
             for t in c["tables"]:
-                keys, left = self.walk(sequence, starts, t["multipliers"], t["steps"], t["prefixes"])
-                if not len(left):
+                # windows found by an earlier repetition need no other
+                rest = np.flatnonzero(~near)
+                near[rest[self.walk(sequence, starts[own[rest]], t["multipliers"], t["steps"], t["keys"][:, items[own[rest]]])]] = True
+            for s, k in zip(starts[own[near]].tolist(), items[own[near]].tolist(), strict=True):
+                item, doc, most = self.items[k], int(owner[s]), self._most(k)
+                if best.get((doc, k), (1,))[0] == 0:
                     continue
-                lo, hi = np.searchsorted(t["keys"], keys, "left"), np.searchsorted(t["keys"], keys, "right")
-                for s, a, b in zip(left.tolist(), lo, hi, strict=True):
-                    tried.update((s, int(k)) for k in t["items"][a:b])
-            for s, k in sorted(tried):
-                item = self.items[k]
-                most = int(self.edits * len(item))
-                if (d := prefix_distance(item, words[s : s + len(item) + most], most)) is not None:
-                    found = (d[0], s, s + d[1])
-                    best[k] = min(best.get(k, found), found)
-        return [(self.ids[k], s, e, d) for k, (d, s, e) in sorted(best.items())]
+                window = sequence[s : min(s + len(item) + most, int(last[s]))]
+                if (d := prefix_distance(item, window, most)) is not None:
+                    found = (d[0], s - int(begins[doc]), s - int(begins[doc]) + d[1])
+                    best[doc, k] = min(best.get((doc, k), found), found)
+        out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        for (doc, k), (d, s, e) in sorted(best.items()):
+            out[doc].append((self.ids[k], s, e, d))
+        return out
+
+    def matches(self, text: bytes | None) -> list[tuple[int, int, int, int]]:
+        return self.match_many([text])[0]
 
 
 def indexes(items: DataFrame, edits: float = EDITS, bits: int = BITS, recall: float = RECALL, block_items: int = BLOCK_ITEMS):
@@ -183,7 +274,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
         def find(batches, index=index):
             for batch in batches:
-                rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True) for m in index.matches(t)]
+                found = index.match_many(batch.column(1).cast(pa.binary()).to_pylist())
+                rows = [(d, *m) for d, own in zip(batch.column(0).to_pylist(), found, strict=True) for m in own]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["doc_id", "item_id", "first_word", "end_word", "distance"])
 
         part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(find, "doc_id long, item_id long, first_word long, end_word long, distance long")
@@ -198,7 +290,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
         def keep(batches, index=index):
             for batch in batches:
-                yield batch.filter(pa.array([not index.matches(t) for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not m for m in index.match_many(batch.column(at).cast(pa.binary()).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs
