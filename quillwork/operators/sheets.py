@@ -239,3 +239,17 @@ def clean_column_name(name: Column) -> Column:
 
 def preview(cells: DataFrame, sheet: str, most: int = 10) -> DataFrame:
     return cells.where((F.col("sheet") == sheet) & (F.col("row") <= most))
+
+
+def table_profile(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """A row for each column of a wide table: idx, name, type, filled, total, its first five values in `order`, and its part: the
+    first column is a category if over 30 % filled, the second of more than two a subcategory."""
+    cells = F.array(*[F.struct(F.lit(i).cast("long").alias("idx"), F.lit(c).alias("name"), value_of(c).alias("v")) for i, c in enumerate(columns)])
+    own = df.select(F.col(order).alias("pos"), F.explode(cells).alias("x")).select("pos", "x.*")
+    totals = own.groupBy("idx", "name").agg(F.sum((F.col("v") != "").cast("long")).alias("filled"), F.count("*").alias("total"), F.min(F.when(F.col("v") != "", is_numeric(F.col("v")))).alias("num"))
+    # the window keeps five rows of each column: Spark drops the rest before the shuffle
+    first = own.where("v <> ''").withColumn("n", F.row_number().over(Window.partitionBy("idx").orderBy("pos"))).where("n <= 5")
+    samples = first.groupBy("idx").agg(joined(F.struct("pos", F.col("v").alias("value")), ", ").alias("samples"))
+    part = ladder(((F.col("idx") == 0) & (F.col("filled") * 10 > F.col("total") * 3), "category"), ((F.col("idx") == 1) & F.lit(len(columns) > 2), "subcategory"), otherwise="data")
+    d = totals.join(samples, "idx", "left")
+    return d.select("idx", "name", ladder((F.col("filled") == 0, "empty"), (F.col("num"), "numeric"), otherwise="text").alias("type"), "filled", "total", F.coalesce("samples", F.lit("")).alias("samples"), part.alias("part"))

@@ -106,4 +106,6 @@ _w = "WITH w AS (SELECT c_custkey AS n, c_name, CASE WHEN c_custkey % 3 <> 0 THE
 _add("row_listing", lambda s, d: X.row_listing(_wide(s, d), "n", _CUST), f"{_w} SELECT n, concat_ws(chr(10), '- **Row ' || n || '**', '  - **c_name**: ' || c_name, '  - **c_nationkey**: ' || c_nationkey, '  - **c_mktsegment**: ' || trim(c_mktsegment)) AS text FROM w")
 _add("markdown_table", lambda s, d: X.pipe_rows(_wide(s, d).withColumn("n", F.col("n") + 1), "n", _CUST), f"{_w} SELECT n + 2 AS n, '| ' || c_name || ' | ' || coalesce(c_nationkey, '') || ' | ' || coalesce(trim(c_mktsegment), '') || ' |' AS line FROM w UNION ALL SELECT 0, '| c_name | c_nationkey | c_mktsegment |' UNION ALL SELECT 1, '|---|---|---|'")
 _add("clean_table", lambda s, d: P.clean_table(_wide(s, d).select(F.when(F.col("n") % 15 != 0, F.col("c_name")).alias(" c_name "), "c_nationkey", "c_mktsegment")), f"{_w} SELECT CASE WHEN n % 15 <> 0 THEN c_name ELSE '' END AS c_name, coalesce(c_nationkey, '') AS c_nationkey, coalesce(trim(c_mktsegment), '') AS c_mktsegment FROM w WHERE NOT (n % 15 = 0)")
-_add("clean_column_names", lambda s, d: D.read(s, d, "part").select("p_partkey", X.clean_column_name(F.concat(F.translate("p_name", " ", "_"), F.lit("_ID_"), "p_type", F.lit(" Unnamed"))).alias("name")), None)
+_add("clean_column_names", lambda s, d: D.read(s, d, "part").select("p_partkey", X.clean_column_name(F.concat(F.translate("p_name", " ", "_"), F.lit("_ID_"), "p_type", F.lit(" Unnamed"))).alias("name")), "SELECT p_partkey, array_to_string(list_transform(string_split(p_name || ' ID ' || p_type || ' Value', ' '), lambda w: CASE WHEN w = upper(w) AND length(w) <= 4 THEN w ELSE upper(w[1]) || lower(substr(w, 2)) END), ' ') AS name FROM part")
+_add("table_profile", lambda s, d: X.table_profile(_wide(s, d), "n", _CUST), f"""{_w}, l AS (SELECT n, 0::BIGINT AS idx, 'c_name' AS name, c_name AS v FROM w UNION ALL SELECT n, 1, 'c_nationkey', coalesce(c_nationkey, '') FROM w UNION ALL SELECT n, 2, 'c_mktsegment', coalesce(trim(c_mktsegment), '') FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY idx, v <> '' ORDER BY n) AS k FROM l) SELECT idx, name, CASE WHEN idx = 1 THEN 'numeric' ELSE 'text' END AS type, count(*) FILTER (WHERE v <> '') AS filled, count(*) AS total, string_agg(v, ', ' ORDER BY n) FILTER (WHERE v <> '' AND k <= 5) AS samples, ['category', 'subcategory', 'data'][CAST(idx AS INT) + 1] AS part FROM r GROUP BY idx, name""")
