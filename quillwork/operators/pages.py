@@ -130,3 +130,8 @@ def short_number(n: Column) -> Column:
 
 def color_of(recommendation: Column) -> Column:
     return ladder(*[(recommendation == k, v) for k, v in COLORS.items()], otherwise=DEFAULT_COLOR)
+
+
+def text_recommendations(files: DataFrame) -> DataFrame:
+    """Text files need no page analysis: one row each, page 1, NO, at full confidence."""
+    return file_facts(files).where("kind = 'text'").select("path", F.lit(1).cast("long").alias("page_no"), F.lit("NO").alias("recommendation"), F.lit(1.0).alias("confidence"), F.lit("text file").alias("reason"))

@@ -31,6 +31,7 @@ er AS (SELECT doc_id, arg_min(error, i) AS spec_error FROM e WHERE error IS NOT
 _add("page_range_strict", lambda s, d: P.page_selection(p := D.doc_pages(s, d), D.page_specs(D.docs_aug(s, d))), f"""{_specs}
 SELECT doc_id, page_no, NULL::VARCHAR AS spec_error FROM doc_pages dp WHERE EXISTS (SELECT 1 FROM k WHERE k.doc_id = dp.doc_id AND spec = '') OR (doc_id NOT IN (SELECT doc_id FROM er) AND EXISTS (SELECT 1 FROM e WHERE e.doc_id = dp.doc_id AND page_no BETWEEN a AND b))
 UNION ALL SELECT doc_id, NULL, spec_error FROM er""")
+_add("page_range_all", lambda s, d: P.page_selection(D.doc_pages(s, d), D.docs_aug(s, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, " ALL ").when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise("2-999, x").alias("spec")), "clip").drop("spec_error"), f"WITH {PAGES} SELECT doc_id, page_no FROM doc_pages WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR page_no >= 2")
 _add("page_range_clip", lambda s, d: P.page_selection(D.doc_pages(s, d), D.page_specs(D.docs_aug(s, d)), "clip").drop("spec_error"), f"""{_specs}
 SELECT doc_id, page_no FROM doc_pages dp WHERE EXISTS (SELECT 1 FROM k WHERE k.doc_id = dp.doc_id AND spec = '') OR EXISTS (SELECT 1 FROM e WHERE e.doc_id = dp.doc_id AND page_no BETWEEN a AND b)""")
 _t = strip("text")
@@ -51,6 +52,8 @@ _kind = "CASE WHEN suffix IN ('xlsx', 'xls', 'csv') THEN 'sheet' WHEN suffix IN
 _add("supported_files", lambda s, d: P.file_facts(_files(s, d)).drop("text"), f"{_facts} SELECT doc_id, path, suffix, {_kind} AS kind, suffix IN ('pdf', 'md', 'markdown', 'txt', 'xlsx', 'xls', 'csv') AS supported, title FROM g")
 _add("text_source", lambda s, d: P.text_source(_files(s, d)), f"{_facts} SELECT path, CASE WHEN suffix = 'txt' THEN '# ' || title || chr(10) || chr(10) || text ELSE text END AS content FROM g WHERE {_kind} = 'text'")
 
+_add("text_recommendations", lambda s, d: P.text_recommendations(_files(s, d)), f"{_facts} SELECT path, 1::BIGINT AS page_no, 'NO' AS recommendation, 1.0::DOUBLE AS confidence, 'text file' AS reason FROM g WHERE {_kind} = 'text'")
+
 
 def _records(s, d):
     e = D.read(s, d, "events")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sheets as X
+from ..operators import summary as M
 from ..sources import derived as D
 from ..sources import files as S
 from ..streaming import jobs as J
 from .quality_queries import ORACLES as QUALITY
+from .report_queries import ORACLES as REPORTS
 from .sql import DOCS
 
 QUERIES, ORACLES = {}, {}
@@ -52,12 +54,24 @@ def _markdown(s, d):
     return s.read.parquet(path).select("output_name", F.md5("content").alias("digest"))
 
 
+_keywords = REPORTS["keyword_lines"]
 _name = "'plan_notes_' || doc_id || '_' || strftime(TIMESTAMP '2024-06-01 12:00:00' + doc_id * INTERVAL 1 SECOND, '%Y%m%d_%H%M%S') || '.md'"
 
 
 _add("write_markdown", _markdown, f"WITH {DOCS} SELECT {_name} AS output_name, md5(text) AS digest FROM docs_aug")
 
 
+def _reports(s, d):
+    """Summary reports under their own names, written and read back."""
+    path = S.shared_folder(s)
+    stamp = F.timestamp_seconds(F.lit(1717243200) + F.col("doc_id"))
+    S.write_documents(M.keyword_lines(D.docs_aug(s, d)).select(S.output_name(F.concat(F.lit("plan notes/"), F.col("doc_id").cast("string")), stamp, kind="_summary").alias("output_name"), F.col("summary").alias("content")), path)
+    return s.read.parquet(path).select("output_name", F.md5("content").alias("digest"))
+
+
+_add("write_reports", _reports, _keywords.replace("SELECT doc_id, summary, n_found FROM ks", f"SELECT {_name.replace(chr(39) + '_' + chr(39) + ' || strftime', chr(39) + '_summary_' + chr(39) + ' || strftime')} AS output_name, md5(summary) AS digest FROM ks"))
+
+
 def _json(s, d):
     path = S.shared_folder(s)
     S.write_json(_named(s, d).select("doc_id", F.struct("output_name", F.length("content").alias("size")).alias("result")), path)

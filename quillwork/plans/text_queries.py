@@ -86,12 +86,23 @@ _pipe = "[|][^|]+[|]"
 _add("table_format", lambda s, d: P.table_format(_formatted(D.docs_aug(s, d))).select("doc_id", "table_format"), f"WITH {DOCS}, fm AS (SELECT *, {_fmt} FROM docs_aug) SELECT doc_id, CASE WHEN {count('formatted', P.FLATTENED)} > 10 THEN 'flattened' WHEN {count('formatted', _pipe)} > 10 THEN 'pipe' ELSE 'none' END AS table_format FROM fm")
 
 # ---- cleaning
-_gone = "text"
-for _, _p in C.COMMENTARY:
-    _gone = f"regexp_replace({_gone}, {q(_p)}, '', 'g')"
+
+
+def _without(patterns):
+    out = "text"
+    for _, p in patterns:
+        out = f"regexp_replace({out}, {q(p)}, '', 'g')"
+    return out
+
+
+def _finds(patterns):
+    return " || ".join(f"list_transform(regexp_extract_all(text, {q(p)}), lambda m: {q(k + ': ' + chr(39))} || {strip('m')} || '''')" for k, p in patterns)
+
+
 _tidy = lambda x: strip(f"regexp_replace(regexp_replace({x}, {q(chr(92) + 'n' + S + '*' + chr(92) + 'n' + S + '*' + chr(92) + 'n')}, chr(10) || chr(10), 'g'), {q('^' + S + '*' + chr(92) + 'n')}, '')")
-_found = " || ".join(f"list_transform(regexp_extract_all(text, {q(p)}), lambda m: {q(k + ': ' + chr(39))} || {strip('m')} || '''')" for k, p in C.COMMENTARY)
-_add("clean_ai_text", lambda s, d: C.clean_commentary(D.docs_aug(s, d)).select("doc_id", "cleaned", F.array_join("removed", " / ").alias("removed")), f"WITH {DOCS} SELECT doc_id, {_tidy(_gone)} AS cleaned, array_to_string({_found}, ' / ') AS removed FROM docs_aug")
+_found = _finds(C.COMMENTARY)
+for _key, _patterns in (("clean_ai_text", C.COMMENTARY), ("clean_extracted_text", C.EXTRACTION_COMMENTARY)):
+    _add(_key, lambda s, d, p=_patterns: C.clean_commentary(D.docs_aug(s, d), patterns=p).select("doc_id", "cleaned", F.array_join("removed", " / ").alias("removed")), f"WITH {DOCS} SELECT doc_id, {_tidy(_without(_patterns))} AS cleaned, array_to_string({_finds(_patterns)}, ' / ') AS removed FROM docs_aug")
 _x = strip("x")
 _empty = f"{rlike(_x, C.PLACEHOLDER)} AND ({rlike(_x, C.EMPTY_SHAPES[0])} OR {rlike(_x, C.EMPTY_SHAPES[1])})"
 _kept = f"list_filter({lines('text')}, lambda x: NOT ({_empty}))"
