@@ -55,11 +55,11 @@ def test_quality_prior_and_risk():
     rng = np.random.default_rng(0)
     clean = ["The words of a plain text go on and on, line by line, with care." + " more words" * int(k) for k in rng.integers(1, 9, 300)]
     junk = ["!!! ### $$$ %%% &&& " * int(k) for k in rng.integers(1, 9, 100)]
-    p, u = quality.features(clean[:100]), quality.features(clean[100:] + junk)
+    p, u = (quality.features(quality.all_statistics(t)) for t in (clean[:100], clean[100:] + junk))
     m = {"n_p": np.array([100.0]), "sum_p": p.sum(0), "outer_p": (p.T @ p).ravel(), "n_u": np.array([300.0]), "sum_u": u.sum(0), "outer_u": (u.T @ u).ravel()}
     w, prior = quality.fit(m)
     assert abs(prior - 2 / 3) < 0.1
-    assert (quality.score_texts(clean, w) >= 0.5).mean() > 0.98 and (quality.score_texts(junk, w) < 0.5).mean() > 0.98
+    assert (quality.scores(quality.all_statistics(clean), w) >= 0.5).mean() > 0.98 and (quality.scores(quality.all_statistics(junk), w) < 0.5).mean() > 0.98
 
 
 def test_toxicity_held_out(spark):
