@@ -12,8 +12,9 @@ from ..functions.text import S, ladder, strip, text_of, title_case
 DOCUMENT_KINDS = ("pdf", "md", "markdown", "txt", "xlsx", "xls", "csv")
 SHEET_KINDS = ("xlsx", "xls", "csv")
 ROLES = ("label_1", "label_2", "label_3", "label_4", "label_5", "data", "ignore")
-COLORS = {"ACCEPT": "#28a745", "REVIEW": "#ffc107", "REJECT": "#dc3545"}
-DEFAULT_COLOR = "#6c757d"
+#: Status colours.
+COLORS = {"ACCEPT": "#17702E", "REJECT": "#FF453A", "REVIEW": "#BE8200"}
+DEFAULT_COLOR = "#737373"
 
 
 def page_selection(pages: DataFrame, specs: DataFrame, mode: str = "strict") -> DataFrame:
@@ -125,13 +126,14 @@ def score_display(score: Column, most: int = 100) -> Column:
 
 
 def short_number(n: Column) -> Column:
-    return ladder((n >= 1_000_000, F.concat(F.format_number(n / 1_000_000, 1), F.lit("M"))), (n >= 1000, F.concat(F.format_number(n / 1000, 1), F.lit("K"))), otherwise=n.cast("string"))
+    plain = lambda x: F.translate(F.format_number(x, 1), ",", "")
+    return ladder((n >= 1_000_000, F.concat(plain(n / 1_000_000), F.lit("M"))), (n >= 1000, F.concat(plain(n / 1000), F.lit("K"))), otherwise=n.cast("string"))
 
 
 def color_of(recommendation: Column) -> Column:
-    return ladder(*[(recommendation == k, v) for k, v in COLORS.items()], otherwise=DEFAULT_COLOR)
+    return ladder(*[(F.upper(recommendation) == k, v) for k, v in COLORS.items()], otherwise=DEFAULT_COLOR)
 
 
 def text_recommendations(files: DataFrame) -> DataFrame:
     """Text files need no page analysis: one row each, page 1, NO, at full confidence."""
-    return file_facts(files).where("kind = 'text'").select("path", F.lit(1).cast("long").alias("page_no"), F.lit("NO").alias("recommendation"), F.lit(1.0).alias("confidence"), F.lit("text file").alias("reason"))
+    return file_facts(files).where("kind = 'text'").select("path", F.lit(1).cast("long").alias("page_no"), F.lit("NO").alias("recommendation"), F.lit(1.0).alias("confidence"), F.lit("Text-only file").alias("reason"))

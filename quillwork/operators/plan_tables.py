@@ -28,27 +28,34 @@ def plan_rows(parsed: DataFrame) -> DataFrame:
 def duplicate_premiums(parsed: DataFrame) -> DataFrame:
     """doc_id, plan_name, warning for a plan whose sorted premiums equal an earlier plan's."""
     rows = plan_rows(parsed).withColumn("v", F.array_sort(F.filter(F.map_values("premiums"), lambda x: x.isNotNull()))).where("size(v) > 0")
-    n = F.row_number().over(Window.partitionBy("doc_id", "v").orderBy("i"))
-    return rows.withColumn("n", n).where("n > 1").select("doc_id", "plan_name", F.lit("same premiums as an earlier plan").alias("warning"))
+    n, named = F.row_number().over(Window.partitionBy("doc_id", "v").orderBy("i")), F.coalesce("plan_name", F.lit("Unknown"))
+    return rows.withColumn("n", n).where("n > 1").select("doc_id", "plan_name", F.concat(F.lit("DUPLICATE PREMIUMS: "), named, F.lit(" has same premiums as another plan")).alias("warning"))
 
 
 def missing_sections(parsed: DataFrame) -> DataFrame:
-    """doc_id, plan_name, section for each null or empty one of premiums, deductibles and copays; a reply without plans gives one
-    row with neither."""
+    """doc_id, plan_name, section, warning for each null or empty one of premiums, deductibles and copays; a reply without plans
+    gives one row with a warning alone."""
     rows = plan_rows(parsed)
     gone = F.array_compact(F.array(*[F.when(F.col(s).isNull() | (F.size(s) == 0), F.lit(s)) for s in ("premiums", "deductibles", "copays")]))
-    found = rows.select("doc_id", "plan_name", F.explode(gone).alias("section"))
-    none = parsed.where("n_plans = 0").select("doc_id", F.lit(None).cast("string").alias("plan_name"), F.lit("no plans").alias("section"))
+    found = rows.select("doc_id", "plan_name", _title(), F.explode(gone).alias("section"))
+    found = found.select("doc_id", "plan_name", "section", F.concat("title", F.lit(": Missing "), F.expr("substring(section, 1, length(section) - 1)"), F.lit(" data")).alias("warning"))
+    nothing = F.lit(None).cast("string")
+    none = parsed.where("n_plans = 0").select("doc_id", nothing.alias("plan_name"), nothing.alias("section"), F.lit("No plans found in extracted data").alias("warning"))
     return found.unionByName(none)
 
 
+def _title() -> Column:
+    return F.coalesce("plan_name", F.concat(F.lit("Plan "), (F.col("i") + 1).cast("string"))).alias("title")
+
+
 def null_leaves(parsed: DataFrame) -> DataFrame:
-    """doc_id, plan_name, path of every null value, at any depth."""
+    """doc_id, plan_name, path, warning of every null value, at any depth."""
     rows = plan_rows(parsed)
     plain = [F.struct(F.lit(c).alias("path"), F.col(c).isNull().alias("gone")) for c in ("network", "coinsurance")]
     inside = [F.coalesce(_entries(c), F.array().cast("array<struct<path:string,gone:boolean>>")) for c in ("premiums", "deductibles", "copays", "rx_tiers")]
     every = F.concat(F.array(*plain), *inside)
-    return rows.select("doc_id", "plan_name", F.explode(F.filter(every, lambda x: x["gone"])).alias("x")).select("doc_id", "plan_name", "x.path")
+    found = rows.select("doc_id", "plan_name", _title(), F.explode(F.filter(every, lambda x: x["gone"])).alias("x"))
+    return found.select("doc_id", "plan_name", "x.path", F.concat("title", F.lit("."), "x.path", F.lit(": Value is null")).alias("warning"))
 
 
 def _entries(column: str) -> Column:

@@ -147,7 +147,7 @@ def vision_decision(df: DataFrame, text: str = "text", used: Column | int = 0, q
     spent = (used if isinstance(used, Column) else F.lit(used)) >= quota
     over = F.col("total_tenths") > threshold_tenths if strict else F.col("total_tenths") >= threshold_tenths
     clean = F.concat(F.lit("clean_text(score:"), F.format_number("total_score", 2), F.lit(")"))
-    reason = ladder((spent, F.lit(f"vision_limit_reached({quota})")), (over & (F.col("issues") != ""), F.col("issues")), otherwise=clean)
+    reason = ladder((spent, F.lit(f"Vision limit reached ({quota})")), (over & (F.col("issues") != ""), F.col("issues")), otherwise=clean)
     return df.withColumn("use_vision", ~spent & over).withColumn("reason", reason)
 
 

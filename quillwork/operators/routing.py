@@ -117,9 +117,9 @@ def page_heuristic(metrics: DataFrame) -> DataFrame:
     """metrics (text_len, images, drawings, blocks) with recommendation, confidence and heuristic: the first rule that fits."""
     n, images, drawings, blocks = (F.coalesce(F.col(c), F.lit(0)) for c in ("text_len", "images", "drawings", "blocks"))
     dense = (drawings > 100) | (drawings * 100 > F.greatest(n, F.lit(1)) * 20)
-    steps = [((n < 50) & (images == 0), "NO", 95, "nearly blank"), (images > 0, "YES", 90, "images"), (dense, "YES", 85, "drawings"), (n > 500, "NO", 85, "text"), (blocks > 30, "YES", 70, "blocks"), (n > 200, "NO", 75, "some text")]
+    steps = [((n < 50) & (images == 0), "NO", 95, "Nearly blank page"), (images > 0, "YES", 90, "Contains images"), (dense, "YES", 85, "Contains graphics/charts"), (n > 500, "NO", 85, "Text-rich page"), (blocks > 30, "YES", 70, "Complex layout"), (n > 200, "NO", 75, "Standard text page")]
     pick = lambda k, rest: ladder(*[(s[0], s[k]) for s in steps], otherwise=rest)
-    return metrics.withColumn("recommendation", pick(1, "UNCERTAIN")).withColumn("confidence", pick(2, 50) / 100).withColumn("heuristic", pick(3, "unclear"))
+    return metrics.withColumn("recommendation", pick(1, "UNCERTAIN")).withColumn("confidence", pick(2, 50) / 100).withColumn("heuristic", pick(3, "Needs analysis"))
 
 
 def escalate(rated: DataFrame, second: DataFrame) -> DataFrame:

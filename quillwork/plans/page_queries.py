@@ -52,7 +52,7 @@ _kind = "CASE WHEN suffix IN ('xlsx', 'xls', 'csv') THEN 'sheet' WHEN suffix IN
 _add("supported_files", lambda s, d: P.file_facts(_files(s, d)).drop("text"), f"{_facts} SELECT doc_id, path, suffix, {_kind} AS kind, suffix IN ('pdf', 'md', 'markdown', 'txt', 'xlsx', 'xls', 'csv') AS supported, title FROM g")
 _add("text_source", lambda s, d: P.text_source(_files(s, d)), f"{_facts} SELECT path, CASE WHEN suffix = 'txt' THEN '# ' || title || chr(10) || chr(10) || text ELSE text END AS content FROM g WHERE {_kind} = 'text'")
 
-_add("text_recommendations", lambda s, d: P.text_recommendations(_files(s, d)), f"{_facts} SELECT path, 1::BIGINT AS page_no, 'NO' AS recommendation, 1.0::DOUBLE AS confidence, 'text file' AS reason FROM g WHERE {_kind} = 'text'")
+_add("text_recommendations", lambda s, d: P.text_recommendations(_files(s, d)), f"{_facts} SELECT path, 1::BIGINT AS page_no, 'NO' AS recommendation, 1.0::DOUBLE AS confidence, 'Text-only file' AS reason FROM g WHERE {_kind} = 'text'")
 
 
 def _records(s, d):
@@ -116,7 +116,7 @@ _add("page_errors", lambda s, d: R.isolate_errors(p := D.doc_pages(s, d), D.atte
 SELECT doc_id, page_no, ok AS success, CASE WHEN NOT ok THEN '## Page ' || page_no || chr(10) || chr(10) || '[Error: extraction failed]' WHEN {strip("coalesce(c, '')")} = '' THEN '## Page ' || page_no || chr(10) || chr(10) || '[No text extracted]' ELSE c END AS content FROM b""")
 _metrics = "WITH m AS (SELECT page_id, CAST(length(regexp_replace(html, '<[^>]*>', '', 'g')) AS BIGINT) AS text_len, CAST(page_id % 5 = 0 AS BIGINT) AS images, CAST(len(regexp_extract_all(html, '<ul')) AS BIGINT) AS drawings, CAST(len(regexp_extract_all(html, '<p')) + len(regexp_extract_all(html, '<li')) AS BIGINT) AS blocks FROM pages)"
 _heur = case(("text_len < 50 AND images = 0", "{0}"), ("images > 0", "{1}"), ("drawings > 100 OR drawings * 100 > greatest(text_len, 1) * 20", "{2}"), ("text_len > 500", "{3}"), ("blocks > 30", "{4}"), ("text_len > 200", "{5}"), otherwise="{6}")
-_hr, _hc, _hn = (_heur.format(*v) for v in (("'NO'", "'YES'", "'YES'", "'NO'", "'YES'", "'NO'", "'UNCERTAIN'"), ("0.95", "0.9", "0.85", "0.85", "0.7", "0.75", "0.5"), ("'nearly blank'", "'images'", "'drawings'", "'text'", "'blocks'", "'some text'", "'unclear'")))
+_hr, _hc, _hn = (_heur.format(*v) for v in (("'NO'", "'YES'", "'YES'", "'NO'", "'YES'", "'NO'", "'UNCERTAIN'"), ("0.95", "0.9", "0.85", "0.85", "0.7", "0.75", "0.5"), ("'Nearly blank page'", "'Contains images'", "'Contains graphics/charts'", "'Text-rich page'", "'Complex layout'", "'Standard text page'", "'Needs analysis'")))
 _add("page_heuristic", lambda s, d: R.page_heuristic(D.page_metrics(D.read(s, d, "pages"))), f"{_metrics} SELECT *, {_hr} AS recommendation, CAST({_hc} AS DOUBLE) AS confidence, {_hn} AS heuristic FROM m")
 
 

@@ -67,7 +67,7 @@ _part = "'## {0}' || chr(10) || 'Score: ' || format('{{:.1f}}', {1}) || '/100' |
 _add("eval_report", lambda s, d: E.eval_report(_compared(s, d)), f"{_two} SELECT doc_id, {_part.format('Rater A', 'score', 'recommendation', _items.format('missing'))} || chr(10) || chr(10) || CASE WHEN bs IS NOT NULL THEN {_part.format('Rater B', 'bs', 'br', _items.format('bm'))} ELSE '## Rater B' || chr(10) || 'Not available' END || chr(10) || chr(10) || '## Final' || chr(10) || 'Average: ' || format('{{:.1f}}', {_fs}) || '/100' || chr(10) || 'Recommendation: ' || {_final} AS report FROM r")
 _add("parse_report", lambda s, d: E.parse_report(E.eval_report(_compared(s, d))), f"{_two} SELECT doc_id, 'Rater A' AS section, CAST(format('{{:.1f}}', score) AS DOUBLE) AS score, recommendation FROM r UNION ALL SELECT doc_id, 'Rater B', CAST(format('{{:.1f}}', bs) AS DOUBLE), br FROM r UNION ALL SELECT doc_id, 'Final', CAST(format('{{:.1f}}', {_fs}) AS DOUBLE), {_final} FROM r")
 _add("sample_pages", lambda s, d: E.sample_pages(D.doc_pages(s, d)), f"WITH {PAGES} SELECT * FROM doc_pages WHERE page_no <= 5")
-_add("display_values", lambda s, d: _rated(s, d).select("doc_id", PG.score_display(F.col("score")).alias("shown"), PG.short_number(F.col("doc_id") * 12345).alias("short"), PG.color_of(F.col("recommendation")).alias("color")), f"WITH a AS ({_rated_sql(0)}) SELECT doc_id, format('{{:.1f}}', score) || '/100' AS shown, CASE WHEN doc_id * 12345 >= 1000000 THEN format('{{:,.1f}}', doc_id * 12345 / 1000000.0::DOUBLE) || 'M' WHEN doc_id * 12345 >= 1000 THEN format('{{:,.1f}}', doc_id * 12345 / 1000.0::DOUBLE) || 'K' ELSE CAST(doc_id * 12345 AS VARCHAR) END AS short, CASE recommendation WHEN 'ACCEPT' THEN '#28a745' WHEN 'REVIEW' THEN '#ffc107' ELSE '#dc3545' END AS color FROM a")
+_add("display_values", lambda s, d: _rated(s, d).select("doc_id", PG.score_display(F.col("score")).alias("shown"), PG.short_number(F.col("doc_id") * 12345).alias("short"), PG.color_of(F.col("recommendation")).alias("color")), f"WITH a AS ({_rated_sql(0)}) SELECT doc_id, format('{{:.1f}}', score) || '/100' AS shown, CASE WHEN doc_id * 12345 >= 1000000 THEN format('{{:.1f}}', doc_id * 12345 / 1000000.0::DOUBLE) || 'M' WHEN doc_id * 12345 >= 1000 THEN format('{{:.1f}}', doc_id * 12345 / 1000.0::DOUBLE) || 'K' ELSE CAST(doc_id * 12345 AS VARCHAR) END AS short, CASE recommendation WHEN 'ACCEPT' THEN '#17702E' WHEN 'REVIEW' THEN '#BE8200' ELSE '#FF453A' END AS color FROM a")
 
 
 # ---- plan records
@@ -84,9 +84,9 @@ def _plans(s, d):
 _parsed = lambda s, d: L.parse_plans(_plans(s, d))
 _ok = "doc_id % 7 <> 6"
 _add("parse_plans", lambda s, d: _parsed(s, d).select("doc_id", "n_plans", "n_unclear", F.coalesce("error", F.lit("")).alias("error"), F.array_join(F.col("plans.plan_name"), ",").alias("names")), f"SELECT doc_id, CAST(CASE WHEN {_ok} THEN 3 ELSE 0 END AS BIGINT) AS n_plans, CAST(CASE WHEN {_ok} THEN 0 ELSE 1 END AS BIGINT) AS n_unclear, CASE WHEN {_ok} THEN '' ELSE 'unreadable reply' END AS error, CASE WHEN {_ok} THEN 'Gold,Silver,Bronze' ELSE '' END AS names FROM documents")
-_add("duplicate_premiums", lambda s, d: L.duplicate_premiums(_parsed(s, d)), f"SELECT doc_id, 'Bronze' AS plan_name, 'same premiums as an earlier plan' AS warning FROM documents WHERE {_ok} AND doc_id % 2 = 0")
-_add("missing_plan_sections", lambda s, d: L.missing_sections(_parsed(s, d)), f"SELECT doc_id, CASE WHEN {_ok} THEN 'Bronze' END AS plan_name, CASE WHEN {_ok} THEN 'copays' ELSE 'no plans' END AS section FROM documents WHERE NOT ({_ok}) OR doc_id % 3 = 0")
-_add("null_leaves", lambda s, d: L.null_leaves(_parsed(s, d)), f"WITH d AS (SELECT doc_id FROM documents WHERE {_ok}), v(plan_name, path) AS (VALUES ('Gold', 'network'), ('Gold', 'coinsurance'), ('Silver', 'network'), ('Silver', 'coinsurance'), ('Silver', 'premiums.family'), ('Silver', 'copays.pcp')) SELECT doc_id, plan_name, path FROM d, v")
+_add("duplicate_premiums", lambda s, d: L.duplicate_premiums(_parsed(s, d)), f"SELECT doc_id, 'Bronze' AS plan_name, 'DUPLICATE PREMIUMS: Bronze has same premiums as another plan' AS warning FROM documents WHERE {_ok} AND doc_id % 2 = 0")
+_add("missing_plan_sections", lambda s, d: L.missing_sections(_parsed(s, d)), f"SELECT doc_id, CASE WHEN {_ok} THEN 'Bronze' END AS plan_name, CASE WHEN {_ok} THEN 'copays' END AS section, CASE WHEN {_ok} THEN 'Bronze: Missing copay data' ELSE 'No plans found in extracted data' END AS warning FROM documents WHERE NOT ({_ok}) OR doc_id % 3 = 0")
+_add("null_leaves", lambda s, d: L.null_leaves(_parsed(s, d)), f"WITH d AS (SELECT doc_id FROM documents WHERE {_ok}), v(plan_name, path) AS (VALUES ('Gold', 'network'), ('Gold', 'coinsurance'), ('Silver', 'network'), ('Silver', 'coinsurance'), ('Silver', 'premiums.family'), ('Silver', 'copays.pcp')) SELECT doc_id, plan_name, path, plan_name || '.' || path || ': Value is null' AS warning FROM d, v")
 _md = lambda *x: " || chr(10) || ".join(q(v) for v in x)
 _add("plan_markdown", lambda s, d: L.plan_markdown(_parsed(s, d)), f"""WITH d AS (SELECT doc_id FROM documents WHERE {_ok}) SELECT doc_id, 0::BIGINT AS i, {_md('## Gold', '### Premiums', '- Family: $30.50', '- Single: $10.00', '### Deductibles', '- Single: $500.00', '### Copays', '- PCP: $20.00')} AS markdown FROM d
 UNION ALL SELECT doc_id, 1, {_md('## Silver', '### Premiums', '- Single: $7.00', '### Deductibles', '- Single: $500.00')} FROM d
