@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, tree_sum
+from .common import id_remainder, stash, tree_sum
 
 #: Knots of each statistic's hat functions.
 KNOTS = {
@@ -74,10 +74,14 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def features(texts: list[str | None]) -> np.ndarray:
-    """phi of each text: 1 and the hat functions of each statistic but its first. A null text counts as empty."""
-    values = np.array([statistics(t or "") for t in texts]).reshape(len(texts), len(KNOTS))
-    out = [np.ones((len(texts), 1))]
+def all_statistics(texts: list[str | None]) -> np.ndarray:
+    """A row of statistics for each text. A null text counts as empty."""
+    return np.array([statistics(t or "") for t in texts]).reshape(len(texts), len(KNOTS))
+
+
+def features(values: np.ndarray) -> np.ndarray:
+    """phi of each row of statistics: 1 and the hat functions of each statistic but its first."""
+    out = [np.ones((len(values), 1))]
     for column, knots in zip(values.T, KNOTS.values(), strict=True):
         k = np.asarray(knots)
         x = np.clip(column, k[0], k[-1])
@@ -90,11 +94,28 @@ def features(texts: list[str | None]) -> np.ndarray:
     return np.hstack(out)
 
 
+def _rows(stats: pa.Array) -> np.ndarray:
+    return np.asarray(stats.flatten(), dtype=float).reshape(len(stats), len(KNOTS))
+
+
+def text_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out and stats (16 numbers) of every row: all that training and scoring need of a text."""
+
+    def compute(batches):
+        for batch in batches:
+            values = all_statistics(batch.column(2).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, len(KNOTS), dtype=np.int32)), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "held_out", "stats"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), (id_remainder("doc_id", 3) == 1).alias("held_out"), "text")
+    return rows.mapInArrow(compute, "doc_id long, held_out boolean, stats array<double>")
+
+
 def _moments(batches):
-    """One row for each task: counts, sums and second moments of positives and of all rows; columns positive, text."""
+    """One row for each task: counts, sums and second moments of positives and of all rows; columns positive, stats."""
     sums = {k: [np.zeros(1), np.zeros(WIDTH), np.zeros((WIDTH, WIDTH))] for k in "pu"}
     for batch in batches:
-        x = features(batch.column(1).to_pylist())
+        x = features(_rows(batch.column(1)))
         positive = np.array([bool(v) for v in batch.column(0).to_pylist()], dtype=bool)
         for kind, rows in (("p", x[positive]), ("u", x)):
             s = sums[kind]
@@ -151,15 +172,16 @@ def trusted(labels: DataFrame) -> DataFrame:
     return train.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Weights and class prior from all rows of docs (unlabelled) and those that `trusted` names (positives)."""
+def train(stats: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """Weights and class prior from the statistics of all rows (unlabelled) and of those that `trusted` names (positives). The
+    join with labels moves statistics, not texts."""
     good = trusted(labels).select("doc_id", F.lit(True).alias("positive"))
-    rows = docs.select("doc_id", "text").join(good, "doc_id", "left").select("positive", "text")
+    rows = stats.join(good, "doc_id", "left").select("positive", "stats")
     return fit(tree_sum(rows.mapInArrow(_moments, MOMENTS), [c.split()[0] for c in MOMENTS.split(", ")]))
 
 
-def score_texts(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
-    return np.clip((features(texts) @ weights + 1) / 2, 0.0, 1.0).round(9)
+def scores(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return np.clip((features(values) @ weights + 1) / 2, 0.0, 1.0).round(9)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -168,24 +190,24 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts are scored as empty texts; null and repeated doc_ids keep their rows; labels of unknown documents and
     null labels count for nothing; an empty table gives no rows. Further columns are ignored.
     """
-    weights, _ = train(docs, labels)
+    seen = stash(text_statistics(docs))
+    weights, _ = train(seen, labels)
 
     def score(batches):
         for batch in batches:
-            s = score_texts(batch.column(2).to_pylist(), weights)
+            s = scores(_rows(batch.column(2)), weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), (id_remainder("doc_id", 3) == 1).alias("held_out"), "text")
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return seen.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, whole, that score 0.5 or more."""
-    weights, _ = train(docs, labels)
+    weights, _ = train(text_statistics(docs), labels)
     at = docs.columns.index("text")
 
     def keep(batches):
         for batch in batches:
-            yield batch.filter(pa.array(score_texts(batch.column(at).to_pylist(), weights) >= 0.5))
+            yield batch.filter(pa.array(scores(all_statistics(batch.column(at).to_pylist()), weights) >= 0.5))
 
     return docs.mapInArrow(keep, docs.schema)
