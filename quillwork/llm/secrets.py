@@ -20,31 +20,53 @@ SCOPE = 200
 KINDS = ("assign", "access", "hex", "link_id", "link_secret", "link_endpoint")
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
-#: Weak parts by kind; group 1 is the part.
-WEAK = {
-    "link_id": r"(?i:(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})|([A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)",
-    "link_secret": r"(?i:(?:pwd|pass|private_?key|credential|auth))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{6,})|(?<![A-Za-z0-9+/_-])((?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,})",
-    "link_endpoint": r"([A-Za-z][A-Za-z0-9+.-]*://[^\s\"'<>]+)|(?<![0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?)(?![0-9.])|(?i:(?:host|endpoint|server))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]{1,5})?)",
-}
+#: The runs of [0-9a-f]+ that are long enough.
+HEX = r"[0-9a-f]{24,}"
+#: Weak parts: kind, what a text must contain (one of these, or a match) for a part to be there, and the pattern; group 1 is the part.
+WEAK = [
+    ("link_id", (":", "="), r"(?i:(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})"),
+    ("link_id", ("@",), r"([A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"),
+    ("link_secret", (":", "="), r"(?i:(?:pwd|pass|private_?key|credential|auth))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{6,})"),
+    ("link_secret", (), r"([A-Za-z0-9+/_-]{16,})"),
+    ("link_endpoint", ("://",), r"([A-Za-z][A-Za-z0-9+.-]*://[^\s\"'<>]+)"),
+    ("link_endpoint", re.compile(r"[0-9]\.[0-9]"), r"(?<![0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?)(?![0-9.])"),
+    ("link_endpoint", (":", "="), r"(?i:(?:host|endpoint|server))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]{1,5})?)"),
+]
+
+
+def _may_hold(text: str, needed) -> bool:
+    if isinstance(needed, re.Pattern):
+        return needed.search(text) is not None
+    return not needed or any(x in text for x in needed)
+
+
+def _secret_like(word: str) -> bool:
+    """A long run counts as a secret only with letters and digits."""
+    return any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, kind's rank, end, kind) sorted by start and kind: leftmost non-overlapping matches of each kind that are long enough."""
-    out = [(m.start(), 0, m.end()) for m in re.finditer(ASSIGN, text) if len(m[2]) >= 6]
-    out += [(m.start(), 1, m.end()) for m in re.finditer(ACCESS, text) if len(m[0]) >= 20]
-    out += [(m.start(), 2, m.end()) for m in re.finditer(HEX, text) if m.end() - m.start() >= 24]
+    out = []
+    if ":" in text or "=" in text:
+        out += [(m.start(), 0, m.end()) for m in re.finditer(ASSIGN, text) if len(m[2]) >= 6]
+    if "AKIA" in text:
+        out += [(m.start(), 1, m.end()) for m in re.finditer(ACCESS, text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(HEX, text)]
     return sorted(out)
 
 
 def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Weak parts outside base spans, as (start, kind's rank, end), each once."""
     out = set()
-    for rank, kind in enumerate(KINDS[3:], 3):
-        for m in re.finditer(WEAK[kind], text):
-            g = m.lastindex
-            if not any(s < m.end(g) and m.start(g) < e for s, _, e in base):
-                out.add((m.start(g), rank, m.end(g)))
+    for kind, needed, pattern in WEAK:
+        if not _may_hold(text, needed):
+            continue
+        for m in re.finditer(pattern, text):
+            if needed == () and not _secret_like(m[1]):
+                continue
+            if not any(s < m.end(1) and m.start(1) < e for s, _, e in base):
+                out.add((m.start(1), KINDS.index(kind), m.end(1)))
     return sorted(out)
 
 
