@@ -45,10 +45,11 @@ class _Book:
     """The derived workbook with its headers, names and profiles."""
 
     def __init__(self, s, d):
-        self.cells = X.merged_fill(D.cells(s, d), D.merged(s))
-        self.headers = X.header_rows(self.cells)
-        self.names = X.header_names(self.cells, self.headers)
-        self.profiles = X.column_profiles(self.cells, self.headers)
+        # each part is used several times
+        self.cells = X.merged_fill(D.cells(s, d), D.merged(s)).persist()
+        self.headers = X.header_rows(self.cells).persist()
+        self.names = X.header_names(self.cells, self.headers).persist()
+        self.profiles = X.column_profiles(self.cells, self.headers).persist()
 
     def lines(self):
         return X.label_unpivot(self.cells, self.headers, self.names, self.profiles)
