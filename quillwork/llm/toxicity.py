@@ -25,31 +25,36 @@ SAMPLE = 4000
 
 
 class Hasher:
-    """Sorted distinct buckets of a text's terms. A word's buckets are kept, as words recur."""
+    """Sorted distinct buckets of a text's terms, or places among the wanted ones. A word's are kept, as words recur.
+
+    Words are runs of letters, digits and _; n-grams are taken of their UTF-8 bytes.
+    """
 
     def __init__(self, wanted: np.ndarray | None = None):
-        self.seen: dict[str, np.ndarray] = {}
-        self.place = None
-        if wanted is not None:
-            self.place = np.full(BUCKETS, -1, dtype=np.int32)
-            self.place[wanted] = np.arange(len(wanted))
-
-    def word(self, word: str) -> np.ndarray:
-        terms = [word, *(f"{n}|{word[i : i + n]}" for n in GRAMS for i in range(len(word) - n + 1))]
-        out = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in terms], dtype=np.int32)
-        if self.place is not None:
-            out = self.place[out]
-            out = out[out >= 0]
+        self.seen: dict[str, tuple[int, ...]] = {}
+        self.place = None if wanted is None else {int(b): k for k, b in enumerate(wanted)}
+
+    def word(self, word: str) -> tuple[int, ...]:
+        raw = word.encode("utf-8", "surrogatepass")
+        out = [zlib.crc32(raw) % BUCKETS]
+        for n in GRAMS:
+            out += [zlib.crc32(raw[i : i + n], n) % BUCKETS for i in range(len(raw) - n + 1)]
+        found = tuple(out) if self.place is None else tuple(self.place[b] for b in out if b in self.place)
         if len(self.seen) > 200_000:
             self.seen.clear()
         if len(word) <= 64:
-            self.seen[word] = out
-        return out
+            self.seen[word] = found
+        return found
 
     def text(self, text: str | None) -> np.ndarray:
-        words = set(re.findall(r"\w+", (text or "").lower()))
-        found = [f if (f := self.seen.get(w)) is not None else self.word(w) for w in words]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int32)
+        out: set[int] = set()
+        for w in set(re.findall(r"\w+", (text or "").lower())):
+            found = self.seen.get(w)
+            if found is None:
+                found = self.word(w)
+            if found:
+                out.update(found)
+        return np.array(sorted(out), dtype=np.int32)
 
 
 def choose_terms(rows: list[np.ndarray], y: np.ndarray, most: int = TERMS) -> np.ndarray:
