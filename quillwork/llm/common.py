@@ -50,6 +50,13 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def small(batches, rows: int = 512):
+    """Arrow batches cut into smaller ones, so that a worker holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def tree_sum(partials: DataFrame, columns: list[str], fan_in: int = 32) -> dict[str, np.ndarray]:
     """Sums of array<double> columns over all rows (one row per task, say): two levels, at most fan_in rows reach the driver.
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 EDITS = 0.2
 BITS = 2
 RECALL = 0.97
@@ -273,7 +275,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     for index in indexes(items, **options):
 
         def find(batches, index=index):
-            for batch in batches:
+            for batch in small(batches, 2048):
                 found = index.match_many(batch.column(1).cast(pa.binary()).to_pylist())
                 rows = [(d, *m) for d, own in zip(batch.column(0).to_pylist(), found, strict=True) for m in own]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["doc_id", "item_id", "first_word", "end_word", "distance"])
@@ -289,7 +291,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     for index in indexes(items, **options):
 
         def keep(batches, index=index):
-            for batch in batches:
+            for batch in small(batches, 2048):
                 yield batch.filter(pa.array([not m for m in index.match_many(batch.column(at).cast(pa.binary()).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)

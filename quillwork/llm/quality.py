@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, stash, tree_sum
+from .common import id_remainder, small, stash, tree_sum
 
 #: Knots of each statistic's hat functions.
 KNOTS = {
@@ -102,7 +102,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, held_out and stats (16 numbers) of every row: all that training and scoring need of a text."""
 
     def compute(batches):
-        for batch in batches:
+        for batch in small(batches):
             values = all_statistics(batch.column(2).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, len(KNOTS), dtype=np.int32)), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "held_out", "stats"])
@@ -207,7 +207,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def keep(batches):
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(scores(all_statistics(batch.column(at).to_pylist()), weights) >= 0.5))
 
     return docs.mapInArrow(keep, docs.schema)

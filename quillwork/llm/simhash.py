@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, words_of
+from .common import small, stash, words_of
 from .components import components, forest_links
 
 RADIUS = 3
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a long) of every row; null and empty texts have fingerprint 0."""
 
     def compute(batches):
-        for batch in batches:
+        for batch in small(batches):
             found = np.array([fingerprint(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
@@ -258,7 +258,7 @@ def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = SIMI
     null doc_id stay. Similarity is estimated from 1024 bits (deviation 0.03)."""
 
     def compute(batches):
-        for batch in batches:
+        for batch in small(batches):
             found = [sketch(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([b.tobytes() for _, b in found], pa.binary())], ["doc_id", "size", "bits"])
 
