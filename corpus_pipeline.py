@@ -29,8 +29,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard."""
-    return sharding.assign_shards(docs, sharding.equal_shards(24))
+    """All documents with their shard and mix_position: reading shards in its order keeps the target shares, however files are cut."""
+    return sharding.assign_shards(mixing.mix(docs).select(*docs.columns, "mix_position"), sharding.equal_shards(24))
 
 
 STAGES = [("quality", good_quality), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks), ("mixing", mixed_sources), ("sharding", shards)]

@@ -1,5 +1,7 @@
 """Each stage of the pipeline on its own input, against brute force."""
 
+from collections import Counter
+
 import corpus_pipeline as P
 from quillwork.llm import decontam, mixing
 from quillwork.llm.common import table
@@ -61,6 +63,23 @@ def test_run(spark):
     assert rows and "shard" in rows[0].asDict() and P.ORACLE_SQL is None
 
 
+def test_mix_survives_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "STAGES", P.STAGES[-2:])
+    P.run(spark, "/root/testdata/sf0.1").repartition(7).write.parquet(f"{tmp_path}/out")
+    rows = sorted(spark.read.parquet(f"{tmp_path}/out").select("source", "shard", "mix_position").collect(), key=lambda r: r.mix_position)
+    assert [r.mix_position for r in rows] == list(range(len(rows))) and {r.shard for r in rows} == set(range(24))
+    stream = [r.source if r.source in mixing.SHARES else mixing.OTHER for r in rows]
+    total, taken = Counter(stream), Counter()
+    weight = sum(mixing.SHARES[s] for s in total)
+    for n, s in enumerate(stream, 1):
+        taken[s] += 1
+        if taken[s] == total[s]:
+            break
+        if n % mixing.BLOCK_ROWS == 0:
+            assert all(abs(taken[x] - n * mixing.SHARES[x] / weight) < mixing.BLOCK_ROWS for x in total)
+    assert n > 20 * mixing.BLOCK_ROWS
+
+
 def test_stages_take_awkward_rows(spark):
     d = docs(spark, [(1, "one two three four five six seven"), (2, None), (3, ""), (None, "no id"), (1, "one two three four five six seven")])
     for _, stage in P.STAGES:
