@@ -8,7 +8,9 @@ higher order: a constant factor, not one that grows with the data.
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import product
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -64,10 +66,12 @@ def _ahead(radius: int) -> list[tuple[int, ...]]:
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, radius: int):
-    """Row and column numbers of pairs within the radius, block by block."""
-    for at in range(0, len(a), 256):
-        for off in range(0, len(b), 8192):
-            close = np.bitwise_count(a[at : at + 256, None] ^ b[None, off : off + 8192]) <= radius
+    """Row and column numbers of pairs within the radius, block by block; rows are a word or, in two dimensions, a few."""
+    a, b = (np.ascontiguousarray(np.atleast_2d(x.T)) for x in (a, b))
+    for at in range(0, a.shape[1], 256):
+        for off in range(0, b.shape[1], 8192):
+            bits = (np.bitwise_count(x[at : at + 256, None] ^ y[None, off : off + 8192]) for x, y in zip(a, b, strict=True))
+            close = sum(bits, start=next(bits)) <= radius
             i, j = np.nonzero(close)
             if len(i):
                 yield i + at, j + off
@@ -164,24 +168,31 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     return named.unionByName(docs.where("doc_id is null"))
 
 
-# ---- near-duplicates by shingle similarity: a wide fingerprint of distinct shingles, tiles by their number
+# ---- near-duplicates by shingle similarity: a wide fingerprint of distinct shingles finds candidates, exact counts decide
 
 WIDE_WORDS = 16
+FIRST_WORDS = 2
 SIMILARITY = 0.8
+#: Most chance of missing a pair at the similarity, each for the first 128 bits and for all.
+MISS = 1e-6
 CUTS = 3
 CUT_ROWS = 1 << 17
 
 
-def sketch(text: bytes | None, shingle: int) -> tuple[int, np.ndarray]:
-    """The number of distinct word shingles of a whole text, and a SimHash of 1024 bits of them; without words 0 and zeros.
-
-    One 64-bit hash a shingle is expanded by 16 odd multipliers.
-    """
+def gram_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """The hashes of the distinct word shingles of a whole text, sorted."""
     words = words_of(text or b"")
-    if not words:
-        return 0, np.zeros(WIDE_WORDS, dtype="<u8")
-    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), dtype=np.uint64, count=len(grams))
+    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), dtype=np.uint64, count=len(grams)))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """Equal for equal sets: a signed 64-bit hash."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A SimHash of 1024 bits of a set of hashes, each expanded by 16 odd multipliers; of none zeros."""
     rng = np.random.default_rng(SEED)
     odd = rng.integers(1, 2**63, (2, WIDE_WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     ones = np.zeros(64 * WIDE_WORDS, dtype=np.int64)
@@ -190,82 +201,182 @@ def sketch(text: bytes | None, shingle: int) -> tuple[int, np.ndarray]:
         x = (x ^ (x >> np.uint64(29))) * odd[1]
         x ^= x >> np.uint64(32)
         ones += np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return len(grams), np.packbits(2 * ones > len(grams), bitorder="little").view("<u8")
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
 
+def _binomial(n: int, p: float = 0.5) -> np.ndarray:
+    return np.array([comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
 
-def radii(similarity: float) -> tuple[int, int]:
-    """Most differing bits of the first 64 and of all bits of texts that similar: expectation plus 2.7 and 1.5 deviations.
 
-    Equal-sized sets with Jaccard similarity j have cosine 2j / (1 + j); each bit differs with the angle's share of pi.
+def disagreement(common: int, a: int, b: int) -> float:
+    """The chance that a SimHash bit differs between sets with so many common and own elements; ties are zeros."""
+    k = np.arange(common + 1)
+    above = lambda own: np.r_[np.cumsum(_binomial(own)[::-1])[::-1], 0][np.clip((common + own) // 2 + 1 - k, 0, own + 1)]
+    x, y = above(a), above(b)
+    return float((_binomial(common) * (x * (1 - y) + y * (1 - x))).sum())
+
+
+@cache
+def radii(similarity: float, size: int) -> tuple[int, ...]:
+    """Differing bits of the first 128 and of all that sets of that size or more, and that similar, exceed by a chance of MISS.
+
+    Sets with Jaccard similarity j differ in a bit by the angle's share of pi, most at equal sizes (cosine 2j / (1 + j)). That
+    holds for large sets; unions up to 128 are counted out, and beyond them no rounding adds 2 %.
     """
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return tuple(int(p * n + z * np.sqrt(n * p * (1 - p))) for n, z in ((64, 2.7), (64 * WIDE_WORDS, 1.5)))
+    worst = 1.02 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    for union in range(size + 1, 129):
+        common = int(np.ceil(similarity * union - 1e-9))
+        worst = max([worst, *(disagreement(common, x, union - common - x) for x in range((union - common) // 2 + 1))])
+    return tuple(int(np.argmax(np.cumsum(_binomial(n, worst)[::-1])[::-1] < MISS)) for n in (64 * FIRST_WORDS, 64 * WIDE_WORDS))
+
+
+def _least_size(similarity: float) -> int:
+    """Smaller sets are that similar only if equal: one more element on one side is too much."""
+    return int(np.ceil(similarity / (1 - similarity) - 1e-9))
+
+
+def _tile_radii(similarity: float, tile: int) -> tuple[int, ...]:
+    return radii(similarity, min(128, max(_least_size(similarity), int(np.ceil(similarity**-tile - 1e-6)))))
 
 
-def _similar(first: int, whole: int):
-    """Compares one cell: side 0 and side 1 (or side 0 with itself); tree links only."""
+def _nearest(n: int, links: np.ndarray) -> np.ndarray:
+    """Of links (i, j, distance) among n rows a tree each component, nearest links first."""
+    root = list(range(n))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    keep = []
+    order = np.argsort(links[:, 2], kind="stable")
+    for at, i, j in zip(order.tolist(), *links[order, :2].T.tolist(), strict=True):
+        i, j = find(i), find(j)
+        if i != j:
+            root[i] = j
+            keep.append(at)
+    return links[keep]
+
+
+def _candidates(similarity: float, across: bool):
+    """Compares one cell: side 0 and side 1 (or side 0 with itself). Tree links only, or, across, all pairs of different groups."""
 
     def compare(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         order = np.argsort(side, kind="stable")
-        ids = table.column("id").to_numpy()[order]
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype="<u8").reshape(len(ids), WIDE_WORDS)[order]
+        keys, group = table.column("key").to_numpy()[order], table.column("grp").to_numpy()[order]
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype="<u8").reshape(len(keys), WIDE_WORDS)[order]
+        first, whole = _tile_radii(similarity, table.column("tile")[0].as_py())
         n = int((side == 0).sum())
         same = table.column("way")[0].as_py() == 0 and table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        if not same and n in (0, len(ids)):
+        if not same and n in (0, len(keys)):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        a, b = (bits, bits) if same else (bits[:n], bits[n:])
         shift = 0 if same else n
-        found = [(np.zeros(0, dtype=int), np.zeros(0, dtype=int))]
-        for i, j in _pairs(np.ascontiguousarray(a[:, 0]), np.ascontiguousarray(b[:, 0]), first):
-            keep = i < j if same else np.ones(len(i), dtype=bool)
-            i, j = i[keep], j[keep]
+        a, b = (bits, bits) if same else (bits[:n], bits[n:])
+        found = [np.zeros((0, 3), dtype=np.int64)]
+        for i, j in _pairs(a[:, :FIRST_WORDS], b[:, :FIRST_WORDS], first):
             for at in range(0, len(i), 1 << 16):
                 p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                close = np.bitwise_count(a[p] ^ b[q]).sum(axis=1) <= whole
-                if close.any():
-                    links = np.array(forest_links(len(ids), p[close], q[close] + shift), dtype=np.int64).reshape(-1, 2)
-                    found.append((links[:, 0], links[:, 1]))
-        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table({"a": ids[i], "b": ids[j]})
+                if same:
+                    p, q = p[p < q], q[p < q]
+                if across:
+                    apart = group[p] != group[q + shift]
+                    p, q = p[apart], q[apart]
+                far = np.bitwise_count(a[p] ^ b[q]).sum(axis=1, dtype=np.int64)
+                close = far <= whole
+                p, q, far = p[close], q[close], far[close]
+                if len(p):
+                    found.append(np.stack([p, q + shift, far], axis=1))
+            if not across and sum(map(len, found)) > (1 << 16) + len(keys):
+                found = [_nearest(len(keys), np.concatenate(found))]
+        links = np.concatenate(found)
+        links = links if across else _nearest(len(keys), links)
+        return pa.table({"a": keys[links[:, 0]], "b": keys[links[:, 1]]})
 
     return compare
 
 
-def similar_links(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: links between classes (id, size, bits) whose texts are about that similar or more.
+def candidate_links(classes: DataFrame, similarity: float = SIMILARITY, across: bool = False) -> DataFrame:
+    """a, b: pairs of classes (key, size, bits, grp) that may be that similar, with a chance of about MISS of missing one that is:
+    of each cell the nearest that join its components, or, across, all those in different groups.
 
     Sets that similar differ in size by the same factor at most, so classes are tiled by the logarithm of their size and compared
     within a tile and with the next. Tiles are cut by a hash into parts, and each pair of parts is one task.
     """
     step = -np.log(similarity)
-    tiled = classes.where("size > 0").withColumn("tile", F.floor(F.log("size") / step + 1e-9).cast("long"))
+    tiled = classes.where(F.col("size") >= _least_size(similarity)).withColumn("tile", F.floor(F.log("size") / step + 1e-9).cast("long"))
     most = tiled.groupBy("tile").count().agg(F.max("count")).first()[0] or 0
     cuts = max(CUTS, -(-most // CUT_ROWS))
-    part = tiled.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(cuts)))
+    part = tiled.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(cuts)))
     others = F.sequence(F.lit(0), F.lit(cuts - 1))
+    rest = ["key", "grp", "bits"]
     # within a tile a part meets itself and each later part; with the next tile every part meets every part
-    own = part.withColumn("o", F.explode(others)).select("tile", F.lit(0).alias("way"), F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), (F.col("part") > F.col("o")).cast("int").alias("side"), "id", "bits")
-    low = part.withColumn("o", F.explode(others)).select("tile", F.lit(1).alias("way"), F.col("part").alias("i"), F.col("o").cast("long").alias("j"), F.lit(0).alias("side"), "id", "bits")
-    high = part.withColumn("o", F.explode(others)).select((F.col("tile") - 1).alias("tile"), F.lit(1).alias("way"), F.col("o").cast("long").alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), "id", "bits")
+    own = part.withColumn("o", F.explode(others)).select("tile", F.lit(0).alias("way"), F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), (F.col("part") > F.col("o")).cast("int").alias("side"), *rest)
+    low = part.withColumn("o", F.explode(others)).select("tile", F.lit(1).alias("way"), F.col("part").alias("i"), F.col("o").cast("long").alias("j"), F.lit(0).alias("side"), *rest)
+    high = part.withColumn("o", F.explode(others)).select((F.col("tile") - 1).alias("tile"), F.lit(1).alias("way"), F.col("o").cast("long").alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), *rest)
     cells = own.unionByName(low).unionByName(high)
-    return cells.groupBy("tile", "way", "i", "j").applyInArrow(_similar(*radii(similarity)), "a long, b long")
+    return cells.groupBy("tile", "way", "i", "j").applyInArrow(_candidates(similarity, across), "a long, b long")
+
+
+def verified(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The links (a, b) whose sets (key, hashes) have at least that Jaccard similarity."""
+
+    def count(batches):
+        for batch in small(batches):
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+                both = np.sort(np.concatenate([a, b]), kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(common >= similarity * (len(both) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
+
+    one, other = (sets.select(F.col("key").alias(k), F.col("hashes").alias(f"set_{k}")) for k in "ab")
+    pairs = links.join(one, "a").join(other, "b").select("a", "b", "set_a", "set_b")
+    return pairs.mapInArrow(count, "a long, b long")
 
 
 def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, whole, less near-duplicates by word shingles: of each group linked by similar texts the document with
-    the smallest doc_id stays, and of rows that repeat a doc_id one. Texts without words are copies of each other. Rows with a
-    null doc_id stay. Similarity is estimated from 1024 bits (deviation 0.03)."""
+    """The rows of docs, whole, less near-duplicates by word shingles: of each group linked by texts of at least that Jaccard
+    similarity the document with the smallest doc_id stays, and of rows that repeat a doc_id one. Texts without words are copies
+    of each other. Rows with a null doc_id stay.
+
+    1024 bits name candidates and exact counts of shingle hashes decide: first over the nearest candidates that join each cell's
+    components, then over every candidate whose ends the exact links have not joined yet. So links between all exact pairs are
+    kept up to components, and a large group of copies costs about its rows, not its pairs.
+    """
 
     def compute(batches):
         for batch in small(batches):
-            found = [sketch(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([b.tobytes() for _, b in found], pa.binary())], ["doc_id", "size", "bits"])
+            found = [gram_hashes(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(h) for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array([sketch(h).tobytes() for h in found], pa.binary())], ["doc_id", "key", "size", "bits"])
+
+    def sets_of(batches):
+        for batch in small(batches):
+            found = [gram_hashes(t, shingle) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["key", "hashes"])
 
     named = docs.where("doc_id is not null")
-    seen = named.select(F.col("doc_id").cast("long"), "text").mapInArrow(compute, "doc_id long, size long, bits binary")
-    classes = stash(seen.groupBy("size", "bits").agg(F.min("doc_id").alias("id")))
-    found = components(similar_links(classes, similarity))
+    seen = named.select(F.col("doc_id").cast("long"), "text").mapInArrow(compute, "doc_id long, key long, size long, bits binary")
+    classes = stash(seen.groupBy("key", "size", "bits").agg(F.min("doc_id").alias("id")))
+    ids = classes.select("key", "id")
+
+    def by_id(links):
+        a, b = (ids.select(F.col("key").alias(k), F.col("id").alias(f"id_{k}")) for k in "ab")
+        return stash(links.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+
+    # every class with a candidate is in a tree of the nearest, so their sets serve both rounds
+    nearest = stash(candidate_links(classes.withColumn("grp", F.col("id")), similarity).distinct())
+    ends = nearest.select(F.col("a").alias("key")).union(nearest.select("b")).distinct()
+    texts = named.join(ids.join(ends, "key", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    # a repeated doc_id has several texts
+    sets = stash(texts.mapInArrow(sets_of, "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")))
+    links = by_id(verified(nearest, sets, similarity))
+    groups = components(links).select(F.col("node").alias("id"), "component")
+    grouped = classes.join(groups, "id", "left").select("key", "size", "bits", F.coalesce("component", "id").alias("grp"))
+    further = candidate_links(grouped.join(ends, "key", "left_semi"), similarity, across=True).join(nearest, ["a", "b"], "left_anti").distinct()
+    found = components(links.unionByName(by_id(verified(further, sets, similarity))))
     first = classes.select("id").join(found.where("node <> component").select(F.col("node").alias("id")), "id", "left_anti").select(F.col("id").alias("doc_id")).distinct()
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
     kept = named.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)

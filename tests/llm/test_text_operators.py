@@ -268,3 +268,28 @@ def test_queries_run_on_the_tables(spark):
 
     for name in ("op2_multipart_secrets", "op4_elias_fano_lm", "op6_simhash_tiles", "op7_cgk_decontamination"):
         assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_similar_texts_are_decided_exactly(spark):
+    # texts without repeated words: n words have n - 4 shingles, and a text cut at its end shares the rest
+    rng, rows, drop, keep = random.Random(5), [], set(), set()
+
+    def add(size, less, gone):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(size + 4)]
+        k = len(rows)
+        rows.extend([(k, " ".join(words)), (k + 1, " ".join(words[: len(words) - less]))])
+        (drop if gone else keep).add(k + 1)
+
+    for size in (5, 10, 15, 25, 35, 75, 400):
+        for _ in range(40):
+            add(size, size // 5, True)  # Jaccard 0.8
+            add(size, size // 5 + 1, False)  # just below
+    got = {r.doc_id for r in simhash.keep_one_similar(docs(spark, rows)).collect()}
+    assert not drop & got and keep <= got and {r[0] for r in rows if r[0] % 2 == 0} <= got
+
+
+def test_chance_of_differing_bits():
+    assert simhash.disagreement(4, 1, 0) == 0.1875 and simhash.disagreement(5, 0, 0) == 0
+    rng = np.random.default_rng(3)
+    a, b, c = (rng.integers(0, 2, (n, 200000)).sum(axis=0) for n in (2, 4, 20))
+    assert abs(((2 * (c + a) > 22) != (2 * (c + b) > 24)).mean() - simhash.disagreement(20, 2, 4)) < 0.005
