@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -13,7 +14,9 @@ from .common import cut, lower_ascii
 #: (verdict, host, path): a rule fits its host and all subdomains if the url's path starts with its path; the longest wins.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 RESTART = 0.15
-ROUNDS = 8
+#: Rounds end when the ranks change by less than this share of all mass; the restart bounds their number.
+TOLERANCE = 1e-6
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(1 - RESTART))
 THRESHOLD = 1.0
 
 
@@ -41,22 +44,24 @@ def with_rule(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst, weight: absolute links in the html between different hosts, plus a link each way between a host and its parent
-    domain of at least two labels. Counts are pre-aggregated, so a hot host costs its number of distinct neighbours."""
+    domain, that and its parent, and so on down to two labels. Counts are pre-aggregated, so a hot host costs its number of distinct neighbours."""
     links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)(?:href|src)\s*=\s*[\"']?https?://([^/?#\"'\s>]+)"), F.lit(1))
     found = pages.where(F.col("host") != "").select(F.col("host").alias("src"), F.explode(links).alias("dst")).withColumn("dst", lower_ascii(F.col("dst")))
     found = found.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
-    hosts = pages.where(F.col("host") != "").select("host").distinct()
-    parent = hosts.select("host", F.expr("substring(host, locate('.', host) + 1)").alias("parent")).where(F.col("parent").contains(".") & (F.col("parent") != F.col("host")))
+    labels = pages.where(F.col("host") != "").select("host").distinct().select(F.split("host", r"\.").alias("labels"))
+    chain = labels.select(F.explode(F.expr("transform(sequence(1, size(labels)), k -> array_join(slice(labels, k, size(labels) - k + 1), '.'))")).alias("host")).distinct()
+    parent = chain.select("host", F.expr("substring(host, locate('.', host) + 1)").alias("parent")).where(F.col("parent").contains(".") & (F.col("parent") != F.col("host")))
     up = parent.select(F.col("host").alias("src"), F.col("parent").alias("dst"), F.lit(1.0).alias("weight"))
     down = parent.select(F.col("parent").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("weight"))
     both = reduce(DataFrame.unionByName, [found, up, down]).where("src != dst")
     return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, restart: float = RESTART, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, restart: float = RESTART, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust from seeds (host, trusted, blocked: shares of its pages) by personalised PageRank.
 
-    Trust starts at trusted seeds and follows links; distrust starts at blocked seeds and follows links backwards, to those who
+    Rounds end when the ranks of each kind change by at most `tolerance` of its mass, or after `rounds`, when no more than that
+    can be in transit. Trust starts at trusted seeds and follows links; distrust starts at blocked seeds and follows links backwards, to those who
     link there. Both are relative to the mean over hosts. What reaches a host without further links stays there unspread. Each
     round is one join and one pre-aggregated sum over host edges, written to the checkpoint folder.
     """
@@ -68,9 +73,15 @@ def propagate(seeds: DataFrame, edges: DataFrame, restart: float = RESTART, roun
     start = cut(seeds.selectExpr(f"stack(2, 0, trusted * {n} / {t!r}, 1, blocked * {n} / {b!r}) as (way, r)", "host").select("host", "way", F.col("r").cast("double").alias("r")).where("r > 0"))
     base = start.select("host", "way", (F.col("r") * restart).alias("r"))
     rank = start
-    for _ in range(rounds):
+    for done in range(1, rounds + 1):
         moved = rank.join(step, ["host", "way"]).select(F.col("to").alias("host"), "way", (F.col("r") * F.col("p") * (1 - restart)).alias("r"))
-        rank = cut(base.unionByName(moved).groupBy("host", "way").agg(F.sum("r").alias("r")))
+        both = base.unionByName(moved).withColumn("was", F.lit(0.0)).unionByName(rank.select("host", "way", F.lit(0.0).alias("r"), F.col("r").alias("was")))
+        rank = cut(both.groupBy("host", "way").agg(F.sum("r").alias("r"), F.sum("was").alias("was")))
+        # a look at the change is a job of its own
+        if done % 4 == 0:
+            changes = rank.groupBy("way").agg(F.sum(F.abs(F.col("r") - F.col("was")))).collect()
+            if all(change <= tolerance * n for _, change in changes):
+                break
     return rank.groupBy("host").agg(F.sum(F.when(F.col("way") == 0, F.col("r")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("way") == 1, F.col("r")).otherwise(0.0)).alias("distrust"))
 
 

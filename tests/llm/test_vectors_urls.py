@@ -108,6 +108,26 @@ def test_distrust_reaches_those_who_link_to_blocked_hosts(spark):
     assert got[21].trust > 0 and got[10].distrust > 0 and got[22].trust == got[22].distrust == 0
 
 
+def test_propagation_reaches_far_hosts_and_settles(spark):
+    hosts = [f"h{i}" for i in range(14)]
+    edges = [(a, b, 1.0) for x, y in zip(hosts, hosts[1:], strict=False) for a, b in ((x, y), (y, x))]
+    seeds = spark.createDataFrame([(h, float(h == "h0"), 0.0) for h in hosts], "host string, trusted double, blocked double")
+    got = {r.host: r.trust for r in linkgraph.propagate(seeds, spark.createDataFrame(edges, "src string, dst string, weight double")).collect()}
+    m = np.zeros((14, 14))
+    for a, b, _ in edges:
+        m[int(b[1:]), int(a[1:])] = 1.0
+    m /= m.sum(axis=0)
+    settled = np.linalg.solve(np.eye(14) - (1 - linkgraph.RESTART) * m, linkgraph.RESTART * 14 * np.eye(14)[0])
+    assert got["h13"] > 0 and np.allclose([got[h] for h in hosts], settled, atol=1e-4)
+
+
+def test_host_edges_reach_all_ancestors(spark):
+    pages = spark.createDataFrame([("blog.x.example.net", ""), ("y.example.net", "")], "host string, html string")
+    got = {(r.src, r.dst) for r in linkgraph.host_edges(pages).collect()}
+    up = {("blog.x.example.net", "x.example.net"), ("x.example.net", "example.net"), ("y.example.net", "example.net")}
+    assert got == up | {(b, a) for a, b in up}
+
+
 def test_propagation_equals_a_dense_iteration(spark):
     rng = random.Random(1)
     hosts = [f"h{i}" for i in range(8)]
