@@ -91,8 +91,9 @@ class Index:
         for number, group in enumerate(groups):
             short = len(self.items[group[0]])
             needed = short - int(edits * short)
-            # steps whose place in the text is before the end of every item of the class
-            c = {"items": group, "steps": max(bits, 2 * needed - 2), "tables": []}
+            # steps whose place in the text is, as a rule, before the end of every item of the class; where no edit is allowed a
+            # copy has to get the item's key for sure, and a walk of fewer steps than words cannot pass the end
+            c = {"items": group, "steps": max(bits, 2 * needed - 2) if needed < short else short, "tables": []}
             share = self._share(c, random.Random(seed + number))
             for _ in range(max(1, math.ceil(math.log(1 - recall) / math.log(1 - share)) if share < 1 else 1)):
                 c["tables"].append(self._table(c))

@@ -293,3 +293,12 @@ def test_chance_of_differing_bits():
     rng = np.random.default_rng(3)
     a, b, c = (rng.integers(0, 2, (n, 200000)).sum(axis=0) for n in (2, 4, 20))
     assert abs(((2 * (c + a) > 22) != (2 * (c + b) > 24)).mean() - simhash.disagreement(20, 2, 4)) < 0.005
+
+
+def test_short_items_are_found_in_longer_texts(spark):
+    rng = random.Random(8)
+    items = [" ".join(f"q{k}x{j}" for j in range(1 + k % 4)) for k in range(80)]
+    rows = [(k, " ".join([*(f"t{rng.randrange(99)}" for _ in range(7)), item, *(f"t{rng.randrange(99)}" for _ in range(7))])) for k, item in enumerate(items)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert decontam.drop_leaks(docs(spark, [*rows, (99, "t1 t2 t3 t4")]), benchmark).collect()[0].doc_id == 99
+    assert decontam.drop_leaks(docs(spark, rows), benchmark).count() == 0
