@@ -25,12 +25,12 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order that interleaves sources by their target shares."""
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, own_streams=mixing.OWN_STREAMS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their shard and mix_position: reading shards in its order keeps the target shares, however files are cut."""
-    return sharding.assign_shards(mixing.mix(docs).select(*docs.columns, "mix_position"), sharding.equal_shards(24))
+    return sharding.assign_shards(mixing.mix(docs, own_streams=mixing.OWN_STREAMS).select(*docs.columns, "mix_position"), sharding.equal_shards(24))
 
 
 STAGES = [("quality", good_quality), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks), ("mixing", mixed_sources), ("sharding", shards)]

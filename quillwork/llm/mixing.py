@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 OTHER = "(other)"
 BLOCK_ROWS = 64
 SLICES = 1024
-#: Target shares of the pipeline and of op10; any source not named here is pooled as OTHER.
+#: Sources without a share that op10 and the pipeline give a stream of their own, largest first; the rest is pooled as OTHER.
+OWN_STREAMS = 100
+#: Target shares of the pipeline and of op10; a source not named here has the share of OTHER.
 SHARES = {"src0": 8, **{f"src{i}": 4 for i in range(1, 10)}, **{f"src{i}": 2 for i in range(10, 20)}, OTHER: 1}
 
 
@@ -45,11 +47,11 @@ def phases(blocks: Mapping[str, int], shares: Mapping[str, int]) -> list[dict]:
     return out
 
 
-def mix(docs: DataFrame, shares: Mapping[str, int] = SHARES, block_rows: int = BLOCK_ROWS, key: str = "doc_id", source: str = "source", slices: int = SLICES) -> DataFrame:
+def mix(docs: DataFrame, shares: Mapping[str, int] = SHARES, block_rows: int = BLOCK_ROWS, key: str = "doc_id", source: str = "source", slices: int = SLICES, own_streams: int = 0) -> DataFrame:
     """Every row of docs with mix_source, mix_block, mix_slot, mix_release, mix_deadline and mix_position (gapless from 0).
 
     No row is dropped, repeated or sampled. Null sources and sources without a share are pooled as OTHER, whose share is that of
-    `shares[OTHER]` or else the least. Inside a source rows come in a hash order of the key; rows with equal keys stay next to
+    `shares[OTHER]` or else the least; but the `own_streams` largest sources without a share are streams of that share each. Inside a source rows come in a hash order of the key; rows with equal keys stay next to
     each other. A source's last block may be short. An empty table gives an empty result; other columns pass through.
 
     Rows are numbered in `slices` hash slices a source, so that no task holds a whole source. Sizes of slices and the phase and
@@ -58,6 +60,9 @@ def mix(docs: DataFrame, shares: Mapping[str, int] = SHARES, block_rows: int = B
     spark = docs.sparkSession
     shares = dict(shares)
     shares.setdefault(OTHER, min(shares.values()))
+    if own_streams:
+        loose = docs.where(F.col(source).isNotNull() & ~F.col(source).isin(list(shares))).groupBy(source).count()
+        shares |= {r[0]: shares[OTHER] for r in loose.orderBy(F.desc("count"), source).limit(own_streams).collect()}
     named = F.col(source).isin([s for s in shares if s != OTHER])
     rows = docs.withColumn("mix_source", F.when(named, F.col(source)).otherwise(F.lit(OTHER))).withColumn("_slice", F.pmod(F.xxhash64(F.col(key)), F.lit(slices)))
     sizes = rows.groupBy("mix_source", "_slice").count()

@@ -43,7 +43,7 @@ def op9_factorization_toxicity(spark, sf_dir):
 
 
 def op10_pfair_mixing(spark, sf_dir):
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), own_streams=mixing.OWN_STREAMS)
     return mixed.select("doc_id", "source", "mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position")
 
 

@@ -79,6 +79,16 @@ def test_mix_equals_schedule(spark):
     assert all(n == 8 or b == last[s] for (s, b), n in per.items())
 
 
+def test_unlisted_sources_get_streams(spark):
+    rows = [(i, "t", ["a", "x", "y", "z", None][i % 5]) for i in range(1000)]
+    got = mixing.mix(docs(spark, rows), {"a": 2}, block_rows=4, own_streams=2).orderBy("mix_position").collect()
+    assert [r.mix_position for r in got] == list(range(1000))
+    assert Counter(r.mix_source for r in got) == {"a": 200, "x": 200, "y": 200, mixing.OTHER: 400}
+    for n in range(20, 400, 4):
+        front = Counter(r.mix_source for r in got[:n])
+        assert all(abs(front[s] - n / 4) < 4 for s in "axy")
+
+
 def test_mix_of_awkward_rows(spark):
     for extra in (False, True):
         df = docs(spark, AWKWARD, extra).drop("mix_slot")
