@@ -2,6 +2,10 @@
 
 `W` and `S` stand for word and white-space characters: Unicode letters, digits and _, and all Unicode separators. Patterns use
 them instead of \\w and \\s, whose meaning differs between regular-expression dialects.
+
+Lines have any length, and Java's matcher recurses once for each turn of a repeated group with alternatives and starts anew at
+each character. So patterns repeat single classes only (`BLANK` is the inside of `S`), and what may start anywhere in a long run
+is tied to the run's start.
 """
 
 from __future__ import annotations
@@ -10,7 +14,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 W = r"[\p{L}\p{N}_]"
-S = r"[\s\x{85}\p{Z}]"
+BLANK = r"\s\x{85}\p{Z}"
+S = f"[{BLANK}]"
+#: White space that ends no line: a line's indent.
+INDENT = r"[\t\f\r\x0B\x{85}\p{Z}]*"
 PAGE_BREAK = "\n\n---PAGE BREAK---\n\n"
 
 
@@ -23,12 +30,26 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{S}+"), lambda w: w != "")
 
 
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"[^{BLANK}]+")).cast("long")
+
+
+def line_count(text: Column) -> Column:
+    return (chars_among(text, "\n") + 1).cast("long")
+
+
+def whole_words(text: Column, pattern: str) -> Column:
+    """How many words are all as in the pattern."""
+    return F.regexp_count(text, F.lit(f"(?<![^{BLANK}]){pattern}(?![^{BLANK}])")).cast("long")
+
+
 def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{S}+|{S}+\z", "")
+    # the look-behind keeps a long run inside the text from being tried at each of its characters
+    return F.regexp_replace(text, rf"^{S}+|(?<!{S}){S}+\z", "")
 
 
 def unix(pattern: str) -> str:

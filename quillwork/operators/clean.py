@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import S, chars_among, lines, strip, text_of, unix
+from ..functions.text import BLANK, S, chars_among, lines, strip, text_of, unix
 
 #: Commentary labels and patterns in the order of removal, and placeholders.
 COMMENTARY = [
@@ -22,13 +22,14 @@ COMMENTARY = [
     ("The following", r"(?im)The following.*?(?:\.|$)"),
 ]
 EXTRACTION_COMMENTARY = [(k, p) for k, p in COMMENTARY if k != "Cell content note"] + [("As requested", r"(?im)As requested.*?(?:\.|$)"), ("I'll extract", r"(?im)I'll extract.*?(?:\.|$)")]
+NOTE = "including wrapped cell content"
 PLACEHOLDER = r"(?i)\[(To be completed|Not specified|Missing|N/A|TBD|Unknown|Pending|None|To fill|Fill in)\]"
-EMPTY_SHAPES = (rf"^(?:[*\-#]|{S})*\*\*[^*]+\*\*{S}*:?{S}*\[.+?\]{S}*$", rf"^(?:[*\-#]|{S})*\[.+?\]{S}*$")
+EMPTY_SHAPES = (rf"^[{BLANK}*#-]*\*\*[^*]+\*\*{S}*(?::{S}*)?\[.+?\]{S}*$", rf"^[{BLANK}*#-]*\[.+?\]{S}*$")
 PIPE_ROW = rf"^\||[^\s\x{{85}}\p{{Z}}]{S}*\|{S}*[^\s\x{{85}}\p{{Z}}]"
-RULE_ROW = rf"^\|?{S}*:?--+{S}*(\|{S}*:?--+{S}*)+\|?$"
-SEPARATOR_ROW = rf"^\|?{S}*[-:]+{S}*(\|{S}*[-:]+{S}*)*\|?$"
+RULE_CELL = rf"^{S}*:?--+{S}*$"
+SEPARATOR_CELL = rf"^{S}*[-:]+{S}*$"
 SUPERSCRIPTS, DIGITS = "⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789"
-CITATIONS = (rf"[{SUPERSCRIPTS}]+", r"\[\p{Nd}+\]", r"\(\p{Nd}+\)", r"\p{Nd}+(?=\s|$|[.,;:])")
+CITATIONS = (rf"[{SUPERSCRIPTS}]+", r"\[\p{Nd}+\]", r"\(\p{Nd}+\)", r"(?<!\p{Nd})\p{Nd}++(?=\s|$|[.,;:])")
 FOOTNOTE_LINE = rf"^([{SUPERSCRIPTS}]+|\p{{Nd}}+)\.?{S}+(.+)$"
 
 
@@ -43,15 +44,19 @@ def clean_commentary(df: DataFrame, text: str = "text", patterns=COMMENTARY) ->
     Finds are taken from the original text, removals run on the progressively cleaned one. A null text counts as empty.
     """
     t = text_of(text)
+    # a pattern runs only where its phrase is
+    holds = lambda x, pattern: F.lower(x).contains(NOTE if NOTE in pattern else pattern.removeprefix("(?im)").split(".*?")[0].lower())
 
     def finds(label: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(t, F.lit(unix(pattern)), F.lit(0)), lambda m: F.concat(F.lit(f"{label}: '"), strip(m), F.lit("'")))
+        found = F.transform(F.regexp_extract_all(t, F.lit(unix(pattern)), F.lit(0)), lambda m: F.concat(F.lit(f"{label}: '"), strip(m), F.lit("'")))
+        return F.when(holds(t, pattern), found).otherwise(F.array().cast("array<string>"))
 
     found = F.flatten(F.array(*[finds(k, p) for k, p in patterns]))
-    cleaned = t
+    df = df.withColumn("removed", found).withColumn("cleaned", t)
+    c = F.col("cleaned")
     for _, p in patterns:
-        cleaned = F.regexp_replace(cleaned, unix(p), "")
-    return df.withColumn("removed", found).withColumn("cleaned", _tidy(cleaned))
+        df = df.withColumn("cleaned", F.when(holds(c, p), F.regexp_replace(c, unix(p), "")).otherwise(c))
+    return df.withColumn("cleaned", _tidy(c))
 
 
 def strip_placeholders(df: DataFrame, text: str = "text") -> DataFrame:
@@ -68,15 +73,31 @@ def strip_placeholders(df: DataFrame, text: str = "text") -> DataFrame:
 
 def is_table_row(line: Column) -> Column:
     x = strip(line)
-    return ~x.startswith("```") & (chars_among(x, "|") >= 2) & (x.rlike(PIPE_ROW) | x.rlike(RULE_ROW))
+    return ~x.startswith("```") & (chars_among(x, "|") >= 2) & (x.rlike(PIPE_ROW) | _all_cells(x, RULE_CELL, 2))
 
 
-def table_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, i, line, block, size of the lines of documents that hold a pipe: block numbers runs of pipe rows, null elsewhere."""
-    own = docs.where(text_of().contains("|")).select("doc_id", F.posexplode(lines(text_of())).alias("i", "line")).withColumn("row", is_table_row(F.col("line")))
-    run = F.col("i") - F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("i"))
-    marked = own.withColumn("block", F.when(F.col("row"), run))
-    return marked.withColumn("size", F.when(F.col("row"), F.count("*").over(Window.partitionBy("doc_id", "row", "block")))).drop("row")
+def _all_cells(row: Column, pattern: str, least: int = 1) -> Column:
+    """Whether a row has so many cells and each is as in the pattern; a bar at either edge stands for no cell."""
+    cells = F.split(F.regexp_replace(row, r"^\||\|$", ""), r"\|")
+    return (F.size(cells) >= least) & F.forall(cells, lambda c: c.rlike(pattern))
+
+
+def _with_blocks(docs: DataFrame) -> DataFrame:
+    """docs with _lines and _blocks: (start, end, rows) of each run of pipe rows, in order. All inside the row."""
+    df = docs.withColumn("_lines", lines(text_of())).withColumn("_row", F.transform("_lines", is_table_row))
+    spots = F.sequence(F.lit(0), F.size("_lines") - 1)
+    beside = lambda i, step: F.coalesce(F.get("_row", i + step), F.lit(False))
+    df = df.withColumn("_starts", F.filter(spots, lambda i: F.get("_row", i) & ~beside(i, -1))).withColumn("_ends", F.filter(spots, lambda i: F.get("_row", i) & ~beside(i, 1)))
+    run = lambda s, e: F.struct(s.alias("start"), e.alias("end"), F.slice("_lines", s + 1, e - s + 1).alias("rows"))
+    return df.withColumn("_blocks", F.zip_with("_starts", "_ends", run)).drop("_row", "_starts", "_ends")
+
+
+def table_blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, first_line, last_line and size of each run of pipe rows, lines counted from 0. Each row of docs is taken by itself,
+    whatever doc_id it repeats; null and empty texts have none."""
+    own = _with_blocks(docs.where(text_of().contains("|")).select("doc_id", "text"))
+    b = own.select("doc_id", F.explode("_blocks").alias("b"))
+    return b.select("doc_id", F.col("b.start").cast("long").alias("first_line"), F.col("b.end").cast("long").alias("last_line"), (F.col("b.end") - F.col("b.start") + 1).cast("long").alias("size"))
 
 
 def _cells(line: Column) -> Column:
@@ -94,36 +115,49 @@ def flatten_tables(docs: DataFrame) -> DataFrame:
     """doc_id and text with every pipe table of two or more lines as `**Header** - **Row**: Value` lines.
 
     A table's first line names its columns (empty names fall away), an optional rule follows, and a row's first cell names the
-    row. Tables that give no entry keep their lines. Documents without a pipe pass through without being taken apart.
+    row. Tables that give no entry keep their lines. Each row of docs is taken by itself, without a shuffle, whatever doc_id it
+    repeats; null texts count as empty, and texts without a pipe pass through without being taken apart.
     """
-    block = Window.partitionBy("doc_id", "block").orderBy("i")
-    rows = table_lines(docs).withColumn("_n", F.row_number().over(block)).withColumn("_head", F.first("line").over(block))
-    rows = rows.withColumn("headers", F.transform(F.filter(_cells(F.col("_head")), lambda c: c != ""), _plain))
-    cells = _cells(F.col("line"))
-    rows = rows.withColumn("cells", F.when(F.get(cells, F.lit(0)) == "", F.slice(cells, F.lit(2), F.size(cells))).otherwise(cells))
-    data = (F.col("_n") > 2) | ((F.col("_n") == 2) & ~strip(F.col("line")).rlike(SEPARATOR_ROW))
-    row_id = F.get("cells", F.lit(0))
-
-    def entry(value: Column, j: Column) -> Column:
-        label = F.concat(F.lit("**"), F.get("headers", j), F.lit("**"))
-        named = F.concat(label, F.lit(" - **"), _plain(row_id), F.lit("**: "), _plain(value))
-        wanted = (j > 0) & (j < F.size("headers")) & (value != "")
-        return F.when(wanted, F.when(row_id != "", named).otherwise(F.concat(label, F.lit(": "), _plain(value))))
-
-    rows = rows.withColumn("entries", F.when(F.col("block").isNotNull() & (F.col("size") >= 2) & data, F.array_compact(F.transform("cells", entry))).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("_given", F.sum(F.size("entries")).over(Window.partitionBy("doc_id", "block")))
-    table = F.col("block").isNotNull() & (F.col("size") >= 2) & (F.col("_given") > 0)
-    out = rows.withColumn("out", F.when(table, F.col("entries")).otherwise(F.array("line")))
-    text = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "out"))), lambda x: x["out"])), "\n")
-    flat = out.groupBy("doc_id").agg(text.alias("text"))
+
+    def parsed(b: Column) -> Column:
+        headers = F.transform(F.filter(_cells(F.get(b["rows"], F.lit(0))), lambda c: c != ""), _plain)
+        named = lambda cells: F.when(F.get(cells, F.lit(0)) == "", F.slice(cells, F.lit(2), F.size(cells))).otherwise(cells)
+        second = F.get(b["rows"], F.lit(1))
+        return F.struct(b.alias("b"), headers.alias("headers"), F.transform(F.transform(b["rows"], _cells), named).alias("cells"), F.coalesce(_all_cells(strip(second), SEPARATOR_CELL), F.lit(False)).alias("ruled"))
+
+    def entries(p: Column) -> Column:
+        def of_row(cells: Column, n: Column) -> Column:
+            row_id = F.get(cells, F.lit(0))
+
+            def entry(value: Column, j: Column) -> Column:
+                label = F.concat(F.lit("**"), F.get(p["headers"], j), F.lit("**"))
+                named = F.concat(label, F.lit(" - **"), _plain(row_id), F.lit("**: "), _plain(value))
+                wanted = (j > 0) & (j < F.size(p["headers"])) & (value != "")
+                return F.when(wanted, F.when(row_id != "", named).otherwise(F.concat(label, F.lit(": "), _plain(value))))
+
+            data = (n > 1) | ((n == 1) & ~p["ruled"])
+            return F.when(data, F.array_compact(F.transform(cells, entry))).otherwise(F.array().cast("array<string>"))
+
+        return F.struct(p["b"].alias("b"), F.flatten(F.transform(p["cells"], of_row)).alias("entries"))
+
+    df = _with_blocks(docs.where(text_of().contains("|")).select("doc_id", "text")).withColumn("_tables", F.transform(F.transform("_blocks", parsed), entries))
+    end = lambda k: F.coalesce(F.get("_tables", k)["b"]["end"], F.lit(-1))
+    given = lambda t: F.when((F.size(t["b"]["rows"]) >= 2) & (F.size(t["entries"]) > 0), t["entries"]).otherwise(t["b"]["rows"])
+    # the lines since the last table, then the table
+    piece = lambda t, k: F.concat(F.slice("_lines", end(k - 1) + 2, t["b"]["start"] - end(k - 1) - 1), given(t))
+    last = end(F.size("_tables") - 1)
+    rest = F.slice("_lines", last + 2, F.size("_lines") - last - 1)
+    flat = df.select("doc_id", F.array_join(F.concat(F.flatten(F.transform("_tables", piece)), rest), "\n").alias("text"))
     return flat.unionByName(docs.where(~text_of().contains("|")).select("doc_id", text_of().alias("text")))
 
 
 def normalise_checkboxes(df: DataFrame, text: str = "text") -> DataFrame:
     """df with marked: checked marks before a label become `*[SELECTED]*` after it, unchecked marks are dropped."""
     t = text_of(text)
-    checked = F.regexp_replace(t, rf"(?md)^({S}*)(?:\[[xX✓✔]\]|[☑✓✔]){S}*(.*?){S}*$", "$1$2 *[SELECTED]*")
-    return df.withColumn("marked", F.regexp_replace(checked, rf"(?md)^({S}*)(?:\[ \]|☐){S}*", "$1"))
+    # blanks before a mark, on its own line; a label ends at its line's last character that is not blank
+    lead = r"([\t\f\r\x0B\x{85}\p{Z}]*)"
+    checked = F.regexp_replace(t, rf"(?md)^{lead}(?:\[[xX✓✔]\]|[☑✓✔]){S}*((?:.*[^{BLANK}])?){S}*$", "$1$2 *[SELECTED]*")
+    return df.withColumn("marked", F.regexp_replace(checked, rf"(?md)^{lead}(?:\[ \]|☐){S}*", "$1"))
 
 
 def cleaning_report(cleaned: DataFrame) -> DataFrame:

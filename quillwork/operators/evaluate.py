@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import flag, ladder, lines, strip, text_of
-from .routing import first_object
+from .routing import first_object, is_object
 
 RANKS = {"ACCEPT": 0, "REVIEW": 1, "REJECT": 2}
 REPLY = "overall_score double, recommendation string, missing_items array<struct<content:string>>, added_items array<struct<content:string>>, summary string"
@@ -20,9 +20,10 @@ def parse_ratings(raw: DataFrame, column: str = "response") -> DataFrame:
     """
     t = text_of(column)
     fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    df = raw.withColumn("_whole", strip(t)).withColumn("_fenced", fenced).withColumn("_object", first_object(t))
-    ok = lambda c: flag(F.expr(f"try_parse_json({c}) is not null and {c} like '{{%'"))
-    df = df.withColumn("read_as", ladder((ok("_whole"), "whole"), (ok("_fenced"), "fenced"), (ok("_object"), "object"), otherwise="text"))
+    df = raw.withColumn("_whole", strip(t)).withColumn("_fenced", fenced)
+    df = df.withColumn("_known", ladder((is_object("_whole"), "whole"), (is_object("_fenced"), "fenced")))
+    df = df.withColumn("_object", F.when(F.col("_known").isNull(), first_object(t)))
+    df = df.withColumn("read_as", F.coalesce("_known", F.when(is_object("_object"), "object"), F.lit("text")))
     df = df.withColumn("_json", ladder(*[(F.col("read_as") == k, F.col(f"_{k}")) for k in ("whole", "fenced", "object")])).withColumn("_v", F.from_json("_json", REPLY))
     loose = F.regexp_extract(t, r"(?i)overall_score[\"\s:]+([0-9]+\.?[0-9]*)", 1).try_cast("double")
     word = ladder(*[(F.upper(t).contains(k), k) for k in RANKS], otherwise="REVIEW")
@@ -30,19 +31,20 @@ def parse_ratings(raw: DataFrame, column: str = "response") -> DataFrame:
     items = lambda f: F.when(parsed, F.coalesce(F.transform(F.col(f"_v.{f}"), lambda x: F.coalesce(x["content"], F.lit(""))), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
     df = df.withColumn("score", F.coalesce(F.when(parsed, F.col("_v.overall_score")).otherwise(loose), F.lit(0.0)))
     df = df.withColumn("recommendation", F.when(parsed, F.coalesce("_v.recommendation", F.lit("REVIEW"))).otherwise(word))
-    return df.withColumn("missing", items("missing_items")).withColumn("added", items("added_items")).drop("_whole", "_fenced", "_object", "_json", "_v")
+    return df.withColumn("missing", items("missing_items")).withColumn("added", items("added_items")).drop("_whole", "_fenced", "_known", "_object", "_json", "_v")
 
 
-def _tokens(df: DataFrame, text: str) -> DataFrame:
-    """doc_id and its distinct normal lines: lower case, one space between words, blank lines and bare page marks left out."""
-    line = strip(F.lower(F.regexp_replace(F.col("line"), r"[\s\x{85}\p{Z}]+", " ")))
-    own = df.select("doc_id", F.explode(lines(text_of(text))).alias("line")).select("doc_id", line.alias("item"))
-    return own.where((F.col("item") != "") & ~F.col("item").rlike(r"^(page )?[0-9]+( of [0-9]+)?$|^-+$")).distinct()
+def _items(text: str) -> Column:
+    """Distinct normal lines: lower case, one space between words, blank lines and bare page marks left out."""
+    flat = F.lower(F.regexp_replace(text_of(text), r"[\t\f\r\x0B\x{85}\p{Z}]+", " "))
+    own = F.transform(lines(flat), lambda x: F.trim(x))
+    return F.array_distinct(F.filter(own, lambda x: (x != "") & ~x.rlike(r"^(page )?[0-9]+( of [0-9]+)?$|^-+$")))
 
 
 def missing_items(pairs: DataFrame, source: str = "text", output: str = "formatted") -> DataFrame:
-    """doc_id and item: normal lines of the source that its output lacks, in any order."""
-    return _tokens(pairs, source).join(_tokens(pairs, output), ["doc_id", "item"], "left_anti")
+    """doc_id and item: normal lines of the source that its output lacks, in any order. Both texts are in one row, so nothing is
+    shuffled; each row is taken by itself, whatever doc_id it repeats. Null texts count as empty."""
+    return pairs.select("doc_id", F.explode(F.array_except(_items(source), _items(output))).alias("item"))
 
 
 def added_items(pairs: DataFrame, source: str = "text", output: str = "formatted") -> DataFrame:
@@ -55,12 +57,10 @@ def recommendation_of(score: Column) -> Column:
 
 
 def rate_documents(pairs: DataFrame) -> DataFrame:
-    """One evaluation a document: coverage of source lines in percent, its recommendation, and counts of items. A document
-    without lines counts as covered."""
-    total = _tokens(pairs, "text").groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-    lost = missing_items(pairs).groupBy("doc_id").agg(F.count("*").alias("n_missing"))
-    new = added_items(pairs).groupBy("doc_id").agg(F.count("*").alias("n_added"))
-    df = pairs.select("doc_id").join(total, "doc_id", "left").join(lost, "doc_id", "left").join(new, "doc_id", "left").na.fill(0)
+    """One evaluation a row of pairs: coverage of source lines in percent, its recommendation, and counts of items. A document
+    without lines counts as covered; null texts count as empty, and rows that repeat a doc_id are rated each."""
+    df = pairs.select("doc_id", _items("text").alias("a"), _items("formatted").alias("b"))
+    df = df.select("doc_id", F.size("a").cast("long").alias("n_lines"), F.size(F.array_except("a", "b")).cast("long").alias("n_missing"), F.size(F.array_except("b", "a")).cast("long").alias("n_added"))
     df = df.withColumn("score", F.when(F.col("n_lines") > 0, (F.col("n_lines") - F.col("n_missing")) * 100 / F.col("n_lines")).otherwise(100.0))
     return df.withColumn("recommendation", recommendation_of(F.col("score")))
 

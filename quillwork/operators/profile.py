@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import PAGE_BREAK, S, W, count_of, flag, has, joined, ladder, lines, listed, text_of, words
+from ..functions.text import INDENT, PAGE_BREAK, S, W, count_of, flag, has, joined, ladder, line_count, lines, listed, text_of, word_count
 from .routing import ALIGNED, CHECKBOXES, TABLE_CHARS
 
 #: Patterns of the content profile.
 GAPS = rf"{S}{{4,}}"
-PROFILE_CHECKBOXES = (r"(?i)\[[ x✓]\]", "[☐☑✓✔]", rf"(?im)^{S}*[x✓✔]{S}+\([a-z]\)", rf"(?im)^{S}*¨{S}+\([a-z]\)", rf"(?im)^{S}*[x✓✔]{S}+\([a-z][a-z]?\)")
-BULLETS = rf"(?m)^{S}*[-•*]{S}"
-NUMBERED = rf"(?m)^{S}*\p{{Nd}}+\.{S}"
+PROFILE_CHECKBOXES = (r"(?i)\[[ x✓]\]", "[☐☑✓✔]", rf"(?im)^{INDENT}[x✓✔]{S}+\([a-z]\)", rf"(?im)^{INDENT}¨{S}+\([a-z]\)", rf"(?im)^{INDENT}[x✓✔]{S}+\([a-z][a-z]?\)")
+BULLETS = rf"(?m)^{INDENT}[-•*]{S}"
+NUMBERED = rf"(?m)^{INDENT}\p{{Nd}}+\.{S}"
 TECHNICAL = (r"\$[^$]+\$", r"[A-Z][a-z]*\p{Nd}+", rf"def{S}+{W}+\(", rf"class{S}+{W}+", rf"import{S}+{W}+")
-HEADERS = rf"(?m)^[A-Z][^.!?]*:?{S}*$"
+HEADERS = "(?m)^[A-Z][^.!?]*$"
 FAST_CHARS = "[|─┌┐└┘]"
 FAST_CHECKS = r"\[[ x✓✔]\]|☐|☑|✓|✔"
 DOCUMENT_CHARS = "[|─┌┐]"
@@ -37,7 +37,7 @@ def content_profile(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("has_tables", t.rlike(TABLE_CHARS) | (count_of(t, GAPS) > 5)).withColumn("has_checkboxes", _any(t, PROFILE_CHECKBOXES))
     df = df.withColumn("has_lists", has(t, BULLETS) | has(t, NUMBERED)).withColumn("has_technical", _any(t, TECHNICAL)).withColumn("_headers", count_of(t, HEADERS))
     df = df.withColumn("complexity", ladder((F.col("_headers") > 5, "complex"), (F.col("_headers") > 2, "moderate"), otherwise="simple")).withColumn("sections", F.greatest(F.lit(1), F.col("_headers")).cast("long"))
-    return df.withColumn("line_count", F.size(lines(t)).cast("long")).withColumn("word_count", F.size(words(t)).cast("long")).drop("_headers")
+    return df.withColumn("line_count", line_count(t)).withColumn("word_count", word_count(t)).drop("_headers")
 
 
 def page_strategy(profiled: DataFrame) -> DataFrame:

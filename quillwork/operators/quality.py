@@ -5,61 +5,78 @@ Every operator is row by row: a text's lines and words are arrays inside the row
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import S, W, chars_among, count_of, flag, ladder, lines, listed, points, strip, text_of, words
+from ..functions.text import BLANK, INDENT, S, W, chars_among, count_of, flag, ladder, line_count, lines, listed, points, strip, text_of, whole_words, word_count
 
 QUOTA = 100
 #: Rule patterns and word lists of the scores.
 SEPARATORS = "|-_=+"
-BORDER = rf"^[|+]?(?:{S}|[-_=])+[|+]?.*[|+]?$"
-SPACED = rf"^(?:{S}|[-_=|])+$"
-JUNCTION = rf"^(?:{S}|[+|\-_=])+$"
-SIMPLE_DASH = rf"^[-_]{{2,}}({S}+[-_]{{2,}})+$"
+BORDER = rf"^[|+]?[{BLANK}_=-]"
+SPACED = rf"^[{BLANK}_=|-]+$"
+JUNCTION = rf"^[{BLANK}+|_=-]+$"
+#: Runs of two and more - or _ with blanks between them: what holds, and what does not.
+SIMPLE_DASH = (rf"^[{BLANK}_-]+$", S, "^[-_][-_]", "[-_][-_]$")
+SINGLE_DASH = rf"{S}[-_]{S}"
 SPACE_COLUMNS = rf"{W}{S}{{3,}}{W}"
 DATA = r"[$%\p{Nd}]"
-ROW_START = rf"^[A-Z](?:[a-z]|{S})+[$%\p{{Nd}}]"
-NESTED_HEADER = rf"[A-Z][a-zA-Z]+{S}+[A-Z][a-zA-Z]+"
+ROW_START = rf"^[A-Z][a-z{BLANK}]+[$%\p{{Nd}}]"
+NESTED_HEADER = rf"(?:^|[^a-zA-Z])[a-z]*[A-Z][a-zA-Z]+{S}+[A-Z][a-zA-Z]"
+LETTERS_WORD = rf"(?<![^{BLANK}])\p{{L}}{{3,}}(?![^{BLANK}])"
+FIVE_WORDS = rf"^(?:[^{BLANK}]+{S}+){{4}}[^{BLANK}]"
+SUBSTANTIAL = rf"(?md)^{INDENT}[^{BLANK}].{{19,}}[^{BLANK}]{INDENT}$"
 REVERSED_PREFIXES = ("gni", "noi", "eci", "de")
 REVERSED_SUFFIXES = ("erp", "bus", "noc", "noit")
 REVERSED_WORDS = ("ynapmoc", "ecnarusni", "dradnats")
 ODD_CHARACTER = r"[^\p{L}\p{N}_\s\x{85}\p{Z}.,!?;:()\-$%/€£¥'\"&@#*]"
-MONEY = r"\$\p{Nd}*0{2,},\p{Nd}{1,2}"
+MONEY = r"\$\p{Nd}*00,\p{Nd}{1,2}"
 MARKS = "[✓✔√]"
 KINDS = ("pure", "border", "spaced", "junction", "simple_dash")
 TYPES = ("border", "junction", "pipe_data", "pure", "simple_dash", "space_columns", "spaced")
 
 
-def line_facts(text: Column) -> Column:
-    """For each line that is not blank: its separator kind or null, and the counts that the table score needs."""
-    stripped = F.transform(lines(text), strip)
+def line_facts(stripped: str) -> Column:
+    """For each line of an array column of stripped lines that is not blank: its separator kind or null, and the counts that the
+    table score needs. What a line's facts use more than once is a step of its own, as lambdas share no work."""
+
+    def measured(x: Column, i: Column) -> Column:
+        return F.struct(x.alias("x"), i.alias("i"), chars_among(x, SEPARATORS).alias("separators"), chars_among(x, "|").alias("pipes"), x.rlike(SPACE_COLUMNS).alias("spaced"), x.rlike(DATA).alias("data"))
 
-    def facts(x: Column, i: Column) -> Column:
-        separators, size, n_words = chars_among(x, SEPARATORS), F.length(x), words(x)
+    def with_kind(m: Column) -> Column:
+        x, separators, size = m["x"], m["separators"], F.length(m["x"])
+        # counts come first: they spare most lines the patterns
+        dashes = (separators >= 4) & reduce(Column.__and__, [x.rlike(p) for p in SIMPLE_DASH]) & ~x.rlike(SINGLE_DASH)
         kind = ladder(
             ((size > 2) & (separators * 10 >= size * 6), "pure"),
-            (x.rlike(BORDER) & (separators >= 3), "border"),
-            (x.rlike(SPACED) & (separators >= 3) & (size >= 5), "spaced"),
-            (x.rlike(JUNCTION) & x.contains("+") & (separators >= 3), "junction"),
-            (x.rlike(SIMPLE_DASH), "simple_dash"),
+            ((separators >= 3) & x.rlike(BORDER), "border"),
+            ((separators >= 3) & (size >= 5) & x.rlike(SPACED), "spaced"),
+            ((separators >= 3) & x.contains("+") & x.rlike(JUNCTION), "junction"),
+            (dashes, "simple_dash"),
         )
-        after = F.coalesce(F.get(stripped, i + 1), F.lit(""))
-        nested = x.rlike(NESTED_HEADER) & after.rlike(DATA)
-        pipes, spaced = chars_among(x, "|"), x.rlike(SPACE_COLUMNS)
-        mixed = (F.size(n_words) >= 2) & F.exists(n_words, lambda w: w.rlike(r"^\p{L}{3,}\z")) & F.exists(n_words, lambda w: w.rlike(DATA))
+        return F.struct(m.alias("m"), kind.alias("kind"))
+
+    def facts(k: Column) -> Column:
+        m, kind = k["m"], k["kind"]
+        after = F.coalesce(F.get(stripped, m["i"] + 1), F.lit(""))
+        nested = m["x"].rlike(NESTED_HEADER) & after.rlike(DATA)
+        pipes, spaced = m["pipes"], m["spaced"]
+        # a word of letters alone, beside the word that holds the figure
+        mixed = m["data"] & m["x"].rlike(LETTERS_WORD)
         plain = kind.isNull()
         return F.struct(
-            (x != "").alias("filled"),
             nested.cast("int").alias("nested"),
             kind.alias("kind"),
             (plain & (pipes >= 3)).alias("pipe_data"),
             (plain & spaced).alias("space_columns"),
             F.when(plain, points((pipes >= 2, 1), (spaced, 1))).otherwise(0).alias("table"),
-            F.when(plain, points(((F.size(n_words) <= 4) & x.rlike(DATA), 1), (mixed, 1), (x.rlike(ROW_START), 1))).otherwise(0).alias("figures"),
+            F.when(plain, points((m["data"] & ~m["x"].rlike(FIVE_WORDS), 1), (mixed, 1), (m["x"].rlike(ROW_START), 1))).otherwise(0).alias("figures"),
         )
 
-    return F.filter(F.transform(stripped, facts), lambda f: f["filled"])
+    measures = F.filter(F.transform(stripped, measured), lambda m: m["x"] != "")
+    return F.transform(F.transform(measures, with_kind), facts)
 
 
 def with_table_score(df: DataFrame, text: str = "text") -> DataFrame:
@@ -69,7 +86,7 @@ def with_table_score(df: DataFrame, text: str = "text") -> DataFrame:
     """
     total = lambda name: F.aggregate(F.transform("_facts", lambda f: f[name]), F.lit(0), lambda a, x: a + x)
     of = lambda t: F.size(F.filter("_facts", lambda f: f["kind"] == t if t in KINDS else f[t]))
-    df = df.withColumn("_facts", line_facts(text_of(text)))
+    df = df.withColumn("_stripped", F.transform(lines(text_of(text)), strip)).withColumn("_facts", line_facts("_stripped"))
     df = df.withColumn("_nested", total("nested")).withColumn("_separators", F.size(F.filter("_facts", lambda f: f["kind"].isNotNull())))
     df = df.withColumn("_table", total("table")).withColumn("_figures", total("figures")).withColumn("_lines", F.size("_facts"))
     df = df.withColumn("_types", F.array_join(listed(*[(of(t) > 0, F.concat(F.lit(f"{t}:"), of(t).cast("string"))) for t in TYPES]), ", "))
@@ -85,29 +102,27 @@ def with_table_score(df: DataFrame, text: str = "text") -> DataFrame:
         (g >= 3, 3, say("structured_data_detected(%d data patterns)", "_figures")),
     ]
     df = df.withColumn("table_tenths", ladder(*[(c, n) for c, n, _ in steps], otherwise=0)).withColumn("table_issue", ladder(*[(c, i) for c, _, i in steps]))
-    return df.drop("_facts", "_nested", "_separators", "_table", "_figures", "_lines", "_types")
+    return df.drop("_stripped", "_facts", "_nested", "_separators", "_table", "_figures", "_lines", "_types")
 
 
-def _reversed(word: Column) -> Column:
-    rules = [*[word.startswith(p) for p in REVERSED_PREFIXES], *[word.endswith(s) for s in REVERSED_SUFFIXES], word.isin(*REVERSED_WORDS)]
-    out = rules[0]
-    for r in rules[1:]:
-        out = out | r
-    return out & (F.length(word) >= 3)
+def reversed_words(text: Column) -> Column:
+    """How many words of three characters or more, in lower case and without punctuation, look reversed."""
+    clean = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}_{BLANK}]", "")
+    starts = "|".join(p if len(p) > 2 else f"{p}[^{BLANK}]" for p in REVERSED_PREFIXES)
+    ends = rf"(?:[^{BLANK}]*(?:{'|'.join(REVERSED_SUFFIXES)})|{'|'.join(REVERSED_WORDS)})(?![^{BLANK}])"
+    return F.regexp_count(clean, F.lit(f"(?<![^{BLANK}])(?:{starts}|{ends})")).cast("long")
 
 
 def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the measures that the other seven scores rest on: counts and ratios of characters, words and lines."""
     t = text_of(text)
-    df = df.withColumn("_words", words(t)).withColumn("n_words", F.size("_words").cast("long")).withColumn("n_chars_text", F.length(t).cast("long"))
-    df = df.withColumn("n_lines", F.size(lines(t)).cast("long")).withColumn("n_spaces", chars_among(t, " ").cast("long"))
+    df = df.withColumn("n_words", word_count(t)).withColumn("n_chars_text", F.length(t).cast("long"))
+    df = df.withColumn("n_lines", line_count(t)).withColumn("n_spaces", chars_among(t, " ").cast("long"))
     dense = F.length(F.translate(t, " \n", ""))
     df = df.withColumn("spacing", F.when(dense > 0, F.col("n_spaces") / dense).otherwise(F.lit(0.0)))
-    clean = F.transform("_words", lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}_]", ""))
-    df = df.withColumn("n_reversed", F.size(F.filter(clean, _reversed)).cast("long"))
-    df = df.withColumn("n_single", F.size(F.filter("_words", lambda w: w.rlike(r"^\p{L}\z"))).cast("long"))
+    df = df.withColumn("n_reversed", reversed_words(t)).withColumn("n_single", whole_words(t, r"\p{L}"))
     df = df.withColumn("n_odd", count_of(t, ODD_CHARACTER)).withColumn("n_money", count_of(t, MONEY)).withColumn("n_marks", count_of(t, MARKS))
-    return df.withColumn("n_substantial", F.size(F.filter(lines(t), lambda x: F.length(strip(x)) > 20)).cast("long")).drop("_words")
+    return df.withColumn("n_substantial", F.regexp_count(t, F.lit(SUBSTANTIAL)).cast("long"))
 
 
 def with_scores(df: DataFrame, text: str = "text") -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import S, W, chars_among, count_of, flag, has, ladder, listed, points, strip, text_of, words
+from ..functions.text import INDENT, S, W, chars_among, count_of, flag, has, ladder, listed, points, strip, text_of, whole_words, word_count
 from .quality import ODD_CHARACTER, QUOTA
 
 #: Characters and patterns of the page analysis.
 TABLE_CHARS = "[|─┌┐└┘├┤┬┴┼]"
 ALIGNED = rf"{W}{S}{{4,}}{W}"
-CHECKBOXES = (r"(?i)\[[ x✓✔]\]", "[☐☑✓✔]", rf"(?im)^{S}*[x✓✔¨]{S}*\([a-z]+\)")
-STRUCTURED = rf"(?m)^{S}*[A-Z][^:]*:{S}*\$?\p{{Nd}}"
+CHECKBOXES = (r"(?i)\[[ x✓✔]\]", "[☐☑✓✔]", rf"(?im)^{INDENT}[x✓✔¨]{S}*\([a-z]+\)")
+STRUCTURED = rf"(?m)^{INDENT}[A-Z][^:]*:{S}*\$?\p{{Nd}}"
+FIGURE = rf":{S}*\$?\p{{Nd}}"
 
 
 def _any(text: Column, patterns) -> Column:
@@ -28,10 +29,9 @@ def analyse_pages(pages: DataFrame, text: str = "text") -> DataFrame:
     Blank and null texts are `missing`, quality 0.
     """
     t = text_of(text)
-    w = words(t)
     df = pages.withColumn("_blank", strip(t) == "").withColumn("_box", t.rlike(TABLE_CHARS)).withColumn("_aligned", count_of(t, ALIGNED) > 3)
-    df = df.withColumn("_check", _any(t, CHECKBOXES)).withColumn("_structured", has(t, STRUCTURED))
-    df = df.withColumn("_n", F.size(w)).withColumn("_single", F.size(F.filter(w, lambda x: x.rlike(r"^\p{L}\z")))).withColumn("_letters", F.length(F.array_join(w, "")))
+    df = df.withColumn("_check", _any(t, CHECKBOXES)).withColumn("_structured", t.rlike(FIGURE) & has(t, STRUCTURED))
+    df = df.withColumn("_n", word_count(t)).withColumn("_single", whole_words(t, r"\p{L}")).withColumn("_letters", F.length(F.regexp_replace(t, f"{S}+", "")))
     dense = F.length(F.translate(t, " \n", ""))
     df = df.withColumn("_fragmented", (F.col("_n") > 0) & (F.col("_single") * 10 > F.col("_n"))).withColumn("_short", (F.col("_n") > 0) & (F.col("_letters") * 2 < F.col("_n") * 5))
     df = df.withColumn("_spaced", (F.col("_n") > 0) & (dense > 0) & (chars_among(t, " ") * 2 > dense)).withColumn("_odd", count_of(t, ODD_CHARACTER) * 100 > F.length(t))
@@ -148,8 +148,16 @@ def isolate_errors(pages: DataFrame, attempts: DataFrame) -> DataFrame:
     return df.withColumn("success", flag(F.col("ok"))).withColumn("content", content).drop("ok")
 
 
+def is_object(column: str) -> Column:
+    """Whether the whole text of a column is a JSON object."""
+    return flag(F.expr(f"{column} like '{{%' and try_parse_json({column}) is not null"))
+
+
 def first_object(text: Column) -> Column:
-    """The first balanced {...} of a text, braces in strings not counted; an unbalanced rest is closed. Null without a brace."""
+    """The first balanced {...} of a text, braces in strings not counted; an unbalanced rest is closed. Null without a brace.
+
+    A fold over all characters, for texts that are no JSON by themselves.
+    """
     start = F.instr(text, "{")
     chars = F.split(F.substring(text, start, F.length(text)), "")
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(False).alias("done"))
@@ -171,11 +179,11 @@ VISUAL_SCHEMA = "has_tables boolean, has_charts boolean, has_forms boolean, layo
 
 def parse_visual(responses: DataFrame, column: str = "response") -> DataFrame:
     """responses with visual flags: from JSON, fenced or truncated, else from keywords of the reply."""
-    bare = F.regexp_replace(text_of(column), r"```(?:json)?", "")
-    df = responses.withColumn("_json", first_object(bare)).withColumn("_v", F.from_json("_json", VISUAL_SCHEMA))
+    bare = strip(F.regexp_replace(text_of(column), r"```(?:json)?", ""))
+    df = responses.withColumn("_bare", bare).withColumn("_json", F.when(is_object("_bare"), F.col("_bare")).otherwise(first_object(F.col("_bare")))).withColumn("_v", F.from_json("_json", VISUAL_SCHEMA))
     parsed = flag(F.expr("try_parse_json(_json) is not null"))
     low = F.lower(text_of(column))
     word = lambda field, *keys: F.when(parsed, flag(F.col(f"_v.{field}"))).otherwise(_any(low, keys))
     df = df.withColumn("parsed", parsed).withColumn("v_tables", word("has_tables", "table")).withColumn("v_charts", word("has_charts", "chart", "graph")).withColumn("v_forms", word("has_forms", "form", "checkbox"))
     df = df.withColumn("v_layout", F.when(parsed, F.coalesce("_v.layout_complexity", F.lit("simple"))).otherwise("moderate")).withColumn("v_image", F.when(parsed, F.coalesce("_v.image_quality", F.lit("good"))).otherwise("good"))
-    return df.drop("_json", "_v")
+    return df.drop("_bare", "_json", "_v")

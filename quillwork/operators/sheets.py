@@ -13,7 +13,7 @@ from ..functions.text import flag, joined, ladder, strip, text_of, title_case
 #: Date patterns, acronyms and sizes.
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 DATES = (r"^[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}$", r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$", rf"(?i)^({MONTHS})", rf"(?i)^[0-9]{{1,2}}-({MONTHS})")
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 ACRONYMS = ("VSP", "UHC", "PPO", "HMO", "COBRA")
 SECTION_LINES = 18
 HEADER_ROWS = 3

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as Q
 from ..sources.derived import docs_aug
-from .sql import DOCS, among, case, count, lines, q, rlike, strip
+from .sql import DOCS, S, among, case, count, lines, q, rlike, strip
 from .sql import words as sql_words
 
+_DASH = rf"^[-_]{{2,}}({S}+[-_]{{2,}})+$"
 _facts = f"""{DOCS}, l AS (SELECT doc_id, unnest({lines('text')}) AS raw, generate_subscripts({lines('text')}, 1) AS i FROM docs_aug),
 s AS (SELECT doc_id, i, {strip('raw')} AS x, lead({strip('raw')}) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM l),
 m AS (SELECT *, {among('x', Q.SEPARATORS)} AS sep, length(x) AS n, {among('x', '|')} AS pipes, {sql_words('x')} AS ws FROM s WHERE x <> ''),
-k AS (SELECT *, {case(('n > 2 AND sep * 10 >= n * 6', "'pure'"), (rlike('x', Q.BORDER) + ' AND sep >= 3', "'border'"), (rlike('x', Q.SPACED) + ' AND sep >= 3 AND n >= 5', "'spaced'"), (rlike('x', Q.JUNCTION) + " AND contains(x, '+') AND sep >= 3", "'junction'"), (rlike('x', Q.SIMPLE_DASH), "'simple_dash'"))} AS kind,
+k AS (SELECT *, {case(('n > 2 AND sep * 10 >= n * 6', "'pure'"), (rlike('x', Q.BORDER) + ' AND sep >= 3', "'border'"), (rlike('x', Q.SPACED) + ' AND sep >= 3 AND n >= 5', "'spaced'"), (rlike('x', Q.JUNCTION) + " AND contains(x, '+') AND sep >= 3", "'junction'"), (rlike('x', _DASH), "'simple_dash'"))} AS kind,
   {rlike('x', Q.NESTED_HEADER)} AND {rlike("coalesce(nxt, '')", Q.DATA)} AS nested FROM m),
 f AS (SELECT *, kind IS NULL AND pipes >= 3 AS pipe_data, kind IS NULL AND {rlike('x', Q.SPACE_COLUMNS)} AS space_columns,
   CASE WHEN kind IS NULL THEN CAST(pipes >= 2 AS INT) + CAST({rlike('x', Q.SPACE_COLUMNS)} AS INT) ELSE 0 END AS tab,

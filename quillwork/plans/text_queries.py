@@ -109,16 +109,18 @@ _kept = f"list_filter({lines('text')}, lambda x: NOT ({_empty}))"
 _blank_run = chr(92) + "n" + S + "*" + chr(92) + "n" + S + "*" + chr(92) + "n+"
 _stripped = strip(f"regexp_replace(array_to_string({_kept}, chr(10)), {q(_blank_run)}, chr(10) || chr(10), 'g')")
 _add("strip_placeholders", lambda s, d: C.strip_placeholders(D.docs_aug(s, d)).select("doc_id", "stripped", "n_dropped"), f"WITH {DOCS} SELECT doc_id, {_stripped} AS stripped, CAST(len({lines('text')}) - len({_kept}) AS BIGINT) AS n_dropped FROM docs_aug")
-_row = f"(NOT starts_with({strip('line')}, '```') AND length(line) - length(replace(line, '|', '')) >= 2 AND ({rlike(strip('line'), C.PIPE_ROW)} OR {rlike(strip('line'), C.RULE_ROW)}))"
+_RULE = rf"^\|?{S}*:?--+{S}*(\|{S}*:?--+{S}*)+\|?$"
+_SEPARATOR = rf"^\|?{S}*[-:]+{S}*(\|{S}*[-:]+{S}*)*\|?$"
+_row = f"(NOT starts_with({strip('line')}, '```') AND length(line) - length(replace(line, '|', '')) >= 2 AND ({rlike(strip('line'), C.PIPE_ROW)} OR {rlike(strip('line'), _RULE)}))"
 _tl = f"""WITH {DOCS}, tl AS (SELECT doc_id, unnest({lines('text')}) AS line, generate_subscripts({lines('text')}, 1) - 1 AS i FROM docs_aug WHERE contains(text, '|')), tr AS (SELECT *, {_row} AS isrow FROM tl),
 tb AS (SELECT *, CASE WHEN isrow THEN i - row_number() OVER (PARTITION BY doc_id, isrow ORDER BY i) END AS block FROM tr), tz AS (SELECT *, CASE WHEN isrow THEN count(*) OVER (PARTITION BY doc_id, isrow, block) END AS size FROM tb)"""
-_add("table_blocks", lambda s, d: C.table_lines(D.docs_aug(s, d)).where("block is not null").groupBy("doc_id", "block").agg(F.min("i").cast("long").alias("first_line"), F.max("i").cast("long").alias("last_line"), F.max("size").alias("size")).drop("block"), f"{_tl} SELECT doc_id, min(i) AS first_line, max(i) AS last_line, max(size) AS size FROM tz WHERE block IS NOT NULL GROUP BY doc_id, block")
+_add("table_blocks", lambda s, d: C.table_blocks(D.docs_aug(s, d)), f"{_tl} SELECT doc_id, min(i) AS first_line, max(i) AS last_line, max(size) AS size FROM tz WHERE block IS NOT NULL GROUP BY doc_id, block")
 _parts = f"list_transform(string_split({strip('line')}, '|'), lambda c: {strip('c')})"
 _bold = "regexp_replace({0}, '\\*\\*(.*?)\\*\\*', '\\1', 'g')"
 _edge = "CASE WHEN len({0}) > 0 AND {0}[len({0})] = '' THEN {0}[1:len({0}) - 1] ELSE {0} END"
 _flat = f"""{_tl}, c1 AS (SELECT *, CASE WHEN p[1] = '' THEN p[2:] ELSE p END AS p1, row_number() OVER (PARTITION BY doc_id, block ORDER BY i) AS n FROM (SELECT *, {_parts} AS p FROM tz)), c2 AS (SELECT *, {_edge.format('p1')} AS c FROM c1),
 c3 AS (SELECT *, list_transform(list_filter(first_value(c) OVER (PARTITION BY doc_id, block ORDER BY i), lambda v: v <> ''), lambda v: {_bold.format('v')}) AS h, CASE WHEN c[1] = '' THEN c[2:] ELSE c END AS d FROM c2),
-c4 AS (SELECT *, CASE WHEN block IS NOT NULL AND size >= 2 AND (n > 2 OR (n = 2 AND NOT {rlike(strip('line'), C.SEPARATOR_ROW)})) THEN list_filter(list_transform(range(2, len(d) + 1), lambda j: CASE WHEN j <= len(h) AND d[j] <> '' THEN '**' || h[j] || '**' || CASE WHEN d[1] <> '' THEN ' - **' || {_bold.format('d[1]')} || '**' ELSE '' END || ': ' || {_bold.format('d[j]')} END), lambda e: e IS NOT NULL) ELSE CAST([] AS VARCHAR[]) END AS e FROM c3),
+c4 AS (SELECT *, CASE WHEN block IS NOT NULL AND size >= 2 AND (n > 2 OR (n = 2 AND NOT {rlike(strip('line'), _SEPARATOR)})) THEN list_filter(list_transform(range(2, len(d) + 1), lambda j: CASE WHEN j <= len(h) AND d[j] <> '' THEN '**' || h[j] || '**' || CASE WHEN d[1] <> '' THEN ' - **' || {_bold.format('d[1]')} || '**' ELSE '' END || ': ' || {_bold.format('d[j]')} END), lambda e: e IS NOT NULL) ELSE CAST([] AS VARCHAR[]) END AS e FROM c3),
 c5 AS (SELECT *, sum(len(e)) OVER (PARTITION BY doc_id, block) AS given FROM c4), c6 AS (SELECT doc_id, i, CASE WHEN block IS NOT NULL AND size >= 2 AND given > 0 THEN e ELSE [line] END AS o FROM c5)
 SELECT doc_id, array_to_string(flatten(list(o ORDER BY i)), chr(10)) AS text FROM c6 GROUP BY doc_id UNION ALL SELECT doc_id, text FROM docs_aug WHERE NOT contains(text, '|')"""
 _add("flatten_tables", lambda s, d: C.flatten_tables(D.docs_aug(s, d)), _flat)
