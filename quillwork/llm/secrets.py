@@ -2,13 +2,16 @@
 
 Positions are code points, ends exclusive. Besides the base patterns, weak parts (an account name, a secret-like word, an
 endpoint) are found but reported only where complementary parts co-occur in a scope: a text's parts at most `scope` code points
-apart. An identifier needs a secret, a secret an identifier, an endpoint a secret that has an identifier.
+apart, none of them inside another. An identifier needs a secret, a secret an identifier, an endpoint a secret that has an
+identifier. What stands in an address is no secret, but for a user's part before its @.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,19 +21,20 @@ from .common import stash
 
 SCOPE = 200
 KINDS = ("assign", "access", "hex", "link_id", "link_secret", "link_endpoint")
-ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+ASSIGN = r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
 #: The runs of [0-9a-f]+ that are long enough.
 HEX = r"[0-9a-f]{24,}"
+#: Patterns take time in proportion to the text: what may start anywhere in a run is tied to its start or bounded.
 #: Weak parts: kind, what a text must contain (one of these, or a match) for a part to be there, and the pattern; group 1 is the part.
 WEAK = [
-    ("link_id", (":", "="), r"(?i:(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})"),
-    ("link_id", ("@",), r"([A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"),
-    ("link_secret", (":", "="), r"(?i:(?:pwd|pass|private_?key|credential|auth))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{6,})"),
+    ("link_id", (":", "="), r"(?ai:(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})"),
+    ("link_id", ("@",), r"(?<![A-Za-z0-9._+-])([A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"),
+    ("link_secret", (":", "="), r"(?ai:(?:pwd|pass|private_?key|credential|auth))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{6,})"),
     ("link_secret", (), r"([A-Za-z0-9+/_-]{16,})"),
-    ("link_endpoint", ("://",), r"([A-Za-z][A-Za-z0-9+.-]*://[^\s\"'<>]+)"),
+    ("link_endpoint", ("://",), r"([A-Za-z][A-Za-z0-9+.-]{0,19}://[^\s\"'<>]+)"),
     ("link_endpoint", re.compile(r"[0-9]\.[0-9]"), r"(?<![0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?)(?![0-9.])"),
-    ("link_endpoint", (":", "="), r"(?i:(?:host|endpoint|server))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]{1,5})?)"),
+    ("link_endpoint", (":", "="), r"(?ai:(?:host|endpoint|server))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]{1,5})?)"),
 ]
 
 
@@ -56,18 +60,40 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+class Spans:
+    """Spans that can tell whether one of them meets another span."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts, self.ends = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+
+    def meet(self, start: int, end: int) -> bool:
+        n = bisect_left(self.starts, end)
+        return n > 0 and self.ends[n - 1] > start
+
+
 def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Weak parts outside base spans, as (start, kind's rank, end), each once."""
-    out = set()
+    """Weak parts outside base spans, as (start, kind's rank, end), each once. A word in an identifier or in an address, but for
+    its user's part, is no secret, and a user's part with its host no identifier."""
+    found: dict[str, set[tuple[int, int]]] = {k: set() for k in KINDS[3:]}
+    taken = Spans([(s, e) for s, _, e in base])
     for kind, needed, pattern in WEAK:
         if not _may_hold(text, needed):
             continue
         for m in re.finditer(pattern, text):
-            if needed == () and not _secret_like(m[1]):
-                continue
-            if not any(s < m.end(1) and m.start(1) < e for s, _, e in base):
-                out.add((m.start(1), KINDS.index(kind), m.end(1)))
-    return sorted(out)
+            if (needed != () or _secret_like(m[1])) and not taken.meet(*m.span(1)):
+                found[kind].add(m.span(1))
+    if found["link_id"] or found["link_secret"]:
+        addresses = Spans([x for x in found["link_endpoint"] if text.find("://", *x) >= 0])
+        found["link_id"] = {x for x in found["link_id"] if text.find("@", *x) < 0 or not addresses.meet(*x)}
+        closed = []
+        for s, e in found["link_endpoint"]:
+            at = text.find("://", s, e)
+            user = re.compile(r"[^/?#]*@").match(text, at + 3, e) if at >= 0 else None
+            closed.append((user.end() if user else s, e))
+        apart = Spans([*found["link_id"], *closed])
+        found["link_secret"] = {x for x in found["link_secret"] if not apart.meet(*x)}
+    return sorted((s, KINDS.index(k), e) for k, spans in found.items() for s, e in spans)
 
 
 def _digest(spans) -> str:
@@ -100,14 +126,16 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def near(left: DataFrame, right: DataFrame, scope: int) -> DataFrame:
-    """Rows of left with a row of right in the same text at most `scope` code points apart: an interval semi-join on bins of
+    """Rows of left with a row of right beside it in the same text, at most `scope` code points apart: an interval semi-join on bins of
     `scope` code points, which returns a left row once, however many partners it has."""
     r = right.select(F.col("doc_id").alias("r_doc"), F.col("text_key").alias("r_key"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     # a part covers the bins from its start to its end; the left side looks `scope` further on both sides
     r = r.withColumn("r_bin", F.explode(F.expr(f"sequence(r_start div {scope}, r_end div {scope})")))
     l = left.withColumn("bin", F.explode(F.expr(f"sequence(greatest(start - {scope}, 0) div {scope}, (end + {scope}) div {scope})")))  # noqa: E741
     on = F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("text_key") == F.col("r_key")) & (F.col("bin") == F.col("r_bin"))
-    close = (F.col("r_start") - F.col("end") <= scope) & (F.col("start") - F.col("r_end") <= scope)
+    gap = F.greatest(F.col("r_start") - F.col("end"), F.col("start") - F.col("r_end"))
+    # spans that share characters are no two parts
+    close = gap.between(0, scope)
     return l.join(r, on & close, "left_semi").drop("bin").distinct()
 
 
