@@ -9,6 +9,7 @@ where their cells are provably more than one apart in some dimension; what is le
 from __future__ import annotations
 
 import math
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,10 @@ from .components import components, forest_links
 COSINE = 0.98
 DIMENSIONS = 6
 INTERVAL_ROWS = 512
+#: So many intervals next to each other travel together: they are sent once for all their neighbours in another such group.
+GROUP = 8
+#: Intervals meet by the cells of so many leading dimensions.
+KEY_DIMENSIONS = 2
 LEAF_ROWS = 128
 
 
@@ -40,9 +45,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.where(F.coalesce(finite, F.lit(False)) & F.coalesce(some, F.lit(False))).withColumn("dim", F.size("embedding"))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows scaled by a power of two, so that squares neither overflow nor vanish and no digit changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    # scaled by the largest component first, so that squares neither overflow nor vanish
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -85,7 +94,28 @@ def _cells(directions: dict[int, np.ndarray], eps: float, k: int):
     return project
 
 
-INTERVAL = "interval long, label long, dim int, low array<int>, high array<int>, ids binary, mult binary, cells binary, vectors binary"
+INTERVAL = "interval long, label long, dim int, low array<int>, high array<int>, keys array<long>, ids binary, mult binary, cells binary, vectors binary"
+
+
+def _keys(cells: np.ndarray) -> np.ndarray:
+    """One number for the leading cells; cells of unit vectors are few to either side of 0."""
+    lead = cells[:, :KEY_DIMENSIONS].astype(np.int64)
+    return lead @ (np.int64(1) << (24 * np.arange(lead.shape[1], dtype=np.int64)))
+
+
+def _neighbours() -> list[int]:
+    return [sum(s << (24 * k) if s >= 0 else -(-s << (24 * k)) for k, s in enumerate(step)) for step in product((-1, 0, 1), repeat=KEY_DIMENSIONS)]
+
+
+def _bytes(vectors: np.ndarray) -> bytes:
+    """Doubles, or floats where all of them are floats."""
+    with np.errstate(over="ignore"):
+        short = vectors.astype("<f4")
+    return short.tobytes() if (short == vectors).all() else vectors.astype("<f8").tobytes()
+
+
+def _vectors(data: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, dtype="<f4" if len(data) == 4 * n * dim else "<f8").astype(float).reshape(n, dim)
 
 
 def _pack(rows: int):
@@ -93,8 +123,8 @@ def _pack(rows: int):
 
     def interval(number, part, held):
         ids, mult, cells, vectors = (np.concatenate(x) for x in zip(*held, strict=True))
-        values = [[number], [part[0]], [part[1]], [cells.min(axis=0).tolist()], [cells.max(axis=0).tolist()], [ids.astype("<i8").tobytes()], [mult.astype("<i8").tobytes()], [cells.astype("<i4").tobytes()], [vectors.astype("<f8").tobytes()]]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * 4]
+        values = [[number], [part[0]], [part[1]], [cells.min(axis=0).tolist()], [cells.max(axis=0).tolist()], [np.unique(_keys(cells)).tolist()], [ids.astype("<i8").tobytes()], [mult.astype("<i8").tobytes()], [cells.astype("<i4").tobytes()], [_bytes(vectors)]]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], [c.split()[0] for c in INTERVAL.split(", ")])
 
     def pack(batches):
@@ -143,13 +173,20 @@ def _join_sequences(a: np.ndarray, b: np.ndarray, u: np.ndarray, v: np.ndarray,
 
 
 def _compare(cosine: float):
+    """Compares the intervals of two groups that have to be: each row holds an interval and the later ones it meets."""
+
+    def load(row: dict):
+        ids = np.frombuffer(row["ids"], dtype="<i8")
+        return ids, np.frombuffer(row["mult"], dtype="<i8"), np.frombuffer(row["cells"], dtype="<i4").reshape(len(ids), -1), _scaled(_vectors(row["vectors"], len(ids), row["dim"]))
+
     def compare(table: pa.Table) -> pa.Table:
-        sides = []
-        for row in sorted(table.to_pylist(), key=lambda r: r["interval"]):
-            ids = np.frombuffer(row["ids"], dtype="<i8")
-            sides.append((ids, np.frombuffer(row["mult"], dtype="<i8"), np.frombuffer(row["cells"], dtype="<i4").reshape(len(ids), -1), np.frombuffer(row["vectors"], dtype="<f8").reshape(len(ids), -1)))
-        same = len(sides) == 1
-        (ids_a, mult_a, cells_a, x), (ids_b, mult_b, cells_b, y) = sides[0], sides[-1]
+        rows = {r["interval"]: r for r in table.to_pylist()}
+        sides = {k: load(r) for k, r in rows.items()}
+        out = [pair(sides[k], sides[o], k == o) for k in sorted(rows) for o in sorted(rows[k]["others"] or [])]
+        return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in "abn"})
+
+    def pair(one, other, same: bool) -> pa.Table:
+        (ids_a, mult_a, cells_a, x), (ids_b, mult_b, cells_b, y) = one, other
         found = list(_join_sequences(cells_a, cells_b, _unit(x), _unit(y), cosine, same))
         i, j = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
         exact = []
@@ -180,14 +217,18 @@ def vector_links(classes: DataFrame, cosine: float = COSINE, k: int = DIMENSIONS
     celled = named.mapInArrow(_cells(directions, eps, k), "label long, dim int, first long, mult long, embedding array<double>, cell array<int>")
     ordered = celled.repartitionByRange("label", "dim", "cell", "first").sortWithinPartitions("label", "dim", "cell", "first")
     intervals = stash(ordered.mapInArrow(_pack(rows), INTERVAL))
-    bounds = intervals.select("interval", "label", "dim", "low", "high")
-    a = bounds.select(F.col("interval").alias("a"), "label", "dim", F.col("low").alias("a_low"), F.col("high").alias("a_high"), F.explode(F.expr("sequence(low[0], high[0])")).alias("cell"))
-    b = bounds.select(F.col("interval").alias("b"), "label", "dim", F.col("low").alias("b_low"), F.col("high").alias("b_high"), F.explode(F.expr("sequence(low[0] - 1, high[0] + 1)")).alias("cell"))
+    bounds = intervals.select("interval", "label", "dim", "low", "high", "keys")
+    a = bounds.select(F.col("interval").alias("a"), "label", "dim", F.col("low").alias("a_low"), F.col("high").alias("a_high"), F.explode("keys").alias("cell"))
+    near = F.array_distinct(F.flatten(F.transform("keys", lambda x: F.array(*[x + F.lit(s) for s in _neighbours()]))))
+    b = bounds.select(F.col("interval").alias("b"), "label", "dim", F.col("low").alias("b_low"), F.col("high").alias("b_high"), F.explode(near).alias("cell"))
     meet = F.forall(F.arrays_zip("a_low", "a_high", "b_low", "b_high"), lambda z: (z["a_low"] <= z["b_high"] + 1) & (z["b_low"] <= z["a_high"] + 1))
     pairs = a.join(b, ["label", "dim", "cell"]).where(meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("interval"))
-    loaded = sides.join(intervals.select("interval", "ids", "mult", "cells", "vectors"), "interval")
-    return loaded.groupBy("a", "b").applyInArrow(_compare(cosine), "a long, b long, n long")
+    # an interval goes once to each pair of groups in which it meets others, at most 2 * GROUP intervals
+    group = lambda c: F.floor(F.col(c) / GROUP)
+    sides = pairs.select(group("a").alias("ga"), group("b").alias("gb"), F.explode(F.array(F.struct(F.col("a").alias("interval"), F.col("b").alias("other")), F.struct(F.col("b").alias("interval"), F.lit(None).cast("long").alias("other")))).alias("s"))
+    sides = sides.groupBy("ga", "gb", F.col("s.interval").alias("interval")).agg(F.collect_set("s.other").alias("others"))
+    loaded = sides.join(intervals.select("interval", "dim", "ids", "mult", "cells", "vectors"), "interval")
+    return loaded.groupBy("ga", "gb").applyInArrow(_compare(cosine), "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, k: int = DIMENSIONS, rows: int = INTERVAL_ROWS) -> DataFrame:
