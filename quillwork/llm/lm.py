@@ -2,9 +2,10 @@
 
 A bigram model with Dirichlet smoothing by the unigram model p1(w) = (c(w) + 0.1) / Z, Z = N + 0.1 (V + 1):
 
-    p(w | v) = (c(v w) + K p1(w)) / (c(v) + K)
+    p(w | v) = (c(v w) + K(v) p1(w)) / (c(v) + K(v))
 
-Its logarithm splits into a part of the pair, log10(c(v w) + K p1(w)), and a part of the context, log10(c(v) + K). Every word of
+K(v) is the context's own count, within LEAST and MOST, for the HEAD most frequent words, whose counts every task knows, and RARE
+for all others. Its logarithm splits into a part of the pair, log10(c(v w) + K(v) p1(w)), and a part of the context. Every word of
 a text is the context of one token, so both parts can be summed where the word's own counts are: the trie holds words and, under
 each, the words before it. A shard has the words of one hash range with all their contexts. Documents' tokens go once to their
 shards, which count, build the trie and answer from it; only sums come back. Frequent words are spread over all shards by their
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import id_remainder, stash, words_of
 from .eliasfano import KEY_BITS, Trie
 
-CONCENTRATION = 1000.0
+#: Concentrations: measured on held-out texts, contexts seen n times do best near K = n, from 10 to 1000.
+HEAD, LEAST, MOST, RARE = 50_000, 10.0, 1000.0, 30.0
 SHARD_TOKENS = 4_000_000
 CHUNK_BYTES = 4 << 20
 #: No word contains a space, so these never equal one.
@@ -34,6 +36,23 @@ END, START = (xxhash.xxh64_intdigest(s, 0) for s in (b" end", b" start"))
 LOOKUP_ROWS = 1 << 18
 
 
+class Concentration:
+    """K of each context, by the 40 bits that tell contexts apart."""
+
+    def __init__(self, head: dict[int, int], constant: float | None = None):
+        known = sorted({k & ((1 << KEY_BITS) - 1): n for k, n in head.items()}.items()) if constant is None else []
+        self.keys = np.array([k for k, _ in known], dtype=np.uint64)
+        self.values = np.clip(np.array([n for _, n in known], dtype=float), LEAST, MOST)
+        self.rare = RARE if constant is None else constant
+
+    def of(self, contexts: np.ndarray) -> np.ndarray:
+        keys = contexts & np.uint64((1 << KEY_BITS) - 1)
+        if not len(self.keys):
+            return np.full(len(keys), self.rare)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], self.rare)
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in words), dtype=np.uint64, count=len(words))
 
@@ -118,11 +137,9 @@ class _Chunk:
         shard, w, v, doc, times = (a[order] for a in (shard, w, v, doc, times))
         train = np.packbits(np.array(self.train, dtype=np.uint8), bitorder="little")
         home = number % shards
-        cuts = np.searchsorted(shard, np.arange(shards + 1))
-        for s in range(shards):
-            a, b = cuts[s], cuts[s + 1]
-            if a == b and s != home:
-                continue
+        # the shards of the chunk's own words, however many there are in all
+        for s in np.union1d(shard, [home]).tolist():
+            a, b = np.searchsorted(shard, [s, s + 1])
             x, y = w[a:b], v[a:b]
             new_w = np.r_[True, x[1:] != x[:-1]][: len(x)]
             new_p = new_w | np.r_[True, y[1:] != y[:-1]][: len(x)]
@@ -162,7 +179,7 @@ def _send(shards: int, frequent: np.ndarray):
 class _Shard:
     """Counts of one shard over all its payloads."""
 
-    def __init__(self, payloads: list[bytes], total: float, frequent: dict[int, int], concentration: float):
+    def __init__(self, payloads: list[bytes], total: float, frequent: dict[int, int], concentration: Concentration):
         self.z, self.k = total, concentration
         self.parts = [_unpack(p, *PAYLOAD) for p in payloads]
         keys, words, pair_word, sums = [], [], [], []
@@ -185,26 +202,26 @@ class _Shard:
                 self.word_n[i] = n
 
     def trie(self) -> Trie:
-        """Words seen in training and their contexts seen in training: log10 p1, log10(c + K), and log10(c(v w) + K p1)."""
+        """Words seen in training and their contexts seen in training: log10 p1, log10(c + K), and log10(c(v w) + K(v) p1)."""
         known = np.flatnonzero(self.word_n > 0)
         rank = np.full(len(self.words), -1)
         rank[known] = np.arange(len(known))
         own = np.flatnonzero(self.pair_n > 0)
         c, p1 = self.word_n[known], (self.word_n + 0.1) / self.z
-        return Trie.build(self.words[known], [np.log10(p1[known]), np.log10(c + self.k)], rank[self.owner[own]], self.pairs[own] & np.uint64((1 << KEY_BITS) - 1), np.log10(self.pair_n[own] + self.k * p1[self.owner[own]]))
+        return Trie.build(self.words[known], [np.log10(p1[known]), np.log10(c + self.k.of(self.words[known]))], rank[self.owner[own]], self.pairs[own] & np.uint64((1 << KEY_BITS) - 1), np.log10(self.pair_n[own] + self.k.of(self.pairs[own]) * p1[self.owner[own]]))
 
     def answers(self, trie: Trie):
         """For each payload: documents, and sums of known tokens, of log10(c + 0.1), and of the model's parts."""
         rank, there = trie.find(self.words)
         p1 = trie._value(0, rank, there, np.full(len(rank), np.log10(0.1 / self.z)))
-        context = trie._value(1, rank, there, np.full(len(rank), np.log10(self.k)))
+        context = trie._value(1, rank, there, np.log10(self.k.of(self.words)))
         context[self.words == np.uint64(END)] = 0.0
         model = np.empty(len(self.pairs))
         for at in range(0, len(self.pairs), LOOKUP_ROWS):
             own = slice(at, at + LOOKUP_ROWS)
             o = self.owner[own]
             place, found = trie.find_children(rank[o], there[o], self.pairs[own] & np.uint64((1 << KEY_BITS) - 1))
-            model[own] = trie._value(2, place, found, np.log10(self.k) + p1[o]) - context[o]
+            model[own] = trie._value(2, place, found, np.log10(self.k.of(self.pairs[own])) + p1[o]) - context[o]
         base, known, at = np.log10(self.word_n + 0.1), self.word_n > 0, 0
         for _, _, _, per_pair, doc, times, _, named, ids, sizes in self.parts:
             pair = np.repeat(self.pair_of[at : at + len(per_pair)], per_pair)
@@ -218,7 +235,7 @@ class _Shard:
 ANSWER = ("<u4", "<u4", "<f8", "<f8", "u1", "<i8", "<u4")
 
 
-def _answer(total: float, frequent: dict[int, int], concentration: float):
+def _answer(total: float, frequent: dict[int, int], concentration: Concentration):
     def answer(table: pa.Table) -> pa.Table:
         shard = _Shard(table.column("payload").to_pylist(), total, frequent, concentration)
         with tempfile.TemporaryFile() as f:
@@ -239,19 +256,21 @@ def _gather(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=named == 0), "n_tokens": sizes.astype(np.int64), "n_known": np.rint(sums[0]).astype(np.int64), "base": sums[1], "model": sums[2]})
 
 
-def _prepared(docs: DataFrame, shard_tokens: int):
-    """Rows with their train flag; N, V, training texts, number of shards, and frequent tokens with their counts."""
+def _prepared(docs: DataFrame, shard_tokens: int, constant: float | None):
+    """Rows with their train flag; N, V, number of shards, frequent tokens with their counts, and contexts' concentrations."""
     rows = docs.select(F.col("doc_id").cast("long"), (id_remainder("doc_id", 10) != 0).alias("train"), "text")
     counts = stash(token_counts(rows))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     shards = max(1, -(-n // shard_tokens))
     frequent = {r.token & (2**64 - 1): r.n for r in counts.where(F.col("n") * (2 * shards) > n).collect()}
-    return rows, n, v, shards, frequent
+    head = {r.token & (2**64 - 1): r.n for r in counts.orderBy(F.desc("n"), "token").limit(HEAD if constant is None else 0).collect()}
+    return rows, n, v, shards, frequent, Concentration(head, constant)
 
 
-def shard_tries(docs: DataFrame, concentration: float = CONCENTRATION, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """shard and trie (bytes for `Trie.mapped`, or for a file to map): the model of docs' training rows."""
-    rows, n, v, shards, frequent = _prepared(docs, shard_tokens)
+def shard_tries(docs: DataFrame, constant: float | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """shard and trie (bytes for `Trie.mapped`, or for a file to map): the model of docs' training rows. A constant is the
+    concentration of every context."""
+    rows, n, v, shards, frequent, concentration = _prepared(docs, shard_tokens, constant)
     total = n + 0.1 * (v + 1)
 
     def build(table: pa.Table) -> pa.Table:
@@ -262,14 +281,14 @@ def shard_tries(docs: DataFrame, concentration: float = CONCENTRATION, shard_tok
     return sent.groupBy("shard").applyInArrow(build, "shard long, trie binary")
 
 
-def score_texts(docs: DataFrame, concentration: float = CONCENTRATION, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def score_texts(docs: DataFrame, constant: float | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, over its whole text.
 
     Rows with crc32(doc_id as text) mod 10 = 0 are held out: the model never counts them. score is the model's log10 probability
-    of the text with its end. A null text counts as empty: one token, its end. Null and repeated doc_ids keep their rows; without
+    of the text with its end; a constant is the concentration of every context. A null text counts as empty: one token, its end. Null and repeated doc_ids keep their rows; without
     training rows all counts are 0. An empty table gives no rows; further columns are ignored.
     """
-    rows, n, v, shards, frequent = _prepared(docs, shard_tokens)
+    rows, n, v, shards, frequent, concentration = _prepared(docs, shard_tokens, constant)
     total = n + 0.1 * (v + 1)
     texts = frequent.get(END)
     sent = rows.mapInArrow(_send(shards, np.array(sorted(frequent), dtype=np.uint64)), "shard long, chunk long, payload binary")
@@ -278,5 +297,5 @@ def score_texts(docs: DataFrame, concentration: float = CONCENTRATION, shard_tok
     if texts is None:
         texts = rows.where("train").count()
     base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(total)))
-    score = F.col("model") - F.lit(float(np.log10(texts + concentration)))
+    score = F.col("model") - F.lit(float(np.log10(texts + concentration.of(np.array([START], dtype=np.uint64))[0])))
     return sums.select("doc_id", (id_remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
