@@ -57,6 +57,11 @@ def small(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+def as_rows(docs: DataFrame) -> DataFrame:
+    """docs as one column `row`: its columns may have any name and type, and meet no other."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def tree_sum(partials: DataFrame, columns: list[str], fan_in: int = 32) -> dict[str, np.ndarray]:
     """Sums of array<double> columns over all rows (one row per task, say): two levels, at most fan_in rows reach the driver.
 

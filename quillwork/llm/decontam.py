@@ -2,13 +2,13 @@
 
 Words are the symbols. The CGK embedding walks a sequence: at step t it emits the current symbol and moves on if a random bit of
 (t, symbol) says so, which maps a small edit distance to a small Hamming distance. A document window is embedded from its start
-with the same bits as the items; bit-sampling LSH compares a few sampled steps. Repetitions with fresh bits are added until the
-recall measured on edited copies of the items reaches the target. Candidates are then verified by exact edit distance.
+with the same bits as the items, and bit-sampling LSH buckets it by a few sampled steps. Repetitions with fresh bits are added
+until the recall measured on edited copies of the items reaches the target. What shares a bucket is verified by exact edit
+distance.
 """
 
 from __future__ import annotations
 
-import math
 import random
 import re
 from collections import defaultdict
@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import as_rows, small
 
 EDITS = 0.2
 BITS = 2
-RECALL = 0.97
+RECALL = 0.98
+#: Edited copies of a class's items on which its recall is measured, at least.
+TRIALS = 400
 #: Items that one pass over the documents carries; more items take more passes, in blocks by a hash of the item.
 BLOCK_ITEMS = 20_000
 EDGES = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
@@ -67,14 +69,19 @@ class Vocabulary(dict):
 class Index:
     """LSH tables of a block of items, by classes of similar length.
 
-    Windows are embedded only where they can match at all. Of an item's k + 1 equal pieces, k edits leave one whole, so a window
-    within k edits starts at most k words from where a piece that the text contains says; and it must have enough words of
-    items. Both tests lose no match.
+    A table has the items' keys: their CGK walks at a few sampled steps. A window of a class's size is walked with the table's
+    bits and looked up by its key; windows that share a key with an item in any of the class's tables are verified against it.
+    Tables are added until the share of edited copies of items that some table finds reaches `recall`; `recalls` tells what each
+    class got.
+
+    With `spare`, windows are walked only where they can match some item of the class at all. Of an item's k + 1 equal pieces, k
+    edits leave one whole, so a window within k edits starts at most k words from where a piece that the text contains says, and
+    it must have enough words of items. Both tests lose no match and name no item. Without it every window is walked.
     """
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], edits: float = EDITS, bits: int = BITS, recall: float = RECALL, seed: int = 11):
+    def __init__(self, items: list[tuple[int, list[bytes]]], edits: float = EDITS, bits: int = BITS, recall: float = RECALL, spare: bool = True, seed: int = 11):
         items = sorted((i, w) for i, w in items if w)
-        self.edits, self.bits, self.rng = edits, bits, np.random.default_rng(seed)
+        self.edits, self.bits, self.spare, self.rng = edits, bits, spare, np.random.default_rng(seed)
         self.normal = {w: k for k, w in enumerate(sorted({w for _, words in items for w in words}), 1)}
         self.ids = [i for i, _ in items]
         self.items = [np.array([self.normal[w] for w in words], dtype=np.int32) for _, words in items]
@@ -86,32 +93,30 @@ class Index:
             if not groups or len(self.items[k]) > 1.25 * len(self.items[groups[-1][0]]):
                 groups.append([])
             groups[-1].append(k)
-        self.classes = []
-        pieces: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.classes, self.recalls = [], []
+        #: By length of pieces: where pieces with a hash stand in a class's items, each place once however many items have it.
+        places: dict[int, dict[int, set[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(set))
         for number, group in enumerate(groups):
             short = len(self.items[group[0]])
             needed = short - int(edits * short)
             # steps whose place in the text is, as a rule, before the end of every item of the class; where no edit is allowed a
             # copy has to get the item's key for sure, and a walk of fewer steps than words cannot pass the end
             c = {"items": group, "steps": max(bits, 2 * needed - 2) if needed < short else short, "tables": []}
-            share = self._share(c, random.Random(seed + number))
-            for _ in range(max(1, math.ceil(math.log(1 - recall) / math.log(1 - share)) if share < 1 else 1)):
-                c["tables"].append(self._table(c))
+            c["most"] = max(map(self._most, group))
+            c["least"], c["size"] = min(len(self.items[k]) - self._most(k) for k in group), max(len(self.items[k]) + self._most(k) for k in group)
+            self.recalls.append(self._fill(c, random.Random(seed + number), recall))
             self.classes.append(c)
             for k in group:
                 item = self.items[k]
                 cuts = np.linspace(0, len(item), self._most(k) + 2).astype(int)
                 for o, e in zip(cuts[:-1], cuts[1:], strict=True):
-                    pieces[int(e - o)][int(self._grams(item[o:e], int(e - o))[0])].append((k, int(o)))
-        #: By length: sorted hashes of pieces, and for each hash its (item, offset) rows from a start on.
+                    places[int(e - o)][int(self._grams(item[o:e], int(e - o))[0])].add((number, int(o), self._most(k)))
+        #: By length: sorted hashes of pieces, and for each hash its (class, offset, edits) rows from a start on.
         self.pieces = []
-        for size, found in sorted(pieces.items()):
+        for size, found in sorted(places.items()):
             keys = np.array(sorted(found), dtype=np.uint64)
-            rows = [found[int(h)] for h in keys]
-            self.pieces.append((size, keys, np.cumsum([0] + [len(r) for r in rows]), np.array([x for r in rows for x in r], dtype=np.int64).reshape(-1, 2)))
-        self.class_of = np.zeros(len(items), dtype=np.int64)
-        for number, group in enumerate(groups):
-            self.class_of[group] = number
+            rows = [sorted(found[int(h)]) for h in keys]
+            self.pieces.append((size, keys, np.cumsum([0] + [len(r) for r in rows]), np.array([x for r in rows for x in r], dtype=np.int64).reshape(-1, 3)))
         self.rng = None
 
     def _most(self, k: int) -> int:
@@ -130,9 +135,9 @@ class Index:
         steps = np.sort(self.rng.choice(c["steps"], min(self.bits, c["steps"]), replace=False))
         return self.rng.integers(1, 2**63, int(steps[-1]) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1), steps
 
-    def walk(self, sequence: np.ndarray, starts: np.ndarray, multipliers: np.ndarray, steps: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
-        """Keys after each sampled step (rows) of the walk from each start. With wanted keys, of the same form, the numbers of
-        the starts whose keys are all as wanted; the others are dropped on the way. A walk stays at the end of its text."""
+    def walk(self, sequence: np.ndarray, starts: np.ndarray, multipliers: np.ndarray, steps: np.ndarray, known: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Keys after each sampled step (rows) of the walk from each start, and the numbers of the starts. With the known keys of
+        each sampled step, sorted, starts whose key nobody has are dropped on the way. A walk stays at the end of its text."""
         at, key, sampled = starts.copy(), np.zeros(len(starts), dtype=np.uint64), 0
         left, keys = np.arange(len(starts)), []
         for t, m in enumerate(multipliers):
@@ -140,45 +145,58 @@ class Index:
             symbol = self.symbols[here]
             if t == steps[sampled]:
                 key = (key ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
-                keys.append(key)
-                if wanted is not None:
-                    keep = key == wanted[sampled][left]
+                if known is None:
+                    keys.append(key)
+                else:
+                    own = known[sampled]
+                    keep = own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key
                     left, at, key, symbol, here = left[keep], at[keep], key[keep], symbol[keep], here[keep]
                     if not len(left):
                         break
                 sampled += 1
             at += ((symbol * m) >> np.uint64(63)).astype(at.dtype) * (here != self.end)
-        return np.array(keys) if wanted is None else left
+        return np.array(keys) if known is None else key, left
 
     def _sequence(self, words: np.ndarray) -> np.ndarray:
         return np.append(words, self.end).astype(np.int32)
 
-    def _table(self, c: dict) -> dict:
-        multipliers, steps = self._draw(c)
-        keys = np.zeros((len(steps), len(self.items)), dtype=np.uint64)
-        for k in c["items"]:
-            keys[:, k] = self.walk(self._sequence(self.items[k]), np.zeros(1, dtype=np.int64), multipliers, steps)[:, 0]
-        return {"multipliers": multipliers, "steps": steps, "keys": keys}
-
-    def _share(self, c: dict, rng: random.Random, trials: int = 240) -> float:
-        """The share of repetitions in which an item and a copy with the most edits allowed get the same key."""
-        same, zero = 0, np.zeros(1, dtype=np.int64)
-        for _ in range(trials):
-            item = self.items[rng.choice(c["items"])]
+    def _keys(self, sequences: list[np.ndarray], table: dict) -> np.ndarray:
+        """The keys after each sampled step (rows) of whole sequences."""
+        whole = np.concatenate([self._sequence(x) for x in sequences])
+        sizes = np.array([len(x) + 1 for x in sequences])
+        return self.walk(whole, np.cumsum(sizes) - sizes, table["multipliers"], table["steps"])[0]
+
+    def _fill(self, c: dict, rng: random.Random, recall: float) -> float:
+        """Adds tables to a class until they find the share `recall` of copies with the most edits allowed; returns the share."""
+        originals, copies = [], []
+        for n in range(max(TRIALS, len(c["items"]))):
+            item = self.items[c["items"][n % len(c["items"])]]
             copy = list(item)
             for _ in range(int(self.edits * len(item))):
                 k, kind = rng.randrange(len(copy)), rng.randrange(3)
                 copy[k : k + 1] = [[0], [], [0, copy[k]]][kind]
                 copy = copy or [0]
+            originals.append(item)
+            copies.append(np.array(copy))
+        found = np.zeros(len(copies), dtype=bool)
+        while not c["tables"] or found.mean() < recall:
             multipliers, steps = self._draw(c)
-            a, b = (self.walk(self._sequence(np.array(x)), zero, multipliers, steps)[-1, 0] for x in (item, copy))
-            same += int(a == b)
-        return min(1.0, max(same, 8) / trials)
-
-    def _candidates(self, words: np.ndarray, first: np.ndarray, last: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and items of windows that can match; first, last: the bounds of each position's text."""
-        starts, items = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for size, keys, begins, rows in self.pieces:
+            table = {"multipliers": multipliers, "steps": steps}
+            keys = self._keys([self.items[k] for k in c["items"]], table)
+            order = np.argsort(keys[-1], kind="stable")
+            table |= {"known": [np.unique(row) for row in keys], "keys": keys[-1][order], "items": np.array(c["items"])[order]}
+            c["tables"].append(table)
+            a, b = (self._keys(x, table)[-1] for x in (originals, copies))
+            found |= a == b
+        return float(found.mean())
+
+    def _windows(self, words: np.ndarray, first: np.ndarray, last: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and classes of the windows to walk; first, last: the bounds of each position's text."""
+        starts, classes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        if not self.spare:
+            own = np.flatnonzero(np.arange(len(words)) < last)
+            starts, classes = [np.tile(own, len(self.classes))], [np.repeat(np.arange(len(self.classes)), len(own))]
+        for size, keys, begins, rows in self.pieces if self.spare else ():
             # only runs of words that items have
             at = np.flatnonzero(total[size:] - total[:-size] == size) if len(words) >= size else np.zeros(0, dtype=np.int64)
             if not len(at):
@@ -189,21 +207,19 @@ class Index:
             at, found = at[hit], found[hit]
             n = begins[found + 1] - begins[found]
             at, row = np.repeat(at, n), np.repeat(begins[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            k, offset = rows[row, 0], rows[row, 1]
-            most = np.array([self._most(i) for i in range(len(self.items))])[k]
+            number, offset, most = rows[row].T
             n = 2 * most + 1
             shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) - np.repeat(most, n)
-            start, k, at = np.repeat(at - offset, n) + shift, np.repeat(k, n), np.repeat(at, n)
+            start, number, at = np.repeat(at - offset, n) + shift, np.repeat(number, n), np.repeat(at, n)
             keep = (start >= first[at]) & (start < last[at])
             starts.append(start[keep])
-            items.append(k[keep])
-        pair = np.unique(np.concatenate(starts) * len(self.items) + np.concatenate(items))
-        start, k = np.divmod(pair, len(self.items))
-        size = np.array([len(i) for i in self.items])[k]
-        most = np.array([self._most(i) for i in range(len(self.items))])[k]
-        to = np.minimum(start + size + most, last[start]) if len(start) else start
-        enough = total[to] - total[start] >= size - most
-        return start[enough], k[enough]
+            classes.append(number[keep])
+        start, number = np.divmod(np.unique(np.concatenate(starts) * len(self.classes) + np.concatenate(classes)), len(self.classes))
+        if self.spare and len(start):
+            size, least = (np.array([c[k] for c in self.classes])[number] for k in ("size", "least"))
+            enough = total[np.minimum(start + size, last[start])] - total[start] >= least
+            start, number = start[enough], number[enough]
+        return start, number
 
     def match_many(self, texts: list[bytes | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item_id, first word, end word, distance): the best window of each item that the whole text contains."""
@@ -230,21 +246,23 @@ class Index:
         owner = np.repeat(np.arange(len(texts)), sizes)
         first, last = begins[owner], (begins + sizes - 1)[owner]
         total = np.concatenate([[0], np.cumsum((sequence > 0) & (sequence < self.end))])
-        starts, items = self._candidates(sequence, first, last, total)
+        starts, numbers = self._windows(sequence, first, last, total)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for number, c in enumerate(self.classes):
-            own = np.flatnonzero(self.class_of[items] == number)
-            near = np.zeros(len(own), dtype=bool)
+            own, pairs = starts[numbers == number], [np.zeros(0, dtype=np.int64)]
             for t in c["tables"]:
-                # windows found by an earlier repetition need no other
-                rest = np.flatnonzero(~near)
-                near[rest[self.walk(sequence, starts[own[rest]], t["multipliers"], t["steps"], t["keys"][:, items[own[rest]]])]] = True
-            for s, k in zip(starts[own[near]].tolist(), items[own[near]].tolist(), strict=True):
+                key, left = self.walk(sequence, own, t["multipliers"], t["steps"], t["known"])
+                # all items of the window's bucket
+                lo, hi = np.searchsorted(t["keys"], key), np.searchsorted(t["keys"], key, side="right")
+                n = hi - lo
+                item = t["items"][np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                pairs.append(np.unique(np.repeat(own[left], n) * len(self.items) + item))
+            for s, k in zip(*(x.tolist() for x in np.divmod(np.unique(np.concatenate(pairs)), len(self.items))), strict=True):
                 item, doc, most = self.items[k], int(owner[s]), self._most(k)
                 if best.get((doc, k), (1,))[0] == 0:
                     continue
                 window = sequence[s : min(s + len(item) + most, int(last[s]))]
-                if (d := prefix_distance(item, window, most)) is not None:
+                if int((window > 0).sum()) >= len(item) - most and (d := prefix_distance(item, window, most)) is not None:
                     found = (d[0], s - int(begins[doc]), s - int(begins[doc]) + d[1])
                     best[doc, k] = min(best.get((doc, k), found), found)
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
@@ -256,13 +274,13 @@ class Index:
         return self.match_many([text])[0]
 
 
-def indexes(items: DataFrame, edits: float = EDITS, bits: int = BITS, recall: float = RECALL, block_items: int = BLOCK_ITEMS):
+def indexes(items: DataFrame, edits: float = EDITS, bits: int = BITS, recall: float = RECALL, block_items: int = BLOCK_ITEMS, spare: bool = True):
     """One index for each block of items (item_id, text): the number of items is counted first, a block is collected at a time."""
     named = items.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text"))
     blocks = max(1, -(-named.count() // block_items))
     for block in range(blocks):
         own = named.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        yield Index([(r.item_id, normal_words(r.text.encode()) if r.text else []) for r in own], edits, bits, recall)
+        yield Index([(r.item_id, normal_words(r.text.encode()) if r.text else []) for r in own], edits, bits, recall, spare)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -287,13 +305,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs, whole, that contain no item in the sense of `find_leaks`."""
-    at = docs.columns.index("text")
+    """The rows of docs, whole, that contain no item in the sense of `find_leaks`. Rows with null or empty texts stay, as do all
+    rows where items is empty; repeated rows and null doc_ids are each judged by their text; columns may have any name and type."""
+    kept = as_rows(docs)
     for index in indexes(items, **options):
 
         def keep(batches, index=index):
             for batch in small(batches, 2048):
-                yield batch.filter(pa.array([not m for m in index.match_many(batch.column(at).cast(pa.binary()).to_pylist())], pa.bool_()))
+                yield batch.filter(pa.array([not m for m in index.match_many(batch.column(0).field("text").cast(pa.binary()).to_pylist())], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+        kept = kept.mapInArrow(keep, kept.schema)
+    return kept.select("row.*")
