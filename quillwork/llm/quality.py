@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning with a non-negative unbiased risk.
 
 Trusted positives are training documents labelled good; all documents are the unlabelled web text. The model is additive over
-hat functions of text statistics, g(x) = w . phi(x), with squared loss, so that the risk is a function of moments alone:
+hat functions of text statistics and shares of hashed words, g(x) = w . phi(x), with squared loss, so that the risk is a function of moments alone:
 
     R(w) = pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)]),   l(z) = (1 - z)^2 / 4
 
@@ -11,14 +11,16 @@ E_p and E_u need only means and second moments of phi, which Spark sums over all
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, small, stash, tree_sum
+from .common import as_rows, id_remainder, small, stash, tree_sum
 
 #: Knots of each statistic's hat functions.
 KNOTS = {
@@ -39,13 +41,21 @@ KNOTS = {
     "odd_ends": (0.0, 0.05, 0.15, 0.4, 0.9),
     "capital_starts": (0.0, 0.05, 0.15, 0.4, 0.9),
 }
-WIDTH = 1 + sum(len(k) - 1 for k in KNOTS.values())
+#: Buckets of hashed words.
+WORDS = 64
+VALUES = len(KNOTS) + WORDS
+WIDTH = 1 + sum(len(k) - 1 for k in KNOTS.values()) + WORDS
 RIDGE = 1e-3
 MOMENTS = "n_p array<double>, sum_p array<double>, outer_p array<double>, n_u array<double>, sum_u array<double>, outer_u array<double>"
 
 
+@lru_cache(200_000)
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORDS
+
+
 def statistics(text: str) -> list[float]:
-    """The statistics of KNOTS over the whole text; an empty text has zeros."""
+    """The statistics of KNOTS and the shares of each bucket's words over the whole text; an empty text has zeros."""
     n = max(1, len(text))
     words = text.split()
     m = max(1, len(words))
@@ -54,6 +64,9 @@ def statistics(text: str) -> list[float]:
     pairs = Counter(zip(words, words[1:], strict=False))
     of = lambda chars: sum(map(text.count, chars)) / n
     letters = sum(map(len, words))
+    shares = [0.0] * WORDS
+    for w, c in counts.items():
+        shares[_bucket(w) if len(w) <= 64 else 0] += c / m
     return [
         math.log1p(len(words)),
         sum(map(str.isupper, words)) / m,
@@ -71,18 +84,19 @@ def statistics(text: str) -> list[float]:
         sum(len(w) <= 2 for w in words) / m,
         sum(not w[-1].isalnum() for w in words) / m,
         sum(w[0].isupper() for w in words) / m,
+        *shares,
     ]
 
 
 def all_statistics(texts: list[str | None]) -> np.ndarray:
     """A row of statistics for each text. A null text counts as empty."""
-    return np.array([statistics(t or "") for t in texts]).reshape(len(texts), len(KNOTS))
+    return np.array([statistics(t or "") for t in texts]).reshape(len(texts), VALUES)
 
 
 def features(values: np.ndarray) -> np.ndarray:
-    """phi of each row of statistics: 1 and the hat functions of each statistic but its first."""
+    """phi of each row of statistics: 1, the hat functions of each statistic but its first, and roots of shares."""
     out = [np.ones((len(values), 1))]
-    for column, knots in zip(values.T, KNOTS.values(), strict=True):
+    for column, knots in zip(values.T[: len(KNOTS)], KNOTS.values(), strict=True):
         k = np.asarray(knots)
         x = np.clip(column, k[0], k[-1])
         at = np.clip(np.searchsorted(k, x, side="right") - 1, 0, len(k) - 2)
@@ -91,20 +105,20 @@ def features(values: np.ndarray) -> np.ndarray:
         hats[np.arange(len(x)), at] = 1 - part
         hats[np.arange(len(x)), at + 1] += part
         out.append(hats[:, 1:])
-    return np.hstack(out)
+    return np.hstack([*out, np.sqrt(values[:, len(KNOTS) :])])
 
 
 def _rows(stats: pa.Array) -> np.ndarray:
-    return np.asarray(stats.flatten(), dtype=float).reshape(len(stats), len(KNOTS))
+    return np.asarray(stats.flatten(), dtype=float).reshape(len(stats), VALUES)
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out and stats (16 numbers) of every row: all that training and scoring need of a text."""
+    """doc_id, held_out and stats (80 numbers) of every row: all that training and scoring need of a text."""
 
     def compute(batches):
         for batch in small(batches):
             values = all_statistics(batch.column(2).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, len(KNOTS), dtype=np.int32)), pa.array(values.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, VALUES, dtype=np.int32)), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "held_out", "stats"])
 
     rows = docs.select(F.col("doc_id").cast("long"), (id_remainder("doc_id", 3) == 1).alias("held_out"), "text")
@@ -176,7 +190,9 @@ def train(stats: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Weights and class prior from the statistics of all rows (unlabelled) and of those that `trusted` names (positives). The
     join with labels moves statistics, not texts."""
     good = trusted(labels).select("doc_id", F.lit(True).alias("positive"))
-    rows = stats.join(good, "doc_id", "left").select("positive", "stats")
+    # rows without an id are unlabelled by themselves: the join would gather them in one task
+    named = stats.where("doc_id is not null").join(good, "doc_id", "left").select("positive", "stats")
+    rows = named.unionByName(stats.where("doc_id is null").select(F.lit(None).cast("boolean").alias("positive"), "stats"))
     return fit(tree_sum(rows.mapInArrow(_moments, MOMENTS), [c.split()[0] for c in MOMENTS.split(", ")]))
 
 
@@ -202,12 +218,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, whole, that score 0.5 or more."""
-    weights, _ = train(text_statistics(docs), labels)
-    at = docs.columns.index("text")
+    """The rows of docs, whole, that score 0.5 or more. Null and empty texts are scored as empty texts; repeated rows and null
+    doc_ids are each judged by their text; columns may have any name and type; an empty table gives none."""
+    weights, _ = train(stash(text_statistics(docs)), labels)
+    rows = as_rows(docs)
 
     def keep(batches):
         for batch in small(batches):
-            yield batch.filter(pa.array(scores(all_statistics(batch.column(at).to_pylist()), weights) >= 0.5))
+            yield batch.filter(pa.array(scores(all_statistics(batch.column(0).field("text").to_pylist()), weights) >= 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return rows.mapInArrow(keep, rows.schema).select("row.*")
