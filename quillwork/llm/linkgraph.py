@@ -18,6 +18,9 @@ RESTART = 0.15
 TOLERANCE = 1e-6
 ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(1 - RESTART))
 THRESHOLD = 1.0
+#: Names under which two-letter domains register, as in co.uk. Hosts below such a pair are no relatives.
+REGISTRIES = ("ac", "co", "com", "edu", "gob", "gov", "go", "mil", "ne", "net", "nom", "or", "org", "sch")
+SUFFIX = rf"^({'|'.join(REGISTRIES)})\.[a-z]{{2}}$"
 
 
 def with_host_path(pages: DataFrame) -> DataFrame:
@@ -44,13 +47,13 @@ def with_rule(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst, weight: absolute links in the html between different hosts, plus a link each way between a host and its parent
-    domain, that and its parent, and so on down to two labels. Counts are pre-aggregated, so a hot host costs its number of distinct neighbours."""
+    domain, that and its parent, and so on down to two labels, but never to a public suffix such as co.uk. Counts are pre-aggregated, so a hot host costs its number of distinct neighbours."""
     links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)(?:href|src)\s*=\s*[\"']?https?://([^/?#\"'\s>]+)"), F.lit(1))
     found = pages.where(F.col("host") != "").select(F.col("host").alias("src"), F.explode(links).alias("dst")).withColumn("dst", lower_ascii(F.col("dst")))
     found = found.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     labels = pages.where(F.col("host") != "").select("host").distinct().select(F.split("host", r"\.").alias("labels"))
     chain = labels.select(F.explode(F.expr("transform(sequence(1, size(labels)), k -> array_join(slice(labels, k, size(labels) - k + 1), '.'))")).alias("host")).distinct()
-    parent = chain.select("host", F.expr("substring(host, locate('.', host) + 1)").alias("parent")).where(F.col("parent").contains(".") & (F.col("parent") != F.col("host")))
+    parent = chain.select("host", F.expr("substring(host, locate('.', host) + 1)").alias("parent")).where(F.col("parent").contains(".") & (F.col("parent") != F.col("host")) & ~F.col("parent").rlike(SUFFIX))
     up = parent.select(F.col("host").alias("src"), F.col("parent").alias("dst"), F.lit(1.0).alias("weight"))
     down = parent.select(F.col("parent").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("weight"))
     both = reduce(DataFrame.unionByName, [found, up, down]).where("src != dst")
