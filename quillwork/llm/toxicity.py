@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder
+from .common import id_remainder, stash
 
 BUCKETS = 1 << 21
 GRAMS = (4, 5)
@@ -57,17 +57,24 @@ class Hasher:
         return np.array(sorted(out), dtype=np.int32)
 
 
-def choose_terms(rows: list[np.ndarray], y: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """The buckets whose presence depends most on the class, by chi-squared; ties by bucket."""
-    counts = [np.bincount(np.concatenate([r for r, c in zip(rows, y, strict=True) if c == k] or [np.zeros(0, int)]), minlength=BUCKETS) for k in (0, 1)]
-    n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
-    a, b = counts[1].astype(float), counts[0].astype(float)
-    both = a + b
-    used = np.flatnonzero(both >= 3)
-    n, c, d = n0 + n1, n1 - a[used], n0 - b[used]
-    chi = n * (a[used] * d - b[used] * c) ** 2 / np.maximum(1e-9, both[used] * (c + d) * n1 * n0)
-    order = np.lexsort((used, -chi))[:most]
-    return np.sort(used[order])
+def choose_terms(rows: DataFrame, most: int = TERMS) -> np.ndarray:
+    """The buckets whose presence in rows (toxic, terms) depends most on the class, by chi-squared; ties by bucket. Spark counts
+    them, and `most` reach the driver."""
+
+    def flat(batches):
+        for batch in batches:
+            toxic, terms = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            sizes = [len(t) // 4 for t in terms]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(terms), dtype="<i4")), pa.array(np.repeat(toxic, sizes).astype(np.int64))], ["bucket", "toxic"])
+
+    n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    n1, n0 = F.lit(float(n.get(1, 0) or 1)), F.lit(float(n.get(0, 0) or 1))
+    counts = rows.select("toxic", "terms").mapInArrow(flat, "bucket int, toxic long").groupBy("bucket").agg(F.sum("toxic").alias("a"), F.count("*").alias("both")).where("both >= 3")
+    a, both = F.col("a"), F.col("both")
+    rest = (n1 - a) + (n0 - (both - a))
+    chi = (a * (n0 - (both - a)) - (both - a) * (n1 - a)) ** 2 / F.greatest(F.lit(1e-9), both * rest)
+    best = counts.select("bucket", chi.alias("chi")).orderBy(F.desc("chi"), "bucket").limit(most)
+    return np.sort(np.array([r.bucket for r in best.select("bucket").collect()], dtype=int))
 
 
 def _padded(rows: list[np.ndarray], width: int) -> list[np.ndarray]:
@@ -134,8 +141,8 @@ def sample_ids(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine:
-    """A machine fitted on the bounded labelled sample. The sample's ids are broadcast (at most 2 * most), as are its terms
-    collected (the distinct terms of so many texts)."""
+    """A machine fitted on the bounded labelled sample. The sample's ids are broadcast (at most 2 * most); of each sampled document
+    the driver gets the chosen terms that it holds, at most TERMS. Of rows that repeat a doc_id one counts."""
 
     def terms(batches):
         hasher = Hasher()
@@ -144,12 +151,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "toxic", "terms"])
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample_ids(labels, most)), "doc_id").select("doc_id", F.col("toxic").cast("int"), "text")
-    rows = sorted((r.doc_id, bytes(r.terms), r.toxic) for r in chosen.mapInArrow(terms, "doc_id long, toxic int, terms binary").toLocalIterator())
-    hashed, y = [np.frombuffer(t, dtype="<i4") for _, t, _ in rows], np.array([t for _, _, t in rows])
-    wanted = choose_terms(hashed, y) if len(rows) else np.zeros(0, dtype=int)
-    place = np.full(BUCKETS, -1)
+    hashed = chosen.mapInArrow(terms, "doc_id long, toxic int, terms binary")
+    rows = stash(hashed.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("terms").alias("terms")))
+    wanted = choose_terms(rows)
+    place = np.full(BUCKETS, -1, dtype=np.int32)
     place[wanted] = np.arange(len(wanted))
-    return Machine(wanted).fit([(p := place[r])[p >= 0] for r in hashed], y)
+
+    def places(batches):
+        for batch in batches:
+            found = [(p := place[np.frombuffer(t, dtype="<i4")])[p >= 0].astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "toxic", "terms"])
+
+    kept = sorted((r.doc_id, bytes(r.terms), r.toxic) for r in rows.mapInArrow(places, "doc_id long, toxic int, terms binary").toLocalIterator())
+    return Machine(wanted).fit([np.frombuffer(t, dtype="<i4").astype(np.int64) for _, t, _ in kept], np.array([t for _, _, t in kept]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
