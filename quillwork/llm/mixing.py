@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The columns that mixing adds.
+COLUMNS = ("mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position")
 OTHER = "(other)"
 BLOCK_ROWS = 64
 SLICES = 1024
@@ -52,13 +54,21 @@ def mix(docs: DataFrame, shares: Mapping[str, int] = SHARES, block_rows: int = B
 
     No row is dropped, repeated or sampled. Null sources and sources without a share are pooled as OTHER, whose share is that of
     `shares[OTHER]` or else the least; but the `own_streams` largest sources without a share are streams of that share each. Inside a source rows come in a hash order of the key; rows with equal keys stay next to
-    each other. A source's last block may be short. An empty table gives an empty result; other columns pass through.
+    each other. A source's last block may be short. An empty table gives an empty result. Other columns, of any type and name, pass
+    through untouched; a column of docs with the name of one of the six is replaced.
 
     Rows are numbered in `slices` hash slices a source, so that no task holds a whole source. Sizes of slices and the phase and
     slot tables are broadcast: at most (shares + 1) * slices, (shares + 1)^2 and (shares + 1) * sum of shares rows.
     """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in COLUMNS])
+    return _positions(docs, own, shares, block_rows, key, source, slices, own_streams).select("row.*", *COLUMNS)
+
+
+def _positions(docs: DataFrame, row: Column, shares: Mapping[str, int], block_rows: int, key: str, source: str, slices: int, own_streams: int) -> DataFrame:
+    """row and COLUMNS. All that docs has travels in the one column `row`, so its names meet no other."""
     spark = docs.sparkSession
-    shares = dict(shares)
+    docs = docs.select(row.alias("row"), F.col(key).alias("key"), F.col(source).alias("source"))
+    key, source, shares = "key", "source", dict(shares)
     shares.setdefault(OTHER, min(shares.values()))
     if own_streams:
         loose = docs.where(F.col(source).isNotNull() & ~F.col(source).isin(list(shares))).groupBy(source).count()
@@ -84,7 +94,7 @@ def mix(docs: DataFrame, shares: Mapping[str, int] = SHARES, block_rows: int = B
     inside = Window.partitionBy("mix_source", "_slice").orderBy(key, source)
     n = F.row_number().over(inside) - 1 + F.col("_offset")
     block, own = F.col("mix_block"), F.col("mix_block") - F.col("_first")
-    out = rows.withColumn("_o", F.struct(key, source)).join(F.broadcast(offsets), ["mix_source", "_slice"]).withColumn("_n", n).withColumn("mix_block", F.floor(F.col("_n") / block_rows))
+    out = rows.join(F.broadcast(offsets), ["mix_source", "_slice"]).withColumn("_n", n).withColumn("mix_block", F.floor(F.col("_n") / block_rows))
     out = out.join(F.broadcast(span), "mix_source").where((block >= F.col("_first")) & (block < F.col("_end")))
     out = out.withColumn("_i", own % F.col("_share")).join(F.broadcast(take), ["mix_source", "_phase", "_i"])
     out = out.withColumn("mix_slot", F.col("_start") + F.floor(own / F.col("_share")) * F.col("_total") + F.col("_slot"))
@@ -92,9 +102,13 @@ def mix(docs: DataFrame, shares: Mapping[str, int] = SHARES, block_rows: int = B
     lost = sum((F.when(F.col("mix_slot") > at, F.lit(by)).otherwise(F.lit(0)) for at, by in short if by), F.lit(0))
     out = out.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("_n") % block_rows - lost)
     longs = ["mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position"]
-    return out.select(*docs.columns, "mix_source", *[F.col(c).cast("long").alias(c) for c in longs])
+    return out.select("row", "mix_source", *[F.col(c).cast("long").alias(c) for c in longs])
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs in mixed order, with docs' own columns."""
-    return mix(docs, **options).orderBy("mix_position").select(*docs.columns)
+def mixed(docs: DataFrame, shares: Mapping[str, int] = SHARES, block_rows: int = BLOCK_ROWS, key: str = "doc_id", source: str = "source", slices: int = SLICES, own_streams: int = 0) -> DataFrame:
+    """The rows of docs in mixed order, with docs' own columns, whatever their names and types.
+
+    Null and empty texts, null sources, repeated rows and an empty table are as in `mix`: every row stays once.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return _positions(docs, own, shares, block_rows, key, source, slices, own_streams).orderBy("mix_position").select("row.*")
