@@ -26,8 +26,6 @@ SHINGLE = 3
 SEED = 42
 #: Residents of a tile that one task holds; a larger tile is cut by a hash, and visitors go to every cut.
 TILE_ROWS = 1 << 19
-#: No tile has a larger share of evenly spread fingerprints: (12870 / 65536) ** 4.
-TILE_SHARE = 0.0015
 CHUNK_WORDS = 1 << 16
 
 
@@ -124,23 +122,44 @@ def _compare(radius: int):
 
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """a, b: links that connect distinct fingerprints (column fp, each once) exactly as all pairs within the radius do."""
-    cuts = max(1, -(-int(prints.count() * TILE_SHARE) // tile_rows))
     quarters = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("int") for k in range(4)]
     # a count is 0..16; with room for the radius on both sides
     base = 17 + 2 * radius
     code = lambda counts: sum((c + radius) * base**k for k, c in enumerate(counts))
     steps = F.array(*[F.lit(sum(x * base**k for k, x in enumerate(d))) for d in _ahead(radius)])
-    placed = prints.select("fp", code(quarters).cast("long").alias("tile"), F.pmod(F.xxhash64("fp"), F.lit(cuts)).cast("long").alias("cut"))
-    residents = placed.select((F.col("tile") * cuts + F.col("cut")).alias("tile"), F.lit(0).alias("role"), "fp")
-    visitors = placed.withColumn("to", F.explode(steps)).select((F.col("tile") + F.col("to")).alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("at"), "fp")
-    visitors = visitors.select((F.col("tile") * cuts + F.col("at")).alias("tile"), F.lit(1).alias("role"), "fp")
-    both = residents.unionByName(visitors)
-    if cuts > 1:
-        inside = placed.withColumn("at", F.explode(F.expr(f"filter(sequence(0, {cuts - 1}), x -> x > cut)"))).select((F.col("tile") * cuts + F.col("at")).alias("tile"), F.lit(1).alias("role"), "fp")
-        both = both.unionByName(inside)
+    placed = prints.select("fp", code(quarters).cast("long").alias("tile"))
+    placed, cuts_of = with_cuts(placed, tile_rows)
+    placed = placed.withColumn("cut", F.pmod(F.xxhash64("fp"), "cuts"))
+    residents = placed.select("tile", "cut", F.lit(0).alias("role"), "fp")
+    visitors = cuts_of(placed.withColumn("to", F.explode(steps)).select((F.col("tile") + F.col("to")).alias("tile"), "fp"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut")
+    visitors = visitors.select("tile", every, F.lit(1).alias("role"), "fp")
+    # inside a tile that is cut, a row visits the later cuts
+    inside = placed.where("cut < cuts - 1").select("tile", F.explode(F.sequence(F.col("cut") + 1, F.col("cuts") - 1)).alias("cut"), F.lit(1).alias("role"), "fp")
+    both = residents.unionByName(visitors).unionByName(inside).select((F.col("tile") * (1 << 24) + F.col("cut")).alias("tile"), "role", "fp")
     return both.repartition("tile").sortWithinPartitions("tile", "role").mapInArrow(_compare(radius), "a long, b long")
 
 
+#: Large tiles whose cuts are sent to all executors; more of them are joined by a shuffle.
+SENT_TILES = 10_000
+
+
+def with_cuts(rows: DataFrame, tile_rows: float):
+    """rows (tile) with cuts, the number of parts of a tile, so that a part has about tile_rows rows; and a function that adds
+    cuts to other rows with a tile. Only tiles over that size are listed, so the list has at most rows / tile_rows entries."""
+    large = rows.groupBy("tile").count().where(F.col("count") > tile_rows).select("tile", F.ceil(F.col("count") / tile_rows).cast("long").alias("cuts"))
+    large = stash(large)
+    n = large.count()
+
+    def cuts_of(other: DataFrame) -> DataFrame:
+        if not n:
+            return other.withColumn("cuts", F.lit(1).cast("long"))
+        known = F.broadcast(large) if n <= SENT_TILES else large
+        return other.join(known, "tile", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1).cast("long")))
+
+    return cuts_of(rows), cuts_of
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable by links, itself included) of every row.
 
@@ -162,10 +181,21 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     that repeat a doc_id one. Rows with a null doc_id stay."""
     found = near_duplicates(docs, radius, shingle)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
-    named = named.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    return one_of_each(docs, first)
+
+
+def one_of_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs, whole, whose doc_id is in ids (each once), one of those that repeat a doc_id, and all without a doc_id.
+
+    A row travels as one column, so its columns may have any name and type. Which of the rows that repeat a doc_id stays follows
+    from their contents, not from their order.
+    """
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.xxhash64(rest).alias("r"), row)
+    named = rows.join(ids.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    n = F.row_number().over(Window.partitionBy("id").orderBy("h", "r"))
+    return named.withColumn("n", n).where("n = 1").select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 # ---- near-duplicates by shingle similarity: a wide fingerprint of distinct shingles finds candidates, exact counts decide
@@ -306,15 +336,15 @@ def candidate_links(classes: DataFrame, similarity: float = SIMILARITY, across:
     """
     step = -np.log(similarity)
     tiled = classes.where(F.col("size") >= _least_size(similarity)).withColumn("tile", F.floor(F.log("size") / step + 1e-9).cast("long"))
-    most = tiled.groupBy("tile").count().agg(F.max("count")).first()[0] or 0
-    cuts = max(CUTS, -(-most // CUT_ROWS))
-    part = tiled.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(cuts)))
-    others = F.sequence(F.lit(0), F.lit(cuts - 1))
+    tiled, cuts_of = with_cuts(tiled, CUT_ROWS)
+    # a few cuts at least, so that a tile is never one task
+    part = tiled.withColumn("cuts", F.greatest("cuts", F.lit(CUTS))).withColumn("part", F.pmod(F.xxhash64("key"), "cuts"))
+    beside = lambda step: cuts_of(part.drop("cuts").withColumn("own", F.col("tile")).withColumn("tile", F.col("tile") + step)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("cuts", F.lit(CUTS)) - 1)))
     rest = ["key", "grp", "bits"]
     # within a tile a part meets itself and each later part; with the next tile every part meets every part
-    own = part.withColumn("o", F.explode(others)).select("tile", F.lit(0).alias("way"), F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), (F.col("part") > F.col("o")).cast("int").alias("side"), *rest)
-    low = part.withColumn("o", F.explode(others)).select("tile", F.lit(1).alias("way"), F.col("part").alias("i"), F.col("o").cast("long").alias("j"), F.lit(0).alias("side"), *rest)
-    high = part.withColumn("o", F.explode(others)).select((F.col("tile") - 1).alias("tile"), F.lit(1).alias("way"), F.col("o").cast("long").alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), *rest)
+    own = part.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select("tile", F.lit(0).alias("way"), F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), (F.col("part") > F.col("o")).cast("int").alias("side"), *rest)
+    low = beside(1).select(F.col("own").alias("tile"), F.lit(1).alias("way"), F.col("part").alias("i"), F.col("o").alias("j"), F.lit(0).alias("side"), *rest)
+    high = beside(-1).select("tile", F.lit(1).alias("way"), F.col("o").alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), *rest)
     cells = own.unionByName(low).unionByName(high)
     return cells.groupBy("tile", "way", "i", "j").applyInArrow(_candidates(similarity, across), "a long, b long")
 
@@ -378,6 +408,4 @@ def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = SIMI
     further = candidate_links(grouped.join(ends, "key", "left_semi"), similarity, across=True).join(nearest, ["a", "b"], "left_anti").distinct()
     found = components(links.unionByName(by_id(verified(further, sets, similarity))))
     first = classes.select("id").join(found.where("node <> component").select(F.col("node").alias("id")), "id", "left_anti").select(F.col("id").alias("doc_id")).distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
-    kept = named.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    return one_of_each(docs, first)
