@@ -5,13 +5,17 @@ import xxhash
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+#: More names of inside columns, and a type that has no order.
+CLASHES = ("9 as _first", "10 as _offset", "11 as _share", "12 as _slot", "13 as _start", "14 as _phase", "15 as _o", "'z' as mix_source", "16 as mix_block", "17 as mix_position", "18 as row", "19 as key", "20 as id", "21 as cut", "22 as cuts", "map('a', 1) as odd", "23 as `a.b`", "24 as h", "25 as r")
+
+
 def docs(spark, rows, extra=False):
     """rows: (doc_id, text) or (doc_id, text, source)."""
     full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "src1", len(r[1] or "")) for r in rows]
     df = spark.createDataFrame(full, DOCS)
     if extra:
         # names that operators use inside, and some that they give out
-        df = df.selectExpr("*", "1 as shard", "2 as fp", "'x' as score", "3 as tile", "4 as _n", "5 as component_id", "'y' as rule", "6 as _slice", "7 as mix_slot", "8 as n")
+        df = df.selectExpr("*", "1 as shard", "2 as fp", "'x' as score", "3 as tile", "4 as _n", "5 as component_id", "'y' as rule", "6 as _slice", "7 as mix_slot", "8 as n", *CLASHES)
     return df
 
 

@@ -91,7 +91,14 @@ def test_unlisted_sources_get_streams(spark):
 
 def test_mix_of_awkward_rows(spark):
     for extra in (False, True):
-        df = docs(spark, AWKWARD, extra).drop("mix_slot")
-        assert mixing.mix(df, {"src1": 1}).count() == len(AWKWARD)
-        assert mixing.mixed(df).columns == df.columns
+        df = docs(spark, AWKWARD, extra)
+        out = mixing.mix(df, {"src1": 1})
+        rows = out.collect()
+        assert out.columns == [c for c in df.columns if c not in mixing.COLUMNS] + list(mixing.COLUMNS)
+        assert sorted(r.mix_position for r in rows) == list(range(len(AWKWARD))) and {r.mix_source for r in rows} == {"src1"}
+        mixed = mixing.mixed(df)
+        assert mixed.columns == df.columns
+        assert sorted(map(str, mixed.collect())) == sorted(map(str, df.collect()))
+        if extra:
+            assert {(r._n, r._first, r._slice, r["a.b"], r.odd["a"]) for r in rows} == {(4, 9, 6, 23, 1)}
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0

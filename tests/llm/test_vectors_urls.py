@@ -57,6 +57,12 @@ def test_grid_join_equals_brute_force(spark, interval, leaf, monkeypatch):
     assert all(r.kept == (i is not None and r.component_id == i) for i, r in got.items())
 
 
+def test_grid_join_of_huge_and_tiny_components(spark):
+    rows = [(1, [1e308, 1e300], 0), (2, [1.0, 0.0], 0), (3, [1e-310, 0.0], 0), (4, [0.0, 1e-320], 0), (5, [0.0, 1e200], 0)]
+    got = {r.vec_id: r for r in gridjoin.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
+
+
 def test_grid_join_of_an_empty_table(spark):
     assert gridjoin.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -108,6 +114,19 @@ def test_distrust_reaches_those_who_link_to_blocked_hosts(spark):
     assert got[21].trust > 0 and got[10].distrust > 0 and got[22].trust == got[22].distrust == 0
 
 
+def test_default_threshold_blocks_those_who_feed_blocked_hosts(spark):
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    rows = [(i, f"http://bad{i}.net/", "") for i in range(3)] + [(10, "http://farm.example/", "".join(link(f"bad{j}.net") for j in range(3)))]
+    rows += [(20 + i, f"http://good{i}.org/fr/", link(f"good{(i + 1) % 9}.org")) for i in range(9)] + [(40, "http://friend.example/", link("good1.org"))]
+    got = {r.page_id: r.verdict for r in linkgraph.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[10] == "block" and got[40] == "allow" and all(got[20 + i] == "allow" for i in range(9))
+
+
+def test_public_suffixes_join_nobody(spark):
+    pages = spark.createDataFrame([("a.co.uk", ""), ("www.b.co.uk", ""), ("c.example.com", "")], "host string, html string")
+    assert {(r.src, r.dst) for r in linkgraph.host_edges(pages).collect() if r.src > r.dst} == {("www.b.co.uk", "b.co.uk"), ("example.com", "c.example.com")}
+
+
 def test_propagation_reaches_far_hosts_and_settles(spark):
     hosts = [f"h{i}" for i in range(14)]
     edges = [(a, b, 1.0) for x, y in zip(hosts, hosts[1:], strict=False) for a, b in ((x, y), (y, x))]
