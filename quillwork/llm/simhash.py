@@ -15,7 +15,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small, stash, words_of
@@ -144,9 +144,10 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tile_rows: int =
 SENT_TILES = 10_000
 
 
-def with_cuts(rows: DataFrame, tile_rows: float):
+def with_cuts(rows: DataFrame, tile_rows: float | Column):
     """rows (tile) with cuts, the number of parts of a tile, so that a part has about tile_rows rows; and a function that adds
     cuts to other rows with a tile. Only tiles over that size are listed, so the list has at most rows / tile_rows entries."""
+    tile_rows = tile_rows if isinstance(tile_rows, Column) else F.lit(tile_rows)
     large = rows.groupBy("tile").count().where(F.col("count") > tile_rows).select("tile", F.ceil(F.col("count") / tile_rows).cast("long").alias("cuts"))
     large = stash(large)
     n = large.count()
@@ -207,6 +208,8 @@ SIMILARITY = 0.8
 MISS = 1e-6
 CUTS = 3
 CUT_ROWS = 1 << 17
+#: Shingle hashes that one side of a task holds where sets travel: 32 MB.
+CUT_HASHES = 1 << 22
 
 
 def gram_hashes(text: bytes | None, shingle: int) -> np.ndarray:
@@ -289,64 +292,110 @@ def _nearest(n: int, links: np.ndarray) -> np.ndarray:
     return links[keep]
 
 
-def _candidates(similarity: float, across: bool):
-    """Compares one cell: side 0 and side 1 (or side 0 with itself). Tree links only, or, across, all pairs of different groups."""
+class _Cell:
+    """One comparison: side 0 with side 1, or side 0 with itself. Rows of side 0 come first."""
 
-    def compare(table: pa.Table) -> pa.Table:
+    def __init__(self, table: pa.Table, similarity: float):
         side = table.column("side").to_numpy()
-        order = np.argsort(side, kind="stable")
-        keys, group = table.column("key").to_numpy()[order], table.column("grp").to_numpy()[order]
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype="<u8").reshape(len(keys), WIDE_WORDS)[order]
-        first, whole = _tile_radii(similarity, table.column("tile")[0].as_py())
-        n = int((side == 0).sum())
-        same = table.column("way")[0].as_py() == 0 and table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        if not same and n in (0, len(keys)):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        shift = 0 if same else n
-        a, b = (bits, bits) if same else (bits[:n], bits[n:])
-        found = [np.zeros((0, 3), dtype=np.int64)]
+        self.order = np.argsort(side, kind="stable")
+        self.keys, self.n = table.column("key").to_numpy()[self.order], int((side == 0).sum())
+        self.bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype="<u8").reshape(len(side), WIDE_WORDS)[self.order] if len(side) else None
+        self.same = len(side) > 0 and table.column("way")[0].as_py() == 0 and table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        self.radii = _tile_radii(similarity, table.column("tile")[0].as_py()) if len(side) else (0, 0)
+
+    def pairs(self):
+        """(i, j, differing bits) of pairs within the radii, at most 65,536 at a time."""
+        if not self.same and self.n in (0, len(self.keys)):
+            return
+        shift = 0 if self.same else self.n
+        a, b = (self.bits, self.bits) if self.same else (self.bits[: self.n], self.bits[self.n :])
+        first, whole = self.radii
         for i, j in _pairs(a[:, :FIRST_WORDS], b[:, :FIRST_WORDS], first):
             for at in range(0, len(i), 1 << 16):
                 p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                if same:
+                if self.same:
                     p, q = p[p < q], q[p < q]
-                if across:
-                    apart = group[p] != group[q + shift]
-                    p, q = p[apart], q[apart]
                 far = np.bitwise_count(a[p] ^ b[q]).sum(axis=1, dtype=np.int64)
                 close = far <= whole
-                p, q, far = p[close], q[close], far[close]
-                if len(p):
-                    found.append(np.stack([p, q + shift, far], axis=1))
-            if not across and sum(map(len, found)) > (1 << 16) + len(keys):
-                found = [_nearest(len(keys), np.concatenate(found))]
-        links = np.concatenate(found)
-        links = links if across else _nearest(len(keys), links)
-        return pa.table({"a": keys[links[:, 0]], "b": keys[links[:, 1]]})
+                if close.any():
+                    yield p[close], q[close] + shift, far[close]
+
+    def links(self, found: list[tuple[int, int]] | np.ndarray) -> pa.Table:
+        found = np.asarray(found, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": self.keys[found[:, 0]], "b": self.keys[found[:, 1]]})
+
+
+def _nearest_links(similarity: float):
+    """Of each cell the nearest candidates that join its components: no more links than rows."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        cell, found = _Cell(table, similarity), [np.zeros((0, 3), dtype=np.int64)]
+        for p, q, far in cell.pairs():
+            found.append(np.stack([p, q, far], axis=1))
+            if sum(map(len, found)) > (1 << 16) + len(cell.keys):
+                found = [_nearest(len(cell.keys), np.concatenate(found))]
+        return cell.links(_nearest(len(cell.keys), np.concatenate(found))[:, :2])
+
+    return compare
+
+
+def alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sets of hashes have at least that Jaccard similarity, from exact counts."""
+    a, b = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (len(both) - common) - 1e-9
+
+
+def _joining_links(similarity: float):
+    """Every candidate between different groups of a cell is decided by its sets, unless links found before have joined its groups:
+    so what a cell gives out are trees, however many candidates a dense region has."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        cell, found = _Cell(table, similarity), []
+        group = np.unique(table.column("grp").to_numpy()[cell.order], return_inverse=True)[1]
+        sets = table.column("hashes").to_pylist()
+        sets = [sets[k] for k in cell.order]
+        root = list(range(len(group)))
+
+        def find(k):
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        for p, q, _ in cell.pairs():
+            apart = group[p] != group[q]
+            for i, j in zip(p[apart].tolist(), q[apart].tolist(), strict=True):
+                x, y = find(int(group[i])), find(int(group[j]))
+                if x != y and alike(sets[i], sets[j], similarity):
+                    root[x] = y
+                    found.append((i, j))
+        return cell.links(found)
 
     return compare
 
 
-def candidate_links(classes: DataFrame, similarity: float = SIMILARITY, across: bool = False) -> DataFrame:
-    """a, b: pairs of classes (key, size, bits, grp) that may be that similar, with a chance of about MISS of missing one that is:
-    of each cell the nearest that join its components, or, across, all those in different groups.
+def compared(classes: DataFrame, compare, similarity: float = SIMILARITY, cuts: int = CUTS, rows: float = CUT_ROWS, hashes: int | None = None) -> DataFrame:
+    """a, b: what `compare` finds in cells of classes (key, size, bits and further columns of theirs).
 
     Sets that similar differ in size by the same factor at most, so classes are tiled by the logarithm of their size and compared
-    within a tile and with the next. Tiles are cut by a hash into parts, and each pair of parts is one task.
+    within a tile and with the next. Tiles are cut by a hash into parts of about so many rows (or, where sets travel, hashes), and
+    each pair of parts is one task.
     """
     step = -np.log(similarity)
     tiled = classes.where(F.col("size") >= _least_size(similarity)).withColumn("tile", F.floor(F.log("size") / step + 1e-9).cast("long"))
-    tiled, cuts_of = with_cuts(tiled, CUT_ROWS)
-    # a few cuts at least, so that a tile is never one task
-    part = tiled.withColumn("cuts", F.greatest("cuts", F.lit(CUTS))).withColumn("part", F.pmod(F.xxhash64("key"), "cuts"))
-    beside = lambda step: cuts_of(part.drop("cuts").withColumn("own", F.col("tile")).withColumn("tile", F.col("tile") + step)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("cuts", F.lit(CUTS)) - 1)))
-    rest = ["key", "grp", "bits"]
+    most = F.lit(float(rows)) if hashes is None else F.greatest(F.lit(64.0), F.lit(float(hashes)) * F.pow(F.lit(similarity), F.col("tile")))
+    tiled, cuts_of = with_cuts(tiled, most)
+    part = tiled.withColumn("cuts", F.greatest("cuts", F.lit(cuts))).withColumn("part", F.pmod(F.xxhash64("key"), "cuts"))
+    beside = lambda step: cuts_of(part.drop("cuts").withColumn("own", F.col("tile")).withColumn("tile", F.col("tile") + step)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("cuts", F.lit(cuts)) - 1)))
+    rest = [c for c in classes.columns if c != "size"]
     # within a tile a part meets itself and each later part; with the next tile every part meets every part
     own = part.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select("tile", F.lit(0).alias("way"), F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), (F.col("part") > F.col("o")).cast("int").alias("side"), *rest)
     low = beside(1).select(F.col("own").alias("tile"), F.lit(1).alias("way"), F.col("part").alias("i"), F.col("o").alias("j"), F.lit(0).alias("side"), *rest)
     high = beside(-1).select("tile", F.lit(1).alias("way"), F.col("o").alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), *rest)
     cells = own.unionByName(low).unionByName(high)
-    return cells.groupBy("tile", "way", "i", "j").applyInArrow(_candidates(similarity, across), "a long, b long")
+    return cells.groupBy("tile", "way", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def verified(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -354,12 +403,7 @@ def verified(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
 
     def count(batches):
         for batch in small(batches):
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
-                both = np.sort(np.concatenate([a, b]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(common >= similarity * (len(both) - common) - 1e-9)
+            keep = [alike(a, b, similarity) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
     one, other = (sets.select(F.col("key").alias(k), F.col("hashes").alias(f"set_{k}")) for k in "ab")
@@ -397,15 +441,15 @@ def keep_one_similar(docs: DataFrame, shingle: int = 5, similarity: float = SIMI
         return stash(links.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
 
     # every class with a candidate is in a tree of the nearest, so their sets serve both rounds
-    nearest = stash(candidate_links(classes.withColumn("grp", F.col("id")), similarity).distinct())
+    nearest = stash(compared(classes.select("key", "size", "bits"), _nearest_links(similarity), similarity).distinct())
     ends = nearest.select(F.col("a").alias("key")).union(nearest.select("b")).distinct()
     texts = named.join(ids.join(ends, "key", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
     # a repeated doc_id has several texts
     sets = stash(texts.mapInArrow(sets_of, "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")))
     links = by_id(verified(nearest, sets, similarity))
     groups = components(links).select(F.col("node").alias("id"), "component")
-    grouped = classes.join(groups, "id", "left").select("key", "size", "bits", F.coalesce("component", "id").alias("grp"))
-    further = candidate_links(grouped.join(ends, "key", "left_semi"), similarity, across=True).join(nearest, ["a", "b"], "left_anti").distinct()
-    found = components(links.unionByName(by_id(verified(further, sets, similarity))))
+    grouped = classes.join(ends, "key", "left_semi").join(groups, "id", "left").select("key", "size", "bits", F.coalesce("component", "id").alias("grp"))
+    further = compared(grouped.join(sets, "key"), _joining_links(similarity), similarity, cuts=1, hashes=CUT_HASHES)
+    found = components(links.unionByName(by_id(further.distinct())))
     first = classes.select("id").join(found.where("node <> component").select(F.col("node").alias("id")), "id", "left_anti").select(F.col("id").alias("doc_id")).distinct()
     return one_of_each(docs, first)
