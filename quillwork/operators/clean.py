@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANK, S, chars_among, lines, strip, text_of, unix
+from ..functions.text import BLANK, S, chars_among, joined, lines, strip, text_of, unix
 
 #: Commentary labels and patterns in the order of removal, and placeholders.
 COMMENTARY = [
@@ -169,6 +169,22 @@ def cleaning_report(cleaned: DataFrame) -> DataFrame:
     return pages.join(told, "doc_id", "left").withColumn("rate", F.col("pages_cleaned") * 100 / F.col("pages")).withColumn("types", F.coalesce("types", F.lit("")))
 
 
+def cleaning_report_text(cleaned: DataFrame) -> DataFrame:
+    """doc_id, report and summary of cleaned pages: counts, types by count and name, and the fragments page by page, pages
+    ascending; the summary is one line. Documents without removals say so."""
+    s = lambda n: F.when(n == 1, "").otherwise("s")
+    n = F.size("removed")
+    page = F.concat(F.lit("### Page "), F.col("page_no").cast("string"), F.lit(" ("), n.cast("string"), F.lit(" fragment"), s(n), F.lit(")\n"), F.array_join(F.transform("removed", lambda x: F.concat(F.lit("- "), x)), "\n"))
+    told = cleaned.where(n > 0).groupBy("doc_id").agg(joined(F.struct(F.col("page_no").alias("pos"), page.alias("value")), "\n\n").alias("by_page"))
+    d = cleaning_report(cleaned).join(told, "doc_id", "left")
+    rate, count = F.format_number("rate", 1), lambda c: F.col(c).cast("string")
+    head = F.concat(F.lit("# Cleaning report\n\n- Pages: "), count("pages"), F.lit("\n- Cleaned pages: "), count("pages_cleaned"), F.lit("\n- Fragments: "), count("fragments"), F.lit("\n- Rate: "), rate, F.lit("%\n\n"))
+    types = F.array_join(F.transform(F.split("types", ", "), lambda x: F.concat(F.lit("- "), F.replace(x, F.lit("="), F.lit(": ")))), "\n")
+    body = F.when(F.col("fragments") > 0, F.concat(F.lit("## Types\n\n"), types, F.lit("\n\n## Pages\n\n"), F.col("by_page"))).otherwise("Nothing was removed.")
+    line = F.when(F.col("fragments") > 0, F.concat(F.lit("Removed "), count("fragments"), F.lit(" fragment"), s(F.col("fragments")), F.lit(" from "), count("pages_cleaned"), F.lit("/"), count("pages"), F.lit(" pages ("), rate, F.lit("%)"))).otherwise("Nothing was removed")
+    return d.select("doc_id", F.concat(head, body).alias("report"), line.alias("summary"))
+
+
 def top_fragment_types(cleaned: DataFrame, most: int = 3) -> DataFrame:
     """The most frequent fragment types over all pages, ties by name, with their rank."""
     counts = cleaned.select(F.explode("removed").alias("f")).groupBy(F.substring_index("f", ":", 1).alias("type")).agg(F.count("*").alias("n"))

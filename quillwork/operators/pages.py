@@ -122,15 +122,18 @@ def clean_table(df: DataFrame) -> DataFrame:
 
 
 def score_display(score: Column, most: int = 100) -> Column:
+    """A score to one decimal with its maximum; null and unreadable ones are N/A."""
     return F.coalesce(F.concat(F.format_number(score.try_cast("double"), 1), F.lit(f"/{most}")), F.lit("N/A"))
 
 
 def short_number(n: Column) -> Column:
+    """1.2M, 25.3K or the number; null stays null."""
     plain = lambda x: F.translate(F.format_number(x, 1), ",", "")
     return ladder((n >= 1_000_000, F.concat(plain(n / 1_000_000), F.lit("M"))), (n >= 1000, F.concat(plain(n / 1000), F.lit("K"))), otherwise=n.cast("string"))
 
 
 def color_of(recommendation: Column) -> Column:
+    """The colour of a recommendation in any case; null and others get the default."""
     return ladder(*[(F.upper(recommendation) == k, v) for k, v in COLORS.items()], otherwise=DEFAULT_COLOR)
 
 

@@ -22,6 +22,7 @@ def parse_plans(raw: DataFrame, column: str = "response") -> DataFrame:
 
 
 def plan_rows(parsed: DataFrame) -> DataFrame:
+    """One row for each plan with its place i; replies without plans give none."""
     return parsed.select("doc_id", F.posexplode("plans").alias("i", "plan")).select("doc_id", "i", "plan.*")
 
 

@@ -142,5 +142,6 @@ def extraction_confidence(df: DataFrame) -> DataFrame:
 
 
 def table_format(df: DataFrame, text: str = "formatted") -> DataFrame:
+    """df with table_format: flattened or pipe by over ten such entries, else none; null counts as empty."""
     t = text_of(text)
     return df.withColumn("table_format", ladder((count_of(t, FLATTENED) > 10, "flattened"), (count_of(t, r"\|[^|]+\|") > 10, "pipe"), otherwise="none"))

@@ -135,6 +135,7 @@ def escalate(rated: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def recommendation_summary(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Counts of final verdicts and methods for each key; null verdicts count for neither, null keys are one key."""
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     return rows.groupBy(key).agg(count(F.col("final") == "YES").alias("yes_pages"), count(F.col("final") == "NO").alias("no_pages"), count(F.col("method") == "heuristic").alias("heuristic_pages"), count(F.col("method") == "vision").alias("vision_pages"))
 

@@ -217,6 +217,30 @@ def workbook_stats(cells: DataFrame, rows: DataFrame) -> DataFrame:
     return d.agg(F.count("*").alias("sheets"), F.max("cols").cast("long").alias("max_columns"), F.sum("filled").alias("filled"), F.sum("lines").alias("lines"), (F.sum(conf) / F.count("*") / 10).alias("confidence"))
 
 
+def content_confidence(text: Column) -> Column:
+    """Confidence of a converted text by its length, markers and digits, in 0.1 to 1; null counts as empty."""
+    t = F.coalesce(text, F.lit(""))
+    points = F.lit(90) - F.when(F.length(t) < 100, 30).when(F.length(t) < 500, 10).otherwise(0) + F.when(t.contains("- **"), 5).otherwise(0) + F.when(t.contains("## Sheet:"), 5).otherwise(0) - F.when(t.rlike(r"\p{Nd}"), 0).otherwise(20)
+    return F.greatest(F.lit(10), F.least(F.lit(100), points)) / 100
+
+
+def formatting_confidence(text: Column, hierarchical: Column) -> Column:
+    """Confidence of formatted lines: length, the marks of labelled values, data lines, and whether the hierarchy is known."""
+    t = F.coalesce(text, F.lit(""))
+    points = F.lit(5) + F.when(F.length(t) > 100, 2).otherwise(0) + F.when(t.contains(" - ") & t.contains(" = "), 2).otherwise(0) + F.when(t.rlike(r"(?m)^[\t ]*- "), 1).otherwise(0) + F.when(hierarchical.isNotNull(), 1).otherwise(0)
+    return F.least(F.lit(10), points) / 10
+
+
+def workbook_confidence(sheets: DataFrame) -> DataFrame:
+    """workbook and confidence from its sheets (rows, chars): empty sheets, a short result and few rows lower it; without rows it is
+    0.1. Null rows and chars count as 0."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    d = sheets.groupBy("workbook").agg(F.count("*").alias("sheets"), F.sum(F.when(n("rows") == 0, 1).otherwise(0)).alias("empty"), F.sum(n("rows")).alias("rows"), F.sum(n("chars")).alias("chars"))
+    lost = F.col("empty") * 3 / (F.col("sheets") * 10) + F.when(F.col("chars") < 100, 0.2).otherwise(0.0) + F.when(F.col("rows") < 5, 0.2).otherwise(0.0)
+    base = F.when(F.col("rows") == 0, F.lit(0.1)).otherwise(F.lit(0.9) - lost)
+    return d.select("workbook", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base)), 6).alias("confidence"))
+
+
 def row_listing(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """order and text of each row of a wide table: `- **Row n**` and one line for each value that is not empty."""
     entry = [F.when(value_of(c) != "", F.concat(F.lit(f"  - **{c}**: "), value_of(c))) for c in columns]
@@ -238,6 +262,7 @@ def clean_column_name(name: Column) -> Column:
 
 
 def preview(cells: DataFrame, sheet: str, most: int = 10) -> DataFrame:
+    """The cells of a sheet's first rows; an unknown sheet has none."""
     return cells.where((F.col("sheet") == sheet) & (F.col("row") <= most))
 
 

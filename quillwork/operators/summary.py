@@ -86,6 +86,8 @@ def summary_stats(df: DataFrame) -> DataFrame:
 def resolve_summaries(docs: DataFrame, supplied: DataFrame) -> DataFrame:
     """doc_id, summary, method, ok: a supplied successful summary that is not empty, else keyword lines; a blank text gives a
     notice and is not ok."""
-    given = supplied.where("success").select("doc_id", F.nullif(strip(text_of("summary")), F.lit("")).alias("given"))
-    df = docs.select("doc_id", (strip(text_of()) == "").alias("blank")).join(given, "doc_id", "left").join(keyword_lines(docs), "doc_id")
+    # of several supplied summaries the least counts; rows that repeat a doc_id keep their own text's lines
+    given = supplied.where("success").groupBy("doc_id").agg(F.min(F.nullif(strip(text_of("summary")), F.lit(""))).alias("given"))
+    own = docs.select(F.struct("doc_id", (strip(text_of()) == "").alias("blank")).alias("doc_id"), "text")
+    df = keyword_lines(own).select("doc_id.*", "summary").join(given, "doc_id", "left")
     return df.select("doc_id", F.when(F.col("blank"), "No content to summarise.").otherwise(F.coalesce("given", "summary")).alias("summary"), F.when(F.col("blank"), "none").when(F.col("given").isNotNull(), "supplied").otherwise("keywords").alias("method"), (~F.col("blank")).alias("ok"))

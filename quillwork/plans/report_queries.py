@@ -9,6 +9,7 @@ from ..operators import pages as PG
 from ..operators import plan_tables as L
 from ..operators import runs as A
 from ..operators import summary as M
+from ..functions.text import word_count
 from ..sources import derived as D
 from .sql import DOCS, PAGES, S, lines, q, strip
 from .sql import words as sql_words
@@ -123,7 +124,17 @@ def _runs(s, d):
 
 _rn = "rn AS (SELECT event_id // 4 AS run_id, event_id % 4 AS stage_no, ['analyse', 'extract', 'format', 'rate'][CAST(event_id % 4 AS INT) + 1] AS stage, event_id % 7 <> 3 AS success, event_id * 37 % 5000 AS tokens, CAST(user_id % 60 AS BIGINT) AS seconds FROM events)"
 _add("token_cost", lambda s, d: A.token_cost(D.read(s, d, "events").select("event_id", (F.col("event_id") % 6).alias("calls"), F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("event_id") % 11000).alias("tokens"))).drop("calls", "tokens"), """WITH t AS (SELECT event_id, event_id % 6 AS c, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 11000 END AS t FROM events), f AS (SELECT event_id, CAST(c * 1500 AS BIGINT) AS vision_tokens, CAST(CASE WHEN t = 0 AND c > 0 THEN 2000 ELSE greatest(0, t - c * 1500) END AS BIGINT) AS formatting_tokens, CAST(CASE WHEN t = 0 AND c > 0 THEN c * 1500 + 2000 ELSE t END AS BIGINT) AS total_tokens FROM t) SELECT *, (vision_tokens + formatting_tokens) * 3 / 1000000.0::DOUBLE AS cost FROM f""")
-_add("run_analytics", lambda s, d: A.run_analytics(_runs(s, d)), f"WITH {_rn}, g AS (SELECT run_id, count(*) AS stages, CAST(sum(tokens) AS BIGINT) AS tokens, max(tokens) AS most, CAST(sum(seconds) AS BIGINT) AS seconds, CAST(sum(CAST(success AS INT)) AS BIGINT) AS ok FROM rn GROUP BY run_id) SELECT run_id, stages, tokens, seconds, ok, tokens / CAST(stages AS DOUBLE) AS tokens_per_stage, seconds / CAST(stages AS DOUBLE) AS seconds_per_stage, CASE WHEN tokens > 0 THEN most * 100 / CAST(tokens AS DOUBLE) ELSE 0 END::DOUBLE AS top_share FROM g")
+_add("run_analytics", lambda s, d: A.run_analytics(_runs(s, d)), f"WITH {_rn}, g AS (SELECT run_id, count(*) AS stages, CAST(sum(tokens) AS BIGINT) AS tokens, max(tokens) AS most, CAST(sum(seconds) AS BIGINT) AS seconds, CAST(sum(CAST(success AS INT)) AS BIGINT) AS ok FROM rn GROUP BY run_id), h AS (SELECT run_id, string_agg(stage || ': ' || format('{{:.1f}}', CASE WHEN g.tokens > 0 THEN rn.tokens * 100 / CAST(g.tokens AS DOUBLE) ELSE 0 END::DOUBLE) || '% ' || rn.seconds || ' s', ', ' ORDER BY stage) AS parts FROM rn JOIN g USING (run_id) GROUP BY run_id) SELECT run_id, parts, stages, tokens, seconds, ok, tokens / CAST(stages AS DOUBLE) AS tokens_per_stage, seconds / CAST(stages AS DOUBLE) AS seconds_per_stage, CASE WHEN tokens > 0 THEN most * 100 / CAST(tokens AS DOUBLE) ELSE 0 END::DOUBLE AS top_share FROM g JOIN h USING (run_id)")
+
+
+def _results(s, d):
+    p = D.doc_pages(s, d).groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(word_count(F.col("text"))).alias("words"))
+    k = F.col("doc_id")
+    return p.select("doc_id", "pages", "words", (F.col("pages") % 4).alias("calls"), (k % 90).alias("seconds"), (k % 5 * 1500).alias("vision_tokens"), (k % 3 * 700).alias("formatting_tokens"), (k % 7 / 4).alias("extraction_seconds"), (k % 2 / 2).alias("report_seconds"), F.lit(0.0).alias("summary_seconds"))
+
+
+_add("result_analytics", lambda s, d: A.result_analytics(_results(s, d)).select("doc_id", "words", "calls_per_page", "seconds_per_page", "vision_share", "formatting_share", "timings"), f"""WITH {PAGES}, p AS (SELECT doc_id, count(*) AS pages, CAST(sum(len({sql_words('text')})) AS BIGINT) AS words FROM doc_pages GROUP BY 1), t AS (SELECT *, doc_id % 5 * 1500 AS v, doc_id % 3 * 700 AS f, (doc_id % 7) / 4.0::DOUBLE AS x, (doc_id % 2) / 2.0::DOUBLE AS r FROM p)
+SELECT doc_id, words, round((pages % 4) / CAST(pages AS DOUBLE), 1) AS calls_per_page, (doc_id % 90) / CAST(pages AS DOUBLE) AS seconds_per_page, CASE WHEN v + f > 0 THEN v * 100 / CAST(v + f AS DOUBLE) ELSE 0 END::DOUBLE AS vision_share, CASE WHEN v + f > 0 THEN f * 100 / CAST(v + f AS DOUBLE) ELSE 0 END::DOUBLE AS formatting_share, CASE WHEN x > 0 OR r > 0 THEN format('Extraction: {{:.2f}}s, Quality report: {{:.2f}}s, Summary: 0.00s', x, r) ELSE '' END AS timings FROM t""")
 _add("stage_rollup", lambda s, d: A.stage_rollup(_runs(s, d)), f"WITH {_rn} SELECT stage, count(*) AS n, CAST(sum(CAST(success AS INT)) AS BIGINT) AS ok, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(seconds) AS BIGINT) AS seconds, sum(CAST(success AS INT)) * 100 / CAST(count(*) AS DOUBLE) AS rate FROM rn GROUP BY ROLLUP (stage)")
 _add("stage_chain", lambda s, d: A.stage_chain(_runs(s, d)), f"WITH {_rn}, f AS (SELECT run_id, min(stage_no) FILTER (WHERE NOT success) AS bad FROM rn GROUP BY 1) SELECT rn.* FROM rn JOIN f USING (run_id) WHERE bad IS NULL OR stage_no <= bad")
 _at = f"WITH {PAGES}, att AS (SELECT doc_id, page_no, CAST(a AS INT) AS attempt, (doc_id + page_no * 3 + a * 2) % 7 < 2 AS success, 'v' || a || ': ' || substr(text, 1, 40) AS content FROM doc_pages, range(1, 4) r(a)), o AS (SELECT doc_id, page_no, min(attempt) FILTER (WHERE success) AS attempt, arg_min(content, attempt) FILTER (WHERE success) AS content FROM att GROUP BY 1, 2)"

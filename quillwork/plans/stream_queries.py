@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import pages as P
 from ..operators import sheets as X
 from ..operators import summary as M
 from ..sources import derived as D
@@ -26,7 +27,23 @@ _plain = QUALITY["vision_decision"]
 _start = _plain.index("docs_aug AS (")
 _end = _plain.index("FROM documents)", _start) + len("FROM documents)")
 _add("stream_intake", lambda s, d: J.run(J.intake(J.source(s, d, "documents"))), _plain[:_start] + "docs_aug AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)" + _plain[_end:])
-_add("stream_reuse_24h", lambda s, d: J.run(J.reuse(J.source(s, d, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"])).select("user_id", "event_type"), "SELECT DISTINCT user_id, event_type FROM events")
+BATCHES = 4
+
+
+def _reuse(s, d):
+    """Events come in as files of a quarter of their time each, and the job goes on from its checkpoint with each of them."""
+    events = D.read(s, d, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    first, last = events.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    quarter = F.least(F.lit(BATCHES - 1), F.floor((F.unix_micros("ts") - F.lit(first)) * BATCHES / F.lit(max(1, (last or 0) - (first or 0)))))
+    intake, folder, out = S.shared_folder(s), S.shared_folder(s), None
+    for k in range(BATCHES):
+        events.where(quarter == k).write.mode("append").parquet(intake)
+        out = J.run(J.reuse(s.readStream.schema(events.schema).parquet(intake), ["user_id", "event_type"]), folder)
+    return out.select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+_add("stream_reuse_24h", _reuse, """WITH RECURSIVE e AS (SELECT DISTINCT user_id, event_type, ts FROM events), nx AS (SELECT *, min(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM e),
+a AS (SELECT user_id, event_type, min(ts) AS ts FROM e GROUP BY 1, 2 UNION ALL SELECT a.user_id, a.event_type, nx.later FROM a JOIN nx ON nx.user_id = a.user_id AND nx.event_type = a.event_type AND nx.ts = a.ts WHERE nx.later IS NOT NULL) SELECT * FROM a""")
 _mark = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 _add("stream_metrics", lambda s, d: J.run(J.window_metrics(J.source(s, d, "events"))), f"WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, CAST(sum(event_id % 7) AS BIGINT) AS points FROM events GROUP BY 1, 2) SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= {_mark}")
 _add("stream_sliding_metrics", lambda s, d: J.run(J.window_metrics(J.source(s, d, "events"), slide="15 minutes")), f"WITH w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS start, event_type, count(*) AS n, CAST(sum(event_id % 7) AS BIGINT) AS points FROM events, range(4) r(k) GROUP BY 1, 2) SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= {_mark}")
@@ -61,6 +78,21 @@ _name = "'plan_notes_' || doc_id || '_' || strftime(TIMESTAMP '2024-06-01 12:00:
 _add("write_markdown", _markdown, f"WITH {DOCS} SELECT {_name} AS output_name, md5(text) AS digest FROM docs_aug")
 
 
+def _intake(s, d):
+    """Nations as files of their own, asked for by name with one more that is missing for each region."""
+    path, n = S.shared_folder(s), D.read(s, d, "nation")
+    name = F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 2 == 0, ".md").otherwise(".txt"))
+    S.write_document_files(n.select(name.alias("output_name"), F.concat(F.lit("Notes on "), "n_name", F.lit("\nRegion "), F.col("n_regionkey").cast("string")).alias("content")), path)
+    asked = n.select(name.alias("name")).unionByName(D.read(s, d, "region").select(F.concat(F.lit("lost_"), F.col("r_regionkey").cast("string"), F.lit(".md")).alias("name")))
+    read = S.intake(asked, path)
+    shown = P.text_source(read.where("success").withColumnRenamed("name", "path")).select(F.col("path").alias("name"), "content")
+    return read.join(shown, "name", "left").select("name", "success", "error", "size", "content")
+
+
+_add("file_intake", _intake, """WITH f AS (SELECT 'nation_' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '.md' ELSE '.txt' END AS name, n_nationkey AS k, 'Notes on ' || n_name || chr(10) || 'Region ' || n_regionkey AS t FROM nation)
+SELECT name, true AS success, NULL::VARCHAR AS error, CAST(strlen(t) + 1 AS BIGINT) AS size, CASE WHEN k % 2 = 0 THEN t ELSE '# Nation ' || k || chr(10) || chr(10) || t END AS content FROM f UNION ALL SELECT 'lost_' || r_regionkey || '.md', false, 'File not found: lost_' || r_regionkey || '.md', NULL, NULL FROM region""")
+
+
 def _reports(s, d):
     """Summary reports under their own names, written and read back."""
     path = S.shared_folder(s)

@@ -129,6 +129,8 @@ _add("normalize_checkboxes", lambda s, d: C.normalise_checkboxes(D.docs_aug(s, d
 _rep = f"WITH {PAGES}, c AS (SELECT doc_id, page_no, {_found} AS removed FROM doc_pages), x AS (SELECT doc_id, split_part(unnest(removed), ':', 1) AS type FROM c), y AS (SELECT doc_id, type, count(*) AS n FROM x GROUP BY ALL)"
 _rep = _rep.replace("GROUP BY ALL", "GROUP BY doc_id, type")
 _add("cleaning_report", lambda s, d: C.cleaning_report(C.clean_commentary(D.doc_pages(s, d))), f"{_rep}, p AS (SELECT doc_id, count(*) AS pages, CAST(sum(CAST(len(removed) > 0 AS INT)) AS BIGINT) AS pages_cleaned, CAST(sum(len(removed)) AS BIGINT) AS fragments FROM c GROUP BY doc_id), t AS (SELECT doc_id, string_agg(type || '=' || n, ', ' ORDER BY n DESC, type) AS types FROM y GROUP BY doc_id) SELECT p.*, pages_cleaned * 100 / CAST(pages AS DOUBLE) AS rate, coalesce(types, '') AS types FROM p LEFT JOIN t USING (doc_id)")
+_stats = f"{_rep}, p AS (SELECT doc_id, count(*) AS pages, sum(CAST(len(removed) > 0 AS INT)) AS pc, sum(len(removed)) AS fr, string_agg('### Page ' || page_no || ' (' || len(removed) || ' fragment' || CASE WHEN len(removed) = 1 THEN '' ELSE 's' END || ')' || chr(10) || array_to_string(list_transform(removed, lambda x: '- ' || x), chr(10)), chr(10) || chr(10) ORDER BY page_no) FILTER (WHERE len(removed) > 0) AS bp FROM c GROUP BY doc_id), t AS (SELECT doc_id, string_agg('- ' || type || ': ' || n, chr(10) ORDER BY n DESC, type) AS types FROM y GROUP BY doc_id), z AS (SELECT *, format('{{:.1f}}', pc * 100 / CAST(pages AS DOUBLE)) AS rate FROM p LEFT JOIN t USING (doc_id))"
+_add("cleaning_report_text", lambda s, d: C.cleaning_report_text(C.clean_commentary(D.doc_pages(s, d))), f"{_stats} SELECT doc_id, '# Cleaning report' || chr(10) || chr(10) || '- Pages: ' || pages || chr(10) || '- Cleaned pages: ' || pc || chr(10) || '- Fragments: ' || fr || chr(10) || '- Rate: ' || rate || '%' || chr(10) || chr(10) || CASE WHEN fr > 0 THEN '## Types' || chr(10) || chr(10) || types || chr(10) || chr(10) || '## Pages' || chr(10) || chr(10) || bp ELSE 'Nothing was removed.' END AS report, CASE WHEN fr > 0 THEN 'Removed ' || fr || ' fragment' || CASE WHEN fr = 1 THEN '' ELSE 's' END || ' from ' || pc || '/' || pages || ' pages (' || rate || '%)' ELSE 'Nothing was removed' END AS summary FROM z")
 _add("top_fragment_types", lambda s, d: C.top_fragment_types(C.clean_commentary(D.doc_pages(s, d))), f"{_rep}, z AS (SELECT type, CAST(sum(n) AS BIGINT) AS n FROM y GROUP BY type) SELECT type, n, row_number() OVER (ORDER BY n DESC, type) AS rank FROM z ORDER BY n DESC, type LIMIT 3")
 # citations look ahead, which SQL's regular expressions cannot; golden rows hold these two
 _add("footnotes_inline", lambda s, d: C.footnotes_inline(D.docs_aug(s, d)).select("doc_id", "noted"), None)

@@ -21,9 +21,10 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return stream.withColumns({c: stream[c].cast("timestamp") for c, kind in stream.dtypes if kind == "timestamp_ntz"})
 
 
-def run(stream: DataFrame) -> DataFrame:
+def run(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Drains what the stream has now. With the same folder a later run goes on where the last one ended."""
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = folder or shared_folder(spark)
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
@@ -34,9 +35,36 @@ def intake(documents: DataFrame) -> DataFrame:
     return vision_decision(documents).select("doc_id", "total_score", "use_vision", "reason")
 
 
-def reuse(events: DataFrame, keys: list[str], ttl: str = "24 hours") -> DataFrame:
-    """The first event of each key; later ones within the time to live are dropped, and state older than it is forgotten."""
-    return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
+def reuse(events: DataFrame, keys: list[str], ttl: float = 86_400, late: str = "10 minutes") -> DataFrame:
+    """keys and ts of the events that are worked on: the first of a key, then the first that comes `ttl` seconds or more after the
+    last one worked on; what comes earlier reuses its result.
+
+    The state of a key is one instant, forgotten once the watermark has passed its time to live. Events have to arrive in time
+    order up to `late`; one older than the last of its key worked on is taken as reuse. Null keys are a key of their own; rows
+    without ts are dropped.
+    """
+    columns = [*keys, "ts"]
+    schema = events.select(*columns).schema
+
+    def admit(key, batches, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        out = []
+        for at in pd.concat([b["ts"] for b in batches]).sort_values():
+            if last is None or (at - last).total_seconds() >= ttl:
+                out.append(at)
+                last = at
+        state.update((last.value // 1000,))
+        end = last.value // 1_000_000 + int(ttl * 1000)
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({**{c: [k] * len(out) for c, k in zip(keys, key, strict=True)}, "ts": out})[columns]
+
+    marked = events.where("ts is not null").select(*columns).withWatermark("ts", late)
+    return marked.groupBy(*keys).applyInPandasWithState(admit, schema, "last long", "append", "EventTimeTimeout")
 
 
 def window_metrics(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:

@@ -138,3 +138,34 @@ def test_one_failed_page_is_isolated(spark):
 def test_partitioning_does_not_matter(spark):
     df = texts(spark, *["| a | b |\n|---|---|\n| c | d |\ntext"] * 5)
     assert sorted(map(str, C.flatten_tables(df.repartition(4)).collect())) == sorted(map(str, C.flatten_tables(df.coalesce(1)).collect()))
+
+
+def test_a_result_serves_a_day_and_then_is_made_anew(spark):
+    from quillwork.streaming import jobs as J
+    from quillwork.sources.files import shared_folder
+
+    hours = [[0, 1, 23.9], [24, 30, 47.9, 47.95], [48.1, 200], [210, 224.5]]
+    intake, folder = shared_folder(spark), shared_folder(spark)
+    for batch in hours:
+        rows = spark.createDataFrame([(k, float(h)) for h in batch for k in (1, None)], "k long, h double")
+        events = rows.select("k", F.timestamp_micros((F.col("h") * 3_600_000_000 + 3_600_000_000_000).cast("long")).alias("ts"))
+        events.write.mode("append").parquet(intake)
+        out = J.run(J.reuse(spark.readStream.schema(events.schema).parquet(intake), ["k"]), folder)
+    got = sorted((r.k or 0, r.h) for r in out.select("k", F.round(F.unix_micros("ts") / 3_600_000_000 - 1000, 3).alias("h")).collect())
+    assert got == [(k, float(h)) for k in (0, 1) for h in (0, 24, 48.1, 200, 224.5)]
+
+
+def test_repeated_rows_are_taken_each_by_itself(spark):
+    rows = spark.createDataFrame([(1, "| a | b |\n|---|---|\n| c | d |"), (1, "a | b"), (None, None), (None, "x")], "doc_id long, text string")
+    assert sorted(r.text for r in C.flatten_tables(rows).collect()) == ["", "**b** - **c**: d", "a | b", "x"]
+    supplied = spark.createDataFrame([(1, "B", True), (1, "A", True)], "doc_id long, summary string, success boolean")
+    assert [r.summary for r in M.resolve_summaries(rows.where("doc_id = 1"), supplied).collect()] == ["A", "A"]
+    assert E.rate_documents(rows.withColumn("formatted", F.lit("x"))).count() == 4
+    cache = spark.createDataFrame([("k", "old", "2024-06-01 01:00:00"), ("k", "new", "2024-06-01 02:00:00")], "key string, payload string, at string").withColumn("written_at", F.col("at").cast("timestamp")).drop("at")
+    assert [r.payload for r in A.cache_lookup(spark.createDataFrame([("k",)], "key string"), cache, "2024-06-01 03:00:00").collect()] == ["new"]
+
+
+def test_empty_tables(spark):
+    none = texts(spark, "x").where("false")
+    for f in (Q.corruption_score, C.clean_commentary, C.strip_placeholders, C.flatten_tables, C.footnotes_inline, R.analyse_pages, FP.content_profile, M.keyword_lines, M.paragraph_rank, P.reject_reason):
+        assert f(none).count() == 0
