@@ -4,8 +4,8 @@ A bigram model with Dirichlet smoothing by the unigram model p1(w) = (c(w) + 0.1
 
     p(w | v) = (c(v w) + K(v) p1(w)) / (c(v) + K(v))
 
-K(v) is the context's own count, within LEAST and MOST, for the HEAD most frequent words, whose counts every task knows, and RARE
-for all others. Its logarithm splits into a part of the pair, log10(c(v w) + K(v) p1(w)), and a part of the context. Every word of
+K(v) is the context's own count, within LEAST and MOST, for words that make up 1 / HEAD of all tokens or more. These are at most
+HEAD, so every task can know their counts. All others share the geometric mean of LEAST and the most that they can count. Its logarithm splits into a part of the pair, log10(c(v w) + K(v) p1(w)), and a part of the context. Every word of
 a text is the context of one token, so both parts can be summed where the word's own counts are: the trie holds words and, under
 each, the words before it. A shard has the words of one hash range with all their contexts. Documents' tokens go once to their
 shards, which count, build the trie and answer from it; only sums come back. Frequent words are spread over all shards by their
@@ -28,7 +28,7 @@ from .common import id_remainder, stash, words_of
 from .eliasfano import KEY_BITS, Trie
 
 #: Concentrations: measured on held-out texts, contexts seen n times do best near K = n, from 10 to 1000.
-HEAD, LEAST, MOST, RARE = 50_000, 10.0, 1000.0, 30.0
+HEAD, LEAST, MOST = 200_000, 10.0, 1000.0
 SHARD_TOKENS = 4_000_000
 CHUNK_BYTES = 4 << 20
 #: No word contains a space, so these never equal one.
@@ -39,11 +39,11 @@ LOOKUP_ROWS = 1 << 18
 class Concentration:
     """K of each context, by the 40 bits that tell contexts apart."""
 
-    def __init__(self, head: dict[int, int], constant: float | None = None):
+    def __init__(self, head: dict[int, int], total: int, constant: float | None = None):
         known = sorted({k & ((1 << KEY_BITS) - 1): n for k, n in head.items()}.items()) if constant is None else []
         self.keys = np.array([k for k, _ in known], dtype=np.uint64)
         self.values = np.clip(np.array([n for _, n in known], dtype=float), LEAST, MOST)
-        self.rare = RARE if constant is None else constant
+        self.rare = float(np.clip(np.sqrt(LEAST * total / HEAD), LEAST, MOST)) if constant is None else constant
 
     def of(self, contexts: np.ndarray) -> np.ndarray:
         keys = contexts & np.uint64((1 << KEY_BITS) - 1)
@@ -263,8 +263,8 @@ def _prepared(docs: DataFrame, shard_tokens: int, constant: float | None):
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     shards = max(1, -(-n // shard_tokens))
     frequent = {r.token & (2**64 - 1): r.n for r in counts.where(F.col("n") * (2 * shards) > n).collect()}
-    head = {r.token & (2**64 - 1): r.n for r in counts.orderBy(F.desc("n"), "token").limit(HEAD if constant is None else 0).collect()}
-    return rows, n, v, shards, frequent, Concentration(head, constant)
+    head = {r.token & (2**64 - 1): r.n for r in counts.where(F.col("n") * HEAD >= n).collect()} if constant is None else {}
+    return rows, n, v, shards, frequent, Concentration(head, n, constant)
 
 
 def shard_tries(docs: DataFrame, constant: float | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:

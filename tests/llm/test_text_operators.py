@@ -316,7 +316,7 @@ def test_elias_fano_round_trip(n, top):
     assert (got == np.searchsorted(values, asked)).all()
 
 
-def brute_lm(texts, k=None, head=50_000):
+def brute_lm(texts, k=None):
     from collections import Counter
     from math import log10
     from zlib import crc32
@@ -328,8 +328,8 @@ def brute_lm(texts, k=None, head=50_000):
     n, v = sum(uni.values()), len(uni)
     z = n + 0.1 * (v + 1)
     uni_context = lambda w: len(train) if w == " start" else uni[w]
-    listed = {w for w, _ in uni.most_common(head)}
-    of = lambda a: k or (min(1000.0, max(10.0, uni[a])) if a in listed else 30.0)
+    rare = min(1000.0, max(10.0, (10 * n / lm.HEAD) ** 0.5))
+    of = lambda a: k or (min(1000.0, max(10.0, uni[a])) if a in uni and uni[a] * lm.HEAD >= n else rare)
     out = {}
     for d, w in tokens.items():
         base = sum(log10((uni[x] + 0.1) / z) for x in w)
@@ -338,8 +338,9 @@ def brute_lm(texts, k=None, head=50_000):
     return out
 
 
-@pytest.mark.parametrize(("shard_tokens", "constant"), [(10**9, 5.0), (700, 5.0), (700, None)])
-def test_lm_equals_brute_force(spark, shard_tokens, constant):
+@pytest.mark.parametrize(("shard_tokens", "constant", "head"), [(10**9, 5.0, 200_000), (700, 5.0, 200_000), (700, None, 200_000), (10**9, None, 40)])
+def test_lm_equals_brute_force(spark, shard_tokens, constant, head, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", head)
     rng = random.Random(1)
     words = ["the", "The", "of", *[f"word{i}" for i in range(200)]]
     texts = [(i, " ".join(rng.choices(words, weights=[60, 20, 20] + [1] * 200, k=rng.randrange(0, 60)))) for i in range(120)] + [(500, None)]
