@@ -18,13 +18,21 @@ def _add(name, build, sql):
         ORACLES[name] = sql
 
 
-_heads = ", ".join(f"({q(s)}, {r}::BIGINT, {c}::BIGINT, {q(v) if v else 'NULL'})" for s, r, vs in D.HEADERS for c, v in enumerate(vs, 1))
+_heads = ", ".join(f"('nation', {r}::BIGINT, {c}::BIGINT, {q(v) if v else 'NULL'})" for r, vs in D.HEADERS["nation"] for c, v in enumerate(vs, 1))
 _list = lambda *x: "[" + ", ".join(x) + "]"
-_unp = lambda sheet, row, values, source: f"SELECT {q(sheet)} AS sheet, CAST({row} AS BIGINT) AS row, CAST(generate_subscripts({values}, 1) AS BIGINT) AS col, unnest({values}) AS value FROM {source}"
+_unp = lambda sheet, row, values, source: f"SELECT {sheet} AS sheet, CAST({row} AS BIGINT) AS row, CAST(generate_subscripts({values}, 1) AS BIGINT) AS col, unnest({values}) AS value FROM {source}"
 _nation = _list("CASE WHEN n_nationkey // 5 = 0 THEN r_name END", "n_name", "'$' || n_nationkey * 1000 || '.5'", "n_nationkey || '%'", "CASE WHEN n_nationkey % 3 = 0 THEN 'yes' ELSE 'no' END")
 _part = _list("p_name", "p_brand", "CASE WHEN p_partkey % 4 <> 0 THEN p_type END", "CAST(p_size AS VARCHAR)", "'$' || p_size * 100 || '/lot'", "(p_partkey % 12 + 1) || '/' || (p_partkey % 28 + 1) || '/24'")
 _supp = _list("s_name", "CAST(s_nationkey AS VARCHAR)", "CAST(CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey * 1250 ELSE 0 END AS VARCHAR)")
-_cells = f"""WITH hd(sheet, row, col, value) AS (VALUES {_heads}), cells AS (SELECT * FROM hd UNION ALL {_unp('nation', 'n_regionkey * 5 + n_nationkey // 5 + 3', _nation, 'nation JOIN region ON n_regionkey = r_regionkey')} UNION ALL {_unp('part', 'p_partkey + 2', _part, 'part')} UNION ALL {_unp('supplier', 's_suppkey + 2', _supp, 'supplier')}),
+_of = lambda kind, key: f"'{kind}_' || {key} // {D.SHEET_ROWS}"
+
+
+def _sheets(kind, key, values):
+    titles = [_unp("sheet", row, _list(*map(q, vs)), f"(SELECT DISTINCT {_of(kind, key)} AS sheet FROM {kind})") for row, vs in D.HEADERS[kind]]
+    return " UNION ALL ".join([_unp(_of(kind, key), f"{key} % {D.SHEET_ROWS} + 2", values, kind), *titles])
+
+
+_cells = f"""WITH hd(sheet, row, col, value) AS (VALUES {_heads}), cells AS (SELECT * FROM hd UNION ALL {_unp("'nation'", 'n_regionkey * 5 + n_nationkey // 5 + 3', _nation, 'nation JOIN region ON n_regionkey = r_regionkey')} UNION ALL {_sheets('part', 'p_partkey', _part)} UNION ALL {_sheets('supplier', 's_suppkey', _supp)}),
 mg(sheet, r0, c0, r1, c1) AS (VALUES {', '.join(f"({q(m[0])}, {', '.join(map(str, m[1:]))})" for m in D.MERGED)}),
 fc AS (SELECT c.sheet, c.row, c.col, CASE WHEN m.sheet IS NULL THEN c.value ELSE t.value END AS value FROM cells c LEFT JOIN mg m ON m.sheet = c.sheet AND c.row BETWEEN r0 AND r1 AND c.col BETWEEN c0 AND c1 LEFT JOIN cells t ON t.sheet = m.sheet AND t.row = r0 AND t.col = c0)"""
 _num = lambda x: rlike(f"trim(translate({x}, ',$%()', ''))", X.NUMBER)
@@ -94,16 +102,16 @@ SELECT sheet, row, col, section, part, CAST(length(key) + CASE WHEN parts > 1 TH
 
 
 def _config(s):
-    return s.createDataFrame([("supplier", 1, 1), ("nation", 2, 1), ("nation", 3, 2), ("empty", 2, 1)], "sheet string, ordinal int, saved int")
+    return s.createDataFrame([("supplier_0", 1, 1), ("nation", 2, 1), ("nation", 3, 2), ("empty", 2, 1)], "sheet string, ordinal int, saved int")
 
 
-_add("sheet_union", lambda s, d: X.sheet_union(_Book(s, d).lines(), _config(s)), f"{_ln}, cf(sheet, ordinal) AS (VALUES ('supplier', 1), ('nation', 3), ('empty', 2)) SELECT ordinal, sheet, 0::BIGINT AS row, 0::BIGINT AS col, '## ' || sheet AS line FROM cf UNION ALL SELECT ordinal, cf.sheet, coalesce(row, 1), coalesce(col, 1), coalesce(line, '*[Failed to process sheet ' || cf.sheet || ']*') FROM cf LEFT JOIN ln ON ln.sheet = cf.sheet")
+_add("sheet_union", lambda s, d: X.sheet_union(_Book(s, d).lines(), _config(s)), f"{_ln}, cf(sheet, ordinal) AS (VALUES ('supplier_0', 1), ('nation', 3), ('empty', 2)) SELECT ordinal, sheet, 0::BIGINT AS row, 0::BIGINT AS col, '## ' || sheet AS line FROM cf UNION ALL SELECT ordinal, cf.sheet, coalesce(row, 1), coalesce(col, 1), coalesce(line, '*[Failed to process sheet ' || cf.sheet || ']*') FROM cf LEFT JOIN ln ON ln.sheet = cf.sheet")
 _add("workbook_stats", lambda s, d: X.workbook_stats((b := _Book(s, d)).cells, b.lines()), f"{_ln}, c AS (SELECT sheet, max(col) AS cols, count(*) FILTER (WHERE v <> '') AS filled FROM v GROUP BY 1), n AS (SELECT sheet, count(*) AS lines, sum(length(line)) AS chars FROM ln GROUP BY 1) SELECT count(*) AS sheets, max(cols) AS max_columns, CAST(sum(filled) AS BIGINT) AS filled, CAST(sum(coalesce(lines, 0)) AS BIGINT) AS lines, sum(5 + CASE WHEN chars > 100 THEN 2 ELSE 0 END + CASE WHEN lines > 0 THEN 3 ELSE 0 END) / CAST(count(*) AS DOUBLE) / 10 AS confidence FROM c LEFT JOIN n USING (sheet)")
-_add("sheet_document", lambda s, d: X.sheet_documents(_Book(s, d).lines(), s.createDataFrame([("w", "nation", 1), ("w", "part", 2), ("w", "blank", 3)], "workbook string, sheet string, ordinal int"), "Workbook", "2024-06-01 00:00:00"), f"{_ln}, sh(sheet, ordinal) AS (VALUES ('nation', 1), ('part', 2), ('blank', 3)), b AS (SELECT sheet, string_agg(line, chr(10) ORDER BY row, col) AS body FROM ln GROUP BY 1) SELECT 'w' AS workbook, '# Workbook' || chr(10) || chr(10) || 'Processed: 2024-06-01 00:00:00' || chr(10) || 'Sheets: ' || count(*) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || string_agg('## Sheet: ' || sh.sheet || chr(10) || chr(10) || coalesce(body, '- *[No data in this sheet]*'), chr(10) || chr(10) ORDER BY ordinal) AS text FROM sh LEFT JOIN b ON b.sheet = sh.sheet")
+_add("sheet_document", lambda s, d: X.sheet_documents(_Book(s, d).lines(), D.workbooks(s, d), "Workbook", "2024-06-01 00:00:00"), f"{_ln}, k AS (SELECT DISTINCT p_partkey // {D.SHEET_ROWS} AS k FROM part), sh AS (SELECT 'w' || k AS workbook, 'nation' AS sheet, 1 AS ordinal FROM k UNION ALL SELECT 'w' || k, 'part_' || k, 2 FROM k UNION ALL SELECT 'w' || k, 'blank', 3 FROM k), b AS (SELECT sheet, string_agg(line, chr(10) ORDER BY row, col) AS body FROM ln GROUP BY 1) SELECT workbook, '# Workbook' || chr(10) || chr(10) || 'Processed: 2024-06-01 00:00:00' || chr(10) || 'Sheets: ' || count(*) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || string_agg('## Sheet: ' || sh.sheet || chr(10) || chr(10) || coalesce(body, '- *[No data in this sheet]*'), chr(10) || chr(10) ORDER BY ordinal) AS text FROM sh LEFT JOIN b ON b.sheet = sh.sheet GROUP BY workbook")
 _add("content_confidence", lambda s, d: D.docs_aug(s, d).select("doc_id", X.content_confidence(F.col("text")).alias("content"), X.formatting_confidence(F.col("text"), F.when(F.col("doc_id") % 2 == 0, True)).alias("formatting")), f"WITH {DOCS} SELECT doc_id, greatest(10, least(100, 90 - CASE WHEN length(text) < 100 THEN 30 WHEN length(text) < 500 THEN 10 ELSE 0 END + CASE WHEN contains(text, '- **') THEN 5 ELSE 0 END + CASE WHEN contains(text, '## Sheet:') THEN 5 ELSE 0 END - CASE WHEN regexp_matches(text, '\\p{{Nd}}') THEN 0 ELSE 20 END)) / 100.0::DOUBLE AS content, least(10, 5 + CASE WHEN length(text) > 100 THEN 2 ELSE 0 END + CASE WHEN contains(text, ' - ') AND contains(text, ' = ') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '(?m)^[\\t ]*- ') THEN 1 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) / 10.0::DOUBLE AS formatting FROM docs_aug")
 _books = lambda s, d: D.read(s, d, "orders").groupBy((F.col("o_custkey")).alias("workbook"), F.col("o_orderpriority").alias("sheet")).agg(F.sum((F.col("o_orderkey") % 3 == 0).cast("long")).alias("rows")).withColumn("chars", F.col("rows") * 40)
 _add("workbook_confidence", lambda s, d: X.workbook_confidence(_books(s, d)).select(F.col("workbook").cast("long").alias("workbook"), "confidence"), "WITH b AS (SELECT o_custkey, o_orderpriority, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS n FROM orders GROUP BY 1, 2), w AS (SELECT o_custkey, count(*) AS s, count(*) FILTER (WHERE n = 0) AS e, sum(n) AS r FROM b GROUP BY 1) SELECT CAST(o_custkey AS BIGINT) AS workbook, CASE WHEN r = 0 THEN 0.1 ELSE round(greatest(0, 0.9::DOUBLE - (e * 3 / CAST(s * 10 AS DOUBLE) + CASE WHEN r * 40 < 100 THEN 0.2 ELSE 0 END::DOUBLE + CASE WHEN r < 5 THEN 0.2 ELSE 0 END::DOUBLE)), 6) END::DOUBLE AS confidence FROM w")
-_add("sheet_preview", lambda s, d: X.preview(D.cells(s, d), "part"), f"{_cells} SELECT * FROM cells WHERE sheet = 'part' AND row <= 10")
+_add("sheet_preview", lambda s, d: X.preview(D.cells(s, d), "part_0"), f"{_cells} SELECT * FROM cells WHERE sheet = 'part_0' AND row <= 10")
 _CUST = ["c_name", "c_nationkey", "c_mktsegment"]
 _wide = lambda s, d: D.read(s, d, "customer").select(F.col("c_custkey").alias("n"), "c_name", F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey").cast("string")).alias("c_nationkey"), F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("  "), "c_mktsegment")).alias("c_mktsegment"))
 _w = "WITH w AS (SELECT c_custkey AS n, c_name, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_nationkey AS VARCHAR) END AS c_nationkey, CASE WHEN c_custkey % 5 <> 0 THEN '  ' || c_mktsegment END AS c_mktsegment FROM customer)"

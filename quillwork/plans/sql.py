@@ -40,7 +40,7 @@ def case(*steps: tuple[str, str], otherwise: str = "NULL") -> str:
 
 
 _block = "CAST([" + ", ".join(q(b) for b in BLOCKS) + f"] AS VARCHAR[])[CAST(((doc_id % 16) + 16) % 16 AS INT) + 1]"
-DOCS = f"docs_aug AS (SELECT doc_id, CASE WHEN doc_id % 16 = 15 THEN {_block} WHEN {_block} = '' THEN coalesce(text, '') ELSE coalesce(text, '') || chr(10) || {_block} END AS text FROM documents)"
+DOCS = f"docs_aug AS (SELECT doc_id, CASE WHEN {_block} = '' THEN coalesce(text, '') ELSE coalesce(text, '') || chr(10) || {_block} END AS text FROM documents)"
 PAGES = f"""{DOCS}, doc_pages AS (SELECT doc_id, CAST(p + 1 AS BIGINT) AS page_no, array_to_string(list_slice({lines('text')}, CAST(p * {LINES_PER_PAGE} + 1 AS BIGINT), CAST(p * {LINES_PER_PAGE} + {LINES_PER_PAGE} AS BIGINT)), chr(10)) AS text
   FROM (SELECT doc_id, text, unnest(range(CAST((len({lines('text')}) + {LINES_PER_PAGE} - 1) // {LINES_PER_PAGE} AS BIGINT))) AS p FROM docs_aug))"""
 __all__ = ["DOCS", "PAGES", "S", "W", "among", "case", "count", "lines", "q", "rlike", "strip", "words"]

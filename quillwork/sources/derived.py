@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import text_of
 
 LINES_PER_PAGE = 5
-#: The block appended to a document with doc_id mod 16 = k; 15 replaces the whole text.
+#: The block appended to a document with doc_id mod 16 = k.
 BLOCKS = [
     "",
     "",
@@ -37,7 +37,7 @@ def augmented(documents: DataFrame) -> DataFrame:
     """doc_id and text of every document, with its planted block on new lines. A null text counts as empty."""
     k = F.pmod(F.col("doc_id"), F.lit(16)).cast("int")
     block = F.element_at(F.array(*[F.lit(b) for b in BLOCKS]), k + 1)
-    return documents.select("doc_id", F.when(k == 15, block).when(block == "", text_of()).otherwise(F.concat(text_of(), F.lit("\n"), block)).alias("text"))
+    return documents.select("doc_id", F.when(block == "", text_of()).otherwise(F.concat(text_of(), F.lit("\n"), block)).alias("text"))
 
 
 def paged(docs: DataFrame) -> DataFrame:
@@ -97,28 +97,48 @@ def task_config(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "task string, model string, provider string, temperature double, max_tokens long")
 
 
-def _unpivoted(df: DataFrame, sheet: str, first_row: int, key: str, columns: list) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(i).cast("long").alias("col"), c.cast("string").alias("value")) for i, c in enumerate(columns, 1)])
-    return df.select(F.lit(sheet).alias("sheet"), (F.col(key) + first_row).cast("long").alias("row"), F.explode(rows).alias("x")).select("sheet", "row", "x.col", "x.value")
+#: Rows of a derived worksheet: parts and suppliers go on in a next sheet.
+SHEET_ROWS = 100
 
 
-#: Header cells of the derived worksheets: (sheet, row, values).
-HEADERS = [("nation", 1, ("Region", "Nation", "Figures", None, "Active")), ("nation", 2, (None, None, "Amount", "Share", None)), ("part", 1, ("Item", "Brand", "Kind", "Size", "Price", "Made")), ("supplier", 1, ("Supplier", "Nation", "Level"))]
+def _unpivoted(df: DataFrame, sheet: Column, row: Column, columns: list) -> DataFrame:
+    values = F.array(*[F.struct(F.lit(i).cast("long").alias("col"), c.cast("string").alias("value")) for i, c in enumerate(columns, 1)])
+    return df.select(sheet.alias("sheet"), row.cast("long").alias("row"), F.explode(values).alias("x")).select("sheet", "row", "x.col", "x.value")
+
+
+#: Header cells of the derived worksheets: (row, values) of each kind.
+HEADERS = {"nation": [(1, ("Region", "Nation", "Figures", None, "Active")), (2, (None, None, "Amount", "Share", None))], "part": [(1, ("Item", "Brand", "Kind", "Size", "Price", "Made"))], "supplier": [(1, ("Supplier", "Nation", "Level"))]}
 #: Merged rectangles: a header over two columns, and regions of five nations each.
 MERGED = [("nation", 1, 3, 1, 4), *[("nation", 3 + 5 * r, 1, 7 + 5 * r, 1) for r in range(5)]]
 
 
+def _sheets(df: DataFrame, kind: str, key: str, columns: list) -> DataFrame:
+    """Worksheets `kind_0`, `kind_1` and so on of SHEET_ROWS keys each, under their header."""
+    sheet = F.concat(F.lit(f"{kind}_"), F.floor(F.col(key) / SHEET_ROWS).cast("string"))
+    body = _unpivoted(df, sheet, F.col(key) % SHEET_ROWS + 2, columns)
+    sheets = df.select(sheet.alias("sheet")).distinct()
+    for row, values in HEADERS[kind]:
+        body = body.unionByName(_unpivoted(sheets, F.col("sheet"), F.lit(row), [F.lit(v) for v in values]))
+    return body
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three worksheets in long form: nations under their merged regions, parts and suppliers."""
+    """Worksheets in long form: nations under their merged regions, parts and suppliers."""
     nation = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    place = nation.withColumn("k", F.col("n_regionkey") * 5 + F.floor(F.col("n_nationkey") / 5))
-    n = F.col("n_nationkey")
-    sheets = _unpivoted(place, "nation", 3, "k", [F.when(F.floor(n / 5) == 0, F.col("r_name")), F.col("n_name"), F.concat(F.lit("$"), (n * 1000).cast("string"), F.lit(".5")), F.concat(n.cast("string"), F.lit("%")), F.when(n % 3 == 0, "yes").otherwise("no")])
-    p, key = read(spark, sf_dir, "part"), F.col("p_partkey")
-    part = _unpivoted(p, "part", 2, "p_partkey", [F.col("p_name"), F.col("p_brand"), F.when(key % 4 != 0, F.col("p_type")), F.col("p_size"), F.concat(F.lit("$"), (F.col("p_size") * 100).cast("string"), F.lit("/lot")), F.concat_ws("/", (key % 12 + 1).cast("string"), (key % 28 + 1).cast("string"), F.lit("24"))])
-    supplier = _unpivoted(read(spark, sf_dir, "supplier"), "supplier", 2, "s_suppkey", [F.col("s_name"), F.col("s_nationkey"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey") * 1250).otherwise(0)])
-    heads = spark.createDataFrame([(s, r, c, v) for s, r, vs in HEADERS for c, v in enumerate(vs, 1)], "sheet string, row long, col long, value string")
-    return heads.unionByName(sheets).unionByName(part).unionByName(supplier)
+    n, place = F.col("n_nationkey"), F.col("n_regionkey") * 5 + F.floor(F.col("n_nationkey") / 5)
+    nations = _unpivoted(nation, F.lit("nation"), place + 3, [F.when(F.floor(n / 5) == 0, F.col("r_name")), F.col("n_name"), F.concat(F.lit("$"), (n * 1000).cast("string"), F.lit(".5")), F.concat(n.cast("string"), F.lit("%")), F.when(n % 3 == 0, "yes").otherwise("no")])
+    key = F.col("p_partkey")
+    part = _sheets(read(spark, sf_dir, "part"), "part", "p_partkey", [F.col("p_name"), F.col("p_brand"), F.when(key % 4 != 0, F.col("p_type")), F.col("p_size"), F.concat(F.lit("$"), (F.col("p_size") * 100).cast("string"), F.lit("/lot")), F.concat_ws("/", (key % 12 + 1).cast("string"), (key % 28 + 1).cast("string"), F.lit("24"))])
+    supplier = _sheets(read(spark, sf_dir, "supplier"), "supplier", "s_suppkey", [F.col("s_name"), F.col("s_nationkey"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey") * 1250).otherwise(0)])
+    heads = spark.createDataFrame([("nation", r, c, v) for r, vs in HEADERS["nation"] for c, v in enumerate(vs, 1)], "sheet string, row long, col long, value string")
+    return heads.unionByName(nations).unionByName(part).unionByName(supplier)
+
+
+def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """workbook, sheet and ordinal: a workbook for each sheet of parts, between the nations and a blank sheet."""
+    books = read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / SHEET_ROWS).cast("string").alias("k")).distinct()
+    sheets = F.array(F.lit("nation"), F.concat(F.lit("part_"), "k"), F.lit("blank"))
+    return books.select(F.concat(F.lit("w"), "k").alias("workbook"), F.posexplode(sheets).alias("i", "sheet")).select("workbook", "sheet", (F.col("i") + 1).alias("ordinal"))
 
 
 def merged(spark: SparkSession) -> DataFrame:

@@ -169,3 +169,15 @@ def test_empty_tables(spark):
     none = texts(spark, "x").where("false")
     for f in (Q.corruption_score, C.clean_commentary, C.strip_placeholders, C.flatten_tables, C.footnotes_inline, R.analyse_pages, FP.content_profile, M.keyword_lines, M.paragraph_rank, P.reject_reason):
         assert f(none).count() == 0
+
+
+def test_derived_sheets_are_bounded_and_texts_whole(spark):
+    from pyspark.sql import functions as F
+
+    from quillwork.sources import derived as D
+
+    sf = "/root/testdata/sf0.001"
+    rows = D.cells(spark, sf).groupBy("sheet").agg(F.countDistinct("row").alias("n")).collect()
+    assert max(r.n for r in rows) <= D.SHEET_ROWS + 1 and sum(r.sheet.startswith("part_") for r in rows) > 1
+    whole = D.read(spark, sf, "documents").withColumnRenamed("text", "own").join(D.docs_aug(spark, sf), "doc_id")
+    assert whole.where(~F.col("text").startswith(F.coalesce("own", F.lit("")))).count() == 0
