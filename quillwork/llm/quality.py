@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_rows, id_remainder, small, stash, tree_sum
 
@@ -112,19 +113,35 @@ def _rows(stats: pa.Array) -> np.ndarray:
     return np.asarray(stats.flatten(), dtype=float).reshape(len(stats), VALUES)
 
 
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, VALUES, dtype=np.int32)), pa.array(values.ravel()))
+
+
 def text_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, held_out and stats (80 numbers) of every row: all that training and scoring need of a text."""
 
     def compute(batches):
         for batch in small(batches):
-            values = all_statistics(batch.column(2).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, VALUES, dtype=np.int32)), pa.array(values.ravel()))
+            lists = _lists(all_statistics(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "held_out", "stats"])
 
     rows = docs.select(F.col("doc_id").cast("long"), (id_remainder("doc_id", 3) == 1).alias("held_out"), "text")
     return rows.mapInArrow(compute, "doc_id long, held_out boolean, stats array<double>")
 
 
+def rows_with_statistics(docs: DataFrame) -> DataFrame:
+    """Every row of docs, whole, as `row`, with the statistics of its text."""
+    rows = as_rows(docs)
+
+    def compute(batches):
+        for batch in small(batches):
+            lists = _lists(all_statistics(batch.column(0).field("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["row", "stats"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("stats", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(compute, schema)
+
+
 def _moments(batches):
     """One row for each task: counts, sums and second moments of positives and of all rows; columns positive, stats."""
     sums = {k: [np.zeros(1), np.zeros(WIDTH), np.zeros((WIDTH, WIDTH))] for k in "pu"}
@@ -220,11 +237,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, whole, that score 0.5 or more. Null and empty texts are scored as empty texts; repeated rows and null
     doc_ids are each judged by their text; columns may have any name and type; an empty table gives none."""
-    weights, _ = train(stash(text_statistics(docs)), labels)
-    rows = as_rows(docs)
+    # texts are analysed once; training reads the statistics alone of what is written here
+    rows = stash(rows_with_statistics(docs))
+    weights, _ = train(rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "stats"), labels)
 
     def keep(batches):
-        for batch in small(batches):
-            yield batch.filter(pa.array(scores(all_statistics(batch.column(0).field("text").to_pylist()), weights) >= 0.5))
+        for batch in batches:
+            yield batch.select(["row"]).filter(pa.array(scores(_rows(batch.column(1)), weights) >= 0.5))
 
-    return rows.mapInArrow(keep, rows.schema).select("row.*")
+    return rows.mapInArrow(keep, rows.select("row").schema).select("row.*")
