@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, gridjoin, linkgraph, lm, mixing, quality, secrets, sharding, simhash, toxicity
+from . import decontam, gridjoin, linkgraph, lm, lookup, mixing, quality, rules, secrets, sharding, simhash, toxicity, whitening
 from .common import table
 
 
@@ -47,6 +47,21 @@ def op10_pfair_mixing(spark, sf_dir):
     return mixed.select("doc_id", "source", "mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position")
 
 
+def op11_adaptive_rules(spark, sf_dir):
+    """A row for each document; null texts count as empty, an empty table gives none."""
+    return rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+def op12_block_whitening(spark, sf_dir):
+    """Up to 32 rows for each vector without null or non-finite entries; an empty table gives none."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lookup_clustering(spark, sf_dir):
+    """A row for each vector of 64 finite components; an empty table gives none."""
+    return lookup.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -57,8 +72,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_rendezvous_sharding, op2_multipart_secrets, op3_epsilon_grid_join, op4_elias_fano_lm, op5_pu_quality, op6_simhash_tiles,
-        op7_cgk_decontamination, op8_link_propagation, op9_factorization_toxicity, op10_pfair_mixing, pipeline,
+        op7_cgk_decontamination, op8_link_propagation, op9_factorization_toxicity, op10_pfair_mixing, op11_adaptive_rules, op12_block_whitening, op13_lookup_clustering, pipeline,
     )
 }
-#: None of them can be said in SQL: each rests on a hash, model, iteration or rank that SQL lacks; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+#: The others cannot be said in SQL: each rests on a hash, model, iteration or rank that SQL lacks; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op11_adaptive_rules": rules.ORACLE_SQL, "op13_lookup_clustering": lookup.oracle_sql()}
