@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import pages as P
 from ..operators import sheets as X
 from ..operators import summary as M
 from ..sources import derived as D
@@ -65,34 +64,10 @@ def _named(s, d):
     return D.docs_aug(s, d).select("doc_id", S.output_name(F.concat(F.lit("plan notes/"), F.col("doc_id").cast("string")), stamp).alias("output_name"), F.col("text").alias("content"))
 
 
-def _markdown(s, d):
-    path = S.shared_folder(s)
-    S.write_documents(_named(s, d), path)
-    return s.read.parquet(path).select("output_name", F.md5("content").alias("digest"))
-
-
 _keywords = REPORTS["keyword_lines"]
 _name = "'plan_notes_' || doc_id || '_' || strftime(TIMESTAMP '2024-06-01 12:00:00' + doc_id * INTERVAL 1 SECOND, '%Y%m%d_%H%M%S') || '.md'"
 
 
-_add("write_markdown", _markdown, f"WITH {DOCS} SELECT {_name} AS output_name, md5(text) AS digest FROM docs_aug")
-
-
-def _intake(s, d):
-    """Nations as files of their own, asked for by name with one more that is missing for each region."""
-    path, n = S.shared_folder(s), D.read(s, d, "nation")
-    name = F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 2 == 0, ".md").otherwise(".txt"))
-    S.write_document_files(n.select(name.alias("output_name"), F.concat(F.lit("Notes on "), "n_name", F.lit("\nRegion "), F.col("n_regionkey").cast("string")).alias("content")), path)
-    asked = n.select(name.alias("name")).unionByName(D.read(s, d, "region").select(F.concat(F.lit("lost_"), F.col("r_regionkey").cast("string"), F.lit(".md")).alias("name")))
-    read = S.intake(asked, path)
-    shown = P.text_source(read.where("success").withColumnRenamed("name", "path")).select(F.col("path").alias("name"), "content")
-    return read.join(shown, "name", "left").select("name", "success", "error", "size", "content")
-
-
-_add("file_intake", _intake, """WITH f AS (SELECT 'nation_' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '.md' ELSE '.txt' END AS name, n_nationkey AS k, 'Notes on ' || n_name || chr(10) || 'Region ' || n_regionkey AS t FROM nation)
-SELECT name, true AS success, NULL::VARCHAR AS error, CAST(strlen(t) + 1 AS BIGINT) AS size, CASE WHEN k % 2 = 0 THEN t ELSE '# Nation ' || k || chr(10) || chr(10) || t END AS content FROM f UNION ALL SELECT 'lost_' || r_regionkey || '.md', false, 'File not found: lost_' || r_regionkey || '.md', NULL, NULL FROM region""")
-
-
 def _reports(s, d):
     """Summary reports under their own names, written and read back."""
     path = S.shared_folder(s)
@@ -111,4 +86,3 @@ def _json(s, d):
 
 
 _add("write_json", _json, f"WITH {DOCS} SELECT doc_id, {_name} AS output_name, CAST(length(text) AS BIGINT) AS size FROM docs_aug")
-_add("processing_log", lambda s, d: S.page_log(D.read(s, d, "events").select("ts", F.col("event_id").alias("page_no"), F.col("event_type").alias("method"), F.col("user_id").cast("long").alias("seconds"), (F.col("event_id") % 4 == 0).alias("from_cache"))).select("level", "message"), "SELECT CASE WHEN user_id > 50 THEN 'warning' ELSE 'info' END AS level, '[' || strftime(ts, '%H:%M:%S') || '] page ' || event_id || ' via ' || event_type || ' in ' || user_id || ' s' || CASE WHEN event_id % 4 = 0 THEN ' (cached)' ELSE '' END AS message FROM events")

@@ -49,32 +49,8 @@ def write_documents(docs: DataFrame, path: str) -> None:
     docs.select("output_name", "content").write.parquet(path)
 
 
-def write_document_files(docs: DataFrame, path: str) -> None:
-    """One file a document (output_name, content) in a folder, for sets that are read by people: Spark writes them side by side,
-    the driver gives them their names. Names are distinct and safe, as `output_name` makes them."""
-    docs.select(F.col("output_name").alias("_name"), "content").repartition("_name").write.partitionBy("_name").text(f"{path}/parts")
-    spark = docs.sparkSession
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    new = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    for status in fs.globStatus(new(f"{path}/parts/_name=*/part-*")):
-        fs.rename(status.getPath(), new(f"{path}/{status.getPath().getParent().getName().removeprefix('_name=')}"))
-    fs.delete(new(f"{path}/parts"), True)
-
-
-def intake(requested: DataFrame, spark_path: str) -> DataFrame:
-    """name, text, success and error of each requested file (name) below a folder, and the text of those that are there, without
-    the line feed that ends a written file. A missing file gives a failed row, no exception; a name asked for twice comes twice."""
-    spark = requested.sparkSession
-    last = lambda c: F.url_decode(F.substring_index(c, "/", -1))
-    there = read_texts(spark, spark_path).select(last("path").alias("name"), F.regexp_replace("text", r"\n\z", "").alias("text"))
-    sizes = list_files(spark, spark_path).select(last("path").alias("name"), F.col("length").alias("size"))
-    d = requested.select("name").join(sizes.join(there, "name"), "name", "left")
-    ok = F.col("size").isNotNull()
-    return d.select("name", "text", "size", ok.alias("success"), F.when(~ok, F.concat(F.lit("File not found: "), "name")).alias("error"))
-
-
 def write_json(results: DataFrame, path: str) -> None:
+    """results, one JSON object a line; nulls are left out, an empty table writes no rows."""
     results.write.json(path)
 
 
