@@ -34,13 +34,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Folders of tables that `stash` has written in this process and nobody has deleted.
+STASHES: list[str] = []
+
+
 def stash(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read back, for results that several branches use."""
     path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STASHES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that `stash` wrote, once nothing reads them any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        STASHES.remove(path)
+
+
 def id_remainder(column: str, divisor: int) -> Column:
     """crc32 of an id as text, modulo divisor; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillwork.llm import components, gridjoin, linkgraph
 
@@ -109,7 +110,7 @@ def test_distrust_reaches_those_who_link_to_blocked_hosts(spark):
     rows = [(i, f"http://bad{i}.net/", "") for i in range(3)]
     rows += [(10 + i, f"http://farm{i}.example/", "".join(link(f"bad{j}.net") for j in range(3))) for i in range(2)]
     rows += [(20, "http://ok.org/fr/1", link("friend.example")), (21, "http://friend.example/", ""), (22, "http://alone.example/", "")]
-    got = {r.page_id: r for r in linkgraph.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), threshold=0.3).collect()}
+    got = {r.page_id: r for r in linkgraph.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), seed_share=0.3).collect()}
     assert [got[k].verdict for k in (0, 10, 11, 20, 21, 22)] == ["block", "block", "block", "allow", "allow", "allow"]
     assert got[21].trust > 0 and got[10].distrust > 0 and got[22].trust == got[22].distrust == 0
 
@@ -122,6 +123,31 @@ def test_default_threshold_blocks_those_who_feed_blocked_hosts(spark):
     assert got[10] == "block" and got[40] == "allow" and all(got[20 + i] == "allow" for i in range(9))
 
 
+def test_method_decides_on_the_given_pages(spark):
+    """Unruled pages are blocked where their host is tied to blocked pages closely enough, and nowhere else."""
+    rows = linkgraph.judge_urls(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect()
+    unruled = [r for r in rows if r.rule is None]
+    blocked = {r.host for r in unruled if r.verdict == "block"}
+    assert 0 < sum(r.verdict == "block" for r in unruled) < len(unruled) / 2
+    with_blocked_pages = {r.host for r in rows if r.rule is not None and r.verdict == "block"}
+    assert blocked <= with_blocked_pages
+    assert not any(r.verdict == "block" for r in unruled if r.host.endswith(".org"))
+    assert all((r.distrust - r.trust > r.threshold) == (r.verdict == "block") for r in unruled)
+
+
+@pytest.mark.parametrize("task_edges", [0, 100_000])
+def test_a_graph_dealt_out_gives_the_same_ranks(spark, task_edges):
+    pages = linkgraph.with_rule(linkgraph.with_host_path(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")))
+    seeds = pages.where("host != ''").groupBy("host").agg(F.avg(F.when(F.col("ruled") == "allow", 1.0).otherwise(0.0)).alias("trusted"), F.avg(F.when(F.col("ruled") == "block", 1.0).otherwise(0.0)).alias("blocked"))
+    got = {r.host: (r.trust, r.distrust) for r in linkgraph.propagate(seeds, linkgraph.host_edges(pages), task_edges=task_edges, rounds=22).collect()}
+    if task_edges:
+        assert got.keys() == RANKS.keys() and np.allclose([got[h] for h in got], [RANKS[h] for h in got])
+    RANKS.update(got)
+
+
+RANKS: dict = {}
+
+
 def test_public_suffixes_join_nobody(spark):
     pages = spark.createDataFrame([("a.co.uk", ""), ("www.b.co.uk", ""), ("c.example.com", "")], "host string, html string")
     assert {(r.src, r.dst) for r in linkgraph.host_edges(pages).collect() if r.src > r.dst} == {("www.b.co.uk", "b.co.uk"), ("example.com", "c.example.com")}
