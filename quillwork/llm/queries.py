@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import decontam, gridjoin, linkgraph, lm, lookup, mixing, quality, rules, secrets, sharding, simhash, toxicity, whitening
 from .common import table
 
@@ -43,7 +45,10 @@ def op9_factorization_toxicity(spark, sf_dir):
 
 
 def op10_pfair_mixing(spark, sf_dir):
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), own_streams=mixing.OWN_STREAMS)
+    """A row for each document; null sources are a stream, repeated rows stay, an empty table gives none."""
+    docs = table(spark, sf_dir, "documents")
+    # the hash of the text tells rows without an id apart
+    mixed = mixing.mix(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash")), own_streams=True)
     return mixed.select("doc_id", "source", "mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position")
 
 

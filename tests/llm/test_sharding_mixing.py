@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillwork.llm import mixing, sharding
 from quillwork.llm.common import table
@@ -81,12 +82,40 @@ def test_mix_equals_schedule(spark):
 
 def test_unlisted_sources_get_streams(spark):
     rows = [(i, "t", ["a", "x", "y", "z", None][i % 5]) for i in range(1000)]
-    got = mixing.mix(docs(spark, rows), {"a": 2}, block_rows=4, own_streams=2).orderBy("mix_position").collect()
+    got = mixing.mix(docs(spark, rows), {"a": 2}, block_rows=4, own_streams=True).orderBy("mix_position").collect()
     assert [r.mix_position for r in got] == list(range(1000))
-    assert Counter(r.mix_source for r in got) == {"a": 200, "x": 200, "y": 200, mixing.OTHER: 400}
-    for n in range(20, 400, 4):
+    assert Counter(r.mix_source for r in got) == {"a": 200, "x": 200, "y": 200, "z": 200, mixing.OTHER: 200}
+    for n in range(20, 1000, 4):
         front = Counter(r.mix_source for r in got[:n])
-        assert all(abs(front[s] - n / 4) < 4 for s in "axy")
+        # all have the share 2 of 10
+        assert all(abs(front[s] - n / 5) < 4 for s in ["a", "x", "y", "z", mixing.OTHER])
+
+
+@pytest.mark.parametrize("loose", [150, 5000])
+def test_each_of_many_loose_sources_stays_within_a_block(spark, loose):
+    """A named source of half the weight, and loose ones of different sizes, all with blocks left for the first half."""
+    weight, per = loose, 8 if loose == 150 else 2
+    rows = spark.range(loose * per * 2 + loose).selectExpr("id as doc_id", f"case when id % 2 = 0 then 'a' else concat('s', (id div 2) % {loose}) end as source")
+    got = mixing.mix(rows, {"a": weight, mixing.OTHER: 1}, block_rows=2, own_streams=True).orderBy("mix_position").select("mix_source", "mix_slot", "mix_release", "mix_deadline", "mix_position").collect()
+    assert [r.mix_position for r in got] == list(range(len(got))) and all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.mix_source, set()).add(r.mix_slot)
+    assert len(slots) == loose + 1
+    share = {s: (weight if s == "a" else 1) / (2 * loose) for s in slots}
+    until = min(max(x) for x in slots.values())
+    for s, own in slots.items():
+        for k, t in enumerate(sorted(x for x in own if x <= until)):
+            # before and after its k-th block
+            assert abs(k - share[s] * t) < 1 + 1e-9 and abs(k + 1 - share[s] * (t + 1)) < 1 + 1e-9
+
+
+def test_rows_without_a_key_spread(spark):
+    rows = spark.range(20_000).selectExpr("cast(null as bigint) as doc_id", "'src0' as source", "concat('text ', id) as text")
+    plain = mixing.mix(rows).select("mix_position").collect()
+    assert sorted(r[0] for r in plain) == list(range(20_000))
+    salt = F.xxhash64("doc_id", F.xxhash64("doc_id", "source", "text"))
+    assert rows.select(F.pmod(salt, F.lit(-(-20_000 // mixing.SLICE_ROWS)))).distinct().count() > 70
 
 
 def test_mix_of_awkward_rows(spark):
