@@ -27,13 +27,13 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order that interleaves sources by their target shares. Null sources are pooled; no row is lost."""
-    return mixing.mixed(docs, own_streams=mixing.OWN_STREAMS)
+    return mixing.mixed(docs, own_streams=True)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their shard and mix_position: reading shards in its order keeps the target shares, however files are cut.
     Rows without a doc_id share a shard; columns named shard or like those of mixing are replaced."""
-    mixed = mixing.mix(docs, own_streams=mixing.OWN_STREAMS)
+    mixed = mixing.mix(docs, own_streams=True)
     return sharding.assign_shards(mixed.drop(*[c for c in mixing.COLUMNS if c != "mix_position"]), sharding.equal_shards(24))
 
 
