@@ -40,27 +40,38 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 class Forest:
-    """Links that join rows of one comparison task into trees: no more links than rows, whatever the number of pairs."""
+    """Links that join rows of one comparison task into trees: fewer links than rows, whatever the number of pairs.
+
+    Union-find over arrays. Between calls every row's entry in `root` is the least row of its tree.
+    """
 
     def __init__(self, n: int):
-        self.label = np.arange(n)
-        self.links: list[tuple[int, int]] = []
+        self.root = np.arange(n)
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Joins the trees of i[k] and j[k] for every k. A call that joins nothing costs its pairs alone."""
+        while True:
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, low, high = i[apart], j[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            # a root hangs under one smaller root at a time, so there are no cycles
+            high, at = np.unique(high, return_index=True)
+            self.root[high] = low[at]
+            self.links.append((high, low[at]))
+            while not np.array_equal(above := self.root[self.root], self.root):
+                self.root = above
 
-    def add(self, row: int, others: np.ndarray) -> None:
-        roots = np.unique(self.label[others])
-        roots = roots[roots != self.label[row]]
-        if not len(roots):
-            return
-        # a root is itself a row of its tree
-        self.links += [(row, int(r)) for r in roots]
-        self.label[np.isin(self.label, roots)] = self.label[row]
+    def pairs(self) -> np.ndarray:
+        """The links, a row each."""
+        return np.stack([np.concatenate(side) for side in zip(*self.links, strict=True)], axis=1) if self.links else np.zeros((0, 2), dtype=np.int64)
 
 
-def forest_links(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Tree links among n rows with the same components as the pairs (i, j), i sorted."""
+def forest_links(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Tree links, a row each, among n rows with the same components as the pairs (i, j)."""
     forest = Forest(n)
     if len(i):
-        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-        for s, e in zip(starts, np.r_[starts[1:], len(i)], strict=True):
-            forest.add(int(i[s]), j[s:e])
-    return forest.links
+        forest.add(i, j)
+    return forest.pairs()

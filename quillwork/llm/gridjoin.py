@@ -200,8 +200,7 @@ def _compare(cosine: float):
         shift = 0 if same else len(ids_a)
         np.add.at(n, i, mult_b[j])
         np.add.at(n, j + shift, mult_a[i])
-        order = np.argsort(i, kind="stable")
-        links = np.array(forest_links(len(ids), i[order], j[order] + shift), dtype=np.int64).reshape(-1, 2)
+        links = forest_links(len(ids), i, j + shift)
         has = np.flatnonzero(n)
         return pa.table({"a": np.concatenate([ids[has], ids[links[:, 0]]]), "b": pa.array(ids[links[:, 1]]).cast(pa.int64()) if not len(has) else pa.chunked_array([pa.nulls(len(has), pa.int64()), pa.array(ids[links[:, 1]], pa.int64())]).combine_chunks(), "n": np.concatenate([n[has], np.zeros(len(links), dtype=np.int64)])})
 

@@ -45,16 +45,22 @@ KNOTS = {
 #: Buckets of hashed words.
 WORDS = 64
 VALUES = len(KNOTS) + WORDS
+TOP_PRIOR = 8
 WIDTH = 1 + sum(len(k) - 1 for k in KNOTS.values()) + WORDS
 RIDGE = 1e-3
 MOMENTS = "n_p array<double>, sum_p array<double>, outer_p array<double>, n_u array<double>, sum_u array<double>, outer_u array<double>"
 
 
-@lru_cache(200_000)
 def _bucket(word: str) -> int:
     return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORDS
 
 
+@lru_cache(200_000)
+def _known_bucket(word: str) -> int:
+    """_bucket of a short word: only those are remembered, so that the memory of a worker is bounded."""
+    return _bucket(word)
+
+
 def statistics(text: str) -> list[float]:
     """The statistics of KNOTS and the shares of each bucket's words over the whole text; an empty text has zeros."""
     n = max(1, len(text))
@@ -67,7 +73,7 @@ def statistics(text: str) -> list[float]:
     letters = sum(map(len, words))
     shares = [0.0] * WORDS
     for w, c in counts.items():
-        shares[_bucket(w) if len(w) <= 64 else 0] += c / m
+        shares[_known_bucket(w) if len(w) <= 64 else _bucket(w)] += c / m
     return [
         math.log1p(len(words)),
         sum(map(str.isupper, words)) / m,
@@ -78,7 +84,8 @@ def statistics(text: str) -> list[float]:
         of("!"),
         letters / m,
         len(counts) / m,
-        max(counts.values(), default=0) / m if len(words) >= 8 else 0.0,
+        # as if each text had TOP_PRIOR more words: the commonest word of a short text says little
+        max(counts.values(), default=0) / (len(words) + TOP_PRIOR),
         sum(c - 1 for c in pairs.values()) / m,
         math.log1p(len(words) / max(1, len(lines))),
         1 - len(set(lines)) / len(lines),

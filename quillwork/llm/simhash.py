@@ -19,14 +19,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small, stash, words_of
-from .components import components, forest_links
+from .components import Forest, components
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
 #: Residents of a tile that one task holds; a larger tile is cut by a hash, and visitors go to every cut.
-TILE_ROWS = 1 << 19
+TILE_ROWS = 1 << 17
 CHUNK_WORDS = 1 << 16
+#: Rows of one fingerprint that one task joins with its component.
+COPIES = 1000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -63,11 +65,12 @@ def _ahead(radius: int) -> list[tuple[int, ...]]:
     return [d for d in near if next((x for x in d if x), 0) > 0]
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, radius: int):
-    """Row and column numbers of pairs within the radius, block by block; rows are a word or, in two dimensions, a few."""
+def _pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False):
+    """Row and column numbers of pairs within the radius, block by block; rows are a word or, in two dimensions, a few. Of a table
+    with itself only the blocks on and under the diagonal, so that no pair is missed."""
     a, b = (np.ascontiguousarray(np.atleast_2d(x.T)) for x in (a, b))
     for at in range(0, a.shape[1], 256):
-        for off in range(0, b.shape[1], 8192):
+        for off in range(0, min(b.shape[1], at + 256) if same else b.shape[1], 8192):
             bits = (np.bitwise_count(x[at : at + 256, None] ^ y[None, off : off + 8192]) for x, y in zip(a, b, strict=True))
             close = sum(bits, start=next(bits)) <= radius
             i, j = np.nonzero(close)
@@ -80,17 +83,13 @@ def _compare(radius: int):
         tile, residents, parts = None, None, []
 
         def links_of(visitors: np.ndarray, same: bool):
-            own = residents
-            found = [(i[keep], j[keep]) for i, j in _pairs(visitors, own, radius) for keep in [i != j if same else slice(None)]]
-            if not found:
-                return None
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(i, kind="stable")
             # visitors are numbered after residents; residents among themselves keep their numbers
-            shift = 0 if same else len(own)
-            both = own if same else np.concatenate([own, visitors])
-            links = np.array(forest_links(len(both), i[order] + shift, j[order]), dtype=np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(both[links[:, k]].view(np.int64)) for k in (0, 1)], ["a", "b"])
+            both, shift = (residents, 0) if same else (np.concatenate([residents, visitors]), len(residents))
+            forest = Forest(len(both))
+            for i, j in _pairs(visitors, residents, radius, same):
+                forest.add(i + shift, j)
+            links = forest.pairs()
+            return pa.RecordBatch.from_arrays([pa.array(both[links[:, k]].view(np.int64)) for k in (0, 1)], ["a", "b"]) if len(links) else None
 
         def settle():
             nonlocal residents
@@ -174,7 +173,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     of = known.groupBy("component").agg(F.min("first").alias("component_id"))
     own = known.join(of, "component").select("fp", "component_id")
     ids = prints.join(own, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return seen.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a fingerprint of many rows is dealt over tasks by their ids
+    rows, cuts_of = with_cuts(seen.withColumnRenamed("fp", "tile"), COPIES)
+    rows = rows.withColumn("cut", F.pmod(F.xxhash64("doc_id"), "cuts"))
+    known = cuts_of(ids.withColumnRenamed("fp", "tile")).withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).drop("cuts")
+    return rows.join(known, ["tile", "cut"]).select("doc_id", F.lower(F.lpad(F.hex("tile"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

@@ -426,3 +426,11 @@ def test_short_items_are_found_in_longer_texts(spark):
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert decontam.drop_leaks(docs(spark, [*rows, (99, "t1 t2 t3 t4")]), benchmark).collect()[0].doc_id == 99
     assert decontam.drop_leaks(docs(spark, rows), benchmark).count() == 0
+
+
+def test_long_words_and_short_texts_have_no_step():
+    words = [quality.statistics(f"{'a' * n} b")[len(quality.KNOTS) :] for n in (64, 65, 66)]
+    assert all(w[quality._bucket("a" * n)] >= 0.5 for w, n in zip(words, (64, 65, 66), strict=True))
+    top = list(quality.KNOTS).index("top_share")
+    shares = [quality.statistics("same " * n)[top] for n in range(1, 12)]
+    assert shares == sorted(shares) and max(b - a for a, b in zip(shares, shares[1:], strict=False)) < 0.1

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -79,6 +80,28 @@ def test_components(spark, seed):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_forest_keeps_components():
+    rng = np.random.default_rng(2)
+    for n, pairs in ((50, 30), (50, 200), (3, 0)):
+        i, j = rng.integers(0, n, (2, pairs))
+        forest = components.Forest(n)
+        for at in range(0, pairs, 7):
+            forest.add(i[at : at + 7], j[at : at + 7])
+        links = forest.pairs()
+        assert len(links) < n and minimal_components(range(n), links.tolist()) == minimal_components(range(n), list(zip(i.tolist(), j.tolist(), strict=True)))
+        assert forest.root.tolist() == list(minimal_components(range(n), links.tolist()).values())
+
+
+def test_forest_of_a_long_chain():
+    n = 500_000
+    forest = components.Forest(n)
+    began = time.time()
+    for at in range(0, n - 1, 256):
+        i = np.arange(at, min(at + 256, n - 1))
+        forest.add(i + 1, i)
+    assert time.time() - began < 60 and len(forest.pairs()) == n - 1 and not forest.root.any()
+
+
 URLS = [
     (1, "http://A.Example.net/en/x?q#f", None), (2, "https://x.example.net/de/1", ""), (3, "http://example.com/de/2", ""), (4, "http://notexample.com/de/2", ""), (5, "http://w.example.org/fr/", ""), (6, "ftp://w.org?x/fr/", ""),
     (7, None, None), (8, "no scheme", "<a href='http://other.example/'>"), (9, "http://evilexample.net", ""), (None, "http://example.net/en/1", ""), (2, "https://x.example.net/de/1", ""), (10, "://h#p", ""),
