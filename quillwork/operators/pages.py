@@ -11,6 +11,7 @@ from ..functions.text import S, ladder, strip, text_of, title_case
 
 DOCUMENT_KINDS = ("pdf", "md", "markdown", "txt", "xlsx", "xls", "csv")
 SHEET_KINDS = ("xlsx", "xls", "csv")
+FIELDS = ("filename", "page", "confidence", "progress", "header_rows", "role", "recommendation")
 ROLES = ("label_1", "label_2", "label_3", "label_4", "label_5", "data", "ignore")
 #: Status colours.
 COLORS = {"ACCEPT": "#17702E", "REJECT": "#FF453A", "REVIEW": "#BE8200"}
@@ -91,6 +92,15 @@ def violations(records: DataFrame) -> DataFrame:
     return records.withColumn("violations", F.array_join(broken, ",")).withColumn("valid", F.size(broken) == 0)
 
 
+def error_records(checked: DataFrame, at: str) -> DataFrame:
+    """The quarantine of `violations`: rows that break a rule, with error (type), message, details (a map from field to its value as
+    text, null where it is null) and the time `at`, which is given, never read from a clock. Valid rows give none."""
+    fields = F.filter(F.split("violations", ","), lambda f: f != "")
+    values = F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.col(f).cast("string"))])
+    message = F.concat(F.lit("Invalid "), F.array_join(fields, ", "))
+    return checked.where("not valid").withColumn("error", F.lit("ValidationError")).withColumn("message", message).withColumn("details", F.map_filter(values, lambda k, v: F.array_contains(fields, k))).withColumn("timestamp", F.lit(at).cast("timestamp"))
+
+
 def clean_settings(settings: DataFrame) -> DataFrame:
     """doc_id, page_no, setting of usable rows: an integer page and YES or NO in any case."""
     return settings.select("doc_id", F.expr("try_cast(page_no AS bigint)").alias("page_no"), F.upper(strip(text_of("setting"))).alias("setting")).where("page_no is not null and setting in ('YES', 'NO')")

@@ -50,7 +50,8 @@ def _title() -> Column:
 
 
 def null_leaves(parsed: DataFrame) -> DataFrame:
-    """doc_id, plan_name, path, warning of every null value, at any depth."""
+    """doc_id, plan_name, path, warning of every field of the known plan schema that is null or missing. For any other fields, at any
+    depth, see `null_paths`."""
     rows = plan_rows(parsed)
     plain = [F.struct(F.lit(c).alias("path"), F.col(c).isNull().alias("gone")) for c in ("network", "coinsurance")]
     inside = [F.coalesce(_entries(c), F.array().cast("array<struct<path:string,gone:boolean>>")) for c in ("premiums", "deductibles", "copays", "rx_tiers")]
@@ -59,6 +60,28 @@ def null_leaves(parsed: DataFrame) -> DataFrame:
     return found.select("doc_id", "plan_name", "x.path", F.concat("title", F.lit("."), "x.path", F.lit(": Value is null")).alias("warning"))
 
 
+def null_paths(replies: DataFrame, column: str = "response") -> DataFrame:
+    """doc_id, plan_name, path, warning of every null in a plan's objects, at any depth and under any key.
+
+    Replies (doc_id) are JSON with a list `plans`, fenced or not; unreadable ones give no rows. Objects are opened level by level,
+    keys joined by dots; lists are not entered and missing keys are no nulls. A plan without a name is `Plan n`. A round is one
+    explode without a shuffle; rounds end with the deepest object.
+    """
+    bare = strip(F.regexp_replace(text_of(column), r"```(?:json)?", ""))
+    plans = replies.select("doc_id", F.try_parse_json(bare).alias("reply")).select("doc_id", F.posexplode(F.expr("try_variant_get(reply, '$.plans', 'array<variant>')")).alias("i", "object"))
+    named = F.coalesce(F.expr("try_variant_get(object, '$.plan_name', 'string')"), F.concat(F.lit("Plan "), (F.col("i") + 1).cast("string")))
+    level = plans.select("doc_id", named.alias("plan_name"), F.lit("").alias("above"), "object")
+    found = None
+    while True:
+        opened = level.where("schema_of_variant(object) like 'OBJECT%'").lateralJoin(replies.sparkSession.tvf.variant_explode(F.col("object").outer()))
+        entries = opened.select("doc_id", "plan_name", F.concat("above", "key").alias("path"), "value")
+        nulls = entries.where("is_variant_null(value)").select("doc_id", "plan_name", "path", F.concat("plan_name", F.lit("."), "path", F.lit(": Value is null")).alias("warning"))
+        found = nulls if found is None else found.unionByName(nulls)
+        level = entries.select("doc_id", "plan_name", F.concat("path", F.lit(".")).alias("above"), F.col("value").alias("object"))
+        if level.where("schema_of_variant(object) like 'OBJECT%'").isEmpty():
+            return found
+
+
 def _entries(column: str) -> Column:
     return F.transform(F.map_entries(column), lambda e: F.struct(F.concat(F.lit(f"{column}."), e["key"]).alias("path"), e["value"].isNull().alias("gone")))
 

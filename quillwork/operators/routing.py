@@ -157,20 +157,23 @@ def is_object(column: str) -> Column:
 def first_object(text: Column) -> Column:
     """The first balanced {...} of a text, braces in strings not counted; an unbalanced rest is closed. Null without a brace.
 
-    A fold over all characters, for texts that are no JSON by themselves.
+    A fold over braces, quotes and backslashes alone: each token is one of them with the plain characters before it.
     """
     start = F.instr(text, "{")
-    chars = F.split(F.substring(text, start, F.length(text)), "")
+    rest = F.substring(text, start, F.length(text))
+    tokens = F.regexp_extract_all(rest, F.lit(r'(?s)[^"{}\\]*+["{}\\]'), F.lit(0))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(False).alias("done"))
 
-    def step(a: Column, c: Column) -> Column:
-        inside, quote = a["quoted"], (c == '"') & ~a["escaped"]
+    def step(a: Column, t: Column) -> Column:
+        # an escape reaches the next character only
+        inside, c, escaped = a["quoted"], F.right(t, F.lit(1)), a["escaped"] & (F.length(t) == 1)
+        quote = (c == '"') & ~escaped
         depth = a["depth"] + F.when(inside, 0).when(c == "{", 1).when(c == "}", -1).otherwise(0)
-        moved = F.struct((a["n"] + 1).alias("n"), depth.alias("depth"), F.when(quote, ~inside).otherwise(inside).alias("quoted"), (inside & (c == "\\") & ~a["escaped"]).alias("escaped"), ((depth == 0) & ~inside).alias("done"))
+        moved = F.struct((a["n"] + F.length(t)).alias("n"), depth.alias("depth"), F.when(quote, ~inside).otherwise(inside).alias("quoted"), (inside & (c == "\\") & ~escaped).alias("escaped"), ((depth == 0) & ~inside).alias("done"))
         return F.when(a["done"], a).otherwise(moved)
 
-    end = F.aggregate(chars, zero, step)
-    cut = F.substring(text, start, end["n"])
+    end = F.aggregate(tokens, zero, step)
+    cut = F.when(end["done"], F.substring(rest, F.lit(1), end["n"])).otherwise(rest)
     closed = F.concat(cut, F.when(end["quoted"], '"').otherwise(""), F.repeat(F.lit("}"), F.when(end["done"], 0).otherwise(F.greatest(end["depth"], F.lit(0)))))
     return F.when(start > 0, closed)
 

@@ -64,6 +64,9 @@ def _records(s, d):
 _add("validate_records", lambda s, d: P.violations(_records(s, d)).select("event_id", "violations", "valid"), """WITH r AS (SELECT event_id, event_id % 300 AS n, user_id % 5 AS page, event_id % 13 / 10.0::DOUBLE AS c, event_id % 120 AS p, event_id % 12 AS h, event_id % 4 = 3 AS role_bad, event_id % 5 >= 2 AS rec_bad FROM events)
 SELECT event_id, concat_ws(',', CASE WHEN NOT n BETWEEN 1 AND 255 THEN 'filename' END, CASE WHEN page < 1 THEN 'page' END, CASE WHEN c > 1 THEN 'confidence' END, CASE WHEN p > 100 THEN 'progress' END, CASE WHEN h > 10 THEN 'header_rows' END, CASE WHEN role_bad THEN 'role' END, CASE WHEN rec_bad THEN 'recommendation' END) AS violations,
 n BETWEEN 1 AND 255 AND page >= 1 AND c <= 1 AND p <= 100 AND h <= 10 AND NOT role_bad AND NOT rec_bad AS valid FROM r""")
+_add("error_records", lambda s, d: P.error_records(P.violations(_records(s, d)), "2024-06-01 12:00:00").select("event_id", "error", "message", F.array_join(F.transform(F.array_sort(F.map_entries("details")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("details"), F.col("timestamp").cast("timestamp_ntz").alias("at")), """WITH r AS (SELECT event_id, event_id % 300 AS n, user_id % 5 AS page, event_id % 13 / 10.0::DOUBLE AS c, event_id % 120 AS p, event_id % 12 AS h, ['label_1', 'data', 'ignore', 'other'][event_id % 4 + 1] AS role, ['YES', 'NO', 'yes', 'MAYBE', 'YES' || chr(10)][event_id % 5 + 1] AS rec FROM events),
+b AS (SELECT *, list_filter([CASE WHEN NOT n BETWEEN 1 AND 255 THEN 'filename' END, CASE WHEN page < 1 THEN 'page' END, CASE WHEN c > 1 THEN 'confidence' END, CASE WHEN p > 100 THEN 'progress' END, CASE WHEN h > 10 THEN 'header_rows' END, CASE WHEN role = 'other' THEN 'role' END, CASE WHEN event_id % 5 >= 2 THEN 'recommendation' END], lambda x: x IS NOT NULL) AS broken FROM r)
+SELECT event_id, 'ValidationError' AS error, 'Invalid ' || array_to_string(broken, ', ') AS message, array_to_string(list_transform(list_sort(broken), lambda f: f || '=' || CASE f WHEN 'filename' THEN repeat('f', n::INT) WHEN 'page' THEN page::VARCHAR WHEN 'confidence' THEN c::VARCHAR WHEN 'progress' THEN p::VARCHAR WHEN 'header_rows' THEN h::VARCHAR WHEN 'role' THEN role ELSE rec END), ';') AS details, TIMESTAMP '2024-06-01 12:00:00' AS at FROM b WHERE len(broken) > 0""")
 _add("settings_table", lambda s, d: P.clean_settings(D.page_settings(D.docs_aug(s, d))), f"WITH {DOCS} SELECT doc_id, CAST(p AS BIGINT) AS page_no, CASE p WHEN 1 THEN 'YES' ELSE 'NO' END AS setting FROM docs_aug, range(1, 3) r(p) WHERE doc_id % 3 = 0")
 
 
@@ -109,7 +112,7 @@ _add("route_override", lambda s, d: R.routed(D.doc_pages(s, d), P.clean_settings
 u AS (SELECT *, CAST(coalesce(sum(CASE WHEN ov IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used_before FROM o),
 m AS (SELECT *, coalesce(ov, CASE WHEN used_before >= 3 THEN 'tesseract' WHEN has_checkboxes OR text_quality IN ('poor', 'missing') OR quality_score < 0.7 THEN 'vision' ELSE 'tesseract' END) AS method FROM u)
 SELECT doc_id, page_no, used_before, method, method = 'vision' AS use_vision FROM m""")
-_att = f"""WITH {PAGES}, att AS (SELECT doc_id, page_no, text, CAST(a AS INT) AS attempt, CASE WHEN a < 3 THEN 'vision' ELSE 'tesseract' END AS method, (doc_id + page_no * 3 + a * 2) % 7 < 2 AS success, CASE WHEN (doc_id + page_no * 3 + a * 2) % 7 < 2 THEN 'v' || a || ': ' || substr(text, 1, 40) END AS content FROM doc_pages, range(1, 4) r(a))"""
+_att = f"""WITH {PAGES}, att AS (SELECT doc_id, page_no, text, CAST(a AS INT) AS attempt, CASE WHEN a < 3 THEN 'vision' ELSE 'tesseract' END AS method, (doc_id + page_no * 3 + a * 2) % 7 < 2 AS success, CASE WHEN (doc_id + page_no * 3 + a * 2) % 7 < 2 THEN 'v' || a || ': ' || text END AS content FROM doc_pages, range(1, 4) r(a))"""
 _add("resolve_fallback", lambda s, d: R.resolve_attempts(p := D.doc_pages(s, d), D.attempts(p)).select("doc_id", "page_no", "chosen_method", "content"), f"""{_att}, b AS (SELECT doc_id, page_no, any_value(text) AS text, arg_min(content, attempt) FILTER (WHERE success AND method = 'vision') AS v, arg_min(content, attempt) FILTER (WHERE success AND method = 'tesseract') AS t FROM att GROUP BY doc_id, page_no)
 SELECT doc_id, page_no, CASE WHEN v IS NOT NULL THEN 'vision' WHEN {strip('text')} <> '' THEN 'direct' WHEN t IS NOT NULL THEN 'tesseract' ELSE 'none' END AS chosen_method, coalesce(v, CASE WHEN {strip('text')} <> '' THEN text END, t, '') AS content FROM b""")
 _add("page_errors", lambda s, d: R.isolate_errors(p := D.doc_pages(s, d), D.attempts(p)), f"""{_att}, b AS (SELECT doc_id, page_no, max(success) AS ok, arg_min(content, attempt) FILTER (WHERE success) AS c FROM att GROUP BY doc_id, page_no)

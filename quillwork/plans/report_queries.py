@@ -88,6 +88,17 @@ _add("parse_plans", lambda s, d: _parsed(s, d).select("doc_id", "n_plans", "n_un
 _add("duplicate_premiums", lambda s, d: L.duplicate_premiums(_parsed(s, d)), f"SELECT doc_id, 'Bronze' AS plan_name, 'DUPLICATE PREMIUMS: Bronze has same premiums as another plan' AS warning FROM documents WHERE {_ok} AND doc_id % 2 = 0")
 _add("missing_plan_sections", lambda s, d: L.missing_sections(_parsed(s, d)), f"SELECT doc_id, CASE WHEN {_ok} THEN 'Bronze' END AS plan_name, CASE WHEN {_ok} THEN 'copays' END AS section, CASE WHEN {_ok} THEN 'Bronze: Missing copay data' ELSE 'No plans found in extracted data' END AS warning FROM documents WHERE NOT ({_ok}) OR doc_id % 3 = 0")
 _add("null_leaves", lambda s, d: L.null_leaves(_parsed(s, d)), f"WITH d AS (SELECT doc_id FROM documents WHERE {_ok}), v(plan_name, path) AS (VALUES ('Gold', 'network'), ('Gold', 'coinsurance'), ('Silver', 'network'), ('Silver', 'coinsurance'), ('Silver', 'premiums.family'), ('Silver', 'copays.pcp')) SELECT doc_id, plan_name, path, plan_name || '.' || path || ': Value is null' AS warning FROM d, v")
+
+
+def _deep(s, d):
+    """Replies with nulls down to four levels, under keys that no schema names, in one plan without a name; a list holds one, too."""
+    k = F.col("doc_id").cast("string")
+    reply = F.concat(F.lit('```json\n{"plans": [{"plan_name": "P'), k, F.lit('", "x": {"y": {"z": {"w": null, "v": '), F.when(F.col("doc_id") % 3 == 0, "null").otherwise("1"), F.lit('}}, "list": [{"q": null}]}, "no": '), F.when(F.col("doc_id") % 2 == 0, "null").otherwise('"yes"'), F.lit('}, {"only": {"n": null}}, null, 7]}\n```'))
+    return D.read(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 6, "sorry").when(F.col("doc_id") % 7 == 5, '{"plans": {}}').otherwise(reply).alias("response"))
+
+
+_add("null_paths", lambda s, d: L.null_paths(_deep(s, d)), """WITH d AS (SELECT doc_id FROM documents WHERE doc_id % 7 < 5), n AS (SELECT doc_id, 'P' || doc_id AS plan_name, unnest(['x.y.z.w', CASE WHEN doc_id % 3 = 0 THEN 'x.y.z.v' END, CASE WHEN doc_id % 2 = 0 THEN 'no' END]) AS path FROM d UNION ALL SELECT doc_id, 'Plan 2', 'only.n' FROM d)
+SELECT *, plan_name || '.' || path || ': Value is null' AS warning FROM n WHERE path IS NOT NULL""")
 _md = lambda *x: " || chr(10) || ".join(q(v) for v in x)
 _add("plan_markdown", lambda s, d: L.plan_markdown(_parsed(s, d)), f"""WITH d AS (SELECT doc_id FROM documents WHERE {_ok}) SELECT doc_id, 0::BIGINT AS i, {_md('## Gold', '### Premiums', '- Family: $30.50', '- Single: $10.00', '### Deductibles', '- Single: $500.00', '### Copays', '- PCP: $20.00')} AS markdown FROM d
 UNION ALL SELECT doc_id, 1, {_md('## Silver', '### Premiums', '- Single: $7.00', '### Deductibles', '- Single: $500.00')} FROM d
@@ -137,7 +148,7 @@ _add("result_analytics", lambda s, d: A.result_analytics(_results(s, d)).select(
 SELECT doc_id, words, round((pages % 4) / CAST(pages AS DOUBLE), 1) AS calls_per_page, (doc_id % 90) / CAST(pages AS DOUBLE) AS seconds_per_page, CASE WHEN v + f > 0 THEN v * 100 / CAST(v + f AS DOUBLE) ELSE 0 END::DOUBLE AS vision_share, CASE WHEN v + f > 0 THEN f * 100 / CAST(v + f AS DOUBLE) ELSE 0 END::DOUBLE AS formatting_share, CASE WHEN x > 0 OR r > 0 THEN format('Extraction: {{:.2f}}s, Quality report: {{:.2f}}s, Summary: 0.00s', x, r) ELSE '' END AS timings FROM t""")
 _add("stage_rollup", lambda s, d: A.stage_rollup(_runs(s, d)), f"WITH {_rn} SELECT stage, count(*) AS n, CAST(sum(CAST(success AS INT)) AS BIGINT) AS ok, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(seconds) AS BIGINT) AS seconds, sum(CAST(success AS INT)) * 100 / CAST(count(*) AS DOUBLE) AS rate FROM rn GROUP BY ROLLUP (stage)")
 _add("stage_chain", lambda s, d: A.stage_chain(_runs(s, d)), f"WITH {_rn}, f AS (SELECT run_id, min(stage_no) FILTER (WHERE NOT success) AS bad FROM rn GROUP BY 1) SELECT rn.* FROM rn JOIN f USING (run_id) WHERE bad IS NULL OR stage_no <= bad")
-_at = f"WITH {PAGES}, att AS (SELECT doc_id, page_no, CAST(a AS INT) AS attempt, (doc_id + page_no * 3 + a * 2) % 7 < 2 AS success, 'v' || a || ': ' || substr(text, 1, 40) AS content FROM doc_pages, range(1, 4) r(a)), o AS (SELECT doc_id, page_no, min(attempt) FILTER (WHERE success) AS attempt, arg_min(content, attempt) FILTER (WHERE success) AS content FROM att GROUP BY 1, 2)"
+_at = f"WITH {PAGES}, att AS (SELECT doc_id, page_no, CAST(a AS INT) AS attempt, (doc_id + page_no * 3 + a * 2) % 7 < 2 AS success, 'v' || a || ': ' || text AS content FROM doc_pages, range(1, 4) r(a)), o AS (SELECT doc_id, page_no, min(attempt) FILTER (WHERE success) AS attempt, arg_min(content, attempt) FILTER (WHERE success) AS content FROM att GROUP BY 1, 2)"
 _error = "['Request timeout', 'Rate limit hit', 'Bad gateway'][CAST((doc_id + page_no) % 3 AS INT) + 1]"
 _add("retry_outcome", lambda s, d: A.retry_outcome(D.attempts(D.doc_pages(s, d)), ["doc_id", "page_no"]), f"{_at} SELECT doc_id, page_no, attempt, content, attempt IS NOT NULL AS success, CASE WHEN attempt IS NULL THEN 'Max retries: ' || {_error} END AS error FROM o")
 _add("error_classes", lambda s, d: D.attempts(D.doc_pages(s, d)).where("error is not null").groupBy(A.error_class(F.col("error")).alias("class")).agg(F.count("*").alias("n")), f"{_at} SELECT CASE (doc_id + page_no) % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'rate_limit' ELSE 'other' END AS class, count(*) AS n FROM att WHERE NOT success GROUP BY 1")

@@ -73,7 +73,7 @@ def attempts(pages: DataFrame) -> DataFrame:
     rows = pages.select("doc_id", "page_no", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("attempt"), "text")
     rows = rows.withColumn("method", F.when(F.col("attempt") < 3, "vision").otherwise("tesseract"))
     rows = rows.withColumn("success", (F.col("doc_id") + F.col("page_no") * 3 + F.col("attempt") * 2) % 7 < 2)
-    return rows.select("doc_id", "page_no", "attempt", "method", "success", F.when(F.col("success"), F.concat(F.lit("v"), F.col("attempt").cast("string"), F.lit(": "), F.substring("text", 1, 40))).alias("content"), F.when(F.col("success"), F.length("text")).otherwise(0).cast("long").alias("tokens"), F.when(~F.col("success"), F.element_at(F.array(F.lit("Request timeout"), F.lit("Rate limit hit"), F.lit("Bad gateway")), ((F.col("doc_id") + F.col("page_no")) % 3 + 1).cast("int"))).alias("error"))
+    return rows.select("doc_id", "page_no", "attempt", "method", "success", F.when(F.col("success"), F.concat(F.lit("v"), F.col("attempt").cast("string"), F.lit(": "), F.col("text"))).alias("content"), F.when(F.col("success"), F.length("text")).otherwise(0).cast("long").alias("tokens"), F.when(~F.col("success"), F.element_at(F.array(F.lit("Request timeout"), F.lit("Rate limit hit"), F.lit("Bad gateway")), ((F.col("doc_id") + F.col("page_no")) % 3 + 1).cast("int"))).alias("error"))
 
 
 def visual_flags(pages: DataFrame) -> DataFrame:
