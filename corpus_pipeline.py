@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillwork.llm import decontam, mixing, quality, sharding, simhash
-from quillwork.llm.common import stash, table
+from quillwork.llm.common import STASHES, forget, stash, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mine = table(spark, sf_dir, "documents"), len(STASHES)
     for _, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir))
+        # what this stage wrote on its way and what it read are not needed any more
+        forget(spark, STASHES[mine:-1])
     return STAGES[-1][1](spark, docs, sf_dir)
