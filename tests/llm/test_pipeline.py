@@ -86,3 +86,11 @@ def test_stages_take_awkward_rows(spark):
             assert len(rows) <= 6 and (name == "sharding" or out.columns == d.columns)
             assert len(out.columns) == len(set(out.columns)) and (not extra or {r.odd["a"] for r in rows} <= {1})
             assert stage(spark, d.where("false"), "/root/testdata/sf0.001").count() == 0
+
+
+def test_run_leaves_one_table_behind(spark):
+    from quillwork.llm import common
+
+    before = list(common.STASHES)
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len(common.STASHES) == len(before) + 1 and out.count() > 0
