@@ -88,8 +88,8 @@ def _last_at_most(bounds: np.ndarray, x: Column) -> Column:
 
 
 def _array(values: np.ndarray) -> Column:
-    """A constant array of longs; the text form is folded once and costs no expression for each value."""
-    return F.transform(F.split(F.lit(",".join(map(str, values.tolist()))), ","), lambda v: v.cast("long"))
+    """A constant array of longs; its text form is folded once and costs no expression for each value."""
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
 
 
 def _hashable(kind: object) -> bool:

@@ -92,5 +92,5 @@ def test_run_leaves_one_table_behind(spark):
     from quillwork.llm import common
 
     before = list(common.STASHES)
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    out = P.run(spark, "/root/testdata/sf0.001")
     assert len(common.STASHES) == len(before) + 1 and out.count() > 0
