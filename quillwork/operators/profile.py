@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import INDENT, PAGE_BREAK, S, W, count_of, flag, has, joined, ladder, line_count, lines, listed, text_of, word_count
+from .ranges import RANGE_ROWS, range_of, text_blocks
 from .routing import ALIGNED, CHECKBOXES, TABLE_CHARS
 
 #: Patterns of the content profile.
@@ -66,6 +67,13 @@ def assemble(pages: DataFrame, separator: str = PAGE_BREAK, text: str = "text",
     return pages.groupBy("doc_id").agg(joined(F.struct(F.col(order).alias("pos"), text_of(text).alias("value")), separator).alias("text"), F.count("*").alias("pages"))
 
 
+def assemble_blocks(pages: DataFrame, separator: str = PAGE_BREAK, text: str = "text", order: str = "page_no", budget: int = 1 << 20, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """doc_id, block, start and text: the texts of `assemble` as ordered blocks of at most `budget` bytes, however long a document is.
+    Pages are ranged by their number; null texts count as empty."""
+    d = pages.select("doc_id", F.col(order).alias("at"), text_of(text).alias("text"))
+    return text_blocks(d, ["doc_id"], range_of("at", range_rows), ["at"], "text", separator, budget)
+
+
 def simple_documents(pages: DataFrame) -> DataFrame:
     """One row a document with is_simple (long plain prose), and for these the text, ready at confidence 0.9."""
     d = assemble(pages, "\n\n")

@@ -1,6 +1,6 @@
 """Worksheets as long cell tables (sheet, row, col, value; 1-based): headers, column profiles, flattened facts, sections.
 
-A worksheet is bounded by its format (about a million rows), so windows over one sheet stay bounded too.
+What depends on the order of a sheet's rows is carried over ranges of rows (`ranges.py`); no window holds a sheet.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import flag, joined, ladder, strip, text_of, title_case
+from .ranges import RANGE_ROWS, carry_down, plain_columns, range_of, runs, text_blocks
 
 #: Date patterns, acronyms and sizes.
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
@@ -141,13 +142,13 @@ def label_unpivot(cells: DataFrame, headers: DataFrame, names: DataFrame, profil
     return data.select("sheet", "row", "col", F.concat(F.lit("- "), "labels", F.lit(" - "), "header", F.lit(" = "), format_value(F.col("v"), F.col("type"))).alias("line"))
 
 
-def hierarchical_rows(cells: DataFrame, headers: DataFrame, names: DataFrame) -> DataFrame:
+def hierarchical_rows(cells: DataFrame, headers: DataFrame, names: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """sheet, row, col, line with a category of column 1 that carries down: `- category: sub - header = value`; a row without a
-    sub takes the category alone. Empty and zero values give no line."""
+    sub takes the category alone. Empty and zero values give no line. Categories are carried over ranges of `range_rows` rows, so
+    no task holds a sheet."""
     own = cells.join(headers.select("sheet", "data_start"), "sheet").where(F.col("row") >= F.col("data_start")).withColumn("v", value_of())
     keys = own.where("col <= 2").groupBy("sheet", "row").agg(F.max(F.when(F.col("col") == 1, F.nullif("v", F.lit("")))).alias("c"), F.max(F.when(F.col("col") == 2, F.nullif("v", F.lit("")))).alias("sub"))
-    down = Window.partitionBy("sheet").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    keys = keys.withColumn("category", F.last("c", True).over(down)).withColumn("id", F.concat_ws(": ", "category", "sub")).where("id <> ''")
+    keys = carry_down(keys, ["sheet"], "row", "c", "category", range_rows).withColumn("id", F.concat_ws(": ", "category", "sub")).where("id <> ''")
     data = own.where("col > 2").where(~F.col("v").isin("", "0", "0.0", "nan")).join(keys, ["sheet", "row"]).join(names, ["sheet", "col"])
     return data.select("sheet", "row", "col", F.concat(F.lit("- "), "id", F.lit(" - "), "header", F.lit(" = "), "v").alias("line"))
 
@@ -174,19 +175,16 @@ def section_title(key: Column) -> Column:
     return F.array_join(F.transform(F.split(bare, " - "), part), " - ")
 
 
-def sections(rows: DataFrame) -> DataFrame:
+def sections(rows: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Lines (sheet, row, col, line) with key, section (runs of equal keys, from 1), part and title: parts of 18 lines, 19 for a
-    sheet's first."""
-    order = Window.partitionBy("sheet").orderBy("row", "col")
-    d = rows.withColumn("key", group_key(F.col("line"))).withColumn("_b", F.lag("key").over(order))
-    d = d.withColumn("section", F.sum(F.when(F.col("_b").isNull() | (F.col("_b") != F.col("key")), 1).otherwise(0)).over(order))
-    inside = Window.partitionBy("sheet", "section")
-    d = d.withColumn("_n", F.row_number().over(inside.orderBy("row", "col"))).withColumn("_all", F.count("*").over(inside))
-    first = F.when(F.col("section") == 1, 1).otherwise(0)
+    sheet's first. Runs are told over ranges of `range_rows` rows, so no task holds a sheet. Null lines are misc; rows with equal places
+    are ordered by their lines."""
+    own = rows.select(F.struct("*").alias("line_row"), "sheet", "row", "col", "line")
+    d = runs(own, ["sheet"], "row", ["row", "col", "line"], group_key(F.col("line")), range_rows)
+    first = F.when(F.col("run") == 1, 1).otherwise(0)
     part = lambda n: F.when(n <= SECTION_LINES + first, 1).otherwise(F.ceil((n - first) / SECTION_LINES)).cast("long")
-    d = d.withColumn("part", part(F.col("_n"))).withColumn("_parts", part(F.col("_all")))
-    title = F.concat(section_title(F.col("key")), F.when(F.col("_parts") > 1, F.concat(F.lit(" (Part "), F.col("part").cast("string"), F.lit(")"))).otherwise(""))
-    return d.withColumn("title", title).drop("_b", "_n", "_all", "_parts")
+    title = F.concat(section_title(F.col("key")), F.when(part(F.col("run_rows")) > 1, F.concat(F.lit(" (Part "), part(F.col("place")).cast("string"), F.lit(")"))).otherwise(""))
+    return d.select(*plain_columns(rows, ("key", "section", "part", "title"), "line_row"), "key", F.col("run").alias("section"), part(F.col("place")).alias("part"), title.alias("title"))
 
 
 def sheet_documents(rows: DataFrame, sheets: DataFrame, title: str, processed: str) -> DataFrame:
@@ -198,6 +196,21 @@ def sheet_documents(rows: DataFrame, sheets: DataFrame, title: str, processed: s
     return d.groupBy("workbook").agg(F.concat(head, joined(F.struct(F.col("ordinal").alias("pos"), "value"), "\n\n")).alias("text"))
 
 
+def sheet_document_blocks(rows: DataFrame, sheets: DataFrame, title: str, processed: str, budget: int = 1 << 20, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """workbook, block, start and text: the texts of `sheet_documents` as ordered blocks of at most `budget` bytes, however long a
+    workbook is. Null lines are left out; a sheet without lines says so."""
+    head = F.concat(F.lit(f"# {title}\n\nProcessed: {processed}\nSheets: "), F.count("*").cast("string"), F.lit("\n\n---"))
+    none = F.lit(None).cast("long")
+    place = lambda o, r, c, t: [o.cast("long").alias("ordinal"), r.cast("long").alias("row"), c.cast("long").alias("col"), t.alias("text")]
+    heads = sheets.groupBy("workbook").agg(head.alias("head")).select("workbook", *place(none, none, none, F.col("head")))
+    titles = sheets.select("workbook", *place(F.col("ordinal"), none, none, F.concat(F.lit("\n\n## Sheet: "), "sheet", F.lit("\n"))))
+    body = sheets.join(rows.where("line is not null").select("sheet", "row", "col", "line"), "sheet", "left")
+    body = body.select("workbook", *place(F.col("ordinal"), F.when(F.col("line").isNotNull(), F.coalesce("row", F.lit(-1))).otherwise(-1), F.coalesce("col", F.lit(-1)), F.concat(F.lit("\n"), F.coalesce("line", F.lit("- *[No data in this sheet]*")))))
+    pieces = heads.unionByName(titles).unionByName(body)
+    part = F.struct("ordinal", range_of("row", range_rows).alias("range"))
+    return text_blocks(pieces, ["workbook"], part, ["ordinal", "row", "col"], budget=budget)
+
+
 def sheet_union(per_sheet: DataFrame, config: DataFrame) -> DataFrame:
     """Lines of all sheets in the order of their saved config (the last saved of a sheet counts) under `## {sheet}`; a sheet
     without lines gives a marker line."""

@@ -108,6 +108,9 @@ def _config(s):
 _add("sheet_union", lambda s, d: X.sheet_union(_Book(s, d).lines(), _config(s)), f"{_ln}, cf(sheet, ordinal) AS (VALUES ('supplier_0', 1), ('nation', 3), ('empty', 2)) SELECT ordinal, sheet, 0::BIGINT AS row, 0::BIGINT AS col, '## ' || sheet AS line FROM cf UNION ALL SELECT ordinal, cf.sheet, coalesce(row, 1), coalesce(col, 1), coalesce(line, '*[Failed to process sheet ' || cf.sheet || ']*') FROM cf LEFT JOIN ln ON ln.sheet = cf.sheet")
 _add("workbook_stats", lambda s, d: X.workbook_stats((b := _Book(s, d)).cells, b.lines()), f"{_ln}, c AS (SELECT sheet, max(col) AS cols, count(*) FILTER (WHERE v <> '') AS filled FROM v GROUP BY 1), n AS (SELECT sheet, count(*) AS lines, sum(length(line)) AS chars FROM ln GROUP BY 1) SELECT count(*) AS sheets, max(cols) AS max_columns, CAST(sum(filled) AS BIGINT) AS filled, CAST(sum(coalesce(lines, 0)) AS BIGINT) AS lines, sum(5 + CASE WHEN chars > 100 THEN 2 ELSE 0 END + CASE WHEN lines > 0 THEN 3 ELSE 0 END) / CAST(count(*) AS DOUBLE) / 10 AS confidence FROM c LEFT JOIN n USING (sheet)")
 _add("sheet_document", lambda s, d: X.sheet_documents(_Book(s, d).lines(), D.workbooks(s, d), "Workbook", "2024-06-01 00:00:00"), f"{_ln}, k AS (SELECT DISTINCT p_partkey // {D.SHEET_ROWS} AS k FROM part), sh AS (SELECT 'w' || k AS workbook, 'nation' AS sheet, 1 AS ordinal FROM k UNION ALL SELECT 'w' || k, 'part_' || k, 2 FROM k UNION ALL SELECT 'w' || k, 'blank', 3 FROM k), b AS (SELECT sheet, string_agg(line, chr(10) ORDER BY row, col) AS body FROM ln GROUP BY 1) SELECT workbook, '# Workbook' || chr(10) || chr(10) || 'Processed: 2024-06-01 00:00:00' || chr(10) || 'Sheets: ' || count(*) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || string_agg('## Sheet: ' || sh.sheet || chr(10) || chr(10) || coalesce(body, '- *[No data in this sheet]*'), chr(10) || chr(10) ORDER BY ordinal) AS text FROM sh LEFT JOIN b ON b.sheet = sh.sheet GROUP BY workbook")
+_add("sheet_document_blocks", lambda s, d: X.sheet_document_blocks(_Book(s, d).lines(), D.workbooks(s, d), "Workbook", "2024-06-01 00:00:00", 2048), f"""{_ln}, k AS (SELECT DISTINCT p_partkey // {D.SHEET_ROWS} AS k FROM part), sh AS (SELECT 'w' || k AS workbook, 'nation' AS sheet, 1 AS ordinal FROM k UNION ALL SELECT 'w' || k, 'part_' || k, 2 FROM k UNION ALL SELECT 'w' || k, 'blank', 3 FROM k),
+pc AS (SELECT workbook, 0 AS ordinal, -2 AS row, 0 AS col, '# Workbook' || chr(10) || chr(10) || 'Processed: 2024-06-01 00:00:00' || chr(10) || 'Sheets: ' || count(*) || chr(10) || chr(10) || '---' AS t FROM sh GROUP BY 1 UNION ALL SELECT workbook, ordinal, -2, 0, chr(10) || chr(10) || '## Sheet: ' || sheet || chr(10) FROM sh UNION ALL SELECT workbook, ordinal, coalesce(row, -1), coalesce(col, 0), chr(10) || coalesce(line, '- *[No data in this sheet]*') FROM sh LEFT JOIN ln ON ln.sheet = sh.sheet),
+st AS (SELECT *, CAST(sum(strlen(t)) OVER (PARTITION BY workbook ORDER BY ordinal, row, col, t) - strlen(t) AS BIGINT) AS s FROM pc) SELECT workbook, s // 1024 AS block, min(s) AS start, string_agg(t, '' ORDER BY s) AS text FROM st GROUP BY 1, 2""")
 _add("content_confidence", lambda s, d: D.docs_aug(s, d).select("doc_id", X.content_confidence(F.col("text")).alias("content"), X.formatting_confidence(F.col("text"), F.when(F.col("doc_id") % 2 == 0, True)).alias("formatting")), f"WITH {DOCS} SELECT doc_id, greatest(10, least(100, 90 - CASE WHEN length(text) < 100 THEN 30 WHEN length(text) < 500 THEN 10 ELSE 0 END + CASE WHEN contains(text, '- **') THEN 5 ELSE 0 END + CASE WHEN contains(text, '## Sheet:') THEN 5 ELSE 0 END - CASE WHEN regexp_matches(text, '\\p{{Nd}}') THEN 0 ELSE 20 END)) / 100.0::DOUBLE AS content, least(10, 5 + CASE WHEN length(text) > 100 THEN 2 ELSE 0 END + CASE WHEN contains(text, ' - ') AND contains(text, ' = ') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '(?m)^[\\t ]*- ') THEN 1 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) / 10.0::DOUBLE AS formatting FROM docs_aug")
 _books = lambda s, d: D.read(s, d, "orders").groupBy((F.col("o_custkey")).alias("workbook"), F.col("o_orderpriority").alias("sheet")).agg(F.sum((F.col("o_orderkey") % 3 == 0).cast("long")).alias("rows")).withColumn("chars", F.col("rows") * 40)
 _add("workbook_confidence", lambda s, d: X.workbook_confidence(_books(s, d)).select(F.col("workbook").cast("long").alias("workbook"), "confidence"), "WITH b AS (SELECT o_custkey, o_orderpriority, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS n FROM orders GROUP BY 1, 2), w AS (SELECT o_custkey, count(*) AS s, count(*) FILTER (WHERE n = 0) AS e, sum(n) AS r FROM b GROUP BY 1) SELECT CAST(o_custkey AS BIGINT) AS workbook, CASE WHEN r = 0 THEN 0.1 ELSE round(greatest(0, 0.9::DOUBLE - (e * 3 / CAST(s * 10 AS DOUBLE) + CASE WHEN r * 40 < 100 THEN 0.2 ELSE 0 END::DOUBLE + CASE WHEN r < 5 THEN 0.2 ELSE 0 END::DOUBLE)), 6) END::DOUBLE AS confidence FROM w")

@@ -36,6 +36,9 @@ _add("doc_strategy", lambda s, d: P.document_structure(D.doc_pages(s, d)).select
 _nn = "chr(10) || chr(10)"
 _asm = lambda sep: f"SELECT doc_id, string_agg(text, {sep} ORDER BY page_no) AS text, count(*) AS pages FROM doc_pages GROUP BY doc_id"
 _add("assemble_doc", lambda s, d: P.assemble(D.doc_pages(s, d)), f"WITH {PAGES} {_asm(_nn + ' || ' + q('---PAGE BREAK---') + ' || ' + _nn)}")
+_add("assemble_blocks", lambda s, d: P.assemble_blocks(D.doc_pages(s, d), budget=8192), f"""WITH {PAGES}, t AS (SELECT doc_id, page_no, CASE WHEN page_no > 1 THEN {_nn} || '---PAGE BREAK---' || {_nn} ELSE '' END || text AS t FROM doc_pages), st AS (SELECT *, CAST(sum(strlen(t)) OVER (PARTITION BY doc_id ORDER BY page_no) - strlen(t) AS BIGINT) AS s FROM t),
+i AS (SELECT doc_id, t, s, unnest(range(0, greatest(1, CAST(ceil(length(t) / 1024.0) AS BIGINT)))) AS i FROM st), p AS (SELECT doc_id, s + strlen(substr(t, 1, i * 1024)) AS s, substr(t, i * 1024 + 1, 1024) AS t FROM i)
+SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE s // 4096 END AS block, CAST(min(s) AS BIGINT) AS start, coalesce(string_agg(t, '' ORDER BY s) FILTER (WHERE t <> ''), '') AS text FROM p GROUP BY 1, 2""")
 _add("simple_docs", lambda s, d: P.simple_documents(D.doc_pages(s, d)).select("doc_id", "pages", "is_simple", "confidence", F.coalesce(F.md5("text"), F.lit("")).alias("digest")), f"""WITH {PAGES}, a AS ({_asm(_nn)}), b AS (SELECT *, pages > 3 AND NOT {rlike('text', P.FAST_CHARS)} AND NOT {rlike('text', P.FAST_CHECKS)} AND {count('text', R.ALIGNED)} <= pages * 3 AND {count('text', P.HEADERS)} <= pages * 2 AND {count('text', P.BULLETS)} + {count('text', P.NUMBERED)} <= pages * 3 AS is_simple FROM a)
 SELECT doc_id, pages, is_simple, CASE WHEN is_simple THEN 0.9 END::DOUBLE AS confidence, CASE WHEN is_simple THEN md5(text) ELSE '' END AS digest FROM b""")
 _chunks = f"""{PAGES}, cm AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) - 1 AS n, count(*) OVER (PARTITION BY doc_id) AS np, sum(length(text)) OVER (PARTITION BY doc_id) AS nc FROM doc_pages),
