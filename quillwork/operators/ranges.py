@@ -29,8 +29,9 @@ def plain_columns(df: DataFrame, without: tuple[str, ...], of: str = "r") -> lis
 
 
 def _ranged(df: DataFrame, group: list[str], part: Column, order: list[Column]) -> DataFrame:
-    """r (the row), o (its place within the group) and seg (group and range)."""
-    return df.select(F.struct("*").alias("r"), F.struct(*order).alias("o"), F.struct(F.struct(*group).alias("g"), part.alias("p")).alias("seg"))
+    """r (the row), o (its place within the group) and seg (group and range), partitioned by seg: what the windows ask for, so rows
+    move once, and long expressions of the caller's are computed before."""
+    return df.select(F.struct("*").alias("r"), F.struct(*order).alias("o"), F.struct(F.struct(*group).alias("g"), part.alias("p")).alias("seg")).repartition("seg")
 
 
 def _windows() -> tuple:
@@ -53,11 +54,11 @@ def carry_down(df: DataFrame, group: list[str], position: str, value: str, resul
     return d.join(inherited, F.col("seg") == F.col("to")).select(*plain_columns(df, (result,)), F.coalesce("own", "got").alias(result))
 
 
-def running_start(df: DataFrame, group: list[str], part: Column, order: list[str], size: str, result: str) -> DataFrame:
-    """df with result (long): the sum of size over the rows that stand before each row in its group. `part` numbers ranges in an order
+def running_start(df: DataFrame, group: list[str], part: Column, order: list[str], size: Column, result: str) -> DataFrame:
+    """df with result (long): the sum of size, an expression on the row `r`, over the rows that stand before each row in its group. `part` numbers ranges in an order
     that agrees with `order`; null sizes count as 0."""
     inside, _, before = _windows()
-    d = _ranged(df, group, part, [F.col(c) for c in order]).withColumn("size", F.coalesce(F.col("r")[size].cast("long"), F.lit(0)))
+    d = _ranged(df, group, part, [F.col(c) for c in order]).withColumn("size", F.coalesce(size.cast("long"), F.lit(0)))
     d = d.withColumn("own", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     total = d.groupBy("seg").agg(F.sum("size").alias("total"))
     inherited = total.select(F.col("seg").alias("to"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("got"))
@@ -107,7 +108,7 @@ def text_blocks(pieces: DataFrame, group: list[str], part: Column, order: list[s
         raise ValueError("a block holds at least 8 bytes")
     half, chars, gap = budget // 2, budget // 8, len(separator.encode())
     d = pieces.select(F.struct(*group).alias("g"), part.alias("p"), F.struct(*order, F.coalesce(F.col(text), F.lit("")).alias("text")).alias("o"))
-    d = running_start(d.withColumn("size", F.octet_length("o.text") + gap), ["g"], F.col("p"), ["o"], "size", "start")
+    d = running_start(d, ["g"], F.col("p"), ["o"], F.octet_length(F.col("r.o.text")) + gap, "start")
     # a group's first text has no separator before it
     d = d.select("g", F.greatest(F.lit(0), F.col("start") - gap).alias("start"), F.when(F.col("start") > 0, F.concat(F.lit(separator), "o.text")).otherwise(F.col("o.text")).alias("t"))
     count = F.greatest(F.lit(1), F.ceil(F.length("t") / chars).cast("int"))

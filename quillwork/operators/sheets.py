@@ -198,14 +198,16 @@ def sheet_documents(rows: DataFrame, sheets: DataFrame, title: str, processed: s
 
 def sheet_document_blocks(rows: DataFrame, sheets: DataFrame, title: str, processed: str, budget: int = 1 << 20, range_rows: int = RANGE_ROWS) -> DataFrame:
     """workbook, block, start and text: the texts of `sheet_documents` as ordered blocks of at most `budget` bytes, however long a
-    workbook is. Null lines are left out; a sheet without lines says so."""
+    workbook is. Null lines are left out; a sheet without rows says so."""
     head = F.concat(F.lit(f"# {title}\n\nProcessed: {processed}\nSheets: "), F.count("*").cast("string"), F.lit("\n\n---"))
     none = F.lit(None).cast("long")
     place = lambda o, r, c, t: [o.cast("long").alias("ordinal"), r.cast("long").alias("row"), c.cast("long").alias("col"), t.alias("text")]
     heads = sheets.groupBy("workbook").agg(head.alias("head")).select("workbook", *place(none, none, none, F.col("head")))
     titles = sheets.select("workbook", *place(F.col("ordinal"), none, none, F.concat(F.lit("\n\n## Sheet: "), "sheet", F.lit("\n"))))
-    body = sheets.join(rows.where("line is not null").select("sheet", "row", "col", "line"), "sheet", "left")
-    body = body.select("workbook", *place(F.col("ordinal"), F.when(F.col("line").isNotNull(), F.coalesce("row", F.lit(-1))).otherwise(-1), F.coalesce("col", F.lit(-1)), F.concat(F.lit("\n"), F.coalesce("line", F.lit("- *[No data in this sheet]*")))))
+    # a filter on lines would compute their long expressions a second time
+    body = sheets.join(rows.select("sheet", "row", "col", "line", F.lit(True).alias("found")), "sheet", "left")
+    said = F.when(F.col("found"), F.coalesce(F.concat(F.lit("\n"), "line"), F.lit(""))).otherwise("\n- *[No data in this sheet]*")
+    body = body.select("workbook", *place(F.col("ordinal"), F.coalesce("row", F.lit(-1)), F.coalesce("col", F.lit(-1)), said))
     pieces = heads.unionByName(titles).unionByName(body)
     part = F.struct("ordinal", range_of("row", range_rows).alias("range"))
     return text_blocks(pieces, ["workbook"], part, ["ordinal", "row", "col"], budget=budget)

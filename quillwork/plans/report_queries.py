@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..operators import pages as PG
 from ..operators import plan_tables as L
+from ..operators import report_layouts as LY
 from ..operators import runs as A
 from ..operators import summary as M
 from ..functions.text import word_count
@@ -67,6 +68,30 @@ _items = "CASE WHEN len({0}) > 0 THEN '1. ' || {0}[1] || chr(10) || '2. ' || {0}
 _part = "'## {0}' || chr(10) || 'Score: ' || format('{{:.1f}}', {1}) || '/100' || chr(10) || 'Recommendation: ' || {2} || chr(10) || 'Missing:' || chr(10) || {3} || chr(10) || 'Added:' || chr(10) || 'None'"
 _add("eval_report", lambda s, d: E.eval_report(_compared(s, d)), f"{_two} SELECT doc_id, {_part.format('Rater A', 'score', 'recommendation', _items.format('missing'))} || chr(10) || chr(10) || CASE WHEN bs IS NOT NULL THEN {_part.format('Rater B', 'bs', 'br', _items.format('bm'))} ELSE '## Rater B' || chr(10) || 'Not available' END || chr(10) || chr(10) || '## Final' || chr(10) || 'Average: ' || format('{{:.1f}}', {_fs}) || '/100' || chr(10) || 'Recommendation: ' || {_final} AS report FROM r")
 _add("parse_report", lambda s, d: E.parse_report(E.eval_report(_compared(s, d))), f"{_two} SELECT doc_id, 'Rater A' AS section, CAST(format('{{:.1f}}', score) AS DOUBLE) AS score, recommendation FROM r UNION ALL SELECT doc_id, 'Rater B', CAST(format('{{:.1f}}', bs) AS DOUBLE), br FROM r UNION ALL SELECT doc_id, 'Final', CAST(format('{{:.1f}}', {_fs}) AS DOUBLE), {_final} FROM r")
+_AB = ("RATER A", "RATER B")
+
+
+def _free_reports(s, d):
+    """Reports of four layouts around whole texts: with and without a rule, the second rater's values near or beyond the text."""
+    k, rule = "doc_id % 4", "repeat('=', 40)"
+    late = "concat('\\nScore: ', cast(doc_id % 90 as string), ' / 100\\nRecommendation: REVIEW')"
+    report = f"""concat('Report\\nRATER A EVALUATION\\nScore: ', cast(doc_id % 101 as string), '.0/100\\nRecommendation: ACCEPT with care\\n', CASE WHEN {k} IN (1, 3) THEN {rule} ELSE '--' END,
+        CASE WHEN {k} = 3 THEN '' ELSE concat('\\nRATER B EVALUATION', CASE WHEN {k} = 0 THEN {late} ELSE '' END) END, '\\n', coalesce(text, ''), {late}, '\\nEVALUATOR COMPARISON\\nAverage: ', cast(doc_id % 77 as string), '.5/100')"""
+    return D.read(s, d, "documents").selectExpr("doc_id", f"CASE WHEN doc_id % 11 = 10 THEN ' ' ELSE {report} END AS report")
+
+
+_late = "chr(10) || 'Score: ' || doc_id % 90 || ' / 100' || chr(10) || 'Recommendation: REVIEW'"
+_free = f"""WITH rp AS (SELECT doc_id, CASE WHEN doc_id % 11 = 10 THEN ' ' ELSE 'Report' || chr(10) || 'RATER A EVALUATION' || chr(10) || 'Score: ' || doc_id % 101 || '.0/100' || chr(10) || 'Recommendation: ACCEPT with care' || chr(10) || CASE WHEN doc_id % 4 IN (1, 3) THEN repeat('=', 40) ELSE '--' END
+ || CASE WHEN doc_id % 4 = 3 THEN '' ELSE chr(10) || 'RATER B EVALUATION' || CASE WHEN doc_id % 4 = 0 THEN {_late} ELSE '' END END || chr(10) || coalesce(text, '') || {_late} || chr(10) || 'EVALUATOR COMPARISON' || chr(10) || 'Average: ' || doc_id % 77 || '.5/100' END AS report FROM documents),
+li AS (SELECT doc_id, unnest({lines('report')}) AS l, generate_subscripts({lines('report')}, 1) AS i FROM rp), ra(rater) AS (VALUES ('RATER A'), ('RATER B'))"""
+_told = f"""SELECT doc_id, rater, coalesce({strip("split_part(split_part(s, 'Score:', 2), '/', 1)")} || '/100', 'N/A') AS score, coalesce(nullif(regexp_extract({strip("split_part(r, 'Recommendation:', 2)")}, '^\\S+'), ''), 'UNKNOWN') AS recommendation FROM rp CROSS JOIN ra LEFT JOIN (SELECT doc_id, rater, arg_min(l, i) FILTER (WHERE contains(l, 'Score:')) AS s, arg_min(l, i) FILTER (WHERE contains(l, 'Recommendation:')) AS r FROM held GROUP BY 1, 2) USING (doc_id, rater)"""
+_add("rater_values_near", lambda s, d: LY.rater_values(_free_reports(s, d), _AB), f"""{_free}, fm AS (SELECT doc_id, rater, min(i) AS a FROM li, ra WHERE contains(l, rater || ' EVALUATION') GROUP BY 1, 2), nr AS (SELECT rater, li.* FROM li JOIN fm USING (doc_id) WHERE i > a AND i <= a + 9),
+st AS (SELECT doc_id, rater, min(i) AS z FROM nr WHERE contains(l, 'EVALUATION') AND NOT contains(l, rater) GROUP BY 1, 2), held AS (SELECT nr.* FROM nr LEFT JOIN st USING (doc_id, rater) WHERE z IS NULL OR i <= z) {_told}""")
+_add("rater_values_ruled", lambda s, d: LY.rater_values(_free_reports(s, d), _AB, "ruled"), f"""{_free}, ev AS (SELECT rater, li.*, CASE WHEN contains(l, rater) AND contains(l, 'EVALUATION') THEN 'open' WHEN length(l) - length(replace(l, '=', '')) > 10 THEN 'close' END AS e FROM li, ra),
+held AS (SELECT * FROM (SELECT *, last_value(e IGNORE NULLS) OVER (PARTITION BY doc_id, rater ORDER BY i) AS state FROM ev) WHERE state = 'open' AND e IS NULL) {_told}""")
+_add("split_reports", lambda s, d: LY.split_reports(_free_reports(s, d), _AB), f"""{_free}, ev AS (SELECT *, CASE WHEN contains(l, 'RATER A EVALUATION') THEN 'RATER A' WHEN contains(l, 'RATER B EVALUATION') THEN 'RATER B' WHEN contains(l, 'DEBUG INFORMATION') OR contains(l, 'EVALUATOR COMPARISON') THEN '' END AS e FROM li),
+se AS (SELECT *, last_value(e IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS rater FROM ev) SELECT doc_id, rater, body FROM rp CROSS JOIN ra LEFT JOIN (SELECT doc_id, rater, string_agg(CASE WHEN e IS NULL THEN l ELSE '## Rater ' || right(rater, 1) || ' Evaluation' END, chr(10) ORDER BY i) AS body FROM se GROUP BY 1, 2) USING (doc_id, rater)""")
+_add("report_overview", lambda s, d: LY.report_overview(_free_reports(s, d)), f"""{_free} SELECT doc_id, CASE WHEN trim(report) = '' THEN 'none' WHEN contains(report, 'RATER A EVALUATION') AND contains(report, 'RATER B EVALUATION') THEN 'dual' ELSE 'single' END AS layout, coalesce({strip("split_part(v, 'Average:', 2)")}, 'Unknown') AS average FROM rp LEFT JOIN (SELECT doc_id, arg_min(l, i) AS v FROM li WHERE contains(l, 'Average:') GROUP BY 1) USING (doc_id)""")
 _add("sample_pages", lambda s, d: E.sample_pages(D.doc_pages(s, d)), f"WITH {PAGES} SELECT * FROM doc_pages WHERE page_no <= 5")
 _add("display_values", lambda s, d: _rated(s, d).select("doc_id", PG.score_display(F.col("score")).alias("shown"), PG.short_number(F.col("doc_id") * 12345).alias("short"), PG.color_of(F.col("recommendation")).alias("color")), f"WITH a AS ({_rated_sql(0)}) SELECT doc_id, format('{{:.1f}}', score) || '/100' AS shown, CASE WHEN doc_id * 12345 >= 1000000 THEN format('{{:.1f}}', doc_id * 12345 / 1000000.0::DOUBLE) || 'M' WHEN doc_id * 12345 >= 1000 THEN format('{{:.1f}}', doc_id * 12345 / 1000.0::DOUBLE) || 'K' ELSE CAST(doc_id * 12345 AS VARCHAR) END AS short, CASE recommendation WHEN 'ACCEPT' THEN '#17702E' WHEN 'REVIEW' THEN '#BE8200' ELSE '#FF453A' END AS color FROM a")
 

@@ -136,5 +136,26 @@ _stats = f"{_rep}, p AS (SELECT doc_id, count(*) AS pages, sum(CAST(len(removed)
 _add("cleaning_report_text", lambda s, d: C.cleaning_report_text(C.clean_commentary(D.doc_pages(s, d))), f"{_stats} SELECT doc_id, '# Cleaning report' || chr(10) || chr(10) || '- Pages: ' || pages || chr(10) || '- Cleaned pages: ' || pc || chr(10) || '- Fragments: ' || fr || chr(10) || '- Rate: ' || rate || '%' || chr(10) || chr(10) || CASE WHEN fr > 0 THEN '## Types' || chr(10) || chr(10) || types || chr(10) || chr(10) || '## Pages' || chr(10) || chr(10) || bp ELSE 'Nothing was removed.' END AS report, CASE WHEN fr > 0 THEN 'Removed ' || fr || ' fragment' || CASE WHEN fr = 1 THEN '' ELSE 's' END || ' from ' || pc || '/' || pages || ' pages (' || rate || '%)' ELSE 'Nothing was removed' END AS summary FROM z")
 _add("top_fragment_types", lambda s, d: C.top_fragment_types(C.clean_commentary(D.doc_pages(s, d))), f"{_rep}, z AS (SELECT type, CAST(sum(n) AS BIGINT) AS n FROM y GROUP BY type) SELECT type, n, row_number() OVER (ORDER BY n DESC, type) AS rank FROM z ORDER BY n DESC, type LIMIT 3")
 # citations look ahead, which SQL's regular expressions cannot; golden rows hold these two
-_add("footnotes_inline", lambda s, d: C.footnotes_inline(D.docs_aug(s, d)).select("doc_id", "noted"), None)
-_add("footnotes_minimal", lambda s, d: C.footnotes_inline(D.docs_aug(s, d), style="minimal").select("doc_id", "noted"), None)
+# RE2 looks neither back nor ahead: what may follow a number is taken with it and left out of the group
+_own_line = "(?:[" + C.SUPERSCRIPTS + r"]+|\[\p{Nd}+\]|\(\p{Nd}+\)|\p{Nd}+(?:\s|$|[.,;:]))"
+_cites = [("[" + C.SUPERSCRIPTS + "]+", 0), (r"\[\p{Nd}+\]", 0), (r"\(\p{Nd}+\)", 0), (r"(\p{Nd}+)(?:\s|$|[.,;:])", 1)]
+_ascii = lambda x: f"translate(regexp_replace({x}, {q(chr(92) + '[|' + chr(92) + ']|[()]')}, '', 'g'), {q(C.SUPERSCRIPTS)}, {q(C.DIGITS)})"
+_fl, _found = q(C.FOOTNOTE_LINE), "list_concat(" + ", ".join(f"regexp_extract_all(x, {q(p)}, {g})" for p, g in _cites) + ")"
+
+
+def _noted(cut):
+    """Citations and footnote lines in the order of the text, each marker once, and a fold of replacements, longest marker first."""
+    return f"""WITH {DOCS}, a AS (SELECT doc_id, text, list_transform({lines('text')}, lambda x: {strip('x')}) AS own FROM docs_aug),
+b AS (SELECT doc_id, text, list_filter(own, lambda x: regexp_matches(x, {_fl})) AS nl, list_filter(own, lambda x: NOT regexp_matches(x, {q('^' + _own_line)})) AS body FROM a),
+c AS (SELECT doc_id, text, list_transform(nl, lambda x: {_ascii(f'regexp_extract(x, {_fl}, 1)')}) AS nk, list_transform(nl, lambda x: {strip(f'regexp_extract(x, {_fl}, 2)')}) AS nt, CASE WHEN len(nl) > 0 THEN flatten(list_transform(body, lambda x: {_found})) ELSE [] END AS ct FROM b),
+d AS (SELECT doc_id, text, nk, nt, unnest(ct) AS f, generate_subscripts(ct, 1) AS i FROM c), e AS (SELECT doc_id, f, any_value({_ascii('f')}) AS k, min(i) AS i, any_value(nt[list_position(nk, {_ascii('f')})]) AS note FROM d GROUP BY doc_id, f),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS n FROM e WHERE note <> ''),
+h AS (SELECT doc_id, list({{'t': '', 'f': f, 's': ' (' || {cut} || ')'}} ORDER BY length(f) DESC, i) AS ns, list(k) AS ks FROM g WHERE n = 1 GROUP BY doc_id),
+r AS (SELECT doc_id, text, ns, array_to_string(list_transform({lines('text')}, lambda x: CASE WHEN regexp_matches(x, {_fl}) AND list_contains(ks, {_ascii(f'regexp_extract(x, {_fl}, 1)')}) THEN '' ELSE x END), chr(10)) AS gone FROM docs_aug LEFT JOIN h USING (doc_id)),
+z AS (SELECT doc_id, text, ns, list_reduce(list_prepend({{'t': gone, 'f': '', 's': ''}}, ns), lambda p, n: {{'t': replace(p.t, n.f, n.s), 'f': '', 's': ''}}).t AS put FROM r)
+SELECT doc_id, CASE WHEN ns IS NULL THEN text ELSE {strip(f"regexp_replace(put, {q(chr(10) + S + '*' + chr(10) + S + '*' + chr(10) + '+')}, chr(10) || chr(10), 'g')")} END AS noted FROM z"""
+
+
+_first_part = "split_part(split_part(note, '.', 1), ',', 1)"
+_add("footnotes_inline", lambda s, d: C.footnotes_inline(D.docs_aug(s, d)).select("doc_id", "noted"), _noted("CASE WHEN length(note) > 200 THEN substr(note, 1, 197) || '...' ELSE note END"))
+_add("footnotes_minimal", lambda s, d: C.footnotes_inline(D.docs_aug(s, d), style="minimal").select("doc_id", "noted"), _noted(f"substr({strip(_first_part)}, 1, 100)"))
