@@ -111,29 +111,36 @@ def _plain(cell: Column) -> Column:
     return F.regexp_replace(cell, r"\*\*(.*?)\*\*", "$1")
 
 
-def flatten_tables(docs: DataFrame) -> DataFrame:
+def flatten_tables(docs: DataFrame, align: str = "shift") -> DataFrame:
     """doc_id and text with every pipe table of two or more lines as `**Header** - **Row**: Value` lines.
 
-    A table's first line names its columns (empty names fall away), an optional rule follows, and a row's first cell names the
-    row. Tables that give no entry keep their lines. Each row of docs is taken by itself, without a shuffle, whatever doc_id it
+    A table's first line names its columns, an optional rule follows, and a row's first cell names the row. With align `shift` empty
+    names and an empty first cell fall away, which moves what follows to the left; with `position` every cell keeps its column, and a
+    column without a name gives values without one. Tables that give no entry keep their lines. Each row of docs is taken by itself, without a shuffle, whatever doc_id it
     repeats; null texts count as empty, and texts without a pipe pass through without being taken apart.
     """
 
+    if align not in ("shift", "position"):
+        raise ValueError(f"unknown alignment: {align}")
+    shift = align == "shift"
+
     def parsed(b: Column) -> Column:
-        headers = F.transform(F.filter(_cells(F.get(b["rows"], F.lit(0))), lambda c: c != ""), _plain)
+        names = _cells(F.get(b["rows"], F.lit(0)))
+        headers = F.transform(F.filter(names, lambda c: c != "") if shift else names, _plain)
         named = lambda cells: F.when(F.get(cells, F.lit(0)) == "", F.slice(cells, F.lit(2), F.size(cells))).otherwise(cells)
-        second = F.get(b["rows"], F.lit(1))
-        return F.struct(b.alias("b"), headers.alias("headers"), F.transform(F.transform(b["rows"], _cells), named).alias("cells"), F.coalesce(_all_cells(strip(second), SEPARATOR_CELL), F.lit(False)).alias("ruled"))
+        second, cells = F.get(b["rows"], F.lit(1)), F.transform(b["rows"], _cells)
+        return F.struct(b.alias("b"), headers.alias("headers"), (F.transform(cells, named) if shift else cells).alias("cells"), F.coalesce(_all_cells(strip(second), SEPARATOR_CELL), F.lit(False)).alias("ruled"))
 
     def entries(p: Column) -> Column:
         def of_row(cells: Column, n: Column) -> Column:
             row_id = F.get(cells, F.lit(0))
 
             def entry(value: Column, j: Column) -> Column:
-                label = F.concat(F.lit("**"), F.get(p["headers"], j), F.lit("**"))
-                named = F.concat(label, F.lit(" - **"), _plain(row_id), F.lit("**: "), _plain(value))
-                wanted = (j > 0) & (j < F.size(p["headers"])) & (value != "")
-                return F.when(wanted, F.when(row_id != "", named).otherwise(F.concat(label, F.lit(": "), _plain(value))))
+                name = F.get(p["headers"], j)
+                label = F.when(name != "", F.concat(F.lit("**"), name, F.lit("**")))
+                row = F.when(row_id != "", F.concat(F.lit("**"), _plain(row_id), F.lit("**")))
+                named = F.concat_ws(": ", F.nullif(F.concat_ws(" - ", label, row), F.lit("")), _plain(value))
+                return F.when((j > 0) & (j < F.size(p["headers"])) & (value != ""), named)
 
             data = (n > 1) | ((n == 1) & ~p["ruled"])
             return F.when(data, F.array_compact(F.transform(cells, entry))).otherwise(F.array().cast("array<string>"))

@@ -126,7 +126,18 @@ c3 AS (SELECT *, list_transform(list_filter(first_value(c) OVER (PARTITION BY do
 c4 AS (SELECT *, CASE WHEN block IS NOT NULL AND size >= 2 AND (n > 2 OR (n = 2 AND NOT {rlike(strip('line'), _SEPARATOR)})) THEN list_filter(list_transform(range(2, len(d) + 1), lambda j: CASE WHEN j <= len(h) AND d[j] <> '' THEN '**' || h[j] || '**' || CASE WHEN d[1] <> '' THEN ' - **' || {_bold.format('d[1]')} || '**' ELSE '' END || ': ' || {_bold.format('d[j]')} END), lambda e: e IS NOT NULL) ELSE CAST([] AS VARCHAR[]) END AS e FROM c3),
 c5 AS (SELECT *, sum(len(e)) OVER (PARTITION BY doc_id, block) AS given FROM c4), c6 AS (SELECT doc_id, i, CASE WHEN block IS NOT NULL AND size >= 2 AND given > 0 THEN e ELSE [line] END AS o FROM c5)
 SELECT doc_id, array_to_string(flatten(list(o ORDER BY i)), chr(10)) AS text FROM c6 GROUP BY doc_id UNION ALL SELECT doc_id, text FROM docs_aug WHERE NOT contains(text, '|')"""
+
+
+def _gapped(s, d):
+    """Every third document with the first closed cell of its first table emptied."""
+    return D.docs_aug(s, d).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"(?s)\A(.*?)\|[^|\n]*\|", "$1| |")).otherwise(F.col("text")))
+
+
 _add("flatten_tables", lambda s, d: C.flatten_tables(D.docs_aug(s, d)), _flat)
+# cells that keep their columns: whole rows, and names that may be empty
+_kept = _flat.replace("list_transform(list_filter(first_value(c) OVER (PARTITION BY doc_id, block ORDER BY i), lambda v: v <> ''), lambda v:", "list_transform(first_value(c) OVER (PARTITION BY doc_id, block ORDER BY i), lambda v:").replace("CASE WHEN c[1] = '' THEN c[2:] ELSE c END AS d", "c AS d")
+_kept = _kept.replace("'**' || h[j] || '**' || CASE WHEN d[1] <> '' THEN ' - **' ||", "CASE WHEN h[j] <> '' THEN '**' || h[j] || '**' ELSE '' END || CASE WHEN d[1] <> '' THEN CASE WHEN h[j] <> '' THEN ' - ' ELSE '' END || '**' ||").replace("ELSE '' END || ': ' ||", "ELSE '' END || CASE WHEN h[j] <> '' OR d[1] <> '' THEN ': ' ELSE '' END ||")
+_add("flatten_tables_by_position", lambda s, d: C.flatten_tables(_gapped(s, d), "position"), _kept.replace("docs_aug WHERE contains(text, '|')", "gapped WHERE contains(text, '|')").replace("docs_aug WHERE NOT", "gapped WHERE NOT").replace("tl AS (", "gapped AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN regexp_replace(text, '\\|[^|\\n]*\\|', '| |') ELSE text END AS text FROM docs_aug), tl AS (", 1))
 _ck1, _ck2 = rf"(?m)^({S}*)(?:\[[xX✓✔]\]|[☑✓✔]){S}*(.*?){S}*$", rf"(?m)^({S}*)(?:\[ \]|☐){S}*"
 _add("normalize_checkboxes", lambda s, d: C.normalise_checkboxes(D.docs_aug(s, d)).select("doc_id", "marked"), f"WITH {DOCS} SELECT doc_id, regexp_replace(regexp_replace(text, {q(_ck1)}, '\\1\\2 *[SELECTED]*', 'g'), {q(_ck2)}, '\\1', 'g') AS marked FROM docs_aug")
 _rep = f"WITH {PAGES}, c AS (SELECT doc_id, page_no, {_found} AS removed FROM doc_pages), x AS (SELECT doc_id, split_part(unnest(removed), ':', 1) AS type FROM c), y AS (SELECT doc_id, type, count(*) AS n FROM x GROUP BY ALL)"

@@ -76,6 +76,15 @@ def test_flattened_table(spark):
     assert column(C.flatten_tables(texts(spark, text, "a | b")), "text") == ["**PCP** - **Gold**: $10\n**ER** - **Gold**: $50\n**PCP** - **Silver**: $20", "a | b"]
 
 
+def test_cells_keep_their_columns(spark):
+    table = "| Plan | | Fee |\n|---|---|---|\n| Gold | yes | 5 |\n| | no | 6 |\n| | | 7 |\n| | x | |"
+    df = texts(spark, table, None, "a | b")
+    assert column(C.flatten_tables(df, "position"), "text") == ["**Gold**: yes\n**Fee** - **Gold**: 5\nno\n**Fee**: 6\n**Fee**: 7\nx", "", "a | b"]
+    assert column(C.flatten_tables(df), "text")[0] == "**Fee** - **Gold**: yes\n**Fee** - **no**: 6\n**Fee**: 7"
+    with pytest.raises(ValueError, match="alignment"):
+        C.flatten_tables(df, "left")
+
+
 def test_footnotes(spark):
     df = texts(spark, "Coverage starts in May[1].\n1 Subject to eligibility, see plan. More.", "no notes here")
     assert column(C.footnotes_inline(df), "noted") == ["Coverage starts in May (Subject to eligibility, see plan. More.).", "no notes here"]
