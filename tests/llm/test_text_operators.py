@@ -338,14 +338,15 @@ def brute_lm(texts, k=None):
     return out
 
 
-@pytest.mark.parametrize(("shard_tokens", "constant", "head"), [(10**9, 5.0, 200_000), (700, 5.0, 200_000), (700, None, 200_000), (10**9, None, 40)])
-def test_lm_equals_brute_force(spark, shard_tokens, constant, head, monkeypatch):
+@pytest.mark.parametrize(("shard_tokens", "constant", "head", "fan"), [(10**9, 5.0, 200_000, 256), (700, 5.0, 200_000, 256), (700, None, 200_000, 2), (300, None, 200_000, 1), (300, 5.0, 3, 4), (10**9, None, 40, 256)])
+def test_lm_equals_brute_force(spark, shard_tokens, constant, head, fan, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 3000)
     rng = random.Random(1)
     words = ["the", "The", "of", *[f"word{i}" for i in range(200)]]
     texts = [(i, " ".join(rng.choices(words, weights=[60, 20, 20] + [1] * 200, k=rng.randrange(0, 60)))) for i in range(120)] + [(500, None)]
     want = brute_lm(texts, constant)
-    rows = lm.score_texts(docs(spark, texts), constant, shard_tokens).collect()
+    rows = lm.score_texts(docs(spark, texts), constant, shard_tokens, fan).collect()
     assert len(rows) == len(texts)
     for r in rows:
         n, known, total, base, score = want[r.doc_id]
