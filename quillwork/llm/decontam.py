@@ -23,6 +23,8 @@ from .common import as_rows, small
 EDITS = 0.2
 BITS = 2
 RECALL = 0.98
+#: Tables of a class after which a target that is still not reached is an error, not a reason to add more.
+MOST_TABLES = 500
 #: Edited copies of a class's items on which its recall is measured, at least.
 TRIALS = 400
 #: Items that one pass over the documents carries; more items take more passes, in blocks by a hash of the item.
@@ -167,7 +169,8 @@ class Index:
         return self.walk(whole, np.cumsum(sizes) - sizes, table["multipliers"], table["steps"])[0]
 
     def _fill(self, c: dict, rng: random.Random, recall: float) -> float:
-        """Adds tables to a class until they find the share `recall` of copies with the most edits allowed; returns the share."""
+        """Adds tables to a class until they find the share `recall` of copies with the most edits allowed; returns the share.
+        Raises ValueError with the share found if MOST_TABLES do not reach it."""
         originals, copies = [], []
         for n in range(max(TRIALS, len(c["items"]))):
             item = self.items[c["items"][n % len(c["items"])]]
@@ -180,6 +183,8 @@ class Index:
             copies.append(np.array(copy))
         found = np.zeros(len(copies), dtype=bool)
         while not c["tables"] or found.mean() < recall:
+            if len(c["tables"]) >= MOST_TABLES:
+                raise ValueError(f"{MOST_TABLES} tables find {found.mean():.3f} of edited copies of items of {len(self.items[c['items'][0]])} words and more, not {recall}: lower bits, edits or recall")
             multipliers, steps = self._draw(c)
             table = {"multipliers": multipliers, "steps": steps}
             keys = self._keys([self.items[k] for k in c["items"]], table)

@@ -294,6 +294,14 @@ def test_recall_is_that_of_the_buckets():
     assert not any(index.match_many(texts))
 
 
+def test_recall_out_of_reach_is_an_error(monkeypatch):
+    rng = random.Random(8)
+    items = [(i, [f"v{rng.randrange(500)}".encode() for _ in range(40)]) for i in range(10)]
+    monkeypatch.setattr(decontam, "MOST_TABLES", 2)
+    with pytest.raises(ValueError, match="2 tables find 0"):
+        decontam.Index(items, recall=1.0)
+
+
 def test_leaks_in_blocks_and_awkward_rows(spark):
     items = spark.createDataFrame([(1, "plain words of some text here"), (2, "text without an id"), (None, "x"), (3, None)], "item_id long, text string")
     for block in (20_000, 1):
@@ -435,3 +443,22 @@ def test_long_words_and_short_texts_have_no_step():
     top = list(quality.KNOTS).index("top_share")
     shares = [quality.statistics("same " * n)[top] for n in range(1, 12)]
     assert shares == sorted(shares) and max(b - a for a, b in zip(shares, shares[1:], strict=False)) < 0.1
+
+
+def test_a_text_of_distinct_words(spark, half=200_000):
+    # one text longer than any other input, beside short ones that keep their results; it also passed with a half of 1,000,000
+    rng = random.Random(12)
+    item = " ".join(f"passage{k}" for k in range(30))
+    long = " ".join([*(f"d{i}" for i in range(half)), item, *(f"e{i}" for i in range(half))])
+    short = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(40))) for i in range(2, 40)]
+    df = docs(spark, [(1, long), *short])
+    row = next(r for r in lm.score_texts(df).collect() if r.doc_id == 1)
+    assert row.n_tokens == 2 * half + 31 and row.n_known == (0 if row.held_out else row.n_tokens)
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontam.find_leaks(df, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()} == {(1, 5, 0)}
+    fingerprints = {r.doc_id: int(r.fingerprint, 16) for r in simhash.near_duplicates(df).collect()}
+    assert fingerprints[1] == brute_simhash(long) and fingerprints[2] == brute_simhash(short[0][1])
+    assert simhash.keep_one_similar(df).where("doc_id = 1").count() == 1
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        rows = module.classify(df, labels).collect()
+        assert len(rows) == 39 and all(0 <= r.score <= 1 for r in rows)
