@@ -9,38 +9,47 @@ from .common import table
 
 
 def op1_rendezvous_sharding(spark, sf_dir):
+    """A row for each document; null texts count as empty, rows of a null or repeated doc_id stay, an empty table gives none."""
     return sharding.shard_table(table(spark, sf_dir, "documents"))
 
 
 def op2_multipart_secrets(spark, sf_dir):
+    """A row for each document; null texts have no spans, repeated rows stay, an empty table gives none."""
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
 def op3_epsilon_grid_join(spark, sf_dir):
+    """A row for each vector; null or non-finite ones link with nothing, repeated rows stay, an empty table gives none."""
     return gridjoin.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op4_elias_fano_lm(spark, sf_dir):
+    """A row for each document; null texts have one token, their end, repeated rows stay, an empty table gives none."""
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
 
 def op5_pu_quality(spark, sf_dir):
+    """A row for each document; null texts are scored as empty ones, repeated rows stay, an empty table gives none."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_simhash_tiles(spark, sf_dir):
+    """A row for each document; null texts have fingerprint zero, repeated rows stay, an empty table gives none."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_cgk_decontamination(spark, sf_dir):
+    """A row for each document and item in it; null texts have none, repeated rows are reported each, empty tables give none."""
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_link_propagation(spark, sf_dir):
+    """A row for each page; null urls fit no rule and are allowed, repeated rows stay, an empty table gives none."""
     return linkgraph.judge_urls(table(spark, sf_dir, "pages"))
 
 
 def op9_factorization_toxicity(spark, sf_dir):
+    """A row for each document; null texts are scored as texts without terms, repeated rows stay, an empty table gives none."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -68,6 +77,7 @@ def op13_lookup_clustering(spark, sf_dir):
 
 
 def pipeline(spark, sf_dir):
+    """The documents that all stages keep, with shard and mix_position; stages say what they do with null and repeated rows."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
