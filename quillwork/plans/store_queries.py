@@ -8,7 +8,7 @@ from ..sources import derived as D
 from ..sources import files as S
 from ..sources import intake as I
 from ..sources.cache_table import CacheTable
-from ..sources.document_files import write_document_files
+from ..sources.document_files import FOLDERS, write_document_files
 from ..sources.workbooks import workbook_of
 from ..streaming import jobs as J
 from ..streaming import sinks as K
@@ -72,13 +72,13 @@ def _mixed_folder(s, d, path):
 
     workbooks = rows.where("m in (11, 13)").mapInArrow(books, "name string, data binary")
     files = plain.where("m not in (11, 13, 15)").select("name", "data").unionByName(workbooks)
-    write_document_files(files.select(F.col("name").alias("output_name"), F.col("data").alias("content")), path)
+    write_document_files(files.select(F.col("name").alias("output_name"), F.col("data").alias("content")), path, folders=FOLDERS)
     return rows.select("name")
 
 
 def _mixed(s, d):
     path = S.shared_folder(s)
-    return I.intake(_mixed_folder(s, d, path), path).drop("size")
+    return I.intake(_mixed_folder(s, d, path), path, FOLDERS).drop("size")
 
 
 _add("mixed_intake", _mixed, r"""WITH r AS (SELECT c_custkey AS k, c_custkey % 16 AS m, c_name AS n, coalesce(c_mktsegment, '') AS g, c_nationkey AS x, ['.txt', '.md', '.TXT', '.csv', '.csv', '.csv', '.csv', '.pdf', '.pdf', '.bin', '.md', '.xlsx', '.xlsx', '.xlsx', '.txt', '.md'][c_custkey % 16 + 1] AS suffix FROM customer),

@@ -1,4 +1,5 @@
-"""Intake of a folder of mixed files: one listing, a reader for each kind, and a row for every requested file, failed or not."""
+"""Intake of a folder of mixed files: tasks open what is asked for, a reader for each kind, and a row for every requested file, failed or
+not."""
 
 from __future__ import annotations
 
@@ -8,29 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ladder
 from ..operators.pages import file_facts
+from .document_files import list_document_files, read_document_files
 from .workbooks import sheets_of
 
 SHEETS = "array<struct<sheet: string, rows: array<array<string>>>>"
-#: Text, CSV and paged files; workbooks go to their own reader. Suffixes count in any case.
-WORKBOOK_GLOB = "*.[xX][lL][sS]*"
 #: One field of a CSV line and what ends it. Quoted runs side by side hold a doubled quote.
 FIELD = r'((?:"[^"]*+")++|[^,"]*+)(?:,|\z)'
 EMPTY_TABLE = "No columns to parse from file"
 
 
-def _named(files: DataFrame) -> DataFrame:
-    return file_facts(files).withColumn("name", F.substring_index("path", "/", -1))
-
-
-def _empty_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and content of files without a byte, which Spark's readers pass over. Its file index, a list of paths on the
-    driver as for any read, names them."""
-    from urllib.parse import unquote
-
-    files = spark.read.format("binaryFile").load(path)
-    listed = spark.createDataFrame([(unquote(p).rsplit("/", 1)[-1],) for p in files.inputFiles()], "path string")
-    filled = files.select(F.substring_index("path", "/", -1).alias("path"))
-    return listed.join(filled, "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+def _named(names: DataFrame) -> DataFrame:
+    return file_facts(names.select("*", F.col("output_name").alias("path"))).drop("path")
 
 
 def _once(value: Column, use) -> Column:
@@ -66,36 +55,32 @@ def listing(rows: Column) -> Column:
 
 
 def _workbooks(files: DataFrame) -> DataFrame:
-    """path, length, sheets and problem of workbook files (path, length, content): one of the last two is null."""
+    """output_name, times, size, sheets and problem of workbook files (with content): one of the last two is null; without content both."""
 
     def read(batches):
         for batch in batches:
             for one in (batch.slice(i, 1) for i in range(batch.num_rows)):
-                found, problem = None, None
-                try:
-                    found = [{"sheet": name, "rows": rows} for name, rows in sheets_of(one.column(2)[0].as_py())]
-                except Exception as e:  # any damage of a file is its own row's failure
-                    problem = f"Invalid workbook: {type(e).__name__}"
+                found, problem, data = None, None, one.column(3)[0].as_py()
+                if data is not None:
+                    try:
+                        found = [{"sheet": name, "rows": rows} for name, rows in sheets_of(data)]
+                    except Exception as e:  # any damage of a file is its own row's failure
+                        problem = f"Invalid workbook: {type(e).__name__}"
                 kind = pa.list_(pa.struct([("sheet", pa.string()), ("rows", pa.list_(pa.list_(pa.string())))]))
-                yield pa.RecordBatch.from_arrays([*one.columns[:2], pa.array([found], kind), pa.array([problem], pa.string())], ["path", "length", "sheets", "problem"])
+                yield pa.RecordBatch.from_arrays([*one.columns[:3], pa.array([found], kind), pa.array([problem], pa.string())], ["output_name", "times", "size", "sheets", "problem"])
 
-    return files.select("path", "length", "content").mapInArrow(read, f"path string, length long, sheets {SHEETS}, problem string")
+    size = F.octet_length("content").cast("long")
+    return files.select("output_name", "times", size.alias("size"), "content").mapInArrow(read, f"output_name string, times long, size long, sheets {SHEETS}, problem string")
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """name, kind, size, success, error, parts and content of every file in a folder.
-
-    Text: Markdown as it is, .txt under a title; CSV and workbooks: listings of their rows under the first, for a workbook below
-    `## Sheet:` headings; paged files: the number of pages, no content. Invalid UTF-8, an open quote, bytes that are no workbook
-    or no paged file, an empty table and an unknown suffix each give a row with success false and the reason. A file is read by
-    one branch only: workbooks, whose reader is Python, are told by their suffix before anything is read.
-    """
-    load = lambda **glob: spark.read.format("binaryFile").options(**glob).load(path).select("path", "length", "content")
-    empty = _empty_files(spark, path)
-    plain = _named(load().where(~F.lower("path").rlike(r"\.xlsx?\z")).unionByName(empty)).where("suffix not in ('xls', 'xlsx')")
+def _read(asked: DataFrame, path: str, folders: int) -> DataFrame:
+    """name, kind, size, success, error, parts and content of the files asked for (output_name, times); `times` rows of each."""
+    named, book = _named(asked), F.coalesce(F.col("suffix").isin("xls", "xlsx"), F.lit(False))
+    load = lambda some: read_document_files(named.where(some).select("output_name", "times"), path, folders)
     text = F.try_validate_utf8(F.col("content").cast("string"))
     table = lambda t: F.struct(broken_line(t).alias("line"), _once(csv_rows(t), lambda r: F.struct(F.size(r).alias("size"), listing(r).alias("listing"))).alias("rows"))
-    d = plain.withColumn("text", text).withColumn("csv", F.when(F.col("suffix") == "csv", _once(text, table)))
+    plain = _named(load(~book)).withColumn("text", text)
+    d = plain.withColumn("csv", F.when(F.col("suffix") == "csv", _once(text, table)))
     # bytes as characters of one byte each: counting never fails on them
     raw = F.when(F.col("kind") == "paged", F.decode("content", "ISO-8859-1"))
     pages = F.regexp_count(raw, F.lit(r"/Type\s*/Page(?![A-Za-z])")).cast("long")
@@ -107,22 +92,33 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         (F.col("csv.rows.size") == 0, EMPTY_TABLE),
     )
     content = ladder((F.col("suffix") == "txt", F.concat(F.lit("# "), "title", F.lit("\n\n"), "text")), (F.col("kind") == "text", F.col("text")), (F.col("suffix") == "csv", F.col("csv.rows.listing")))
-    out = d.select("name", "kind", F.col("length").alias("size"), error.alias("error"), F.when(F.col("kind") == "paged", pages).otherwise(1).cast("long").alias("parts"), content.alias("content"))
-    books = _named(load(pathGlobFilter=WORKBOOK_GLOB).unionByName(empty)).where("suffix in ('xlsx', 'xls')")
+    out = d.select("output_name", "times", "kind", F.octet_length("content").cast("long").alias("size"), error.alias("error"), F.when(F.col("kind") == "paged", pages).otherwise(1).cast("long").alias("parts"), content.alias("content"))
     filled = F.exists("sheets", lambda s: F.size(s["rows"]) > 0)
     blocks = F.transform("sheets", lambda s: F.concat(F.lit("## Sheet: "), s["sheet"], F.lit("\n\n"), F.when(F.size(s["rows"]) > 1, listing(s["rows"])).otherwise("- *[No data in this sheet]*")))
-    sheets = _named(_workbooks(books)).select("name", "kind", F.col("length").alias("size"), F.coalesce("problem", F.when(~F.coalesce(filled, F.lit(False)), F.lit(EMPTY_TABLE))).alias("error"), F.coalesce(F.size("sheets"), F.lit(0)).cast("long").alias("parts"), F.array_join(blocks, "\n\n").alias("content"))
-    both = out.unionByName(sheets)
+    sheets = _named(_workbooks(load(book))).select("output_name", "times", "kind", "size", F.coalesce("problem", F.when(~F.coalesce(filled, F.lit(False)), F.lit(EMPTY_TABLE))).alias("error"), F.coalesce(F.size("sheets"), F.lit(0)).cast("long").alias("parts"), F.array_join(blocks, "\n\n").alias("content"))
+    missing = F.concat(F.lit("File not found: "), F.coalesce("output_name", F.lit("")))
+    both = out.unionByName(sheets).withColumn("error", F.when(F.col("size").isNull(), missing).otherwise(F.col("error")))
     ok = F.col("error").isNull()
-    return both.select("name", "kind", "size", ok.alias("success"), "error", F.when(ok, F.col("parts")).otherwise(0).alias("parts"), F.when(ok, F.col("content")).alias("content"))
-
-
-def intake(requested: DataFrame, path: str) -> DataFrame:
-    """A row of `read_files` for each requested name; a missing file gives a failed row, no exception. A name asked for twice
-    comes twice; files that nobody asked for are left out; a null name fails like a missing file."""
-    spark = requested.sparkSession
-    asked = file_facts(requested.select(F.col("name").alias("path"))).select(F.col("path").alias("name"), F.col("kind").alias("asked_kind"))
-    d = asked.join(read_files(spark, path), "name", "left")
-    lost = F.col("success").isNull()
-    missing = F.concat(F.lit("File not found: "), F.coalesce("name", F.lit("")))
-    return d.select("name", F.coalesce("kind", "asked_kind").alias("kind"), "size", (~lost & F.coalesce("success", F.lit(False))).alias("success"), F.when(lost, missing).otherwise(F.col("error")).alias("error"), F.coalesce("parts", F.lit(0)).alias("parts"), "content")
+    rows = both.select(F.col("output_name").alias("name"), "kind", "size", ok.alias("success"), "error", F.when(ok, F.col("parts")).otherwise(0).cast("long").alias("parts"), F.when(ok, F.col("content")).alias("content"), "times")
+    return rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("_again")).drop("times", "_again")
+
+
+def read_files(spark: SparkSession, path: str, folders: int = 1) -> DataFrame:
+    """name, kind, size, success, error, parts and content of every file in a folder.
+
+    Text: Markdown as it is, .txt under a title; CSV and workbooks: listings of their rows under the first, for a workbook below
+    `## Sheet:` headings; paged files: the number of pages, no content. Invalid UTF-8, an open quote, bytes that are no workbook
+    or no paged file, an empty table and an unknown suffix each give a row with success false and the reason. A file is read by
+    one branch only: workbooks, whose reader is Python, are told by their suffix before anything is read. `folders`: as they were
+    written by `write_document_files`.
+    """
+    return _read(list_document_files(spark, path, folders).withColumn("times", F.lit(1).cast("long")), path, folders)
+
+
+def intake(requested: DataFrame, path: str, folders: int = 1) -> DataFrame:
+    """A row as of `read_files` for each requested name; a missing file gives a failed row, no exception. A name asked for twice
+    comes twice; files that nobody asked for are left out, and not listed either: tasks open the names that they are given, each
+    once, so the driver holds none of them. A null name fails like a missing file."""
+    # a stated number of partitions: by bytes, names of many files would share a task
+    names = requested.select(F.col("name").alias("output_name")).repartition(int(requested.sparkSession.conf.get("spark.sql.shuffle.partitions")), "output_name")
+    return _read(names.groupBy("output_name").agg(F.count("*").alias("times")), path, folders)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillwork.sources import intake as I
 from quillwork.sources.cache_table import CacheTable, UpsertConflict
-from quillwork.sources.document_files import write_document_files
+from quillwork.sources.document_files import list_document_files, read_document_files, write_document_files
 from quillwork.sources.workbooks import sheets_of, workbook_of
 from quillwork.streaming import jobs as J
 from quillwork.streaming import sinks as K
@@ -85,6 +85,23 @@ def test_intake_of_awkward_files(spark):
     assert all(got[n].content is None and got[n].parts == 0 for n in failed)
 
 
+def test_the_driver_holds_no_path_of_an_intake(spark):
+    """Files are opened by the tasks that are given their names, each once, wherever they were dealt to."""
+    path, flat = folder(), folder()
+    rows = [(f"note_{i}.md", f"text {i}") for i in range(60)] + [("x.csv", "a\n1"), ("x.csv", "again")]
+    for to, folders in ((path, 7), (flat, 1)):
+        write_document_files(spark.createDataFrame(rows, DOCUMENTS), to, folders=folders)
+        asked = spark.createDataFrame([(n,) for n, _ in rows] + [("note_1.md",), ("../note_1.md",), ("lost" * 100,), ("nul\0.md",), (".hidden.md",)], "name string")
+        got = I.intake(asked, to, folders)
+        assert got.inputFiles() == []
+        got = got.collect()
+        assert len(got) == 67 and sum(r.success for r in got) == 63 and {r.content for r in got if r.name == "note_1.md"} == {"text 1"}
+        assert {r.name for r in I.read_files(spark, to, folders).collect()} == {n for n, _ in rows} | {"x~2.csv"}
+        back = read_document_files(list_document_files(spark, to, folders), to, folders).collect()
+        assert {r.output_name: bytes(r.content).decode() for r in back} == dict(rows[:60]) | {"x.csv": "a\n1", "x~2.csv": "again"}
+    assert len(os.listdir(path)) == 7
+
+
 def entries(spark, rows):
     return spark.createDataFrame([(k, p, dt.datetime(2024, 6, 1, h)) for k, p, h in rows], "key string, payload string, written_at timestamp")
 
