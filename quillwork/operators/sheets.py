@@ -123,7 +123,8 @@ def format_value(value: Column, kind: Column) -> Column:
     decimals = F.length(F.substring_index(plain, ".", -1))
     fraction = F.concat(F.format_number(F.when(p < 0, F.ceil(p)).otherwise(F.floor(p)), 0), F.lit("."), F.substring_index(plain, ".", -1))
     fraction = F.when((p < 0) & (p > -1), F.concat(F.lit("-"), F.regexp_replace(fraction, "^-", ""))).otherwise(fraction)
-    as_number = F.when(p == F.floor(p), F.format_number(p, 0)).when(plain.contains(".") & (decimals > 0), fraction).otherwise(plain)
+    # -0 is shown as 0, as an integer has no sign there
+    as_number = F.when(p == 0, F.lit("0")).when(p == F.floor(p), F.format_number(p, 0)).when(plain.contains(".") & (decimals > 0), fraction).otherwise(plain)
     return ladder(
         (v == "", ""),
         ((kind == "currency") | v.contains("$"), F.coalesce(F.when(m.isNotNull(), as_money), v)),

@@ -110,6 +110,11 @@ def test_value_formats(spark):
     assert [r[0] for r in df.collect()] == ["1,234.5", "$1,234.50", "5.00%", "5.00%", "(5)", "1,200", "", "-0.5"]
 
 
+def test_a_negative_zero_is_shown_as_zero(spark):
+    df = spark.createDataFrame([("-0", "numeric"), ("-0.0", "text"), ("0", "numeric"), ("-0", "currency")], "v string, k string")
+    assert [r[0] for r in df.select(X.format_value(F.col("v"), F.col("k"))).collect()] == ["0", "0", "0", "$-0.00"]
+
+
 def test_group_key_and_title(spark):
     df = spark.createDataFrame([("- Employee Only - VSP - Premium - Monthly = $5.00",), ("other",)], "line string")
     got = df.select(X.group_key(F.col("line")).alias("k")).select("k", X.section_title(F.col("k"))).collect()
