@@ -6,6 +6,9 @@ what is there and returns the table.
 
 from __future__ import annotations
 
+import json
+from operator import itemgetter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,36 +38,44 @@ def intake(documents: DataFrame) -> DataFrame:
     return vision_decision(documents).select("doc_id", "total_score", "use_vision", "reason")
 
 
-def reuse(events: DataFrame, keys: list[str], ttl: float = 86_400, late: str = "10 minutes") -> DataFrame:
+def reuse(events: DataFrame, keys: list[str], ttl: float = 86_400, late: str = "10 minutes", groups: int = 1024) -> DataFrame:
     """keys and ts of the events that are worked on: the first of a key, then the first that comes `ttl` seconds or more after the
     last one worked on; what comes earlier reuses its result.
 
-    The state of a key is one instant, forgotten once the watermark has passed its time to live. Events have to arrive in time
-    order up to `late`; one older than the last of its key worked on is taken as reuse. Null keys are a key of their own; rows
-    without ts are dropped.
+    The state of a key is one instant, forgotten once the watermark has passed its time to live. Keys are dealt by a hash over
+    `groups` states, since a call of Python for each key costs far more than its events; a checkpoint keeps its number of groups.
+    Events have to arrive in time order up to `late`; one older than the last of its key worked on is taken as reuse. Null keys are a
+    key of their own; keys travel as text, so they are of types that text stands for; rows without ts are dropped.
     """
-    columns = [*keys, "ts"]
-    schema = events.select(*columns).schema
+    names, kinds, wait = [f"k{i}" for i in range(len(keys))], dict(events.dtypes), round(ttl * 1_000_000)
 
-    def admit(key, batches, state):
+    def admit(group, batches, state):
         import pandas as pd
 
         if state.hasTimedOut:
             state.remove()
             return
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        last = {tuple(k): at for *k, at in json.loads(state.get[0])} if state.exists else {}
+        rows = [row for b in batches for row in zip(b["at"].tolist(), zip(*[b[n] for n in names], strict=True), strict=True)]
         out = []
-        for at in pd.concat([b["ts"] for b in batches]).sort_values():
-            if last is None or (at - last).total_seconds() >= ttl:
-                out.append(at)
-                last = at
-        state.update((last.value // 1000,))
-        end = last.value // 1_000_000 + int(ttl * 1000)
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({**{c: [k] * len(out) for c, k in zip(keys, key, strict=True)}, "ts": out})[columns]
-
-    marked = events.where("ts is not null").select(*columns).withWatermark("ts", late)
-    return marked.groupBy(*keys).applyInPandasWithState(admit, schema, "last long", "append", "EventTimeTimeout")
+        for at, key in sorted(rows, key=itemgetter(0)):
+            if key not in last or at - last[key] >= wait:
+                out.append((*key, at))
+                last[key] = at
+        mark = max(0, state.getCurrentWatermarkMs())
+        held = [(*key, at) for key, at in last.items() if at + wait > mark * 1000]
+        if held:
+            state.update((json.dumps(held),))
+            state.setTimeoutTimestamp(max((max(row[-1] for row in held) + wait) // 1000, mark + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[*names, "at"])
+
+    marked = events.where("ts is not null").withWatermark("ts", late)
+    # the watermark is on ts: rows that it has passed are dropped by that column
+    dealt = marked.select(F.pmod(F.hash(*keys), F.lit(groups)).alias("group"), *[F.col(k).cast("string").alias(n) for k, n in zip(keys, names, strict=True)], F.unix_micros("ts").alias("at"), "ts")
+    worked = dealt.groupBy("group").applyInPandasWithState(admit, ", ".join(f"{n} string" for n in names) + ", at long", "held string", "append", "EventTimeTimeout")
+    return worked.select(*[F.col(n).cast(kinds[k]).alias(k) for k, n in zip(keys, names, strict=True)], F.timestamp_micros("at").alias("ts"))
 
 
 def window_metrics(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:

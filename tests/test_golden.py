@@ -169,6 +169,23 @@ def test_a_result_serves_a_day_and_then_is_made_anew(spark):
     assert got == [(k, float(h)) for k in (0, 1) for h in (0, 24, 48.1, 200, 224.5)]
 
 
+def test_keys_share_states_and_keep_their_own_instants(spark):
+    from quillwork.sources.files import shared_folder
+    from quillwork.streaming import jobs as J
+
+    intake, folder, hour = shared_folder(spark), shared_folder(spark), 3_600_000_000
+    want = []
+    for at in (0, 12, 30):
+        events = spark.range(3000).selectExpr("nullif(id, 7) + 9007199254740993 as k", "if(id % 2 = 0, 'e', null) as kind", f"timestamp_micros((1000 + {at}) * {hour}L + id) as ts")
+        events.write.mode("append").parquet(intake)
+        job = J.reuse(spark.readStream.schema(events.schema).parquet(intake), ["k", "kind"])
+        out = J.run(job, folder)
+        want += [] if at == 12 else [tuple(r) for r in events.collect()]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    states = spark.read.format("statestore").load(f"{folder}/progress").count()
+    assert 0 < states <= 1024
+
+
 def test_repeated_rows_are_taken_each_by_itself(spark):
     rows = spark.createDataFrame([(1, "| a | b |\n|---|---|\n| c | d |"), (1, "a | b"), (None, None), (None, "x")], "doc_id long, text string")
     assert sorted(r.text for r in C.flatten_tables(rows).collect()) == ["", "**b** - **c**: d", "a | b", "x"]
