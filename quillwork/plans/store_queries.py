@@ -8,7 +8,7 @@ from ..sources import derived as D
 from ..sources import files as S
 from ..sources import intake as I
 from ..sources.cache_table import CacheTable
-from ..sources.document_files import FOLDERS, write_document_files
+from ..sources.document_files import FOLDERS, list_document_files, read_document_files, write_document_files
 from ..sources.workbooks import workbook_of
 from ..streaming import jobs as J
 from ..streaming import sinks as K
@@ -27,8 +27,8 @@ def _add(name, build, sql):
 def _markdown(s, d):
     """Every document as a file of its own, read back by name."""
     path = S.shared_folder(s)
-    write_document_files(_named(s, d), path)
-    return S.read_texts(s, path).select(F.url_decode(F.substring_index("path", "/", -1)).alias("output_name"), F.md5("text").alias("digest"))
+    write_document_files(_named(s, d), path, folders=FOLDERS)
+    return read_document_files(list_document_files(s, path, FOLDERS), path, FOLDERS).select("output_name", F.md5("content").alias("digest"))
 
 
 _add("write_markdown", _markdown, f"WITH {DOCS} SELECT {_name} AS output_name, md5(text) AS digest FROM docs_aug")

@@ -102,6 +102,15 @@ def test_the_driver_holds_no_path_of_an_intake(spark):
     assert len(os.listdir(path)) == 7
 
 
+def test_documents_are_read_back_by_tasks_without_their_paths_on_the_driver(spark):
+    from quillwork.plans.queries import QUERIES
+
+    from .conftest import SF
+
+    got = QUERIES["write_markdown"](spark, SF)
+    assert got.inputFiles() == [] and got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 def entries(spark, rows):
     return spark.createDataFrame([(k, p, dt.datetime(2024, 6, 1, h)) for k, p, h in rows], "key string, payload string, written_at timestamp")
 
