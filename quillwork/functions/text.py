@@ -47,6 +47,11 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value computed once: the optimiser would copy it to each of its places, also into what runs for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column) -> Column:
     # the look-behind keeps a long run inside the text from being tried at each of its characters
     return F.regexp_replace(text, rf"^{S}+|(?<!{S}){S}+\z", "")

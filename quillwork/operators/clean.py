@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANK, S, chars_among, joined, lines, strip, text_of, unix
+from ..functions.text import BLANK, S, chars_among, joined, lines, once, strip, text_of, unix
 
 #: Commentary labels and patterns in the order of removal, and placeholders.
 COMMENTARY = [
@@ -84,12 +84,18 @@ def _all_cells(row: Column, pattern: str, least: int = 1) -> Column:
 
 def _with_blocks(docs: DataFrame) -> DataFrame:
     """docs with _lines and _blocks: (start, end, rows) of each run of pipe rows, in order. All inside the row."""
-    df = docs.withColumn("_lines", lines(text_of())).withColumn("_row", F.transform("_lines", is_table_row))
-    spots = F.sequence(F.lit(0), F.size("_lines") - 1)
-    beside = lambda i, step: F.coalesce(F.get("_row", i + step), F.lit(False))
-    df = df.withColumn("_starts", F.filter(spots, lambda i: F.get("_row", i) & ~beside(i, -1))).withColumn("_ends", F.filter(spots, lambda i: F.get("_row", i) & ~beside(i, 1)))
-    run = lambda s, e: F.struct(s.alias("start"), e.alias("end"), F.slice("_lines", s + 1, e - s + 1).alias("rows"))
-    return df.withColumn("_blocks", F.zip_with("_starts", "_ends", run)).drop("_row", "_starts", "_ends")
+
+    def blocks(p: Column) -> Column:
+        own, row = p["lines"], p["row"]
+        spots = F.sequence(F.lit(0), F.size(own) - 1)
+        beside = lambda i, step: F.coalesce(F.get(row, i + step), F.lit(False))
+        starts = F.filter(spots, lambda i: F.get(row, i) & ~beside(i, -1))
+        ends = F.filter(spots, lambda i: F.get(row, i) & ~beside(i, 1))
+        return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), e.alias("end"), F.slice(own, s + 1, e - s + 1).alias("rows")))
+
+    # whether a line is a row is told once a line, not again for each of its neighbours' lines
+    marked = lambda own: once(F.struct(own.alias("lines"), F.transform(own, is_table_row).alias("row")), blocks)
+    return docs.withColumn("_lines", lines(text_of())).withColumn("_blocks", once(lines(text_of()), marked))
 
 
 def table_blocks(docs: DataFrame) -> DataFrame:

@@ -66,3 +66,11 @@ def test_operator_takes_long_lines(long_texts, name):
     began = time.time()
     OPERATORS[name](long_texts).write.format("noop").mode("overwrite").save()
     assert time.time() - began < 60
+
+
+def test_a_line_is_told_to_be_a_row_once(spark):
+    """Rows are told apart once a line: 20,000 lines of a table would be tried again for each of them."""
+    text = "head\n" + "\n".join(["| a | b |"] * 20_000) + "\nx | y\n| c | d |"
+    began = time.monotonic()
+    got = C.table_blocks(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 20_000, 20_000), (1, 20_002, 20_002, 1)] and time.monotonic() - began < 60
