@@ -53,8 +53,10 @@ def once(value: Column, use) -> Column:
 
 
 def strip(text: Column) -> Column:
-    # the look-behind keeps a long run inside the text from being tried at each of its characters
-    return F.regexp_replace(text, rf"^{S}+|(?<!{S}){S}+\z", "")
+    # most texts have no blank at either end, which two characters tell; the look-behind keeps a long run inside the text from being
+    # tried at each of its characters
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(S), F.regexp_replace(text, rf"^{S}+|(?<!{S}){S}+\z", "")).otherwise(text)
 
 
 def unix(pattern: str) -> str:

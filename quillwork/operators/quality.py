@@ -22,6 +22,8 @@ JUNCTION = rf"^[{BLANK}+|_=-]+$"
 SIMPLE_DASH = (rf"^[{BLANK}_-]+$", S, "^[-_][-_]", "[-_][-_]$")
 SINGLE_DASH = rf"{S}[-_]{S}"
 SPACE_COLUMNS = rf"{W}{S}{{3,}}{W}"
+#: The same for Java's matcher: the blank is tried first, as most characters are none.
+SPACE_COLUMNS_BACK = rf"{S}(?<={W}{S}){S}{{2,}}{W}"
 DATA = r"[$%\p{Nd}]"
 ROW_START = rf"^[A-Z][a-z{BLANK}]+[$%\p{{Nd}}]"
 NESTED_HEADER = rf"(?:^|[^a-zA-Z])[a-z]*[A-Z][a-zA-Z]+{S}+[A-Z][a-zA-Z]"
@@ -43,7 +45,7 @@ def line_facts(stripped: str) -> Column:
     table score needs. What a line's facts use more than once is a step of its own, as lambdas share no work."""
 
     def measured(x: Column, i: Column) -> Column:
-        return F.struct(x.alias("x"), i.alias("i"), chars_among(x, SEPARATORS).alias("separators"), chars_among(x, "|").alias("pipes"), x.rlike(SPACE_COLUMNS).alias("spaced"), x.rlike(DATA).alias("data"))
+        return F.struct(x.alias("x"), i.alias("i"), chars_among(x, SEPARATORS).alias("separators"), chars_among(x, "|").alias("pipes"), x.rlike(SPACE_COLUMNS_BACK).alias("spaced"), x.rlike(DATA).alias("data"))
 
     def with_kind(m: Column) -> Column:
         x, separators, size = m["x"], m["separators"], F.length(m["x"])
@@ -61,7 +63,8 @@ def line_facts(stripped: str) -> Column:
     def facts(k: Column) -> Column:
         m, kind = k["m"], k["kind"]
         after = F.coalesce(F.get(stripped, m["i"] + 1), F.lit(""))
-        nested = m["x"].rlike(NESTED_HEADER) & after.rlike(DATA)
+        # figures are looked for first: they are found or missed faster
+        nested = after.rlike(DATA) & m["x"].rlike(NESTED_HEADER)
         pipes, spaced = m["pipes"], m["spaced"]
         # a word of letters alone, beside the word that holds the figure
         mixed = m["data"] & m["x"].rlike(LETTERS_WORD)
@@ -109,8 +112,11 @@ def reversed_words(text: Column) -> Column:
     """How many words of three characters or more, in lower case and without punctuation, look reversed."""
     clean = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}_{BLANK}]", "")
     starts = "|".join(p if len(p) > 2 else f"{p}[^{BLANK}]" for p in REVERSED_PREFIXES)
-    ends = rf"(?:[^{BLANK}]*(?:{'|'.join(REVERSED_SUFFIXES)})|{'|'.join(REVERSED_WORDS)})(?![^{BLANK}])"
-    return F.regexp_count(clean, F.lit(f"(?<![^{BLANK}])(?:{starts}|{ends})")).cast("long")
+    first = "".join(sorted({w[0] for w in (*REVERSED_PREFIXES, *REVERSED_SUFFIXES, *REVERSED_WORDS)}))
+    # a word found by its start is passed over whole, others are found by their ends; a look at one character spares most places the rest
+    whole, end = f"(?<![^{BLANK}])", f"(?![^{BLANK}])"
+    found = f"(?=[{first}])(?:{whole}(?:{starts})[^{BLANK}]*+|(?:{'|'.join(REVERSED_SUFFIXES)}){end}|{whole}(?:{'|'.join(REVERSED_WORDS)}){end})"
+    return F.regexp_count(clean, F.lit(found)).cast("long")
 
 
 def with_measures(df: DataFrame, text: str = "text") -> DataFrame:

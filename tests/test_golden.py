@@ -212,3 +212,27 @@ def test_derived_sheets_are_bounded_and_texts_whole(spark):
     assert max(r.n for r in rows) <= D.SHEET_ROWS + 1 and sum(r.sheet.startswith("part_") for r in rows) > 1
     whole = D.read(spark, sf, "documents").withColumnRenamed("text", "own").join(D.docs_aug(spark, sf), "doc_id")
     assert whole.where(~F.col("text").startswith(F.coalesce("own", F.lit("")))).count() == 0
+
+
+def test_reversed_words_are_those_of_a_check_word_by_word(spark):
+    import random
+
+    rng = random.Random(5)
+    parts = ["gni", "noi", "eci", "de", "erp", "bus", "noc", "noit", "ynapmoc", "dradnats", "x", "ab", "Noit", ".", "é"]
+    rows = [" ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(9))) for _ in range(400)]
+
+    def is_reversed(word):
+        w = "".join(c for c in word.lower() if c.isalnum())
+        return len(w) > 2 and w.startswith(Q.REVERSED_PREFIXES) or w.endswith(Q.REVERSED_SUFFIXES) or w in Q.REVERSED_WORDS
+
+    got = column(texts(spark, *rows).withColumn("n", Q.reversed_words(F.col("text"))), "n")
+    assert got == [sum(map(is_reversed, r.split(" "))) for r in rows] and sum(got) > 500
+
+
+def test_a_text_without_blanks_at_its_ends_is_stripped_by_no_pattern(spark):
+    from quillwork.functions.text import strip
+
+    got = texts(spark, "", "a", " ", " a b ", "a b", "\n", "😀 ", None).withColumn("s", strip(F.col("text")))
+    assert column(got, "s") == ["", "a", "", "a b", "a b", "", "😀", None]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rlike" in plan
