@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import flag, joined, ladder, strip, text_of, title_case
+from ..functions.text import flag, joined, ladder, once, strip, text_of, title_case
 from .ranges import RANGE_ROWS, carry_down, plain_columns, range_of, runs, text_blocks
 
 #: Date patterns, acronyms and sizes.
@@ -115,24 +115,27 @@ def hierarchy_flag(cells: DataFrame, headers: DataFrame) -> DataFrame:
 
 def format_value(value: Column, kind: Column) -> Column:
     """A value by its type: $1,234.50, 5.00%, 1,234.5; what cannot be read stays as it is."""
-    v = strip(F.coalesce(value, F.lit("")))
-    money, share, plain = strip(F.translate(v, "$,", "")), strip(F.translate(v, "%", "")), strip(F.translate(v, ",", ""))
-    number = lambda c: F.when(c.rlike(NUMBER), c.try_cast("double"))
-    m, s, p = number(money), number(share), number(plain)
-    as_money = F.when(m >= 0, F.concat(F.lit("$"), F.format_number(m, 2))).otherwise(F.concat(F.lit("-$"), F.format_number(-m, 2)))
-    decimals = F.length(F.substring_index(plain, ".", -1))
-    fraction = F.concat(F.format_number(F.when(p < 0, F.ceil(p)).otherwise(F.floor(p)), 0), F.lit("."), F.substring_index(plain, ".", -1))
-    fraction = F.when((p < 0) & (p > -1), F.concat(F.lit("-"), F.regexp_replace(fraction, "^-", ""))).otherwise(fraction)
-    # -0 is shown as 0, as an integer has no sign there
-    as_number = F.when(p == 0, F.lit("0")).when(p == F.floor(p), F.format_number(p, 0)).when(plain.contains(".") & (decimals > 0), fraction).otherwise(plain)
-    return ladder(
-        (v == "", ""),
-        ((kind == "currency") | v.contains("$"), F.coalesce(F.when(m.isNotNull(), as_money), v)),
-        (v.contains("%"), F.coalesce(F.when(s.isNotNull(), F.concat(F.format_number(s, 2), F.lit("%"))), v)),
-        (kind == "percentage", F.coalesce(F.when(number(v).isNotNull(), F.concat(F.format_number(number(v) * 100, 2), F.lit("%"))), v)),
-        ((kind == "numeric") | is_numeric(v), F.coalesce(F.when(p.isNotNull(), as_number), v)),
-        otherwise=v,
-    )
+
+    def shown(v: Column) -> Column:
+        money, share, plain = strip(F.translate(v, "$,", "")), strip(F.translate(v, "%", "")), strip(F.translate(v, ",", ""))
+        number = lambda c: F.when(c.rlike(NUMBER), c.try_cast("double"))
+        m, s, p = number(money), number(share), number(plain)
+        as_money = F.when(m >= 0, F.concat(F.lit("$"), F.format_number(m, 2))).otherwise(F.concat(F.lit("-$"), F.format_number(-m, 2)))
+        decimals = F.length(F.substring_index(plain, ".", -1))
+        fraction = F.concat(F.format_number(F.when(p < 0, F.ceil(p)).otherwise(F.floor(p)), 0), F.lit("."), F.substring_index(plain, ".", -1))
+        fraction = F.when((p < 0) & (p > -1), F.concat(F.lit("-"), F.regexp_replace(fraction, "^-", ""))).otherwise(fraction)
+        # -0 is shown as 0, as an integer has no sign there
+        as_number = F.when(p == 0, F.lit("0")).when(p == F.floor(p), F.format_number(p, 0)).when(plain.contains(".") & (decimals > 0), fraction).otherwise(plain)
+        return ladder(
+            (v == "", ""),
+            ((kind == "currency") | v.contains("$"), F.coalesce(F.when(m.isNotNull(), as_money), v)),
+            (v.contains("%"), F.coalesce(F.when(s.isNotNull(), F.concat(F.format_number(s, 2), F.lit("%"))), v)),
+            (kind == "percentage", F.coalesce(F.when(number(v).isNotNull(), F.concat(F.format_number(number(v) * 100, 2), F.lit("%"))), v)),
+            ((kind == "numeric") | is_numeric(v), F.coalesce(F.when(p.isNotNull(), as_number), v)),
+            otherwise=v,
+        )
+
+    return once(strip(F.coalesce(value, F.lit(""))), shown)
 
 
 def label_unpivot(cells: DataFrame, headers: DataFrame, names: DataFrame, profiles: DataFrame) -> DataFrame:
